@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import mixing, quality, urls
+from corpuslens.llm import mixing, packing, quality, token_files, urls
 from corpuslens.session import ensure_on_workers, table
 
 
@@ -16,9 +16,11 @@ def _over(name: str, f):
 
 def queries() -> dict:
     return {
+        "op2_token_files": _over("documents", token_files.op2),
         "op3_quality_rules": _over("documents", quality.op3),
         "op5_mixing": _over("documents", mixing.op5),
         "op6_url_filters": _over("pages", urls.op6),
+        "op10_packing": _over("documents", packing.op10),
     }
 
 
