@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import mixing, packing, quality, token_files, urls
+from corpuslens.llm import mixing, packing, quality, shingle_join, token_files, urls
 from corpuslens.session import ensure_on_workers, table
 
 
@@ -16,6 +16,7 @@ def _over(name: str, f):
 
 def queries() -> dict:
     return {
+        "op1_jaccard_join": _over("documents", shingle_join.op1),
         "op2_token_files": _over("documents", token_files.op2),
         "op3_quality_rules": _over("documents", quality.op3),
         "op5_mixing": _over("documents", mixing.op5),
