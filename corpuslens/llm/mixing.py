@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -137,9 +137,17 @@ def op5(docs: DataFrame) -> DataFrame:
     return mix_sources(docs).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-def copies(c: Column, size: Column) -> Column:
-    """Whole copies of a document for what the mix takes of it: the nearest number."""
-    return F.floor(c / size + 0.5).cast("int")
+def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
+    """docs as the mix reads them: each row as often as its taken words divided by its size, to the nearest number.
+
+    Rows of which less than half is read go, others are repeated up to three times. Columns stay those of docs.
+    """
+    n = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    plan = mix_sources(docs, **kw).where("size > 0").select("key", F.col("source").alias("_s"), "copy", n.alias("_n")).where("_n > 0")
+    same = W.partitionBy("doc_id", "source", "_h").orderBy("doc_id")
+    rows = docs.withColumn("_h", F.md5(F.col("text").cast("binary"))).withColumn("_c", F.concat_ws("-", "_h", F.row_number().over(same)))
+    on = F.col("doc_id").eqNullSafe(F.col("key")) & F.col("source").cast("string").eqNullSafe(F.col("_s")) & (F.col("_c") == F.col("copy"))
+    return rows.join(plan, on).withColumn("_k", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)
 
 
 OP5_SQL = rf"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import mixing, packing, quality, shingle_join, token_files, urls
+from corpuslens.llm import mixing, packing, pii, quality, shingle_join, token_files, urls
 from corpuslens.session import ensure_on_workers, table
 
 
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op1_jaccard_join": _over("documents", shingle_join.op1),
         "op2_token_files": _over("documents", token_files.op2),
         "op3_quality_rules": _over("documents", quality.op3),
+        "op4_pseudonyms": _over("documents", pii.op4),
         "op5_mixing": _over("documents", mixing.op5),
         "op6_url_filters": _over("pages", urls.op6),
         "op10_packing": _over("documents", packing.op10),
