@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import mixing, packing, pii, quality, shingle_join, token_files, urls
+from corpuslens.llm import language_model, mixing, packing, pii, quality, shingle_join, token_files, urls
 from corpuslens.session import ensure_on_workers, table
 
 
@@ -22,6 +22,7 @@ def queries() -> dict:
         "op4_pseudonyms": _over("documents", pii.op4),
         "op5_mixing": _over("documents", mixing.op5),
         "op6_url_filters": _over("pages", urls.op6),
+        "op7_language_model": _over("documents", language_model.op7),
         "op10_packing": _over("documents", packing.op10),
     }
 
