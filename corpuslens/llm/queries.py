@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import language_model, mixing, packing, pii, quality, repeats, shingle_join, token_files, urls
+from corpuslens.llm import images, language_model, mixing, packing, pii, quality, repeats, shingle_join, token_files, urls
 from corpuslens.session import ensure_on_workers, table
 
 
@@ -23,6 +23,7 @@ def queries() -> dict:
         "op5_mixing": _over("documents", mixing.op5),
         "op6_url_filters": _over("pages", urls.op6),
         "op7_language_model": _over("documents", language_model.op7),
+        "op8_image_copies": _over("embeddings", images.op8),
         "op9_repeats": _over("documents", repeats.op9),
         "op10_packing": _over("documents", packing.op10),
     }
