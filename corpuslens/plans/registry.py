@@ -8,14 +8,16 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.operators import profile
 from corpuslens.session import table
 
 #: Modules of this package that hold QUERIES (name -> function) and ORACLE (name -> SQL).
-MODULES: list[str] = []
+MODULES: list[str] = ["profiling", "usage"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n")).orderBy("c_mktsegment")
+    customer = table(spark, sf_dir, "customer")
+    return profile.quality_report(customer.select(*(F.col(c).cast("string").alias(c) for c in customer.columns)), "customer")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
