@@ -16,10 +16,9 @@ _shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables; zone-less timestamps become UTC instants."""
+    """One of the input tables; zone-less timestamps become instants in the session's zone (UTC by contract)."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    ntz = [c for c, t in df.dtypes if t == "timestamp_ntz"]
-    return df.withColumns({c: F.to_utc_timestamp(F.col(c).cast("timestamp"), F.current_timezone()) for c in ntz}) if ntz and spark.conf.get("spark.sql.session.timeZone") != "UTC" else df.withColumns({c: F.col(c).cast("timestamp") for c in ntz})
+    return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
 
 
 def shared_dir(spark: SparkSession) -> str:
