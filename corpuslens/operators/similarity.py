@@ -27,5 +27,6 @@ def near_duplicates(hashes: DataFrame, max_distance: int = 7, key: str = "id", v
     a, b = bands.alias("a"), bands.alias("b")
     d = F.bit_count(F.col("a.h").bitwiseXOR(F.col("b.h")))
     pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.id") < F.col("b.id"))).where(d <= max_distance).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), d.alias("distance")).distinct()
-    same = hashes.join(cls, (F.col(value) == F.col("h"))).where(F.col(key) > F.col("id")).select(F.col("id").alias("a"), F.col(key).alias("b"), F.lit(0).alias("distance"))
+    low = cls.select(F.col("id").alias("_low"), "h")
+    same = hashes.join(low, F.col(value) == F.col("h")).where(F.col(key) > F.col("_low")).select(F.col("_low").alias("a"), F.col(key).alias("b"), F.lit(0).alias("distance"))
     return pairs.unionByName(same)

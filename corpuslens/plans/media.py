@@ -125,7 +125,7 @@ ORACLE = {
       select component, count(*) as nodes from m group by 1""",
     "a35_summarise_nets": """select l_returnflag as board, count(*) as points, count(distinct l_linenumber) as nets, count(distinct l_suppkey) as components, count(distinct l_suppkey || '/' || l_linestatus) as pins, min(l_suppkey) as min_x, max(l_suppkey) as max_x, min(l_partkey) as min_y, max(l_partkey) as max_y from lineitem group by 1""",
     "f10_rgb": f"""with p as (select *, greatest(r, g, b) / 255e0 as hi, least(r, g, b) / 255e0 as lo from {_PIX}), q as (select *, hi - lo as d, (hi + lo) / 2 as lum from p),
-      h as (select *, case when d = 0 then 0 when hi = r / 255e0 then (g - b) / 255e0 / d + case when g < b then 6 else 0 end when hi = g / 255e0 then (b - r) / 255e0 / d + 2 else (r - g) / 255e0 / d + 4 end as hue, case when d = 0 then 0 when lum > 0.5 then d / (2 - hi - lo) else d / (hi + lo) end as sat from q)
+      h as (select *, case when d = 0 then 0 when hi = r / 255e0 then (g / 255e0 - b / 255e0) / d + case when g < b then 6 else 0 end when hi = g / 255e0 then (b / 255e0 - r / 255e0) / d + 2 else (r / 255e0 - g / 255e0) / d + 4 end as hue, case when d = 0 then 0 when lum > 0.5 then d / (2 - hi - lo) else d / (hi + lo) end as sat from q)
       select image_id, x, y, printf('#%02x%02x%02x', r, g, b) as hex, cast(floor(hue * 60 + 0.5) as int) as h, cast(floor(sat * 100 + 0.5) as int) as s, cast(floor(lum * 100 + 0.5) as int) as l from h""",
     "j7_near_duplicates": """with h as (select vec_id as id, list_transform(embedding, lambda x: x > 0) as b from embeddings), m as (select b, min(id) as id from h group by b),
       p as (select x.id as a, y.id as b, len(list_filter(list_zip(x.b, y.b), lambda z: z[1] <> z[2])) as distance from m x join m y on x.id < y.id)
