@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: A space between two non-spaces: both tokenizers' splitting rules always cut before it, so what lies between two such
 #: places can be encoded alone (and remembered).
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_ODD = re.compile(r"^ | $|\s | \s")
-_REMEMBER, _LONGEST = 400_000, 48
+#: White space besides the space and the line feed; a text with none of it is cut by plain searches.
+_RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_REMEMBER, _LONGEST = 800_000, 48
+#: How the byte-level form splits a text when its file names no pattern of its own.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Up to here letters, digits, case and composition are the same in every Unicode version.
+_LATIN = "\u024f"
 _encoders: dict[str, Encoder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """ids(texts) gives each text's token ids as little-endian bytes (2 bytes an id when the vocabulary allows).
 
-    Units between cuts are remembered, up to a fixed number of short ones; the result is the same as encoding whole.
+    Words between cuts are remembered, up to a fixed number of short ones. A new word of Latin letters is split by the
+    tokenizer's own pattern into pieces, whose ids its model gives and which are remembered too; any other word is
+    encoded by itself. The result is the same as encoding each text whole.
     """
 
     def __init__(self, path: str):
@@ -28,36 +44,79 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.seen: dict[str, bytes] = {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.words: dict[str, bytes] = {}  # what follows a cut, without its space
+        self.pieces: dict[str, bytes] = {}
+        self.split, self.lower = self._rule()
+        self.letters = _byte_letters()
+
+    def _rule(self):
+        """(split, lower): this tokenizer's splitting of Latin words and whether it lower-cases; (None, False) if it is of another form."""
+        import regex
+
+        d = json.loads(self.tok.to_str())
+        pre, norm = d["pre_tokenizer"] or {}, d["normalizer"] or {}
+        if d["model"]["type"] != "BPE":
+            return None, False
+        if pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not norm:
+            return regex.compile(_BYTE_LEVEL).findall, False
+        steps = [x["type"] for x in norm.get("normalizers", [])]
+        parts = pre.get("pretokenizers", [])
+        if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0]["invert"] and parts[0]["behavior"] == "Removed" and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"]:
+            return regex.compile(parts[0]["pattern"]["Regex"]).findall, True
+        return None, False
+
+    def _alone(self, unit: str) -> bytes:
+        return np.array(self.tok.encode(unit, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        stands = piece.replace(" ", self.letters[32]) if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode()])
+        out = self.pieces[piece] = array(self.code, [t.id for t in self.tok.model.tokenize(stands)]).tobytes()
+        return out
 
-    def _raw(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
+    def _unit(self, word: str, space: str, plain: bool = False) -> bytes:
+        """Ids of a stretch of text that begins at a cut (with its space) or at the start (without). plain: no rare white space in it."""
+        if self.split is None or not (word.isascii() or max(word) <= _LATIN) or not (plain or not any(c in word for c in _RARE)):
+            return self._alone(space + word)
+        get = self.pieces.get
+        if self.lower:
+            word, space = word.lower(), ""
+        if word.isalpha():
+            return get(space + word) or self._piece(space + word)
+        if word[-1:] in (",", ".") and word[:-1].isalpha():
+            a, b = space + word[:-1], word[-1]
+            return (get(a) or self._piece(a)) + (get(b) or self._piece(b))
+        return b"".join([get(x) or self._piece(x) for x in self.split(space + word)])
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        cut, new = [], {}
-        seen = self.seen
-        if len(seen) > _REMEMBER:
-            seen.clear()
+        for kept in (self.words, self.pieces):
+            if len(kept) > _REMEMBER:
+                kept.clear()
+        words, get = self.words, self.words.get
+        out: list[bytes] = []
         for t in texts:
             if not t:
-                cut.append(())
+                out.append(b"")
                 continue
-            if _ODD.search(t):
-                units = _CUT.split(t)
+            if "  " in t or " \n" in t or "\n " in t or t[0] == " " or t[-1] == " " or any(c in t for c in _RARE):
+                head, *rest = _CUT.split(t)
+                rest, plain = [x[1:] for x in rest], False
             else:
                 head, *rest = t.split(" ")
-                units = [head, *[" " + x for x in rest]]
-            cut.append(units)
-            for u in set(units).difference(seen):
-                new[u] = None
-        names = list(new)
-        for i in range(0, len(names), 4096):
-            new.update(zip(names[i : i + 4096], self._raw(names[i : i + 4096])))
-        long = {u: b for u, b in new.items() if len(u) > _LONGEST}
-        seen.update((u, b) for u, b in new.items() if len(u) <= _LONGEST)
-        if not long:
-            return [b"".join(map(seen.__getitem__, u)) for u in cut]
-        return [b"".join([seen[x] if len(x) <= _LONGEST else long[x] for x in u]) for u in cut]
+                plain = True
+            found = list(map(get, rest))
+            if None in found:
+                for i, x in enumerate(found):
+                    if x is None:
+                        w = rest[i]
+                        x = get(w)
+                        if x is None:
+                            x = self._unit(w, " ", plain)
+                            if len(w) <= _LONGEST:
+                                words[w] = x
+                        found[i] = x
+            out.append((self._unit(head, "", plain) if head else b"") + b"".join(found))
+        return out
 
 
 def encoder(path: str) -> Encoder:
