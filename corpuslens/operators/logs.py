@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.scalars import igc_degrees, nmea_degrees, xor_checksum
 
-LINE = W.partitionBy("path").orderBy("line_no")
+def _in_order():
+    return W.partitionBy("path").orderBy("line_no")
 
 
 def _first(pattern: str, c: str | Column = "line", group: int = 1) -> Column:
@@ -22,7 +23,7 @@ def _first(pattern: str, c: str | Column = "line", group: int = 1) -> Column:
 
 def numbered_blocks(lines: DataFrame, start: str) -> DataFrame:
     """lines plus block: the number of lines so far that begin a block (0 before the first)."""
-    return lines.withColumn("block", F.sum(F.col("line").rlike(start).cast("int")).over(LINE.rowsBetween(W.unboundedPreceding, 0)))
+    return lines.withColumn("block", F.sum(F.col("line").rlike(start).cast("int")).over(_in_order().rowsBetween(W.unboundedPreceding, 0)))
 
 
 def tally(df: DataFrame, by: list[str], key: str) -> DataFrame:
@@ -289,7 +290,7 @@ def summarise_igc(lines: DataFrame) -> DataFrame:
 def summarise_playlist(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(per file: segments, seconds, live; variants: path, bandwidth, resolution, uri) of streaming playlists."""
     x = lines.where(F.trim("line") != "").where(~F.col("line").startswith("#") | F.col("line").startswith("#EXT"))
-    v = x.withColumn("uri", F.lead("line").over(LINE)).where(F.col("line").startswith("#EXT-X-STREAM-INF"))
+    v = x.withColumn("uri", F.lead("line").over(_in_order())).where(F.col("line").startswith("#EXT-X-STREAM-INF"))
     s = lines.groupBy("path").agg(F.count_if(F.col("line").startswith("#EXTINF")).alias("segments"), F.coalesce(F.sum(_first(r"^#EXTINF:\s*([\d.]+)").try_cast("double")), F.lit(0.0)).alias("seconds"), (F.count_if(F.col("line").startswith("#EXT-X-ENDLIST")) == 0).alias("live"))
     return s, v.select("path", _first(r"[:,]BANDWIDTH=(\d+)").cast("long").alias("bandwidth"), _first(r"RESOLUTION=(\d+x\d+)").alias("resolution"), F.trim("uri").alias("uri"))
 

@@ -127,12 +127,12 @@ def regular_cadence(df: DataFrame, by: list[str], ts: str) -> DataFrame:
     Two aggregations, no ordered window: with first, last and count known, the steps are equal exactly when the times
     are different and all lie on first + k * (last - first) / (count - 1).
     """
-    t = df.where(F.col(ts).isNotNull()).select(*by, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
-    ends = t.groupBy(*by).agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("b")).where("n > 2 and b > a and (b - a) % (n - 1) = 0")
+    t = df.where(F.col(ts).isNotNull()).select(*by, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
+    ends = t.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_t").alias("_a"), F.max("_t").alias("_b")).where("_n > 2 and _b > _a and (_b - _a) % (_n - 1) = 0")
     each = t.join(ends, by) if by else t.crossJoin(F.broadcast(ends))
-    ok = each.groupBy(*by, "n", "a", "b").agg(F.max((F.col("t") - F.col("a")) % F.expr("(b - a) div (n - 1)")).alias("off"), F.count_distinct("t").alias("k")).where("off = 0 and k = n")
-    step = F.expr("(b - a) div (n - 1)") / 1000
-    return ok.select(*by, "n", step.cast("long").alias("step_ms"), human_step(step.cast("long")).alias("step"))
+    ok = each.groupBy(*by, "_n", "_a", "_b").agg(F.max((F.col("_t") - F.col("_a")) % F.expr("(_b - _a) div (_n - 1)")).alias("_off"), F.count_distinct("_t").alias("_k")).where("_off = 0 and _k = _n")
+    step = F.expr("(_b - _a) div (_n - 1)") / 1000
+    return ok.select(*by, F.col("_n").alias("n"), step.cast("long").alias("step_ms"), human_step(step.cast("long")).alias("step"))
 
 
 def cardinality_flags(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
