@@ -13,7 +13,7 @@ def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     """Metres between two points given in degrees."""
     a, b = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     h = F.sin(a) * F.sin(a) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(b) * F.sin(b)
-    return 2 * RADIUS * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2 * RADIUS * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def track_distance(points: DataFrame, track: str = "track_id", seq: str = "seq") -> DataFrame:
@@ -161,7 +161,7 @@ def toolpath_summary(lines: DataFrame, by: str = "path") -> DataFrame:
     """One row per file: counts by kind of move, lengths, feed range, bounds, layers and the upper-middle layer gap."""
     m = toolpath_moves(lines, by)
     per = m.groupBy(by).agg(
-        F.count_if("mode = 0").alias("rapid"), F.count_if("mode = 1").alias("feed"), F.count_if("mode > 1").alias("arc"), F.count_if("extrude").alias("extrude"),
+        F.count_if(F.col("mode") == 0).alias("rapid"), F.count_if(F.col("mode") == 1).alias("feed"), F.count_if(F.col("mode") > 1).alias("arc"), F.count_if("extrude").alias("extrude"),
         F.sum(F.when(F.col("extrude"), F.col("length")).otherwise(0.0)).alias("extruded_mm"), F.sum(F.when((F.col("mode") > 0) & ~F.col("extrude"), F.col("length")).otherwise(0.0)).alias("cut_mm"),
         F.min("f").alias("feed_min"), F.max("f").alias("feed_max"), *(x(a).alias(f"{n}_{a}") for a in "xyz" for n, x in (("min", F.min), ("max", F.max))),
     )

@@ -82,7 +82,7 @@ QUERIES = {
 
 _PTS = "(select user_id as track_id, event_id as seq, 40 + (event_id * 37 % 1000) / 10000.0 as lat, 20 + (event_id * 53 % 1000) / 10000.0 as lon, value as ele, ts, event_id % 90 + 60.0 as hr, case when event_id % 3 = 0 then value end as cad from events)"
 _STEPS = f"""(with p as (select *, lag(lat) over w as a, lag(lon) over w as o, (epoch_us(ts) - lag(epoch_us(ts)) over w) / 1e6 as dt from {_PTS} window w as (partition by track_id order by seq))
-  select *, coalesce(2 * 6371000.0 * asin(sqrt(least(pow(sin(radians(lat - a) / 2), 2) + cos(radians(a)) * cos(radians(lat)) * pow(sin(radians(lon - o) / 2), 2), 1.0))), 0) as step_m from p)"""
+  select *, case when a is null then 0.0 else (2 * 6371000.0 * asin(sqrt(least(pow(sin(radians(lat - a) / 2), 2) + cos(radians(a)) * cos(radians(lat)) * pow(sin(radians(lon - o) / 2), 2), 1.0)))) end as step_m from p)"""
 _SMP = "(select user_id as clip_id, row_number() over (partition by user_id order by ts, event_id) - 1 as idx, greatest(-1.0, least(1.0, value / 1000)) as v from events)"
 _PIX = "(select l_suppkey as image_id, l_partkey * 7 % 256 as r, l_orderkey * 5 % 256 as g, (l_linenumber * 31 + l_partkey) % 256 as b, l_orderkey as x, l_linenumber as y from lineitem)"
 _LUM = "2126e-4 * r + 7152e-4 * g + 722e-4 * b"

@@ -12,7 +12,7 @@ def write_findings_csv(findings: DataFrame, path: str) -> None:
     """Section, Group, Field, Value with every field quoted, "" for a quote and CRLF line ends; long texts are cut with a note."""
     v = F.when(F.length("value") > LONGEST, F.concat(F.substring("value", 1, LONGEST), F.format_string(" ... (%d characters in all)", F.length("value")))).otherwise(F.col("value"))
     out = findings.select(F.col("section").alias("Section"), F.col("grp").alias("Group"), F.col("field").alias("Field"), v.alias("Value"))
-    # the writer takes one-character line ends only: the return goes with the last field's quoting, so lines are built here
+    # the CSV writer takes one-character line ends only, so the lines are built here
     q = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
     lines = out.select(F.concat_ws(",", *(q(c) for c in out.columns)).alias("value"))
     head = findings.sparkSession.createDataFrame([(",".join(f'"{c}"' for c in out.columns),)], "value string")
@@ -23,7 +23,7 @@ def findings_json(findings: DataFrame) -> DataFrame:
     """(source, json): one document per source; a label seen twice becomes an array."""
     one = findings.groupBy("source", "section", "field").agg(F.array_sort(F.collect_list("value")).alias("v"))
     text = F.when(F.size("v") == 1, F.to_json(F.struct(F.get("v", F.lit(0)).alias("x")))).otherwise(F.to_json(F.struct(F.col("v").alias("x"))))
-    pair = F.concat(F.substring(F.to_json(F.create_map(F.col("field"), F.lit(0))), F.lit(2), F.length(F.to_json(F.create_map(F.col("field"), F.lit(0)))) - 3), F.substring(text, F.lit(5), F.length(text) - 5))
+    pair = F.concat(F.substring(F.to_json(F.create_map(F.col("field"), F.lit(0))), F.lit(2), F.length(F.to_json(F.create_map(F.col("field"), F.lit(0)))) - 3), F.substring(text, F.lit(6), F.length(text) - 6))
     sections = one.groupBy("source", "section").agg(F.array_join(F.array_sort(F.collect_list(pair)), ",").alias("f"))
     name = F.to_json(F.create_map(F.col("section"), F.lit(0)))
     s = F.concat(F.substring(name, F.lit(2), F.length(name) - 3), F.lit("{"), F.col("f"), F.lit("}"))
