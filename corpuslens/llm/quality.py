@@ -66,11 +66,11 @@ def _repeated(h: Column) -> Column:
     return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(_let(pairs, twins))
 
 
-def quality_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs plus one struct column `q` of counts and ratios over each whole text.
+def metrics(text: str = "text") -> Column:
+    """A struct of counts and ratios over a whole text.
 
     Null and empty texts count as having no words; every count is then 0. Windows are compared by 64-bit hash of
-    their three words. Existing columns keep their values; a column named q is replaced.
+    their three words.
     """
     t = F.coalesce(F.col(text), F.lit(""))
 
@@ -109,22 +109,26 @@ def quality_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
             ratio(q["l"]["ellipsis"], m).alias("ellipsis_ratio"),
         )
 
-    return docs.withColumn("q", _let(raw, all_of))
+    return _let(raw, all_of)
 
 
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """docs plus q (the metrics), failed (names of the rules that a row breaks) and kept (none broken).
 
-    One narrow projection: no shuffle and no Python. Rows are judged alone, so repeated rows get the same verdict.
-    Columns q, failed and kept of the input are replaced.
+    One narrow projection: no shuffle and no Python. The verdict is one expression that binds the metrics once, so a
+    filter on kept doesn't compute them again for each rule. Rows are judged alone, so repeated rows get the same
+    verdict. Columns q, failed and kept of the input are replaced.
     """
-    m = quality_metrics(docs, text)
-    tests = []
-    for r in rules:
-        c = F.col("q")[r.metric]
-        bad = [c < r.low] * (r.low is not None) + [c > r.high] * (r.high is not None)
-        tests += [F.when(b, F.lit(r.name)) for b in bad]
-    return m.withColumn("failed", F.array_compact(F.array(*tests))).withColumn("kept", F.size("failed") == 0)
+
+    def judged(q: Column) -> Column:
+        tests = []
+        for r in rules:
+            bad = [q[r.metric] < r.low] * (r.low is not None) + [q[r.metric] > r.high] * (r.high is not None)
+            tests += [F.when(b, F.lit(r.name)) for b in bad]
+        return F.struct(q.alias("q"), F.array_compact(F.array(*tests)).alias("failed"))
+
+    v = F.col("_v")
+    return docs.withColumn("_v", _let(metrics(text), judged)).withColumns({"q": v["q"], "failed": v["failed"], "kept": F.size(v["failed"]) == 0}).drop("_v")
 
 
 def op3(docs: DataFrame) -> DataFrame:
