@@ -23,7 +23,7 @@ LENGTH, K = 100, 32
 #: Bytes of text whose fingerprints share a bucket (about); bytes that are hashed in one go (positions take 24 bits);
 #: runs that a map task gathers before it hands them on; different runs of one anchor above which strings are dealt by
 #: their own hash instead of as a group.
-BUCKET_BYTES, CHUNK_BYTES, CHUNK_RUNS, HOT_RUNS = 8_000_000, 4 << 20, 400_000, 20_000
+BUCKET_BYTES, CHUNK_BYTES, CHUNK_RUNS, HOT_RUNS = 8_000_000, 1 << 20, 400_000, 20_000
 _P, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _LOW = -(2**63)
 _POS = np.uint64(24)
