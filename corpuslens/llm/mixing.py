@@ -75,16 +75,16 @@ def schedule(spark, plan: DataFrame, slots: int) -> DataFrame:
     return ranked.join(need, "sid").where("r < need").select("slot", "sid", "r").unionByName(late.select((F.lit(slots) + F.col("r")).alias("slot"), "sid", "r"))
 
 
-def _laid_out(rows: DataFrame) -> DataFrame:
-    """rows(sid, key, size, ...) plus at: words of the same source before it, in shuffled order; ranked in two steps."""
-    per = rows.groupBy("sid").agg(F.count("*").alias("docs"))
-    h = rows.withColumn("h", F.conv(F.substring(F.md5(F.concat_ws("/", F.col("key").cast("string"), "copy").cast("binary")), 1, 12), 16, 10).cast("long")).join(per, "sid")
-    h = h.withColumn("part", F.floor((F.col("h") / 2.0**48) * F.greatest(F.ceil(F.col("docs") / NEAR), F.lit(1))).cast("long"))
+def _laid_out(rows: DataFrame, total: int) -> DataFrame:
+    """rows(sid, key, size, ...) plus at: words of the same source before it, in shuffled order; ranked in two steps (within about total / NEAR stretches of the hash, then over their sums)."""
+    parts = max(1, -(-total // NEAR))
+    h = rows.withColumn("h", F.conv(F.substring(F.md5(F.concat_ws("/", F.col("key").cast("string"), "copy").cast("binary")), 1, 12), 16, 10).cast("long"))
+    h = h.withColumn("part", F.floor(F.col("h") / 2.0**48 * parts).cast("long"))
     inside = W.partitionBy("sid", "part").orderBy("h", "key", "copy").rowsBetween(W.unboundedPreceding, -1)
     h = h.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     sums = h.groupBy("sid", "part").agg(F.sum("size").alias("n"))
     sums = sums.withColumn("base", F.coalesce(F.sum("n").over(W.partitionBy("sid").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return h.join(sums.select("sid", "part", "base"), ["sid", "part"]).withColumn("at", F.col("at") + F.col("base")).drop("h", "part", "base", "docs")
+    return h.join(sums.select("sid", "part", "base"), ["sid", "part"]).withColumn("at", F.col("at") + F.col("base")).drop("h", "part", "base")
 
 
 def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, block: int = BLOCK) -> dict[str, DataFrame]:
@@ -104,7 +104,7 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     plan = materialize(_plan(targets, block), "mix-plan")
     slots = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
     ids = plan.select("sid", F.col("source").alias("s"), "source_size", "blocks", "rest", "words", "slots")
-    laid = _laid_out(sized.where("size > 0").join(ids.select("sid", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source"))
+    laid = _laid_out(sized.where("size > 0").join(ids.select("sid", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source"), sized.count())
     pieces = laid.select("sid", "key", "copy", "at", "size", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))).alias("block"))
     pieces = pieces.select("sid", "block", "key", "copy", F.greatest("at", F.col("block") * block).alias("a"), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block).alias("b"))
     # the last slot of a source may end within a block
@@ -143,10 +143,10 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     Rows of which less than half is read go, others are repeated up to three times. Columns stay those of docs.
     """
     n = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    plan = mix_sources(docs, **kw).where("size > 0").select("key", F.col("source").alias("_s"), "copy", n.alias("_n")).where("_n > 0")
+    plan = mix_sources(docs, **kw).where("size > 0").select(F.col("key").alias("_key"), F.col("source").alias("_s"), F.col("copy").alias("_copy"), n.alias("_n")).where("_n > 0")
     same = W.partitionBy("doc_id", "source", "_h").orderBy("doc_id")
     rows = docs.withColumn("_h", F.md5(F.col("text").cast("binary"))).withColumn("_c", F.concat_ws("-", "_h", F.row_number().over(same)))
-    on = F.col("doc_id").eqNullSafe(F.col("key")) & F.col("source").cast("string").eqNullSafe(F.col("_s")) & (F.col("_c") == F.col("copy"))
+    on = F.col("doc_id").eqNullSafe(F.col("_key")) & F.col("source").cast("string").eqNullSafe(F.col("_s")) & (F.col("_c") == F.col("_copy"))
     return rows.join(plan, on).withColumn("_k", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)
 
 
