@@ -9,7 +9,7 @@ Signatures. Two sets with Jaccard >= t, the smaller of size s, differ in at most
 dealt by hash to k > d segments, so at least k - d segments are equal in both. k follows from a size range, and a set
 takes part in its own range and in the next lower one, so that any two sets within the ratio t meet under one k.
 Segments of very few elements (shared by chance) are left out where at most k - d - 1 of a set's segments are so weak;
-what is left still holds an equal one.
+what is left still holds k - d - weak equal ones, and a set that shares fewer with all others together has no partner.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from corpuslens.operators.graph import connected_components
 from corpuslens.session import materialize
 
 #: Shingles of the sets that meet in one block, about: a larger candidate component is split into pairs of blocks.
-BLOCK_SHINGLES = 1 << 19
+BLOCK_SHINGLES = 1 << 20
 _KEEP = 500_000
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -91,18 +91,22 @@ def _segments(lo: int, hi: int, num: int, den: int) -> tuple[int, int, int]:
     for _ in range(8):
         mean = lo / k
         p = math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(weak + 1))
-        k = min(d + 1 + math.ceil(k * p + 2 * math.sqrt(k * p)), 2 * d + 2)
+        k = min(d + 3 + math.ceil(k * p + 2 * math.sqrt(k * p)), 2 * d + 4)
     return d, k, weak
 
 
-def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Segment signatures of one sorted shingle set; none where only an equal set can reach the threshold."""
+def signatures(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Segment signatures of one sorted shingle set; none where only an equal set can reach the threshold.
+
+    And for each what it takes: 2 * (how many of its size range a partner shares with this set at least) + (0 own range,
+    1 the next lower).
+    """
     n = len(s)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     b = _bounds(num, den, 1 << max(10, int(n).bit_length()))
     i = int(np.searchsorted(b, n, side="right")) - 1
-    out = []
+    out, needs = [], []
     spread = mix(s ^ _C)
     for j in (i, i - 1):
         if j < 0 or n > (b[j + 1] - 1) * den // num:
@@ -115,11 +119,13 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
         np.add.at(sums, seg, spread)
         filled = np.bincount(seg, minlength=k)
         keep = filled > weak
-        if k - int(keep.sum()) > k - d - 1:
-            keep[:] = True
+        need = int(keep.sum()) - d
+        if need < 1:  # all go out, and a partner may hold back its weak ones
+            keep[:], need = True, 1
         at = np.flatnonzero(keep)
+        needs.append(np.full(len(at), 2 * need + (j < i), np.int64))
         out.append(mix(sums[at] + mix(at.astype(np.uint64) + np.uint64(j << 32)) * _B).view(np.int64))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+    return (np.concatenate(out), np.concatenate(needs)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 class Lists:
@@ -222,8 +228,14 @@ def _links(left: list[tuple], right: list[tuple] | None, num: int, den: int):
     return [(x, root(x), links[x]) for x in parent]
 
 
-def shingle_sets(docs: DataFrame, n: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, digest, sigs) per row: set size, 128-bit digest of the set, segment signatures."""
+def _class_id(s: np.ndarray) -> tuple[int, int]:
+    """128-bit digest of a shingle set as two signed numbers; the first names its class."""
+    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n_shingles, node, check) per row of docs(doc_id, text as bytes): set size and the two halves of its digest."""
 
     def run(batches):
         import pyarrow as pa
@@ -233,15 +245,56 @@ def shingle_sets(docs: DataFrame, n: int, num: int, den: int, key: str = "doc_id
             for a in range(0, b.num_rows, 512):
                 part = b.slice(a, 512)
                 sets = [shingles(t.as_py(), n, hashes) for t in part.column(1)]
-                sigs = [signatures(s, num, den) for s in sets]
-                ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))],
-                    names=["doc_id", "n_shingles", "digest", "sigs"],
-                )
+                ids = [_class_id(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in ([len(s) for s in sets], [x[0] for x in ids], [x[1] for x in ids]))], names=["doc_id", "n_shingles", "node", "check"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, check long")
+
+
+def posted_signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(sig, node, need): segment signatures of each class, once a task however many copies it has there."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        hashes, seen = WordHashes(), set()
+        for b in batches:
+            for a in range(0, b.num_rows, 512):
+                nodes, sigs, needs = [], [], []
+                for t in b.slice(a, 512).column(1):
+                    s = shingles(t.as_py(), n, hashes)
+                    node = _class_id(s)[0]
+                    if len(s) and node not in seen:
+                        seen.add(node)
+                        x, need = signatures(s, num, den)
+                        sigs.append(x)
+                        needs.append(need)
+                        nodes.append(np.full(len(x), node, np.int64))
+                if nodes:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, nodes, needs)], names=["sig", "node", "need"])
+
+    return docs.mapInArrow(run, "sig long, node long, need long")
+
+
+def candidate_edges(posted: DataFrame, rounds: int = 2) -> DataFrame:
+    """(node, low): each class with the lowest one of every signature that it shares with others.
+
+    A class all of whose partners share m of its signatures has no partner when fewer than m of them are shared with
+    anyone. Such classes (a passage or two in common with others) are dropped, which takes no pairs; what is left is
+    looked at again, since the lists have become shorter.
+    """
+    by = W.partitionBy("sig").orderBy("node")
+    whole = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+
+    def shared(p: DataFrame) -> DataFrame:
+        p = p.withColumns({"low": F.first("node").over(whole), "high": F.last("node").over(whole), "_before": F.lag("node").over(by)})
+        return p.where("low <> high and (_before is null or _before <> node)").drop("high", "_before")
 
-    cols = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sigs array<long>")
+    live = materialize(shared(posted), "live")
+    for _ in range(rounds):
+        enough = live.groupBy("node", "need").agg(F.count("*").alias("n")).where("2 * n >= need - need % 2").select("node", "need")
+        live = materialize(shared(live.drop("low").join(enough, ["node", "need"])), "live")
+    return live.where("low <> node").select("node", "low").distinct()
 
 
 def _search_blocks(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -280,37 +333,36 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     Two rows link when den * |A & B| >= num * |A | B| for their sets of n-word shingles. component_id is the smallest
     doc_id reachable by links; n_links counts the rows linked directly, equal ones included. Rows without words have no
-    shingles and link with nothing; a row with a null doc_id is counted as a copy but names no component; rows that share
-    a doc_id are one node. Other columns are ignored.
+    shingles and link with nothing; a row with a null doc_id is counted as a copy but names no component and
+    finds no near copy. Doc ids should be unique: rows that share one are searched as one. Classes go by 64 bits of their
+    digest. Other columns are ignored.
 
-    Scale: one pass over the texts gives some signatures per ten shingles; equal sets collapse with map-side combine
-    before the signatures are dealt out. Only members of candidate components have their texts read again. A candidate
+    Scale: two passes over the texts, one for the digests and one for the signatures (some per ten shingles), of which
+    a task hands on those of equal sets once. Only members of candidate components have their texts read again. A candidate
     component of more than `block` shingles is split into pairs of blocks over many tasks, whose number grows with the
     square of its different texts (the links to count do, too).
     """
-    rows = materialize(shingle_sets(docs, n, num, den, key, text), "shingles")
-    classes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sigs").alias("sigs"))
-    classes = materialize(classes.where("node is not null"), "classes")
-    posted = classes.select("node", F.explode("sigs").alias("sig"))
-    first = F.first("node").over(W.partitionBy("sig").orderBy("node").rowsBetween(W.unboundedPreceding, 0))
-    near = posted.withColumn("low", first).where("low <> node").select("node", "low").distinct()
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    rows = materialize(shingle_sets(docs, n), "shingles")
+    classes = rows.where("n_shingles > 0").groupBy("node", "check").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"))
+    classes = materialize(classes, "classes")
+    near = candidate_edges(posted_signatures(docs, n, num, den))
     comps = connected_components(near, "node", "low")
-    members = comps.join(classes.select("node", "copies", "n"), "node")
+    members = comps.join(classes.where("rep is not null"), "node")
     # a component over the block size is dealt to blocks by a hash of the node; each pair of blocks is a group
     sizes = members.groupBy("component").agg(F.ceil(F.sum("n") / block).alias("nb"))
     members = members.join(sizes, "component").withColumn("me", F.pmod(F.xxhash64("node"), "nb"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1), lambda o: F.struct(F.least("me", o).alias("bi"), F.greatest("me", o).alias("bj"), F.when(F.col("me") <= o, 0).otherwise(1).alias("side")))
-    members = members.select(F.col("component").alias("comp"), "node", F.first("copies").over(W.partitionBy("node").orderBy("copies")).alias("copies"), F.explode(pairs).alias("p")).distinct()
-    members = members.select("comp", "node", "copies", "p.bi", "p.bj", "p.side")
-    texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).cast("binary").alias("text"))
-    found = materialize(_search_blocks(texts.join(members, "node"), n, num, den), "links")
+    members = members.select(F.col("component").alias("comp"), "node", "rep", "copies", F.explode(pairs).alias("p")).select("comp", "node", "rep", "copies", "p.bi", "p.bj", "p.side")
+    found = materialize(_search_blocks(docs.join(members, docs["doc_id"] == members["rep"]), n, num, den), "links")
     joined = connected_components(found.where("node <> root"), "node", "root")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = classes.select("digest", "node", "copies").join(joined, "node", "left").join(links, "node", "left")
-    named = named.select("digest", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = rows.drop("sigs").join(named, "digest", "left")
+    named = classes.join(joined, "node", "left").join(links, "node", "left")
+    named = materialize(named.select("node", "check", "rep", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "named")
+    lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    out = rows.join(named.join(lowest, "component").select("node", "check", "component_id", "links"), ["node", "check"], "left")
     empty = F.col("n_shingles") == 0
-    return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.when(empty, 0).otherwise(F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
+    return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, 0).otherwise(F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
 
 
 def near_duplicates_removed(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
