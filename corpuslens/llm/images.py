@@ -1,8 +1,9 @@
 """Local image descriptors: find copies of images that were cropped, scaled, turned or recoloured.
 
 Corners at several scales get an orientation (intensity centroid) and a 256-bit descriptor of binary tests turned by it.
-Descriptors meet in hash tables keyed by two of their 32-bit words at neighbouring corners; image pairs proposed there
-are verified by mutual nearest descriptors under one similarity transform. Verified pairs make components.
+Descriptors meet in hash tables keyed by one of their 32-bit words; every pair of images that shares a table entry is
+verified by mutual nearest descriptors under one similarity transform, unless it is joined already. Verified pairs make
+components.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from corpuslens.session import materialize
 SCALES, PATCH, TESTS = (1.0, 1.5, 2.25), 12, 256
 #: Most differing bits of matched descriptors; pixels that a match may be off; matches that agree on one transform.
 MAX_BITS, MAX_OFF, MIN_AGREE = 48, 4.0, 6
+#: Images of a bucket, or of a group of pairs, that one task holds against as many others.
+BLOCK = 256
 _rng = np.random.default_rng(7)
 _PAIRS = np.clip(_rng.normal(0, PATCH / 2.5, (TESTS, 4)), -PATCH + 1, PATCH - 1)
 _DISC = np.array([(y, x) for y in range(-7, 8) for x in range(-7, 8) if x * x + y * y <= 49])
@@ -79,25 +82,17 @@ def keypoints(pixels: np.ndarray) -> np.ndarray:
 
 
 def table_keys(k: np.ndarray) -> np.ndarray:
-    """Keys of the Hamming tables: each 32-bit word of a descriptor with the same word of the nearest corner of its scale."""
-    out = []
-    for scale in SCALES:
-        s = k[k["scale"] == np.float32(scale)]
-        if len(s) < 2:
-            continue
-        d = np.hypot(s["x"][:, None] - s["x"], s["y"][:, None] - s["y"])
-        np.fill_diagonal(d, np.inf)
-        words = np.ascontiguousarray(s["bits"]).view("<u4").astype(np.uint64)
-        both = words << np.uint64(32) | words[d.argmin(1)]
-        out.append((both * np.uint64(0x9E3779B97F4A7C15) ^ (both >> np.uint64(29))) + np.arange(words.shape[1], dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
-    return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
+    """Keys of the Hamming tables: each 32-bit word of a descriptor with its place, so matches need 32 equal bits of 256 in one word."""
+    words = np.ascontiguousarray(k["bits"]).view("<u4").astype(np.int64)
+    return np.unique(np.arange(words.shape[1], dtype=np.int64) << 32 | words)
 
 
 def agreeing(a: np.ndarray, b: np.ndarray) -> int:
     """Matches of two images' corners that agree on one similarity transform: the most over transforms that single matches give."""
     if not len(a) or not len(b):
         return 0
-    d = np.bitwise_count(a["bits"][:, None] ^ b["bits"][None]).sum(2, dtype=np.int32)
+    x, y = (np.ascontiguousarray(k["bits"]).view("<u8") for k in (a, b))
+    d = np.bitwise_count(x[:, None] ^ y[None]).sum(2, dtype=np.int32)
     j = d.argmin(1)
     i = np.flatnonzero((d.argmin(0)[j] == np.arange(len(a))) & (d[np.arange(len(a)), j] <= MAX_BITS))
     if len(i) < MIN_AGREE:
@@ -130,7 +125,7 @@ def features(images: DataFrame) -> DataFrame:
 
 
 def shared_entries(reps: DataFrame) -> DataFrame:
-    """(key, image_id): table entries of reps(image_id, points) whose bucket holds another image."""
+    """(key, image_id, n): table entries of reps(image_id, points) whose bucket holds another image, and the bucket's entries."""
 
     def run(batches):
         import pyarrow as pa
@@ -143,52 +138,80 @@ def shared_entries(reps: DataFrame) -> DataFrame:
 
     whole = W.partitionBy("key")
     e = reps.select("image_id", "points").mapInArrow(run, "key long, image_id long")
-    return e.withColumns({"lo": F.min("image_id").over(whole), "hi": F.max("image_id").over(whole)}).where("lo <> hi").select("key", "image_id")
+    return e.withColumns({"lo": F.min("image_id").over(whole), "hi": F.max("image_id").over(whole), "n": F.count("*").over(whole)}).where("lo <> hi").select("key", "image_id", "n")
 
 
-def _verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose corners agree."""
+def _verified(pairs: DataFrame, points: DataFrame, blocks: int) -> DataFrame:
+    """The pairs (a, b) whose corners agree.
 
-    def run(batches):
+    Images are dealt to blocks by their hash; each pair of blocks that has pairs is a group and gets its images' corners
+    once, so corners move with the pairs of blocks and not with each pair.
+    """
+
+    def run(left, right):
         import pyarrow as pa
 
-        for batch in batches:
-            out = [(a, b) for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)) if agreeing(np.frombuffer(x, KEYPOINT), np.frombuffer(y, KEYPOINT)) >= MIN_AGREE]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+        held = {i: np.frombuffer(p, KEYPOINT) for i, p in zip(right.column("image_id").to_pylist(), right.column("points").to_pylist())}
+        out = [(a, b) for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()) if agreeing(held[a], held[b]) >= MIN_AGREE]
+        return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    dealt = pairs.select("a", "b", F.least(block("a"), block("b")).alias("bi"), F.greatest(block("a"), block("b")).alias("bj"))
+    groups = dealt.select("bi", "bj").distinct()
+    of = groups.select("bi", "bj", F.explode(F.array_distinct(F.array("bi", "bj"))).alias("block"))
+    corners = of.join(points.select("image_id", "points", block("image_id").alias("block")), "block").select(F.col("bi").alias("ci"), F.col("bj").alias("cj"), "image_id", "points")
+    return dealt.groupBy("bi", "bj").cogroup(corners.groupBy("ci", "cj")).applyInArrow(run, "a long, b long")
 
-    both = pairs.join(points.select(F.col("image_id").alias("a"), F.col("points").alias("x")), "a").join(points.select(F.col("image_id").alias("b"), F.col("points").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
+def _neighbours(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Pairs (a, b): in every bucket each image with the one before it and the first, one image for each component."""
+    e = entries.select("key", "image_id")
+    if comp is not None:
+        e = e.join(comp, e["image_id"] == comp["node"], "left").groupBy("key", F.coalesce("component", "image_id").alias("c")).agg(F.min("image_id").alias("image_id"))
+    w = W.partitionBy("key").orderBy("image_id")
+    near = e.select("image_id", F.array(F.lag("image_id").over(w), F.first("image_id").over(w.rowsBetween(W.unboundedPreceding, 0))).alias("o"))
+    return near.select(F.explode("o").alias("a"), F.col("image_id").alias("b")).where("a < b").distinct()
 
-def image_copies(images: DataFrame, max_rounds: int = 8) -> DataFrame:
+
+def _all_pairs(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) of images that share a bucket and aren't joined yet; large buckets are split into pairs of blocks."""
+    e = entries.withColumn("c", F.col("image_id")) if comp is None else entries.join(comp, entries["image_id"] == comp["node"], "left").select("key", "image_id", "n", F.coalesce("component", "image_id").alias("c"))
+    e = e.withColumn("nb", F.ceil(F.col("n") / BLOCK)).withColumn("me", F.pmod(F.xxhash64("image_id"), "nb"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
+    x = e.select("key", F.col("image_id").alias("a"), F.col("c").alias("ca"), F.col("me").alias("bi"), other.alias("bj"))
+    y = e.select("key", F.col("image_id").alias("b"), F.col("c").alias("cb"), other.alias("bi"), F.col("me").alias("bj"))
+    return x.join(y, ["key", "bi", "bj"]).where("a < b and ca <> cb").select("a", "b").distinct()
+
+
+def image_copies(images: DataFrame) -> DataFrame:
     """(image_id, n_keypoints, component_id) per row of images(image_id, width, height, pixels in grey bytes).
 
-    component_id is the smallest image_id reachable over verified pairs; identical pixels are one class from the start.
-    In every table bucket each image is held against the one before it and the first (ids ascending), one image for each
-    component found so far, round by round until no new pair comes up: the pairs grow with the entries, never with
-    their square. Images without corners match their identical copies only; null pixels match nothing.
+    component_id is the smallest image_id reachable over verified pairs of images that share a table entry; identical
+    pixels are one class from the start. First every table bucket pairs neighbours and its first image, one image for each
+    component found so far, round by round until no new pair agrees: large groups of copies are joined by few tests. Then all
+    pairs of a bucket that aren't joined are tested, which grows with the square of the different images that share a
+    corner. Images without corners match their identical copies only; null pixels match nothing.
     """
     f = materialize(features(images), "image-features")
     classes = f.where("digest is not null").groupBy("digest").agg(F.min("image_id").alias("rep"))
     reps = f.join(classes.where("rep is not null"), "digest").where("image_id = rep").dropDuplicates(["image_id"])
-    reps = reps.select("image_id", "points")
+    reps = materialize(reps.select("image_id", "points"), "image-classes")
+    blocks = max(1, -(-reps.count() // BLOCK))
     entries = materialize(shared_entries(reps), "image-tables")
     tested = found = comp = None
-    for _ in range(max_rounds):
-        e = entries if comp is None else entries.join(comp, entries["image_id"] == comp["node"], "left").select("key", F.coalesce("component", "image_id").alias("image_id"), F.col("image_id").alias("of"))
-        if comp is not None:
-            e = e.groupBy("key", "image_id").agg(F.min("of").alias("image_id_")).select("key", F.col("image_id_").alias("image_id"))
-        w = W.partitionBy("key").orderBy("image_id")
-        near = e.select("image_id", F.array(F.lag("image_id").over(w), F.first("image_id").over(w.rowsBetween(W.unboundedPreceding, 0))).alias("o"))
-        pairs = near.select(F.explode("o").alias("a"), F.col("image_id").alias("b")).where("a < b").groupBy("a", "b").count().where("count >= 2").select("a", "b")
+    rest = False
+    while True:
+        pairs = (_all_pairs if rest else _neighbours)(entries, comp)
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "image-pairs")
-        if pairs.isEmpty():
-            break
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new = materialize(_verified(pairs, reps), "image-links")
-        found = new if found is None else found.unionByName(new)
-        comp = connected_components(found, "a", "b")
+        new = materialize(_verified(pairs, reps, blocks), "image-links")
+        more = not new.isEmpty()
+        if more:
+            found = new if found is None else found.unionByName(new)
+            comp = connected_components(found, "a", "b")
+        if rest:
+            break
+        rest = not more
     named = classes if comp is None else classes.join(comp, classes["rep"] == comp["node"], "left")
     named = named.select("digest", F.col("rep").alias("component") if comp is None else F.coalesce("component", "rep").alias("component"))
     return f.join(named, "digest", "left").select("image_id", "n_keypoints", F.coalesce("component", "image_id").alias("component_id"))

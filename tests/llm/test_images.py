@@ -36,3 +36,40 @@ def test_drawn_vectors(spark):
     got = {r.image_id: r.component_id for r in images.op8(v).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
     assert images.op8(v.limit(0)).count() == 0
+
+
+def test_components_are_those_of_all_pairs_of_a_bucket(spark, monkeypatch):
+    """Against brute force over every pair that shares an entry, in one corner's bucket of many and in several blocks."""
+    monkeypatch.setattr(images, "BLOCK", 4)
+    rows, points = [], {}
+    for k in range(24):  # a third shares a corner; copies of it stand far apart, with other images between them
+        a = picture(k % 12)
+        a = images._resized(a, 1.8) if k >= 12 else a
+        if k % 3 == 0:
+            a[:40, :40], a[8:30, 8:30] = 90, 200
+        a = np.ascontiguousarray(a).astype(np.uint8)
+        points[k] = images.keypoints(a)
+        rows.append((k, a.shape[1], a.shape[0], a.tobytes(), 0))
+    brute = {k: k for k in points}
+    for _ in points:
+        for x in points:
+            for y in points:
+                if brute[x] != brute[y] and images.agreeing(points[min(x, y)], points[max(x, y)]) >= images.MIN_AGREE:
+                    brute[x] = brute[y] = min(brute[x], brute[y])
+    got = {r.image_id: r.component_id for r in images.image_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute and len(set(got.values())) < 20
+
+
+def test_pairs_of_unrelated_neighbours_do_not_hide_a_copy(spark):
+    e = spark.createDataFrame([(k, i, 4) for k in (1, 2) for i in (1, 2, 3, 4)], "key long, image_id long, n long")
+    assert {tuple(r) for r in images._all_pairs(e, None).collect()} == {(a, b) for a in range(1, 5) for b in range(a + 1, 5)}
+
+
+def test_tables_reach_edited_copies(spark):
+    """Recall of the tables against brute force: pairs that the verifier accepts share an entry."""
+    for k in range(12):
+        a = picture(k)
+        x = images.keypoints(a.astype(np.uint8))
+        for b in (a[30:, 25:], images._resized(a, 1.25), images._resized(a, 1.8), a + np.random.default_rng(k).normal(0, 15, a.shape)):
+            y = images.keypoints(np.ascontiguousarray(np.clip(b, 0, 255)).astype(np.uint8))
+            assert images.agreeing(x, y) < images.MIN_AGREE or len(np.intersect1d(images.table_keys(x), images.table_keys(y)))
