@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from corpuslens.llm.shingle_join import WordHashes, mix
 from corpuslens.session import materialize
 
-BASE, BITS, HASHES, MIN_BIGRAM = 2.0, 10, 6, 2
+BASE, BITS, HASHES = 1.5, 12, 8
 #: Weight of the word distribution in P(w | v) = (c(v w) + MU P(w)) / (c(v) + MU).
 MU = 200.0
 MODULUS, HELD_OUT = 7, 2
@@ -64,7 +64,8 @@ def levels(counts: np.ndarray) -> np.ndarray:
 @lru_cache(maxsize=None)
 def level_counts() -> np.ndarray:
     """The count that a level stands for: the middle of its range; 0 for level 0."""
-    return np.r_[0.0, [(BASE**q + BASE ** (q + 1) - 1) / 2 if q > 3 else math.ceil(BASE**q) for q in range(0, 120)]]
+    low = np.ceil(BASE ** np.arange(121.0) - 1e-9)
+    return np.r_[0.0, (low[:-1] + low[1:] - 1) / 2]
 
 
 def build_segment(h: np.ndarray, counts: np.ndarray) -> bytes:
@@ -128,7 +129,7 @@ def _batches(batches, most: int):
 def count_ngrams(docs: DataFrame, buckets: int) -> DataFrame:
     """(kind, bucket, total, types, hashes, counts, segment) over the training texts of docs(doc_id, text as bytes).
 
-    kind 1: words, all kept; kind 2: pairs seen MIN_BIGRAM times or more. Map tasks sum within chunks and hand on packed
+    kind 1: words; kind 2: pairs; all of both are in the segments, those seen once too. Map tasks sum within chunks and hand on packed
     arrays, one a bucket; no text or n-gram travels as a row of its own, and a frequent n-gram counts once a chunk.
     """
 
@@ -172,8 +173,6 @@ def count_ngrams(docs: DataFrame, buckets: int) -> DataFrame:
             c = np.bincount(at, weights=c, minlength=len(h)).astype(np.int64)
             kind, bucket = divmod(key, buckets)
             total, types = int(c.sum()), len(h)
-            if kind == 2:
-                h, c = h[c >= MIN_BIGRAM], c[c >= MIN_BIGRAM]
             return pa.RecordBatch.from_pylist([dict(kind=kind, bucket=bucket, total=total, types=types, hashes=h.tobytes(), counts=c.tobytes(), segment=build_segment(h, c))], schema=schema)
 
         schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("total", pa.int64()), ("types", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()), ("segment", pa.binary())])

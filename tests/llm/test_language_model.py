@@ -56,3 +56,19 @@ def test_nothing_and_null_ids(spark, no_docs):
     assert lm.op7(no_docs).count() == 0
     r = lm.op7(spark.createDataFrame([(None, None)], "doc_id long, text string")).first()
     assert (r.held_out, r.n_tokens, r.train_tokens) == (False, 1, 1)
+
+
+def test_levels_stand_for_the_middle_of_their_range():
+    c = np.arange(1, 5000)
+    q = lm.levels(c)
+    for level in np.unique(q)[:-1]:
+        assert lm.level_counts()[level] == (c[q == level].min() + c[q == level].max()) / 2
+
+
+def test_pairs_seen_once_are_in_the_model(spark):
+    """A text of pairs that training saw once scores better than one of the same words in an order that it never saw."""
+    held = [i for i in range(100) if lm.held_out(i)][:2]
+    words = [f"w{k}" for k in range(200)]
+    docs = [(next(i for i in range(100) if not lm.held_out(i)), " ".join(words)), (held[0], " ".join(words)), (held[1], " ".join(reversed(words)))]
+    got = {r.doc_id: r.score for r in lm.score_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[held[0]] > got[held[1]] + 0.1
