@@ -3,7 +3,8 @@
 Counts are quantised to levels q = 1 + floor(log_BASE(count)) and an n-gram is inserted once for each level up to its
 own; a count comes back by probing level after level until one is missing (Talbot and Osborne 2007). The filter is built
 in segments by the tasks that count, and its size follows the number of different n-grams. It is broadcast where it
-stays under a stated size, as is the table of exact word counts; beyond that size scoring joins the count tables instead.
+stays under a stated size, as is the table of exact word counts; beyond that size the n-grams to look up are sent to
+their bucket and probed in its segment there. Both give the same scores.
 """
 
 from __future__ import annotations
@@ -194,6 +195,21 @@ def count_ngrams(docs: DataFrame, buckets: int) -> DataFrame:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def _scores(ids: list, h: np.ndarray, start: np.ndarray, c: np.ndarray, about: np.ndarray, pair: np.ndarray, end: float, n: int, v: int):
+    """Score rows of texts from each token's exact count, its quantised count and that of its pair; end: that of END."""
+    import pyarrow as pa
+
+    context = np.r_[0.0, about[:-1]]
+    context[start] = end
+    p = smoothed(pair, context, about, n, v)
+    base = np.log10((c + 1) / (n + v + 1))
+    sums = lambda x: np.add.reduceat(x, start)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array(np.diff(np.r_[start, len(h)])), pa.array(sums((c > 0).astype(np.int64))), pa.array([n] * len(ids), pa.int64()), pa.array(sums(base)), pa.array(sums(p))],
+        names=[x.split()[0] for x in SCORES.split(", ")],
+    )
+
+
 def _by_broadcast(docs: DataFrame, model: DataFrame, buckets: int, n: int, v: int) -> DataFrame:
     """Scores with the filter and the word counts on every worker; both are under the checked size."""
     sc = docs.sparkSession.sparkContext
@@ -210,8 +226,6 @@ def _by_broadcast(docs: DataFrame, model: DataFrame, buckets: int, n: int, v: in
     table = sc.broadcast((h[order], np.concatenate([np.zeros(0, np.int64), *(w[1] for w in words)])[order]))
 
     def score(batches):
-        import pyarrow as pa
-
         hashes, (one, two), (known, times) = WordHashes(), filters.value, table.value
         for ids, texts in _batches(batches, 512):
             h, start = tokens(texts, hashes)
@@ -220,62 +234,114 @@ def _by_broadcast(docs: DataFrame, model: DataFrame, buckets: int, n: int, v: in
             place[place == len(known)] = 0
             c = np.where(known[place] == kinds, times[place], 0)[at] if len(known) else np.zeros(len(h), np.int64)
             about = one.probe(kinds)[at]
-            before, both = pairs(h, start)
-            context = np.r_[0.0, about[:-1]]
-            context[start] = one.probe(np.array([END]))[0]
-            p = smoothed(two.probe(both), context, about, n, v)
-            base = np.log10((c + 1) / (n + v + 1))
-            sums = lambda x, s=start: np.add.reduceat(x, s)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array(np.diff(np.r_[start, len(h)])), pa.array(sums((c > 0).astype(np.int64))), pa.array([n] * len(ids), pa.int64()), pa.array(sums(base)), pa.array(sums(p))],
-                names=[x.split()[0] for x in SCORES.split(", ")],
-            )
+            yield _scores(ids, h, start, c, about, two.probe(pairs(h, start)[1]), one.probe(np.array([END]))[0], n, v)
 
     return docs.mapInArrow(score, SCORES)
 
 
-def _by_join(docs: DataFrame, model: DataFrame, n: int, v: int) -> DataFrame:
-    """Scores by joins with the count tables, for models over the broadcast size; the same formula with exact lookups.
+def _by_buckets(docs: DataFrame, model: DataFrame, buckets: int, n: int, v: int) -> DataFrame:
+    """Scores for models over the broadcast size: the same probes, made where the segments are.
 
-    Rows are (document, pair, times), summed per document before they move; adaptive execution may split the joins at
-    frequent words.
+    Chunks of texts are kept as token hashes. A chunk sends each of its different n-grams once to the n-gram's bucket, packed
+    as one array a bucket; the bucket's task probes its segment and sends the answers back to the chunk. A task holds one
+    segment with one array, or one chunk with its answers.
     """
+    import pyarrow as pa
 
-    def terms(batches):
-        import pyarrow as pa
+    kept = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("h", pa.binary()), ("start", pa.binary())])
+    asked = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()), ("segment", pa.binary())])
+    told = pa.schema([("chunk", pa.int64()), ("key", pa.int64()), ("ids", pa.list_(pa.int64())), ("h", pa.binary()), ("start", pa.binary()), ("exact", pa.binary()), ("about", pa.binary())])
+
+    def ddl(schema) -> str:
+        kinds = {pa.int64(): "long", pa.binary(): "binary"}
+        return ", ".join(f"{f.name} {kinds.get(f.type, 'array<long>')}" for f in schema)
+
+    def chunks(batches):
         from pyspark import TaskContext
 
-        hashes, row, part = WordHashes(), 0, TaskContext.get().partitionId()
+        hashes, part, row = WordHashes(), TaskContext.get().partitionId(), 0
+
+        def flush(held):
+            start = np.concatenate([s + a for s, a in zip((x[2] for x in held), np.cumsum([0, *(len(x[1]) for x in held)]))])
+            return pa.RecordBatch.from_pylist([dict(chunk=part << 32 | row, ids=[i for x in held for i in x[0]], h=np.concatenate([x[1] for x in held]).tobytes(), start=start.tobytes())], schema=kept)
+
+        held, size = [], 0
         for ids, texts in _batches(batches, 512):
             h, start = tokens(texts, hashes)
-            before, both = pairs(h, start)
-            ends = np.r_[start[1:], len(h)]
-            for i, a, z in zip(ids, start, ends):
-                _, first, times = np.unique(both[a:z], return_index=True, return_counts=True)
-                k = len(first)
-                yield pa.RecordBatch.from_arrays([pa.array([part << 40 | row] * k, pa.int64()), pa.array([i] * k, pa.int64()), *(pa.array(x[a:z][first].view(np.int64)) for x in (h, before, both)), pa.array(times)], names=["row", "doc_id", "w", "v", "vw", "times"])
-                row += 1
-
-    def unpack(batches):
-        import pyarrow as pa
+            if len(h):
+                held.append((ids, h, start))
+                size += len(h)
+            if size >= CHUNK_TOKENS:
+                yield flush(held)
+                held, size, row = [], 0, row + 1
+        if held:
+            yield flush(held)
+
+    def dealt(h, start):
+        """By kind: the different n-grams in the order of their buckets, where each bucket starts, and each token's place."""
+        for kind, x in ((1, h), (2, pairs(h, start)[1])):
+            x, at = np.unique(x, return_inverse=True)
+            b = bucket_of(x, buckets)
+            order = np.argsort(b, kind="stable")
+            place = np.empty(len(x), np.int64)
+            place[order] = np.arange(len(x))
+            yield kind, x[order], np.searchsorted(b[order], np.arange(buckets + 1)), place[at]
+
+    def ask(batches):
+        for batch in batches:
+            for chunk, _, h, start in zip(*(batch.column(i) for i in range(4))):
+                for kind, x, cut, _ in dealt(np.frombuffer(h.as_py(), np.uint64), np.frombuffer(start.as_py(), np.int64)):
+                    some = np.flatnonzero(cut[1:] > cut[:-1])
+                    k = len(some)
+                    yield pa.RecordBatch.from_arrays([pa.array(kind * buckets + some), pa.array([chunk.as_py()] * k, pa.int64()), pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], schema=asked)
+
+    def answer(batches):
+        held = part = known = times = None
+        for batch in batches:
+            for key, chunk, x, c, segment in zip(*(batch.column(i) for i in range(5))):
+                if chunk.as_py() is None:  # the bucket's segment comes before its questions
+                    held, part = key.as_py(), Filter([segment.as_py()])
+                    known, times = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(c.as_py(), np.int64)
+                    continue
+                x = np.frombuffer(x.as_py(), np.uint64)
+                exact, about = np.zeros(len(x), np.int64), np.zeros(len(x))
+                if key.as_py() == held:
+                    about = part.probe(x)
+                    if key.as_py() < 2 * buckets and len(known):
+                        at = np.searchsorted(known, x)
+                        at[at == len(known)] = 0
+                        exact = np.where(known[at] == x, times[at], 0)
+                yield pa.RecordBatch.from_pylist([dict(chunk=chunk.as_py(), key=key.as_py(), exact=exact.tobytes(), about=about.tobytes())], schema=told)
 
-        for b in batches:
-            for kind, h, c in zip(*(b.column(i).to_pylist() for i in range(3))):
-                c = np.frombuffer(c, np.int64)
-                about = level_counts()[levels(c)] if len(c) else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(c), pa.int32()), pa.array(np.frombuffer(h, np.int64)), pa.array(c), pa.array(about)], names=["kind", "h", "c", "about"])
-
-    counts = materialize(model.select("kind", "hashes", "counts").mapInArrow(unpack, "kind int, h long, c long, about double"), "ngrams")
-    one, two = counts.where("kind = 1"), counts.where("kind = 2")
-    t = docs.mapInArrow(terms, "row long, doc_id long, w long, v long, vw long, times long")
-    t = t.join(one.select(F.col("h").alias("w"), "c", F.col("about").alias("cw")), "w", "left")
-    t = t.join(one.select(F.col("h").alias("v"), F.col("about").alias("cv")), "v", "left")
-    t = t.join(two.select(F.col("h").alias("vw"), F.col("about").alias("cvw")), "vw", "left")
-    c, cw, cv, cvw = (F.coalesce(x, F.lit(0)) for x in ("c", "cw", "cv", "cvw"))
-    p = F.least((F.least(cvw, cv) + MU * (cw + 1) / F.lit(float(n + v + 1))) / (cv + MU), F.lit(1.0))
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % MODULUS == HELD_OUT, F.lit(False))
-    sums = t.groupBy("row", "doc_id").agg(F.sum("times").alias("n_tokens"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"), F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(n + v + 1)))).alias("base_score"), F.sum(F.col("times") * F.log10(p)).alias("score"))
-    return sums.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    def score(batches):
+        ids = h = start = one = two = None
+        left = 0
+        for batch in batches:
+            for r in range(batch.num_rows):
+                chunk, key, i, x, s, exact, about = (batch.column(c)[r].as_py() for c in range(7))
+                if i is not None:  # the chunk comes before its answers
+                    ids, h, start = i, np.frombuffer(x, np.uint64), np.frombuffer(s, np.int64)
+                    one, two = dealt(h, start)
+                    c, a, p = np.zeros(len(one[1]), np.int64), np.zeros(len(one[1])), np.zeros(len(two[1]))
+                    left = len(one[1]) + len(two[1])
+                    continue
+                kind, bucket = divmod(key, buckets)
+                cut = (one if kind == 1 else two)[2]
+                (a if kind == 1 else p)[cut[bucket] : cut[bucket + 1]] = np.frombuffer(about)
+                if kind == 1:
+                    c[cut[bucket] : cut[bucket + 1]] = np.frombuffer(exact, np.int64)
+                left -= int(cut[bucket + 1] - cut[bucket])
+                if not left:
+                    a_token = a[one[3]]
+                    yield _scores(ids, h, start, c[one[3]], a_token, p[two[3]], a_token[start[1] - 1 if len(start) > 1 else -1], n, v)
+
+    held = materialize(docs.mapInArrow(chunks, ddl(kept)), "chunks")
+    segments = model.select((F.col("kind").cast("long") * buckets + F.col("bucket")).alias("key"), F.lit(None).cast("long").alias("chunk"), "hashes", "counts", "segment")
+    asks = segments.unionByName(held.mapInArrow(ask, ddl(asked))).repartition(2 * buckets, "key").sortWithinPartitions("key", F.col("chunk").asc_nulls_first())
+    answers = asks.mapInArrow(answer, ddl(told))
+    null = lambda t: F.lit(None).cast(t)
+    questions = held.select("chunk", null("long").alias("key"), "ids", "h", "start", null("binary").alias("exact"), null("binary").alias("about"))
+    return questions.unionByName(answers).repartition(2 * buckets, "chunk").sortWithinPartitions("chunk", F.col("key").asc_nulls_first()).mapInArrow(score, SCORES)
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -291,7 +357,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", max_br
     model = materialize(count_ngrams(docs, buckets), "ngram-counts")
     n, v, size = model.agg(F.sum(F.when(F.col("kind") == 1, F.col("total"))), F.sum(F.when(F.col("kind") == 1, F.col("types"))), F.sum(F.length("segment") + F.when(F.col("kind") == 1, F.col("types") * 16).otherwise(0))).first()
     n, v = n or 0, v or 0
-    return _by_broadcast(docs, model, buckets, n, v) if (size or 0) <= max_broadcast else _by_join(docs, model, n, v)
+    return _by_broadcast(docs, model, buckets, n, v) if (size or 0) <= max_broadcast else _by_buckets(docs, model, buckets, n, v)
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -72,3 +72,13 @@ def test_pairs_seen_once_are_in_the_model(spark):
     docs = [(next(i for i in range(100) if not lm.held_out(i)), " ".join(words)), (held[0], " ".join(words)), (held[1], " ".join(reversed(words)))]
     got = {r.doc_id: r.score for r in lm.score_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got[held[0]] > got[held[1]] + 0.1
+
+
+def test_scores_do_not_depend_on_the_size_switch(docs, monkeypatch):
+    """The same filter is probed on both sides, false positives included; chunks of few tokens as well."""
+    want = sorted(map(tuple, lm.score_texts(docs).collect()))
+    for size in (lm.CHUNK_TOKENS, 50):
+        monkeypatch.setattr(lm, "CHUNK_TOKENS", size)
+        got = sorted(map(tuple, lm.score_texts(docs, max_broadcast=0).collect()))
+        assert [r[:5] for r in got] == [r[:5] for r in want]
+        assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-12, atol=0)
