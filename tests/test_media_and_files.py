@@ -1,10 +1,12 @@
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.operators import classify, geometry, graph, inventory, pixels, search, signal, similarity, textstats, tracks
+from corpuslens.plans import media
 from corpuslens.sources import extend, readers, sinks
 
 
@@ -198,3 +200,28 @@ def test_results_do_not_depend_on_partitions(spark, sf, n):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = sorted(map(tuple, textstats.character_entropy(docs, "source", "lang").select("source", F.round("entropy", 9)).collect()))
     assert want == sorted(map(tuple, textstats.character_entropy(docs.repartition(n), "source", "lang").select("source", F.round("entropy", 9)).collect()))
+
+
+def _bodies(links):
+    """Components by brute force: sets that share a member are merged until none do."""
+    sets = []
+    for link in map(set, links):
+        sets = [x for x in sets if not x & link] + [link.union(*(x for x in sets if x & link))]
+    return sets
+
+
+def test_bodies_by_brute_force(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(50)]
+    got = geometry.graph_bodies(spark.createDataFrame(edges, "l long, r long"), "l", "r").collect()
+    assert sorted(map(tuple, got)) == sorted((min(b), len(b)) for b in _bodies((x, -y - 1) for x, y in edges))
+    tri = [("m", i, *(float(v) for _ in range(3) for v in (rng.randrange(4), rng.randrange(4), 0))) for i in range(12)]
+    got = geometry.mesh_bodies(spark.createDataFrame(tri, "mesh_id string, tri long, " + ", ".join(f"{p}{q} double" for p in "abc" for q in "xyz"))).collect()
+    want = _bodies([("t", r[1]), *(r[k : k + 3] for k in (2, 5, 8))] for r in tri)
+    assert sorted(r.triangles for r in got) == sorted(sum(x[0] == "t" for x in b) for b in want)
+
+
+def test_graph_query_takes_all_edges(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    nodes = li.select("l_suppkey").distinct().count() + li.select("l_partkey").distinct().count()
+    assert sum(r.nodes for r in media.QUERIES["g18_graph_bodies"](spark, sf).collect()) == nodes
