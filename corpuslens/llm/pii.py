@@ -166,6 +166,32 @@ _NUMBER = re.compile(
 )
 _NUMBERS = {"iban": _iban, "date": _date, "ssn": _ssn, "ipv4": _ipv4, "card": _card, "phone": _phone}
 _DIGIT = re.compile(r"[0-9]")
+_GROUP = re.compile(r"\w+|\W")
+
+
+def _cards_in(s: str, key: bytes) -> tuple[str, str] | None:
+    """The longest run of whole digit groups at the start of s, shorter than s, that is a valid card; and its pseudonym."""
+    for m in reversed(list(re.finditer("[ -]", s))):
+        new = _card(s[: m.start()], key)
+        if new is not None:
+            return s[: m.start()], new
+    return None
+
+
+def _numbers(t: str, key: bytes, put) -> str:
+    """t with its numbers replaced. Behind a match that fails its check the search goes on at its second group of digits."""
+    out, done, at = [], 0, 0
+    while m := _NUMBER.search(t, at):
+        kind, old = m.lastgroup, m[0]
+        new = _NUMBERS[kind](old, key)
+        if new is None and kind == "card" and (found := _cards_in(old, key)):
+            old, new = found
+        if new is None:
+            at = _GROUP.match(t, m.start()).end()
+            continue
+        out += [t[done : m.start()], put(kind, old, new)]
+        done = at = m.start() + len(old)
+    return "".join([*out, t[done:]])
 
 
 def pseudonymize_text(t: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
@@ -180,10 +206,10 @@ def pseudonymize_text(t: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
 
     if "@" in t:
         t = _EMAIL.sub(lambda m: put("email", m[0], _email(m[0], key)), t)
+    if "=" in t or ":" in t:
+        t = _SECRET.sub(lambda m: m[1] + put("secret", m[2], _secret(m[2], key)), t)
     if _DIGIT.search(t):
-        if "=" in t or ":" in t:
-            t = _SECRET.sub(lambda m: m[1] + put("secret", m[2], _secret(m[2], key)), t)
-        t = _NUMBER.sub(lambda m: put(m.lastgroup, m[0], _NUMBERS[m.lastgroup](m[0], key)), t)
+        t = _numbers(t, key, put)
     return t, n
 
 

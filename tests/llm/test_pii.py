@@ -42,3 +42,15 @@ def test_whole_table(docs, texts, no_docs):
 
 def test_other_keys_give_other_pseudonyms():
     assert pii.pseudonymize_text("10.1.2.3", b"a") != pii.pseudonymize_text("10.1.2.3", b"b")
+
+
+def test_secrets_need_no_digit_elsewhere():
+    new, n = pii.pseudonymize_text("password: abcdefghijklmnopqrst")
+    assert n == {"secret": 1} and "abcdefghijklmnopqrst" not in new and len(new) == 30
+
+
+def test_cards_beside_other_digits():
+    for t in ("4111 1111 1111 1111 12/25", "12 4111111111111111", "7 4111-1111-1111-1111 12", "AB12 4111 1111 1111 1111", "4111 1111 1111 1111 2021-02-28"):
+        new, n = pii.pseudonymize_text(t)
+        assert n["card"] == 1 and "1111 1111" not in new and "11111111" not in new and "1111-1111" not in new
+        assert len(new) == len(t) and ("2021" not in t or n["date"] == 1)
