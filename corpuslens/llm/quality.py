@@ -20,6 +20,7 @@ STOP_WORDS = (
 ).split()
 
 _STOPS = sorted(set(STOP_WORDS))
+_LONGEST = max(map(len, _STOPS))
 
 
 class Rule(NamedTuple):
@@ -80,7 +81,7 @@ def metrics(text: str = "text") -> Column:
         return F.struct(
             n.alias("n"),
             F.when(n < 4, 0).otherwise(_let(hashes, _repeated)).alias("repeat"),
-            F.size(F.filter(w, lambda x: (F.length(x) < 5) & F.lower(x).isin(_STOPS))).alias("stop"),
+            F.size(F.filter(w, lambda x: (F.length(x) <= _LONGEST) & F.lower(x).isin(_STOPS))).alias("stop"),
         )
 
     def lines(ls: Column) -> Column:

@@ -45,3 +45,8 @@ def test_empty_table(no_docs):
 def test_no_user_function_in_the_plan(docs):
     plan = quality.op3(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_longest_stop_words_count(spark):
+    df = spark.createDataFrame([(1, " ".join(quality.STOP_WORDS) + " Nicht nichts")], "doc_id long, text string")
+    assert quality.quality_rules(df).first().q.n_stop_words == len(quality.STOP_WORDS) + 1
