@@ -366,9 +366,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
 
 def near_duplicates_removed(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without all but one document of each component: the one with the smallest doc_id (one row of it)."""
-    keep = jaccard_components(docs, n, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("_n = 1").drop("_n")
+    """docs without all but one document of each component: the one with the smallest doc_id (one row of it).
+
+    Rows go by doc_id and text together, so a null doc_id (last in order) and texts that share a doc_id are searched and
+    kept like others. Rows with the same doc_id and text are one document.
+    """
+    keyed = docs.withColumn("_k", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    comps = jaccard_components(keyed, n, num, den, key="_k").select(F.col("doc_id").alias("_k"), "component_id")
+    ids = keyed.select("_k", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_k").alias("o"))
+    keep = ids.join(comps.distinct(), "_k").groupBy("component_id").agg(F.min("o").alias("o")).select(F.col("o._k").alias("_k"))
+    order = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    kept = keyed.join(keep, "_k", "left_semi").withColumn("_n", F.row_number().over(W.partitionBy("_k").orderBy(*order))).where("_n = 1")
     return kept.select(*docs.columns)
 
 

@@ -78,3 +78,11 @@ def test_one_of_each_group_stays(docs, texts):
     kept = [r.doc_id for r in sj.near_duplicates_removed(docs).collect()]
     want = brute([(i * 3, t) for i, t in enumerate(texts)], 5, 80, 100)
     assert sorted(kept) == sorted({v[1] for v in want.values()})
+
+
+def test_rows_without_or_with_shared_ids_stay(spark):
+    t = [" ".join(f"{p}{k}" for k in range(30)) for p in "abcd"]
+    rows = [(None, t[0]), (None, t[1]), (4, t[2]), (4, t[3]), (4, t[3]), (5, t[3]), (7, t[0]), (8, None), (None, None)]
+    kept = sj.near_duplicates_removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, t[1]), (4, t[2]), (4, t[3]), (7, t[0]), (8, None), (None, None)]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
