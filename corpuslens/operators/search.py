@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuslens.session import materialize
+
 FINDINGS = ("source", "section", "grp", "field", "value")
 
 
@@ -51,5 +53,11 @@ def search_catalog(catalog: DataFrame, query: str, category: str | None = None)
 
 
 def number_matches(hits: DataFrame, order: list[str]) -> DataFrame:
-    """hits with match, their number in this order. For a result that one user steps through."""
-    return hits.withColumn("match", F.row_number().over(W.orderBy(*order)))
+    """hits with match, their number in this order: ranked within ranges, which start at the rows counted before them."""
+    dealt = hits.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    dealt = materialize(dealt, "hits")  # ranges are drawn from a sample: the counts must be those of the same deal
+    before = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = before.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    ranked = dealt.withColumn("_rank", rank).join(F.broadcast(before), "_part")
+    return ranked.select(*hits.columns, (F.col("_rank") + F.col("_before")).alias("match"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.operators import classify, geometry, graph, inventory, pixels, search, signal, similarity, textstats, tracks
-from corpuslens.plans import media
+from corpuslens.plans import corpus, media
 from corpuslens.sources import extend, readers, sinks
 
 
@@ -225,3 +225,18 @@ def test_graph_query_takes_all_edges(spark, sf):
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
     nodes = li.select("l_suppkey").distinct().count() + li.select("l_partkey").distinct().count()
     assert sum(r.nodes for r in media.QUERIES["g18_graph_bodies"](spark, sf).collect()) == nodes
+
+
+def test_matches_are_numbered_across_ranges(spark):
+    df = spark.createDataFrame([(i * 37 % 1009, i % 5) for i in range(1009)], "doc_id long, hits long").repartition(4)
+    got = search.number_matches(df, ["doc_id"])
+    assert sorted((r.doc_id, r.match) for r in got.collect()) == [(i, i + 1) for i in range(1009)]
+    assert "windowspecdefinition(doc_id" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_listing_is_limited_before_it_meets_the_count(spark, sf):
+    df = corpus.QUERIES["p17_filter_listing"](spark, sf)
+    files = corpus._files(spark, sf).where("split_part(path, '/', -1) like '%7%'")
+    want = [(r.path, r.size) for r in files.orderBy(F.desc("size"), "path").limit(300).collect()]
+    assert [tuple(r) for r in df.collect()] == [(*x, files.count()) for x in want]
+    assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
