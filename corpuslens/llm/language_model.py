@@ -213,13 +213,11 @@ def _scores(ids: list, h: np.ndarray, start: np.ndarray, c: np.ndarray, about: n
 def _by_broadcast(docs: DataFrame, model: DataFrame, buckets: int, n: int, v: int) -> DataFrame:
     """Scores with the filter and the word counts on every worker; both are under the checked size."""
     sc = docs.sparkSession.sparkContext
-    rows = sorted(model.select("kind", "bucket", "segment").collect(), key=lambda r: (r[0], r[1]))
     empty = build_segment(np.zeros(0, np.uint64), np.zeros(0))
     segments = {kind: [empty] * buckets for kind in (1, 2)}
-    for kind, bucket, segment in rows:
+    for kind, bucket, segment in model.select("kind", "bucket", "segment").toLocalIterator():
         segments[kind][bucket] = bytes(segment)
-    del rows
-    filters = sc.broadcast((Filter(segments[1]), Filter(segments[2])))
+    filters = sc.broadcast((Filter(segments.pop(1)), Filter(segments.pop(2))))
     words = [(np.frombuffer(r[0], np.uint64), np.frombuffer(r[1], np.int64)) for r in model.where("kind = 1").select("hashes", "counts").toLocalIterator()]
     h = np.concatenate([np.zeros(0, np.uint64), *(w[0] for w in words)])
     order = np.argsort(h)
