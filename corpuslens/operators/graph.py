@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.session import materialize
+from corpuslens.session import discard, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014): about log(n) rounds, each a few shuffles of the
-    edge table. A hub's neighbours meet only in a min() with map-side combine and in a join that adaptive execution may
-    split. Each round is written to the shared folder, so lineage stays short and no label reaches the driver. Null ends
-    and self loops are ignored; an empty edge table gives an empty result.
+    edge table; without convergence after max_rounds it raises. A hub's neighbours meet in a min() with map-side combine,
+    whose result is written; so the join that follows has a plain shuffle on either side, and adaptive execution splits
+    the hub's edges over tasks. Each round is written to the shared folder and the one before deleted, so lineage stays
+    short and no label reaches the driver. Null ends and self loops are ignored; an empty edge table gives an empty result.
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col("u") != F.col("v")))
     e = materialize(e.distinct(), "cc")
@@ -25,10 +26,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             break
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
+        large = materialize(both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
+        hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = materialize(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        discard(e, low, large, least)
+        e = new
+    else:
+        raise RuntimeError(f"components didn't converge in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
+_paths: dict[int, tuple] = {}  # of materialized tables, by id(DataFrame)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. A local master may do without; it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corpuslens-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,14 +37,25 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
-    It cuts the lineage: a lost executor costs no recomputation of what stands before. The tables are left in place
-    (the returned DataFrame reads them); drop the folder when the job is over.
+    It cuts the lineage: a lost executor costs no recomputation of what stands before. The table stays (the returned
+    DataFrame reads it) until discard() or until the folder is dropped.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpuslens-{name}-{uuid.uuid4().hex}"
     writer = df.write
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _paths[id(found)] = (weakref.ref(found), path)
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables. Only when everything made of them is itself written: a lost executor's tasks would read them again."""
+    for df in tables:
+        ref, path = _paths.pop(id(df), (None, None))
+        if ref is not None and ref() is df:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ensure_on_workers(spark: SparkSession) -> None:
