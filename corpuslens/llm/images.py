@@ -1,8 +1,8 @@
 """Local image descriptors: find copies of images that were cropped, scaled, turned or recoloured.
 
 Corners at several scales get an orientation (intensity centroid) and a 256-bit descriptor of binary tests turned by it.
-Descriptors meet in hash tables keyed by one of their 32-bit words; every pair of images that shares a table entry is
-verified by mutual nearest descriptors under one similarity transform, unless it is joined already. Verified pairs make
+Descriptors meet in hash tables keyed by one of their 64-bit words; pairs of images that meet by two corners or more are
+verified by mutual nearest descriptors under one similarity transform, unless they are joined already. Verified pairs make
 components.
 """
 
@@ -15,17 +15,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuslens.llm.shingle_join import mix
 from corpuslens.operators.graph import connected_components
-from corpuslens.session import materialize
-
-SCALES, PATCH, TESTS = (1.0, 1.5, 2.25), 12, 256
-#: Most differing bits of matched descriptors; pixels that a match may be off; matches that agree on one transform.
-MAX_BITS, MAX_OFF, MIN_AGREE = 48, 4.0, 6
-#: Images of a bucket, or of a group of pairs, that one task holds against as many others.
+from corpuslens.session import discard, materialize
+
+SCALES, PATCH, TESTS = (1.0, 1.25, 1.5, 1.875, 2.25), 12, 256
+#: A corner is the strongest place within so many pixels, and has this share of the strongest one's response.
+APART, STRENGTH = 5, 0.02
+#: Most differing bits of matched descriptors; what a match may be off (pixels, radians, log scale); matches that agree on one transform.
+MAX_BITS, MAX_OFF, MAX_TURN, MAX_GROWTH, MIN_AGREE = 48, 4.0, 0.3, 0.5, 6
+#: Images of a bucket that one task holds against as many others.
 BLOCK = 256
 _rng = np.random.default_rng(7)
 _PAIRS = np.clip(_rng.normal(0, PATCH / 2.5, (TESTS, 4)), -PATCH + 1, PATCH - 1)
 _DISC = np.array([(y, x) for y in range(-7, 8) for x in range(-7, 8) if x * x + y * y <= 49])
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
 KEYPOINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4"), ("bits", "u1", (TESTS // 8,))])
 
 
@@ -47,6 +51,15 @@ def _resized(a: np.ndarray, by: float) -> np.ndarray:
     return (a[i][:, j] * (1 - v) + a[i][:, j + 1] * v) * (1 - u) + (a[i + 1][:, j] * (1 - v) + a[i + 1][:, j + 1] * v) * u
 
 
+def _highest(a: np.ndarray, r: int) -> np.ndarray:
+    """Maximum over (2r+1) squared places."""
+    a = np.pad(a, r, constant_values=-np.inf)
+    for axis in (0, 1):
+        n = a.shape[axis] - 2 * r
+        a = np.max([a.take(range(i, i + n), axis) for i in range(2 * r + 1)], axis=0)
+    return a
+
+
 def keypoints(pixels: np.ndarray) -> np.ndarray:
     """All corners of a grey image (rows of 0..255) with their descriptors; none for flat or very small images."""
     found = []
@@ -59,8 +72,7 @@ def keypoints(pixels: np.ndarray) -> np.ndarray:
         r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
         m = PATCH + 2
         c = r[m:-m, m:-m]
-        around = np.max([r[m + i : r.shape[0] - m + i, m + j : r.shape[1] - m + j] for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j], axis=0)
-        ys, xs = np.nonzero((c > around) & (c > max(1.0, 0.01 * float(r.max()))))
+        ys, xs = np.nonzero((c >= _highest(r, APART)[m:-m, m:-m]) & (c > max(1.0, STRENGTH * float(r.max()))))
         if not len(ys):
             continue
         ys, xs = ys + m, xs + m
@@ -82,9 +94,25 @@ def keypoints(pixels: np.ndarray) -> np.ndarray:
 
 
 def table_keys(k: np.ndarray) -> np.ndarray:
-    """Keys of the Hamming tables: each 32-bit word of a descriptor with its place, so matches need 32 equal bits of 256 in one word."""
-    words = np.ascontiguousarray(k["bits"]).view("<u4").astype(np.int64)
-    return np.unique(np.arange(words.shape[1], dtype=np.int64) << 32 | words)
+    """(corners x tables): keys of the Hamming tables, one for each 64-bit word of a descriptor; matches need 64 equal bits of 256 in one word."""
+    words = np.ascontiguousarray(k["bits"]).view("<u8")
+    return mix(words ^ (np.arange(1, words.shape[1] + 1, dtype=np.uint64) * _PLACE)).view(np.int64)
+
+
+def _nearest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each descriptor of x the first nearest of y and its distance; a bounded stretch of x at a time."""
+    step = max(1, 4_000_000 // max(1, len(y)))
+    near = [np.bitwise_count(x[i : i + step, None] ^ y[None]).sum(2, dtype=np.int32) for i in range(0, len(x), step)] if len(x) * len(y) <= 4_000_000 else None
+    if near is not None:
+        d = near[0] if len(near) == 1 else np.concatenate(near)
+        j = d.argmin(1)
+        return j, d[np.arange(len(x)), j]
+    at, best = np.zeros(len(x), np.int64), np.zeros(len(x), np.int32)
+    for i in range(0, len(x), step):
+        d = np.bitwise_count(x[i : i + step, None] ^ y[None]).sum(2, dtype=np.int32)
+        at[i : i + step] = d.argmin(1)
+        best[i : i + step] = d.min(1)
+    return at, best
 
 
 def agreeing(a: np.ndarray, b: np.ndarray) -> int:
@@ -92,40 +120,54 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> int:
     if not len(a) or not len(b):
         return 0
     x, y = (np.ascontiguousarray(k["bits"]).view("<u8") for k in (a, b))
-    d = np.bitwise_count(x[:, None] ^ y[None]).sum(2, dtype=np.int32)
-    j = d.argmin(1)
-    i = np.flatnonzero((d.argmin(0)[j] == np.arange(len(a))) & (d[np.arange(len(a)), j] <= MAX_BITS))
+    j, d = _nearest(x, y)
+    back, _ = _nearest(y, x)
+    i = np.flatnonzero((back[j] == np.arange(len(a))) & (d <= MAX_BITS))
     if len(i) < MIN_AGREE:
         return 0
     p, q = a[i], b[j[i]]
-    turn, grow = (q["angle"] - p["angle"]).astype(np.float64), (q["scale"] / p["scale"]).astype(np.float64)
+    turn, grow = (q["angle"] - p["angle"]).astype(np.float64), np.log(q["scale"] / p["scale"]).astype(np.float64)
     z, w = p["x"] + 1j * p["y"], q["x"] + 1j * q["y"]
-    f = grow * np.exp(1j * turn)
-    off = np.abs((w[:, None] + f[:, None] * (z[None] - z[:, None])) - w[None])
-    return int((off <= MAX_OFF).sum(1).max())
+    f, best = np.exp(grow + 1j * turn), 0
+    for k in range(0, len(i), 512):
+        s = slice(k, k + 512)
+        off = np.abs((w[s, None] + f[s, None] * (z[None] - z[s, None])) - w[None])
+        turned = np.abs((turn[s, None] - turn[None] + np.pi) % (2 * np.pi) - np.pi)
+        best = max(best, int(((off <= MAX_OFF) & (turned <= MAX_TURN) & (np.abs(grow[s, None] - grow[None]) <= MAX_GROWTH)).sum(1).max()))
+    return best
+
+
+FEATURES = "image_id long, node long, n_keypoints long, points binary"
 
 
 def features(images: DataFrame) -> DataFrame:
-    """(image_id, digest, n_keypoints, points) of images(image_id, width, height, pixels); unreadable or null ones have no corners."""
+    """FEATURES of images(image_id, width, height, pixels); node is 64 bits of the picture's digest.
+
+    Unreadable or null pictures have neither node nor corners. A task gives the corners of equal pictures once.
+    """
 
     def run(batches):
         import pyarrow as pa
 
+        seen: set[int] = set()
         for b in batches:
-            for r in range(0, b.num_rows, 128):
+            for r in range(0, b.num_rows, 64):
                 out = []
-                for i, w, h, px in zip(*(c.to_pylist() for c in b.slice(r, 128).columns)):
-                    whole = px is not None and w and h and len(px) == w * h
-                    k = keypoints(np.frombuffer(px, np.uint8).reshape(h, w)) if whole else np.zeros(0, KEYPOINT)
-                    digest = hashlib.blake2b(b"%d:" % w + px, digest_size=16).digest() if whole else None
-                    out.append((i, digest, len(k), k.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.int64(), pa.binary()))], names=["image_id", "digest", "n_keypoints", "points"])
+                for i, w, h, px in zip(*(c.to_pylist() for c in b.slice(r, 64).columns)):
+                    node, n, points = None, 0, None
+                    if px is not None and w and h and len(px) == w * h:
+                        k = keypoints(np.frombuffer(px, np.uint8).reshape(h, w))
+                        node, n = int.from_bytes(hashlib.blake2b(b"%d:" % w + px, digest_size=8).digest(), "little", signed=True), len(k)
+                        points = None if node in seen or not n else k.tobytes()
+                        seen.add(node)
+                    out.append((i, node, n, points))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["image_id", "node", "n_keypoints", "points"])
 
-    return images.select(F.col("image_id").cast("long"), F.col("width").cast("int"), F.col("height").cast("int"), F.col("pixels").cast("binary")).mapInArrow(run, "image_id long, digest binary, n_keypoints long, points binary")
+    return images.select(F.col("image_id").cast("long"), F.col("width").cast("int"), F.col("height").cast("int"), F.col("pixels").cast("binary")).mapInArrow(run, FEATURES)
 
 
-def shared_entries(reps: DataFrame) -> DataFrame:
-    """(key, image_id, n): table entries of reps(image_id, points) whose bucket holds another image, and the bucket's entries."""
+def shared_entries(f: DataFrame) -> DataFrame:
+    """(key, node, corner, lo): table entries whose bucket holds another picture too, and the bucket's first picture."""
 
     def run(batches):
         import pyarrow as pa
@@ -134,114 +176,144 @@ def shared_entries(reps: DataFrame) -> DataFrame:
             for r in range(0, b.num_rows, 256):
                 part = b.slice(r, 256)
                 keys = [table_keys(np.frombuffer(p.as_py(), KEYPOINT)) for p in part.column(1)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(part.column(0).to_pylist(), np.int64), [len(k) for k in keys]))], names=["key", "image_id"])
+                node = np.repeat(np.array(part.column(0).to_pylist(), np.int64), [k.size for k in keys])
+                corner = np.concatenate([np.repeat(np.arange(len(k), dtype=np.int32), k.shape[1]) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k.ravel() for k in keys])), pa.array(node), pa.array(corner)], names=["key", "node", "corner"])
 
     whole = W.partitionBy("key")
-    e = reps.select("image_id", "points").mapInArrow(run, "key long, image_id long")
-    return e.withColumns({"lo": F.min("image_id").over(whole), "hi": F.max("image_id").over(whole), "n": F.count("*").over(whole)}).where("lo <> hi").select("key", "image_id", "n")
+    e = f.where("points is not null").select("node", "points").mapInArrow(run, "key long, node long, corner int")
+    return e.withColumns({"lo": F.min("node").over(whole), "hi": F.max("node").over(whole)}).where("lo <> hi").select("key", "node", "corner", "lo")
 
 
-def _verified(pairs: DataFrame, points: DataFrame, blocks: int) -> DataFrame:
-    """The pairs (a, b) whose corners agree.
+def _verified(pairs: DataFrame, f: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose corners agree. Corners are fetched for what is to be verified only, first those of b, then those of a."""
 
-    Images are dealt to blocks by their hash; each pair of blocks that has pairs is a group and gets its images' corners
-    once, so corners move with the pairs of blocks and not with each pair.
-    """
-
-    def run(left, right):
+    def run(batches):
         import pyarrow as pa
 
-        held = {i: np.frombuffer(p, KEYPOINT) for i, p in zip(right.column("image_id").to_pylist(), right.column("points").to_pylist())}
-        out = [(a, b) for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()) if agreeing(held[a], held[b]) >= MIN_AGREE]
-        return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        for batch in batches:
+            of = {}
+            out = []
+            for a, b, x, y in zip(*(batch.column(c) for c in range(4))):
+                a, b = a.as_py(), b.as_py()
+                if a not in of:
+                    of = {a: np.frombuffer(x.as_py(), KEYPOINT)}
+                if agreeing(of[a], np.frombuffer(y.as_py(), KEYPOINT)) >= MIN_AGREE:
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    dealt = pairs.select("a", "b", F.least(block("a"), block("b")).alias("bi"), F.greatest(block("a"), block("b")).alias("bj"))
-    groups = dealt.select("bi", "bj").distinct()
-    of = groups.select("bi", "bj", F.explode(F.array_distinct(F.array("bi", "bj"))).alias("block"))
-    corners = of.join(points.select("image_id", "points", block("image_id").alias("block")), "block").select(F.col("bi").alias("ci"), F.col("bj").alias("cj"), "image_id", "points")
-    return dealt.groupBy("bi", "bj").cogroup(corners.groupBy("ci", "cj")).applyInArrow(run, "a long, b long")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    points = materialize(f.where("points is not null").select("node", "points").join(wanted, "node").dropDuplicates(["node"]), "image-corners")
+    both = pairs.join(points.select(F.col("node").alias("b"), F.col("points").alias("y")), "b").join(points.select(F.col("node").alias("a"), F.col("points").alias("x")), "a")
+    found = materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), "image-links")
+    discard(points)
+    return found
 
 
-def _neighbours(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """Pairs (a, b): in every bucket each image with the one before it and the first, one image for each component."""
-    e = entries.select("key", "image_id")
-    if comp is not None:
-        e = e.join(comp, e["image_id"] == comp["node"], "left").groupBy("key", F.coalesce("component", "image_id").alias("c")).agg(F.min("image_id").alias("image_id"))
-    w = W.partitionBy("key").orderBy("image_id")
-    near = e.select("image_id", F.array(F.lag("image_id").over(w), F.first("image_id").over(w.rowsBetween(W.unboundedPreceding, 0))).alias("o"))
-    return near.select(F.explode("o").alias("a"), F.col("image_id").alias("b")).where("a < b").distinct()
+def _met_twice(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of met(a, b, corner of b) that meet by two corners of b or more."""
+    return met.groupBy("a", "b").agg(F.min("corner").alias("one"), F.max("corner").alias("other")).where("one <> other").select("a", "b")
+
+
+def _to_first(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Pairs of each bucket's first picture with the others; with one picture for each component found so far."""
+    if comp is None:
+        return _met_twice(entries.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"), "corner"))
+    e = entries.join(comp, "node", "left").groupBy("key", F.coalesce("component", "node").alias("c")).agg(F.min("node").alias("node"), F.min("corner").alias("corner"), F.min("lo").alias("lo"))
+    return _met_twice(e.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"), "corner"))
 
 
 def _all_pairs(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) of images that share a bucket and aren't joined yet; large buckets are split into pairs of blocks."""
-    e = entries.withColumn("c", F.col("image_id")) if comp is None else entries.join(comp, entries["image_id"] == comp["node"], "left").select("key", "image_id", "n", F.coalesce("component", "image_id").alias("c"))
-    e = e.withColumn("nb", F.ceil(F.col("n") / BLOCK)).withColumn("me", F.pmod(F.xxhash64("image_id"), "nb"))
+    """Pairs (a, b) that share buckets and aren't joined yet; large buckets are split into pairs of blocks."""
+    e = entries.select("key", "node", "corner")
+    e = e.withColumn("c", F.col("node")) if comp is None else e.join(comp, "node", "left").select("key", "node", "corner", F.coalesce("component", "node").alias("c"))
+    mixed = e.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.ceil(F.count("*") / BLOCK).alias("nb")).where("c1 <> c2").select("key", "nb")
+    e = materialize(e.join(mixed, "key").withColumn("me", F.pmod(F.xxhash64("node"), "nb")), "image-open")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
-    x = e.select("key", F.col("image_id").alias("a"), F.col("c").alias("ca"), F.col("me").alias("bi"), other.alias("bj"))
-    y = e.select("key", F.col("image_id").alias("b"), F.col("c").alias("cb"), other.alias("bi"), F.col("me").alias("bj"))
-    return x.join(y, ["key", "bi", "bj"]).where("a < b and ca <> cb").select("a", "b").distinct()
+    x = e.select("key", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("me").alias("bi"), other.alias("bj"))
+    y = e.select("key", F.col("node").alias("b"), F.col("c").alias("cb"), "corner", other.alias("bi"), F.col("me").alias("bj"))
+    return _met_twice(x.join(y, ["key", "bi", "bj"]).where("a < b and ca <> cb").select("a", "b", "corner"))
 
 
 def image_copies(images: DataFrame) -> DataFrame:
     """(image_id, n_keypoints, component_id) per row of images(image_id, width, height, pixels in grey bytes).
 
-    component_id is the smallest image_id reachable over verified pairs of images that share a table entry; identical
-    pixels are one class from the start. First every table bucket pairs neighbours and its first image, one image for each
-    component found so far, round by round until no new pair agrees: large groups of copies are joined by few tests. Then all
-    pairs of a bucket that aren't joined are tested, which grows with the square of the different images that share a
-    corner. Images without corners match their identical copies only; null pixels match nothing.
+    component_id is the smallest image_id reachable over verified pairs of pictures that meet in the tables by two corners;
+    identical pixels are one picture from the start, whatever their ids, and unlike pictures that share an id are pictures
+    of their own. First every bucket pairs its first picture with the others, round by round with one picture for each
+    component found so far, until no new pair agrees: large groups of copies are joined by few tests. Then all pairs that
+    share buckets and aren't joined are tested, which grows with the square of the different pictures that share
+    a corner. Pictures without corners match their identical copies only; null or unreadable pixels match nothing and keep
+    their own id; a row with a null id takes the least id of its component, if there is one. Other columns are ignored.
     """
     f = materialize(features(images), "image-features")
-    classes = f.where("digest is not null").groupBy("digest").agg(F.min("image_id").alias("rep"))
-    reps = f.join(classes.where("rep is not null"), "digest").where("image_id = rep").dropDuplicates(["image_id"])
-    reps = materialize(reps.select("image_id", "points"), "image-classes")
-    blocks = max(1, -(-reps.count() // BLOCK))
-    entries = materialize(shared_entries(reps), "image-tables")
+    entries = materialize(shared_entries(f), "image-tables")
     tested = found = comp = None
     rest = False
+    used = [entries]
     while True:
-        pairs = (_all_pairs if rest else _neighbours)(entries, comp)
+        pairs = (_all_pairs if rest else _to_first)(entries, comp)
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "image-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new = materialize(_verified(pairs, reps, blocks), "image-links")
+        new = _verified(pairs, f)
+        used += [pairs, new]
         more = not new.isEmpty()
         if more:
             found = new if found is None else found.unionByName(new)
-            comp = connected_components(found, "a", "b")
+            comp = materialize(connected_components(found, "a", "b"), "image-components")
         if rest:
             break
         rest = not more
-    named = classes if comp is None else classes.join(comp, classes["rep"] == comp["node"], "left")
-    named = named.select("digest", F.col("rep").alias("component") if comp is None else F.coalesce("component", "rep").alias("component"))
-    return f.join(named, "digest", "left").select("image_id", "n_keypoints", F.coalesce("component", "image_id").alias("component_id"))
+    ids = f.where("node is not null").groupBy("node").agg(F.min("image_id").alias("least"))
+    if comp is not None:
+        ids = ids.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
+        low = materialize(ids.groupBy("c").agg(F.min("least").alias("component_id")), "image-lowest")
+        ids = ids.join(low, "c").select("node", "component_id")
+    else:
+        ids = ids.withColumnRenamed("least", "component_id")
+    named = materialize(ids, "image-classes")
+    discard(*used)
+    return f.join(named, "node", "left").select("image_id", "n_keypoints", F.coalesce("component_id", "image_id").alias("component_id"))
 
 
 def drawn(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", side: int = 112) -> DataFrame:
-    """Images drawn from vectors, one each: rectangles placed, sized and shaded by the components. Null vectors give null pixels."""
+    """Pictures drawn from vectors, one each: a texture of plane waves whose amplitudes are the components.
+
+    Near vectors give pictures that look alike and unrelated ones pictures that don't, with corners as different from each
+    other as those of photographs. Null vectors and those without length give null pixels; null components count as 0.
+    """
 
     def run(batches):
         import pyarrow as pa
 
+        waves = {}
         for b in batches:
-            for r in range(0, b.num_rows, 512):
-                part = b.slice(r, 512)
+            for r in range(0, b.num_rows, 256):
+                part = b.slice(r, 256)
                 out = []
                 for v in part.column(1).to_pylist():
-                    if not v:
+                    v = np.nan_to_num(np.array([x or 0.0 for x in v or ()], np.float64), posinf=0.0, neginf=0.0)
+                    if not v.any():
                         out.append(None)
                         continue
-                    u = 1 / (1 + np.exp(-8 * np.nan_to_num(np.array([x or 0.0 for x in v]))))
-                    a = np.full((side, side), 255 * u[-1] / 2)
-                    for x, y, w, h, g in u[: len(u) // 5 * 5].reshape(-1, 5):
-                        i, j, m, n = int(y * side * 0.8), int(x * side * 0.8), int(8 + h * side / 3), int(8 + w * side / 3)
-                        a[i : i + m, j : j + n] = 40 + 215 * g
-                    out.append(a.astype(np.uint8).tobytes())
+                    if len(v) not in waves:
+                        waves[len(v)] = _waves(len(v), side)
+                    a = v / np.abs(v).max() @ waves[len(v)]
+                    out.append(np.clip(np.rint(128 + 48 * a / max(a.std(), 1e-9)), 0, 255).astype(np.uint8).tobytes())
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([side] * n, pa.int32()), pa.array([side] * n, pa.int32()), pa.array(out, pa.binary())], names=["image_id", "width", "height", "pixels"])
 
     return vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "image_id long, width int, height int, pixels binary")
 
 
+def _waves(n: int, side: int) -> np.ndarray:
+    """n plane waves over side x side pixels, of 5 to 40 pixels length in any direction."""
+    rng = np.random.default_rng(11)
+    k = 2 * np.pi / np.exp(rng.uniform(np.log(5), np.log(40), n))
+    turn, phase = rng.uniform(0, 2 * np.pi, n), rng.uniform(0, 2 * np.pi, n)
+    y, x = np.mgrid[:side, :side]
+    return np.cos(k[:, None] * (np.cos(turn)[:, None] * x.ravel() + np.sin(turn)[:, None] * y.ravel()) + phase[:, None])
+
+
 def op8(vectors: DataFrame) -> DataFrame:
     return image_copies(drawn(vectors))

@@ -61,10 +61,46 @@ def test_components_are_those_of_all_pairs_of_a_bucket(spark, monkeypatch):
 
 
 def test_pairs_of_unrelated_neighbours_do_not_hide_a_copy(spark):
-    e = spark.createDataFrame([(k, i, 4) for k in (1, 2) for i in (1, 2, 3, 4)], "key long, image_id long, n long")
+    e = spark.createDataFrame([(k, i, k) for k in (1, 2) for i in (1, 2, 3, 4)], "key long, node long, corner int")
     assert {tuple(r) for r in images._all_pairs(e, None).collect()} == {(a, b) for a in range(1, 5) for b in range(a + 1, 5)}
 
 
+def test_rows_by_picture_not_by_id(spark):
+    """Null and shared ids: unlike pictures stay apart, equal ones meet; a repeated row, other columns and an empty table do no harm."""
+    a, b = (np.ascontiguousarray(picture(k)).astype(np.uint8) for k in (1, 2))
+    flat = bytes(16)
+    rows = [(None, 128, 128, a.tobytes(), 0), (7, 128, 128, a.tobytes(), 0), (7, 128, 128, b.tobytes(), 0), (7, 128, 128, b.tobytes(), 0), (None, 4, 4, flat, 0), (9, 128, 128, b.tobytes(), 0), (3, None, 128, a.tobytes(), 0)]
+    got = sorted(((r.image_id, r.component_id, r.n_keypoints > 0) for r in images.image_copies(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == sorted([(None, 7, True), (7, 7, True), (7, 7, True), (7, 7, True), (None, None, False), (9, 7, True), (3, 3, False)], key=str)
+
+
+def test_large_pictures_in_bounded_stretches(monkeypatch):
+    """agreeing() is the same when it holds a small part of the corners at a time."""
+    a = images.keypoints(picture(3).astype(np.uint8))
+    b = images.keypoints(np.ascontiguousarray(np.rot90(picture(3))).astype(np.uint8))
+    x, y = (np.ascontiguousarray(k["bits"]).view("<u8") for k in (a, b))
+    whole = images._nearest(x, y)
+    big = images._nearest(np.tile(x, (400, 1)), np.tile(y, (60, 1)))
+    assert (big[0][: len(x)] == whole[0]).all() and (big[1][: len(x)] == whole[1]).all()
+
+
+def test_recall_on_drawn_pictures(spark, sf):
+    """The operator against all pairs by agreeing(): copies of a table's pictures that were cropped, turned, scaled, shaded or blurred by noise."""
+    rows = [(r.image_id, np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width)) for r in images.drawn(spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 70")).collect()]
+    rng, pictures = np.random.default_rng(5), dict(rows)
+    edits = (lambda a: a[12:100, 9:104], lambda a: np.rot90(a), lambda a: images._resized(a, 1.25), lambda a: images._resized(a, 1.5), lambda a: a * 0.7 + 25, lambda a: a + rng.normal(0, 10, a.shape))
+    for k, (i, a) in enumerate(rows[:24]):
+        pictures[1000 + i] = np.ascontiguousarray(np.clip(edits[k % 6](a.astype(float)), 0, 255)).astype(np.uint8)
+    points = {i: images.keypoints(a) for i, a in pictures.items()}
+    ids = sorted(points)
+    links = [(i, j) for n, i in enumerate(ids) for j in ids[:n] if images.agreeing(points[j], points[i]) >= images.MIN_AGREE]
+    df = spark.createDataFrame([(i, a.shape[1], a.shape[0], a.tobytes(), 0) for i, a in pictures.items()], SCHEMA)
+    got = {r.image_id: r.component_id for r in images.image_copies(df).collect()}
+    assert len(links) >= 24 and sum(got[i] == got[j] for i, j in links) >= 0.9 * len(links)
+    together = [(i, j) for n, i in enumerate(ids) for j in ids[:n] if got[i] == got[j]]
+    assert all(i == j + 1000 for i, j in together)  # nothing but the copies
+
+
 def test_tables_reach_edited_copies(spark):
     """Recall of the tables against brute force: pairs that the verifier accepts share an entry."""
     for k in range(12):
