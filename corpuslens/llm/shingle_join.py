@@ -1,15 +1,16 @@
 """N-gram Jaccard join: which documents share most of their word shingles.
 
-Equal shingle sets become one class first. Classes that can reach the threshold are brought together by segment
-signatures (below), which lose no pair; the classes of one candidate component then meet in blocks, where a T-occurrence
-search (DivideSkip) over inverted lists finds every link. Links are counted, joined to components and never listed pair
-by pair.
-
-Signatures. Two sets with Jaccard >= t, the smaller of size s, differ in at most d = s(1 - t)/t elements. Elements are
-dealt by hash to k > d segments, so at least k - d segments are equal in both. k follows from a size range, and a set
-takes part in its own range and in the next lower one, so that any two sets within the ratio t meet under one k.
-Segments of very few elements (shared by chance) are left out where at most k - d - 1 of a set's segments are so weak;
-what is left still holds k - d - weak equal ones, and a set that shares fewer with all others together has no partner.
+Equal shingle sets become one class first. Then a T-occurrence search (DivideSkip) in two steps. A partner of a set with s
+shingles has T = ceil(t s) of them or more. With the T - l longest inverted lists set apart, every partner is on l of the
+s - T + l short ones at least. Those short lists alone are built over the cluster, twice: first to count for each set how
+many of its short lists hold another one (with fewer than l it has no partner), then among the sets that are left, to bring
+together those that meet on a list. They make candidate components. In each component (in pairs of blocks of it, if large)
+the search proper merges the short lists and probes the long ones for the overlap. Links are counted, joined to components
+and never listed pair by pair.
+
+Which lists are long is told by a sketch of fixed size, which counts shingles that several sets of a task share: passages
+that many documents have in common go to the end of the order and bring nothing together. Any order loses no pair, as long
+as it is the same for all sets; the sketch decides how few candidates there are.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -26,11 +26,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.operators.graph import connected_components
-from corpuslens.session import materialize
+from corpuslens.session import discard, materialize
 
 #: Shingles of the sets that meet in one block, about: a larger candidate component is split into pairs of blocks.
 BLOCK_SHINGLES = 1 << 20
-_KEEP = 500_000
+#: Cells of the sketch and of a stretch of it; levels between the sizes of sets that can link (8, and 1 for rounding);
+#: shingles that a task gathers before it counts or hands them on; members of short lists in a bucket (about).
+CELLS, STRETCH, NEAR, CHUNK, BUCKET = 1 << 22, 1 << 16, 9, 1_000_000, 700_000
+_CELL = np.uint64(64 - 22)
+#: Bits of the filter that picks the texts to be read again, as a power of two.
+FILTER_BITS = 27
+_KEEP = 200_000
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,59 +79,51 @@ def shingles(text: bytes | None, n: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(x + np.uint64(min(n, len(h))))
 
 
-@lru_cache(maxsize=None)
-def _bounds(num: int, den: int, upto: int) -> tuple[int, ...]:
-    """Ends of the size ranges: a set of one range has partners of its own and the next at most."""
-    b = [1, 2]
-    while b[-1] <= upto:
-        b.append(max(b[-1] + 1, (b[-1] - 1) * den // num + 1))
-    return tuple(b)
+def meetings(s: int) -> int:
+    """l: on how many of its short lists a set of s shingles meets each partner that is no smaller."""
+    return max(1, s // 10)
 
 
-@lru_cache(maxsize=None)
-def _segments(lo: int, hi: int, num: int, den: int) -> tuple[int, int, int]:
-    """(d, k, weak) of the pairs whose smaller set has lo <= size < hi: most differences, segments, elements of a weak segment."""
-    d = (hi - 1) * (den - num) // num
-    k = d + 1
-    weak = 2 if lo / k > 6 else 1
-    for _ in range(8):
-        mean = lo / k
-        p = math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(weak + 1))
-        k = min(d + 3 + math.ceil(k * p + 2 * math.sqrt(k * p)), 2 * d + 4)
-    return d, k, weak
+def short_lists(s: np.ndarray, cells: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The |s| - T + l shingles of a sorted set whose lists are taken to be shortest: by the sketch's count, ties by hash."""
+    k = len(s) - -(-num * len(s) // den) + meetings(len(s))
+    if len(s) <= k:
+        return s
+    n = cells[s >> _CELL]
+    cold = s[n == 0]
+    return cold[:k] if len(cold) >= k else s[np.argsort(n, kind="stable")[:k]]
 
 
-def signatures(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Segment signatures of one sorted shingle set; none where only an equal set can reach the threshold.
+def size_level(n: int, num: int, den: int) -> int:
+    """Sizes on a logarithmic scale: two sets that can link are at most NEAR levels apart."""
+    return min(int(math.log(n) / math.log(den / num) * 8), 65535) if num < den else 0
 
-    And for each what it takes: 2 * (how many of its size range a partner shares with this set at least) + (0 own range,
-    1 the next lower).
+
+def stars(token: np.ndarray, node: np.ndarray, lo: np.ndarray, hi: np.ndarray, met: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Members of short lists, each standing for sets of size levels lo..hi: who may be linked through whom.
+
+    Returns (token, node, lo, hi, met, a, b, who, times). Of each list, members are taken by level and parted where the gap
+    to all before is too wide for a link; each part is joined by edges (a, b) to its first member, which stands for it in
+    what is returned. `met` is 1 where it isn't alone. Members that now meet another for the first time on a list (`alone`
+    so far) are counted: `times` by `who`.
     """
-    n = len(s)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    b = _bounds(num, den, 1 << max(10, int(n).bit_length()))
-    i = int(np.searchsorted(b, n, side="right")) - 1
-    out, needs = [], []
-    spread = mix(s ^ _C)
-    for j in (i, i - 1):
-        if j < 0 or n > (b[j + 1] - 1) * den // num:
-            continue
-        d, k, weak = _segments(b[j], b[j + 1], num, den)
-        if not d:
-            continue
-        seg = (s % np.uint64(k)).astype(np.int64)
-        sums = np.zeros(k, np.uint64)
-        np.add.at(sums, seg, spread)
-        filled = np.bincount(seg, minlength=k)
-        keep = filled > weak
-        need = int(keep.sum()) - d
-        if need < 1:  # all go out, and a partner may hold back its weak ones
-            keep[:], need = True, 1
-        at = np.flatnonzero(keep)
-        needs.append(np.full(len(at), 2 * need + (j < i), np.int64))
-        out.append(mix(sums[at] + mix(at.astype(np.uint64) + np.uint64(j << 32)) * _B).view(np.int64))
-    return (np.concatenate(out), np.concatenate(needs)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    met = np.zeros(len(token), bool) if met is None else met.astype(bool)
+    order = np.lexsort((node, lo, token))
+    token, node, met, lo, hi = token[order], node[order], met[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
+    if not len(token):
+        return token, node, lo, hi, met, node, node, node, node
+    fresh = np.r_[True, token[1:] != token[:-1]]
+    lift = np.cumsum(fresh) << 20
+    top = np.maximum.accumulate(hi + lift)
+    new = fresh | (lo + lift > np.r_[0, top[:-1]] + NEAR)
+    at = np.flatnonzero(new)
+    size = np.diff(np.r_[at, len(token)])
+    first = np.repeat(node[at], size)
+    other = first != node
+    edges = np.unique(np.stack([node[other], first[other]]), axis=1) if other.any() else np.zeros((2, 0), np.int64)
+    several = np.maximum.reduceat(other, at)
+    who, times = np.unique(node[np.repeat(several, size) & ~met], return_counts=True)
+    return token[at], node[at], lo[at], np.maximum.reduceat(hi, at), several | met[at], edges[0], edges[1], who, times
 
 
 class Lists:
@@ -234,67 +232,231 @@ def _class_id(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def _texts(batches):
+    for b in batches:
+        for a in range(0, b.num_rows, 512):
+            yield b.slice(a, 512)
+
+
+SETS = "doc_id long, n_shingles long, node long, check long, cell long, counts binary"
+
+
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node, check) per row of docs(doc_id, text as bytes): set size and the two halves of its digest."""
+    """Two kinds of rows from docs(doc_id, text as bytes). Each document's set: size and the two halves of its digest.
+
+    And per task, by stretch of cells (`cell`, from 0), how many of its sets hold a shingle of the cell that another set
+    of the task holds as well.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        hashes = WordHashes()
+        hashes, seen, held, size = WordHashes(), set(), [], 0
+        cells = np.zeros(CELLS, np.uint32)
+
+        def count():
+            s, times = np.unique(np.concatenate(held), return_counts=True)
+            np.add.at(cells, (s[times > 1] >> _CELL).astype(np.int64), times[times > 1].astype(np.uint32))
+
+        for part in _texts(batches):
+            sets = [shingles(t.as_py(), n, hashes) for t in part.column(1)]
+            ids = [_class_id(s) for s in sets]
+            rows = [pa.array(c, pa.int64()) for c in ([len(s) for s in sets], [x[0] for x in ids], [x[1] for x in ids])]
+            yield pa.RecordBatch.from_arrays([part.column(0), *rows, pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.binary())], names=names)
+            for s, x in zip(sets, ids):
+                if x not in seen:
+                    seen.add(x)
+                    held.append(s)
+                    size += len(s)
+            if size > CHUNK:
+                count()
+                held, size = [], 0
+        if held:
+            count()
+        parts = [(i, c.tobytes()) for i, c in enumerate(cells.reshape(-1, STRETCH)) if c.any()]
+        none = pa.nulls(len(parts), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([x[0] for x in parts], pa.int64()), pa.array([x[1] for x in parts], pa.binary())], names=names)
+
+    names = [x.split()[0] for x in SETS.split(", ")]
+    return docs.mapInArrow(run, SETS)
+
+
+def _merged(parts: DataFrame, kind: str, add) -> dict[int, np.ndarray]:
+    """(cell, counts) rows of arrays, those of a cell merged by `add`; in two steps, one row at a time."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, total = None, None
         for b in batches:
-            for a in range(0, b.num_rows, 512):
-                part = b.slice(a, 512)
-                sets = [shingles(t.as_py(), n, hashes) for t in part.column(1)]
-                ids = [_class_id(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in ([len(s) for s in sets], [x[0] for x in ids], [x[1] for x in ids]))], names=["doc_id", "n_shingles", "node", "check"])
+            for k, c in zip(b.column(0).to_pylist(), b.column(1)):
+                if k != key:
+                    if total is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([total.tobytes()], pa.binary())], names=["cell", "counts"])
+                    key, total = k, np.frombuffer(c.as_py(), kind).copy()
+                else:
+                    add(total, np.frombuffer(c.as_py(), kind), out=total)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([total.tobytes()], pa.binary())], names=["cell", "counts"])
+
+    some = parts.select("cell", "counts", F.pmod(F.monotonically_increasing_id(), F.lit(16)).alias("salt"))
+    some = some.repartition("cell", "salt").sortWithinPartitions("cell").select("cell", "counts").mapInArrow(run, "cell long, counts binary")
+    some = some.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "cell long, counts binary")
+    return {cell: np.frombuffer(counts, kind) for cell, counts in some.toLocalIterator()}
+
+
+def shared_cells(sets: DataFrame) -> np.ndarray:
+    """The sketch: the tasks' counts summed, CELLS numbers whatever the input."""
+    cells = np.zeros((CELLS // STRETCH, STRETCH), np.uint32)
+    for cell, counts in _merged(sets.where("cell is not null"), "u4", np.add).items():
+        cells[cell] = counts
+    return cells.reshape(-1)
+
+
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64) ^ _C) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, check long")
 
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is among the one column of ids, and few others: a Bloom filter of fixed size (2**FILTER_BITS bits) goes to the tasks.
 
-def posted_signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(sig, node, need): segment signatures of each class, once a task however many copies it has there."""
+    So texts that aren't wanted needn't move to a join. With far more ids than bits it lets more rows pass, never fewer.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        hashes, seen = WordHashes(), set()
+        bits = np.zeros(1 << FILTER_BITS, bool)
         for b in batches:
-            for a in range(0, b.num_rows, 512):
-                nodes, sigs, needs = [], [], []
-                for t in b.slice(a, 512).column(1):
-                    s = shingles(t.as_py(), n, hashes)
-                    node = _class_id(s)[0]
-                    if len(s) and node not in seen:
-                        seen.add(node)
-                        x, need = signatures(s, num, den)
-                        sigs.append(x)
-                        needs.append(need)
-                        nodes.append(np.full(len(x), node, np.int64))
-                if nodes:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, nodes, needs)], names=["sig", "node", "need"])
+            bits[_bit(b.column(0).to_numpy(zero_copy_only=False))] = True
+        parts = [(i, np.packbits(x).tobytes()) for i, x in enumerate(bits.reshape(-1, 1 << 19)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in parts], pa.int64()), pa.array([x[1] for x in parts], pa.binary())], names=["cell", "counts"])
 
-    return docs.mapInArrow(run, "sig long, node long, need long")
+    filled = np.zeros((1 << (FILTER_BITS - 19), 1 << 16), np.uint8)
+    for cell, part in _merged(ids.mapInArrow(run, "cell long, counts binary"), "u1", np.bitwise_or).items():
+        filled[cell] = part
+    sent = docs.sparkSession.sparkContext.broadcast(filled.reshape(-1))
 
+    @F.pandas_udf("boolean")
+    def wanted(doc_id):
+        import pandas as pd
 
-def candidate_edges(posted: DataFrame, rounds: int = 2) -> DataFrame:
-    """(node, low): each class with the lowest one of every signature that it shares with others.
+        x = _bit(doc_id.fillna(0).to_numpy())
+        return pd.Series((sent.value[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1)
 
-    A class all of whose partners share m of its signatures has no partner when fewer than m of them are shared with
-    anyone. Such classes (a passage or two in common with others) are dropped, which takes no pairs; what is left is
-    looked at again, since the lists have become shorter.
-    """
-    by = W.partitionBy("sig").orderBy("node")
-    whole = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return docs.where(F.col("doc_id").isNotNull()).where(wanted("doc_id"))
+
+
+MEETS = "bucket long, a long, b long, lists binary"
+_MEMBER = np.dtype([("node", "<i8"), ("lo", "<u2"), ("hi", "<u2"), ("n", "<u4"), ("met", "?")])
+
+
+def _meets(bucket, a, b, lists):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((bucket, a, b, lists), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "a", "b", "lists"])
 
-    def shared(p: DataFrame) -> DataFrame:
-        p = p.withColumns({"low": F.first("node").over(whole), "high": F.last("node").over(whole), "_before": F.lag("node").over(by)})
-        return p.where("low <> high and (_before is null or _before <> node)").drop("high", "_before")
 
-    live = materialize(shared(posted), "live")
-    for _ in range(rounds):
-        enough = live.groupBy("node", "need").agg(F.count("*").alias("n")).where("2 * n >= need - need % 2").select("node", "need")
-        live = materialize(shared(live.drop("low").join(enough, ["node", "need"])), "live")
-    return live.where("low <> node").select("node", "low").distinct()
+def _packed(token: np.ndarray, node: np.ndarray, lo: np.ndarray, hi: np.ndarray, met: np.ndarray) -> bytes:
+    """Members of lists by node: (node, lo, hi, n, met) heads, then the n tokens of each."""
+    order = np.lexsort((token, met, hi, lo, node))
+    token, node, lo, hi, met = token[order], node[order], lo[order], hi[order], met[order]
+    at = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (met[1:] != met[:-1])])
+    heads = np.zeros(len(at), _MEMBER)
+    heads["node"], heads["lo"], heads["hi"], heads["met"], heads["n"] = node[at], lo[at], hi[at], met[at], np.diff(np.r_[at, len(node)])
+    return len(at).to_bytes(8, "little") + heads.tobytes() + token.tobytes()
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
+    k = int.from_bytes(blob[:8], "little")
+    heads = np.frombuffer(blob, _MEMBER, k, 8)
+    return np.frombuffer(blob, np.uint64, -1, 8 + k * _MEMBER.itemsize), *(np.repeat(heads[c], heads["n"]) for c in ("node", "lo", "hi", "met"))
+
+
+def short_list_meetings(docs: DataFrame, n: int, num: int, den: int, sketch, buckets: int, edges: bool) -> DataFrame:
+    """(a, b): how many of its short lists class a meets another one on (b), to be summed; or, if asked for, edges between classes that meet and whose sizes allow a link, or stand between such (a, b).
+
+    A task settles what meets within it and hands on one member for each part of a list, packed by bucket of tokens; so a
+    list that very many sets are on has a few entries a task in its bucket.
+    """
+
+    def told(a, b, who, times):
+        both = ((np.full(len(a), -1), a, b), (np.full(len(who), -2), who, times)) if edges else ((np.full(len(who), -2), who, times),)
+        for kind, x, y in both:
+            if len(x):
+                yield _meets(kind, x, y, [None] * len(x))
+
+    def post(batches):
+        hashes, seen, held, size = WordHashes(), set(), [], 0
+
+        def flush():
+            token = np.concatenate([x[0] for x in held])
+            n = [len(x[0]) for x in held]
+            node, level = (np.repeat(np.array([x[i] for x in held], np.int64), n) for i in (1, 2))
+            token, node, lo, hi, met, *rest = stars(token, node, level, level)
+            yield from told(*rest)
+            key = (mix(token ^ _B) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(key, kind="stable")
+            cut = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+            parts = [order[i:j] for i, j in zip(cut, np.r_[cut[1:], len(order)])]
+            zero = np.zeros(len(cut), np.int64)
+            yield _meets(key[order][cut], zero, zero, [_packed(token[i], node[i], lo[i], hi[i], met[i]) for i in parts])
+
+        for part in _texts(batches):
+            for t in part.column(1):
+                s = shingles(t.as_py(), n, hashes)
+                if len(s):
+                    node = _class_id(s)[0]
+                    if node not in seen:
+                        seen.add(node)
+                        held.append((short_lists(s, sketch.value, num, den), node, size_level(len(s), num, den)))
+                        size += len(held[-1][0])
+            if size > CHUNK:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    def meet(batches):
+        key, blobs = None, []
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if k != key and blobs:
+                    yield from told(*stars(*(np.concatenate(x) for x in zip(*map(_unpacked, blobs))))[5:])
+                    blobs = []
+                key = k
+                blobs.append(blob.as_py())
+        if blobs:
+            yield from told(*stars(*(np.concatenate(x) for x in zip(*map(_unpacked, blobs))))[5:])
+
+    posted = materialize(docs.mapInArrow(post, MEETS), "short-lists")
+    lists = posted.where("bucket >= 0").select("bucket", "lists").repartition("bucket").sortWithinPartitions("bucket")
+    met = posted.where("bucket < 0").unionByName(lists.mapInArrow(meet, MEETS))
+    out = materialize(met.groupBy("bucket", "a", F.when(F.col("bucket") == -1, F.col("b")).alias("b")).agg(F.sum(F.when(F.col("bucket") == -2, F.col("b"))).alias("times")), "meetings")
+    discard(posted)
+    return out
+
+
+def candidates(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int, cells: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(edges, live): edges (a, b) between classes that meet on short lists, and the classes among them that meet others often enough."""
+    sketch = docs.sparkSession.sparkContext.broadcast(cells)
+    need = F.greatest(F.lit(1), F.expr(f"(({num} * n + {den} - 1) div {den}) div 10"))  # meetings() of the smallest partner
+
+    def often(met: DataFrame) -> DataFrame:
+        times = met.where("bucket = -2").groupBy(F.col("a").alias("node")).agg(F.sum("times").alias("times"))
+        return materialize(classes.where("rep is not null").join(times, "node").where(F.col("times") >= need).drop("times"), "live")
+
+    def buckets(of: DataFrame) -> int:
+        posts = of.agg(F.sum(F.col("n") * ((den - num) / den + 0.1) + 1)).first()[0] or 0
+        return max(8, int(posts) // BUCKET)
+
+    first = short_list_meetings(docs, n, num, den, sketch, buckets(classes), False)
+    live = often(first)
+    second = short_list_meetings(only(docs, live.select("rep")), n, num, den, sketch, buckets(live), True)
+    still = often(second)
+    edges = materialize(second.where("bucket = -1").select("a", "b"), "candidate-edges")
+    discard(first, second, live)
+    return edges, still
 
 
 def _search_blocks(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -337,30 +499,37 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     finds no near copy. Doc ids should be unique: rows that share one are searched as one. Classes go by 64 bits of their
     digest. Other columns are ignored.
 
-    Scale: two passes over the texts, one for the digests and one for the signatures (some per ten shingles), of which
-    a task hands on those of equal sets once. Only members of candidate components have their texts read again. A candidate
+    Scale: two passes over the texts, one for the digests and one for the short lists (three in ten shingles at 80 %), packed
+    and once for equal sets of a task. Only what is left by the counts has its texts read again. A candidate
     component of more than `block` shingles is split into pairs of blocks over many tasks, whose number grows with the
     square of its different texts (the links to count do, too).
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    rows = materialize(shingle_sets(docs, n), "shingles")
+    sets = materialize(shingle_sets(docs, n), "shingles")
+    rows = sets.where("cell is null").select("doc_id", "n_shingles", "node", "check")
     classes = rows.where("n_shingles > 0").groupBy("node", "check").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"))
     classes = materialize(classes, "classes")
-    near = candidate_edges(posted_signatures(docs, n, num, den))
-    comps = connected_components(near, "node", "low")
-    members = comps.join(classes.where("rep is not null"), "node")
+    near, live = candidates(docs, classes, n, num, den, shared_cells(sets))
+    comps = materialize(connected_components(near, "a", "b"), "candidates")
+    members = materialize(comps.join(live, "node"), "candidate-classes")
+    alone = members.groupBy("component").agg(F.count("*").alias("k")).where("k > 1").select("component")
+    members = members.join(alone, "component")
     # a component over the block size is dealt to blocks by a hash of the node; each pair of blocks is a group
-    sizes = members.groupBy("component").agg(F.ceil(F.sum("n") / block).alias("nb"))
+    sizes = materialize(members.groupBy("component").agg(F.ceil(F.sum("n") / block).alias("nb")), "candidate-sizes")
     members = members.join(sizes, "component").withColumn("me", F.pmod(F.xxhash64("node"), "nb"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1), lambda o: F.struct(F.least("me", o).alias("bi"), F.greatest("me", o).alias("bj"), F.when(F.col("me") <= o, 0).otherwise(1).alias("side")))
     members = members.select(F.col("component").alias("comp"), "node", "rep", "copies", F.explode(pairs).alias("p")).select("comp", "node", "rep", "copies", "p.bi", "p.bj", "p.side")
-    found = materialize(_search_blocks(docs.join(members, docs["doc_id"] == members["rep"]), n, num, den), "links")
-    joined = connected_components(found.where("node <> root"), "node", "root")
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    members = materialize(members, "candidate-blocks")
+    wanted = only(docs, members.select("rep").distinct())
+    found = materialize(_search_blocks(wanted.join(members, wanted["doc_id"] == members["rep"]), n, num, den), "links")
+    joined = materialize(connected_components(found.where("node <> root"), "node", "root"), "joined")
+    links = materialize(found.groupBy("node").agg(F.sum("links").alias("links")), "link-counts")
     named = classes.join(joined, "node", "left").join(links, "node", "left")
     named = materialize(named.select("node", "check", "rep", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "named")
-    lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    out = rows.join(named.join(lowest, "component").select("node", "check", "component_id", "links"), ["node", "check"], "left")
+    lowest = materialize(named.groupBy("component").agg(F.min("rep").alias("component_id")), "lowest")
+    named_id = materialize(named.join(lowest, "component").select("node", "check", "component_id", "links"), "classes-named")
+    discard(near, live, comps, sizes, members, found, joined, links, named, lowest, classes)
+    out = rows.join(named_id, ["node", "check"], "left")
     empty = F.col("n_shingles") == 0
     return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, 0).otherwise(F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
 

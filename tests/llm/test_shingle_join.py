@@ -40,21 +40,54 @@ def test_matches_brute_force(docs, texts, n, num, den, block):
     assert got == brute([(i * 3, t) for i, t in enumerate(texts)], n, num, den)
 
 
-def test_segments_lose_no_pair():
+def test_short_lists_lose_no_pair():
+    """Sets that link share a shingle of their short lists, whatever the sketch says, and are brought together by it."""
     rng = np.random.default_rng(1)
     for num, den in ((90, 100), (80, 100)):
-        for size in (9, 17, 30, 81, 200, 700):
+        for size in (1, 2, 9, 17, 30, 81, 200, 700):
             for _ in range(30):
-                a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+                cells = (rng.random(sj.CELLS) < 0.3).astype(np.uint32) * rng.integers(0, 5, sj.CELLS, dtype=np.uint32)
+                a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64) * np.uint64(2))
                 d = int(len(a) * (den - num) // den)
                 for cut in {0, d // 2, d}:
                     b = np.unique(np.r_[a[cut:], rng.integers(0, 2**63, d - cut).astype(np.uint64)])
                     both = len(np.intersect1d(a, b))
-                    if den * both >= num * (len(a) + len(b) - both) and len(a) != both:
-                        (x, nx), (y, ny) = sj.signatures(a, num, den), sj.signatures(b, num, den)
-                        both, i, k = np.intersect1d(x, y, return_indices=True)
-                        # in one size range or the other they share at least what each needs there
-                        assert any(len(both[nx[i] == w]) >= w // 2 for w in set(nx[i])) and any(len(both[ny[k] == w]) >= w // 2 for w in set(ny[k])), (num, size, cut)
+                    if den * both >= num * (len(a) + len(b) - both):
+                        x, y = sj.short_lists(a, cells, num, den), sj.short_lists(b, cells, num, den)
+                        assert len(np.intersect1d(x, y))
+                        lo = np.repeat([sj.size_level(len(a), num, den), sj.size_level(len(b), num, den)], [len(x), len(y)])
+                        *_, p, q, who, times = sj.stars(np.r_[x, y], np.repeat([1, 2], [len(x), len(y)]), lo, lo)
+                        assert who.tolist() == [1, 2] and min(times) >= min(sj.meetings(len(a)), sj.meetings(len(b)))
+                        assert list(zip(p, q)) in ([(1, 2)], [(2, 1)])
+
+
+def test_stars_part_lists_by_size():
+    """Members of a list are joined exactly when a chain of close enough sizes leads from one to the other; in two steps as well."""
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        token, node = rng.integers(0, 4, 40).astype(np.uint64), np.arange(40)
+        level = rng.integers(0, 200, 40)
+
+        def parts(edges):
+            of = {int(k): int(k) for k in node}
+            for a, b in edges:
+                a, b = of[a], of[b]
+                of = {k: b if v == a else v for k, v in of.items()}
+            return {frozenset(k for k in of if of[k] == v) for v in of.values()}
+
+        want = parts((int(i), int(j)) for i in node for j in node if token[i] == token[j] and abs(level[i] - level[j]) <= sj.NEAR)
+        *_, a, b, who, times = sj.stars(token, node, level, level)
+        count = dict(zip(who.tolist(), times.tolist()))
+        assert set(count) == {k for p in want if len(p) > 1 for k in p} and set(count.values()) <= {1}
+        assert parts(zip(a.tolist(), b.tolist())) == want
+        halves = [sj.stars(token[i], node[i], level[i], level[i]) for i in (slice(0, 17), slice(17, 40))]
+        met = sj.stars(*(np.concatenate([h[k] for h in halves]) for k in range(5)))
+        packed = [sj._unpacked(sj._packed(*h[:5])) for h in halves]
+        again = sj.stars(*(np.concatenate([h[k] for h in packed]) for k in range(5)))
+        in_steps = [k for h in (*halves, met) for k in h[7].tolist()]
+        assert sorted(in_steps) == sorted(count)  # each is counted once, where it first meets another
+        assert [x.tolist() for x in again] == [x.tolist() for x in met]
+        assert parts((int(x), int(y)) for h in (*halves, met) for x, y in zip(h[5], h[6])) == want
 
 
 def test_search_matches_brute_force_on_dense_and_thin_lists():
