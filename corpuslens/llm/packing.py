@@ -66,7 +66,11 @@ def pack_lengths(lengths, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | None = 0) -> DataFrame:
-    """One row per piece of docs(doc_id, text): ids plus end id, cut every `capacity` ids only where longer."""
+    """One row per piece of docs(doc_id, text): ids plus end id, cut every `capacity` ids only where longer.
+
+    A null or empty text is one piece of the end id alone (none where there is no end id). Null and repeated ids are kept
+    as they are, each row by itself. Other columns are ignored.
+    """
 
     def cut(batches):
         import pyarrow as pa

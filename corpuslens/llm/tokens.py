@@ -14,7 +14,7 @@ import numpy as np
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: White space besides the space and the line feed; a text with none of it is cut by plain searches.
 _RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_REMEMBER, _LONGEST = 800_000, 48
+_REMEMBER, _LONGEST = 400_000, 48
 #: How the byte-level form splits a text when its file names no pattern of its own.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Up to here letters, digits, case and composition are the same in every Unicode version.
@@ -34,7 +34,8 @@ class Encoder:
 
     Words between cuts are remembered, up to a fixed number of short ones. A new word of Latin letters is split by the
     tokenizer's own pattern into pieces, whose ids its model gives and which are remembered too; any other word is
-    encoded by itself. The result is the same as encoding each text whole.
+    encoded by itself. Where the text of an added token stands (such as an end-of-text mark) the token's id is given, and
+    what stands around it is encoded alone, as the library does. The result is the same as encoding each text whole.
     """
 
     def __init__(self, path: str):
@@ -42,13 +43,22 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.words: dict[str, bytes] = {}  # what follows a cut, without its space
         self.pieces: dict[str, bytes] = {}
         self.split, self.lower = self._rule()
         self.letters = _byte_letters()
+        self.added, self.marks = self._added()
+
+    def _added(self):
+        """Ids of the tokens that the file adds to its model, by their text, and the pattern that finds them; other kinds of such tokens are refused."""
+        found = {}
+        for t in json.loads(self.tok.to_str())["added_tokens"]:
+            if t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]:
+                raise ValueError(f"added token {t['content']!r} isn't matched as it stands")
+            found[t["content"]] = np.array([t["id"]], self.dtype).tobytes()
+        return found, re.compile("(" + "|".join(map(re.escape, sorted(found, key=len, reverse=True))) + ")") if found else None
 
     def _rule(self):
         """(split, lower): this tokenizer's splitting of Latin words and whether it lower-cases; (None, False) if it is of another form."""
@@ -98,6 +108,11 @@ class Encoder:
             if not t:
                 out.append(b"")
                 continue
+            if any(x in t for x in self.added):
+                parts = self.marks.split(t)  # odd ones are marks
+                between = iter(self.ids(parts[::2]))
+                out.append(b"".join([self.added[x] if i % 2 else next(between) for i, x in enumerate(parts)]))
+                continue
             if "  " in t or " \n" in t or "\n " in t or t[0] == " " or t[-1] == " " or any(c in t for c in _RARE):
                 head, *rest = _CUT.split(t)
                 rest, plain = [x[1:] for x in rest], False
