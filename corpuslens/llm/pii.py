@@ -10,11 +10,13 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = b"corpuslens: replace this key"
+#: Session setting that holds the key.
+KEY_SETTING = "spark.corpuslens.pii.key"
 ROUNDS = 8
 KINDS = ("email", "phone", "ipv4", "card", "ssn", "iban", "date", "secret")
 _FIRST, _DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
@@ -68,8 +70,8 @@ def _phone(s: str, key: bytes) -> str | None:
     d = _digits(s)
     if not 10 <= len(d) <= 15:
         return None
-    head = d[: len(d) - 10]  # the country code stays
-    return _refill(s, head + str(permute(int(d[-10:]), 10**10, b"phone" + head.encode(), key)).zfill(10))
+    head = d[: len(d) - 10]  # the country code stays; numbers without one are linked to those of code 1
+    return _refill(s, head + str(permute(int(d[-10:]), 10**10, b"phone" + (b"" if head == "1" else head.encode()), key)).zfill(10))
 
 
 def _ipv4(s: str, key: bytes) -> str | None:
@@ -148,11 +150,13 @@ def _date(s: str, key: bytes) -> str | None:
 
 
 def _email(s: str, key: bytes) -> str | None:
+    """The host stays (in lower case it is part of the tweak), so that a host's people stay apart from another's."""
     name, _, host = s.rpartition("@")
     return _by_class(name, b"email" + host.lower().encode(), key) + "@" + host
 
 
-_EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+#: A run of a name's characters is tried once, from its start (possessively), so time is linear in the text.
+_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])([._%+-]*+)([A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})")
 _SECRET = re.compile(r"""(?i)((?:token|secret|api[_-]?key|password|passwd|access[_-]?key)\s*[:=]\s*["']?)([A-Za-z0-9+/_-]{16,})""")
 _NUMBER = re.compile(
     r"(?<![\w.])(?:"
@@ -194,7 +198,7 @@ def _numbers(t: str, key: bytes, put) -> str:
     return "".join([*out, t[done:]])
 
 
-def pseudonymize_text(t: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
+def pseudonymize_text(t: str, key: bytes) -> tuple[str, dict[str, int]]:
     """The text with its personal data replaced, and how often by kind."""
     n: dict[str, int] = {}
 
@@ -205,7 +209,7 @@ def pseudonymize_text(t: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
         return new
 
     if "@" in t:
-        t = _EMAIL.sub(lambda m: put("email", m[0], _email(m[0], key)), t)
+        t = _EMAIL.sub(lambda m: m[1] + put("email", m[2], _email(m[2], key)), t)
     if "=" in t or ":" in t:
         t = _SECRET.sub(lambda m: m[1] + put("secret", m[2], _secret(m[2], key)), t)
     if _DIGIT.search(t):
@@ -213,12 +217,23 @@ def pseudonymize_text(t: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
     return t, n
 
 
-def pseudonymize(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key in the session's setting KEY_SETTING; where there is none, a random one that is kept there, so that values are linked within the session only."""
+    found = spark.conf.get(KEY_SETTING, None)
+    if not found:
+        found = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, found)
+    return found.encode()
+
+
+def pseudonymize(docs: DataFrame, text: str = "text", key: bytes | None = None) -> DataFrame:
     """docs with `text` pseudonymized, plus pii: a struct of counts by kind (all 0 for a null or clean text, which stays as it is).
 
-    A vectorised function of one column: no shuffle, other columns don't leave the JVM. A column named pii is replaced.
+    key: else that of session_key(). A vectorised function of one column: no shuffle, other columns don't leave the JVM and
+    keep their values, whatever their names and types (null or repeated ids too); a column named pii is replaced. Texts are
+    taken whole, in time linear in their length.
     """
-    schema = f"text string, {', '.join(f'{k} long' for k in KINDS)}"
+    schema, key = f"text string, {', '.join(f'{k} long' for k in KINDS)}", key or session_key(docs.sparkSession)
 
     @F.pandas_udf(schema)
     def run(texts):
@@ -227,8 +242,11 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataF
         rows = [(t, {}) if t is None else pseudonymize_text(t, key) for t in texts]
         return pd.DataFrame({"text": [r[0] for r in rows]} | {k: [r[1].get(k, 0) for r in rows] for k in KINDS})
 
-    done = docs.withColumn("_pii", run(F.col(text)))
-    return done.withColumn(text, F.col("_pii.text")).withColumn("pii", F.struct(*(F.col(f"_pii.{k}").alias(k) for k in KINDS))).drop("_pii")
+    name = "pii_of_text"
+    while name in docs.columns:
+        name += "_"
+    done = docs.withColumn(name, run(F.col(text)))
+    return done.withColumn(text, F.col(f"{name}.text")).withColumn("pii", F.struct(*(F.col(f"{name}.{k}").alias(k) for k in KINDS))).drop(name)
 
 
 def op4(docs: DataFrame) -> DataFrame:

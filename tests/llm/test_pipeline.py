@@ -17,7 +17,7 @@ def test_stages_and_columns(spark, sf):
     assert {r.doc_id for r in one} == {v[1] for v in brute([(r.doc_id, r.text) for r in kept.collect()], 5, 80, 100).values()}
     df = spark.createDataFrame(one, docs.schema)
     private = {r.doc_id: r for r in cp.personal_data(spark, df, sf).collect()}
-    assert all(private[r.doc_id].text == pii.pseudonymize_text(r.text)[0] and private[r.doc_id].n_chars == len(private[r.doc_id].text) for r in one)
+    assert all(private[r.doc_id].text == pii.pseudonymize_text(r.text, pii.session_key(spark))[0] and private[r.doc_id].n_chars == len(private[r.doc_id].text) for r in one)
     df = spark.createDataFrame(list(private.values()), docs.schema)
     mixed = cp.source_mix(spark, df, sf).collect()
     plan = {r.doc_id: r for r in mixing.op5(df).collect()}
