@@ -51,9 +51,10 @@ def extract_indicators(df: DataFrame, text: str = "text", most: int | None = Non
 
 
 def character_entropy(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, entropy): Shannon bits per character of each text, without leaving the JVM or exploding rows."""
-    chars = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), ""), lambda c: c != "")
-    per = df.select(key, F.explode(chars).alias("c")).groupBy(key, "c").agg(F.count("*").alias("n"))
+    """(key, entropy): Shannon bits per character of each text (of all texts of a key). A text is one row for each different character, which its own length less that without the character counts."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    counts = F.transform(F.array_distinct(F.filter(F.split(t, ""), lambda c: c != "")), lambda c: F.struct(c.alias("c"), (F.length(t) - F.length(F.replace(t, c, F.lit("")))).alias("n")))
+    per = df.select(key, F.explode(counts).alias("x")).groupBy(key, "x.c").agg(F.sum("x.n").alias("n"))
     return per.groupBy(key).agg(F.collect_list(F.col("n").cast("double")).alias("n")).select(key, shannon("n").alias("entropy"))
 
 

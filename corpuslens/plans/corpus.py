@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuslens.operators import inventory, textstats
+from corpuslens.operators import classify, inventory, textstats
 from corpuslens.session import table
 
 _CAT = ("photo", "audio", "video", "archive", "document", "other")
@@ -27,19 +27,13 @@ def _folder_files(s, d):
     return _files(s, d).withColumns({"folder": F.regexp_extract("path", r"^([^/]*)", 1), "name": F.col("page_id").cast("string")})
 
 
-def _counted_listing(files, most):
-    """The largest files with how many there are: the count is one row that goes to the limited list."""
-    listed = files.orderBy(F.desc("size"), "path").limit(most)
-    return listed.crossJoin(F.broadcast(files.agg(F.count("*").alias("matched")))).orderBy(F.desc("size"), "path")
-
-
 QUERIES = {
     "a1_breakdown": lambda s, d: inventory.breakdown(_files(s, d)),
     "a2_rollup_paths": lambda s, d: inventory.rollup_paths(_files(s, d)),
     "a3_dominant_category": lambda s, d: inventory.dominant_category(inventory.rollup_paths(_files(s, d))),
     "a4_pool_tail": lambda s, d: inventory.pool_tail(_folder_files(s, d), 0.1, 8),
     "k2_tree_order": lambda s, d: inventory.tree_order(_files(s, d).withColumn("is_dir", F.col("size") % 2 == 0)).select("page_id", "path"),
-    "p17_filter_listing": lambda s, d: _counted_listing(_files(s, d).where(F.contains(F.lower(F.element_at(F.split("path", "/"), -1)), F.lit("7"))).select("path", "size"), 300),
+    "p17_filter_listing": lambda s, d: classify.filter_listing(_files(s, d).select("path", "size"), "7", 300),
     "s12_content_hash": lambda s, d: inventory.hash_files(_docs(s, d).withColumn("content", F.col("text").cast("binary")), ("md5", "sha256")).select("doc_id", "md5", "sha256"),
     "j6_duplicate_files": lambda s, d: inventory.duplicate_files(inventory.hash_files(_docs(s, d).withColumn("content", F.col("text").cast("binary"))), path="doc_id"),
     "a15_timing": lambda s, d: inventory.timing(table(s, d, "orders"), F.lit("1998-01-01").cast("timestamp"), "o_custkey", "o_orderdate").select("o_custkey", "entries", "span_ms", F.array_join("histogram", ",").alias("histogram"), "pattern", "placeholder", "future"),
