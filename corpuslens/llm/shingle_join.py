@@ -32,10 +32,10 @@ from corpuslens.session import discard, materialize
 BLOCK_SHINGLES = 1 << 20
 #: Cells of the sketch and of a stretch of it; levels between the sizes of sets that can link (8, and 1 for rounding);
 #: shingles that a task gathers before it counts or hands them on; members of short lists in a bucket (about).
-CELLS, STRETCH, NEAR, CHUNK, BUCKET = 1 << 22, 1 << 16, 9, 1_000_000, 700_000
+CELLS, STRETCH, NEAR, CHUNK, BUCKET = 1 << 22, 1 << 16, 9, 400_000, 500_000
 _CELL = np.uint64(64 - 22)
 #: Bits of the filter that picks the texts to be read again, as a power of two.
-FILTER_BITS = 27
+FILTER_BITS = 26
 _KEEP = 200_000
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -326,10 +326,11 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
         for b in batches:
-            bits[_bit(b.column(0).to_numpy(zero_copy_only=False))] = True
-        parts = [(i, np.packbits(x).tobytes()) for i, x in enumerate(bits.reshape(-1, 1 << 19)) if x.any()]
+            x = _bit(b.column(0).to_numpy(zero_copy_only=False))
+            np.bitwise_or.at(bits, x >> 3, np.left_shift(1, 7 - (x & 7)).astype(np.uint8))
+        parts = [(i, x.tobytes()) for i, x in enumerate(bits.reshape(-1, 1 << 16)) if x.any()]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in parts], pa.int64()), pa.array([x[1] for x in parts], pa.binary())], names=["cell", "counts"])
 
     filled = np.zeros((1 << (FILTER_BITS - 19), 1 << 16), np.uint8)
