@@ -71,7 +71,7 @@ def dos_datetime(date: Column | str, time: Column | str) -> Column:
 def filetime(ticks: Column | str) -> Column:
     """100-nanosecond ticks since 1601 as a timestamp; null for 0."""
     t = _c(ticks).cast("long")
-    return F.when(t > 0, F.timestamp_micros(((t - t % 10) / F.lit(10)).cast("decimal(20,0)").cast("long") - F.lit(11_644_473_600_000_000)))
+    return F.when(t > 0, F.timestamp_micros(((t - t % 10).cast("decimal(20,0)") / F.lit(10).cast("decimal(2,0)")).cast("long") - F.lit(11_644_473_600_000_000)))
 
 
 def serial_date(c: Column | str) -> Column:

@@ -69,6 +69,16 @@ def stream_daily(events: DataFrame, ts: str = "ts", late: str = "1 day") -> Data
     return w.select(F.to_date("window.start").alias("day"), "n")
 
 
+def write_daily(events: DataFrame, path: str, ts: str = "ts", late: str = "1 day"):
+    """Writer of a keyed table (day, n) of all days, the open one included: each micro-batch puts a day's new count in place of its old one."""
+    sink = KeyedTable(events.sparkSession, path)
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        sink.merge(batch_id, lambda old: batch if old is None else old.join(batch.select("day"), "day", "left_anti").unionByName(batch))
+
+    return stream_daily(events, ts, late).writeStream.outputMode("update").foreachBatch(upsert)
+
+
 VISIT_STATE = "last long, n long"
 
 
