@@ -63,29 +63,35 @@ def _window(name: str, n: int):
     return {"hann": 0.5 - 0.5 * np.cos(t), "hamming": 0.54 - 0.46 * np.cos(t), "blackman": 0.42 - 0.5 * np.cos(t) + 0.08 * np.cos(2 * t), "rect": np.ones(n)}[name]
 
 
-def spectrogram(samples: DataFrame, fft: int = 2048, hop: int | None = None, window: str = "hann") -> DataFrame:
+def spectrogram(samples: DataFrame, fft: int = 2048, hop: int | None = None, window: str = "hann", together: int = 512) -> DataFrame:
     """(clip_id, frame, rate, db array) of mono samples: magnitude over the window's sum, doubled, in dB.
 
-    Each sample goes to the frames that hold it, so frames of a long clip spread over all tasks.
+    A task transforms `together` consecutive frames at once; a sample goes to the stretches of frames that hold it, which
+    is one but near their ends. So a long clip spreads over all tasks.
     """
     hop = hop or fft // 4
     first = F.greatest(F.lit(0), F.ceil((F.col("idx") - fft + 1) / hop)).cast("long")
-    last = ((F.col("idx") - F.col("idx") % hop) / hop).cast("long")
+    stretch = F.sequence(F.floor(first / together), F.floor(F.floor(F.col("idx") / hop) / together))
     n = samples.groupBy("clip_id").agg((F.max("idx") + 1).alias("n"))
-    e = samples.join(n, "clip_id").select("clip_id", "n", "sample_rate", F.explode(F.sequence(first, last)).alias("frame"), "idx", "v").where(F.col("frame") * hop + fft <= F.col("n"))
+    e = samples.join(n, "clip_id").select("clip_id", "n", "sample_rate", F.explode(stretch).alias("stretch"), "idx", "v")
 
     def run(key, pdf):
         import numpy as np
         import pandas as pd
 
-        w = _window(window, fft)
-        x = np.zeros(fft)
-        x[(pdf["idx"] - key[1] * hop).to_numpy()] = pdf["v"]
-        m = np.abs(np.fft.rfft(x * w))[: fft // 2] / w.sum() * 2
-        return pd.DataFrame({"clip_id": [key[0]], "frame": [key[1]], "rate": [int(pdf["sample_rate"].iloc[0])], "db": [(20 * np.log10(m + 1e-12)).tolist()]})
+        w, start = _window(window, fft), int(key[1]) * together * hop
+        frames = min(together, (int(pdf["n"].iloc[0]) - start - fft) // hop + 1)
+        if frames < 1:
+            return pd.DataFrame({"clip_id": [], "frame": [], "rate": [], "db": []})
+        x = np.zeros((frames - 1) * hop + fft)
+        at = (pdf["idx"] - start).to_numpy()
+        inside = at < len(x)
+        x[at[inside]] = pdf["v"].to_numpy(float)[inside]
+        m = np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(x, fft)[::hop] * w, axis=1))[:, : fft // 2] / w.sum() * 2
+        return pd.DataFrame({"clip_id": [key[0]] * frames, "frame": int(key[1]) * together + np.arange(frames), "rate": [int(pdf["sample_rate"].iloc[0])] * frames, "db": list(20 * np.log10(m + 1e-12))})
 
     kind = dict(samples.dtypes)["clip_id"]
-    return e.groupBy("clip_id", "frame").applyInPandas(run, f"clip_id {kind}, frame long, rate long, db array<double>")
+    return e.groupBy("clip_id", "stretch").applyInPandas(run, f"clip_id {kind}, frame long, rate long, db array<double>")
 
 
 def spectrum_stats(spec: DataFrame) -> DataFrame:
@@ -106,7 +112,7 @@ def spectral_centroid(samples: DataFrame, fft: int = 4096) -> DataFrame:
 
 
 def _biquads(rate: float):
-    """The two K-weighting filters for a sample rate, as (b, a)."""
+    """The two K-weighting filters for a sample rate, as (b, a). Gains, qualities and frequencies are fixed values of the loudness standard."""
     out = []
     g, q, fc = 3.999843853973347, 0.7071752369554196, 1681.974450955533
     k, vh = math.tan(math.pi * fc / rate), 10 ** (g / 20)
@@ -120,6 +126,29 @@ def _biquads(rate: float):
     return out
 
 
+def _filtered(x, b, a, block: int = 256):
+    """A second-order filter over x, a block at a time: its response to the block's samples and to the state before it are matrix products."""
+    import numpy as np
+
+    step = np.array([[-a[0], 1.0], [-a[1], 0.0]])  # transposed direct form: state' = step @ state + gain * sample
+    gain = np.array([b[1] - a[0] * b[0], b[2] - a[1] * b[0]])
+    powers = [np.eye(2)]
+    for _ in range(block):
+        powers.append(step @ powers[-1])
+    seen = np.array([p[0] for p in powers[:block]])  # what the state before the block adds to each output
+    echo = np.r_[b[0], [p[0] @ gain for p in powers[: block - 1]]]
+    i = np.arange(block)
+    own = np.where(i[:, None] >= i, echo[np.maximum(i[:, None] - i, 0)], 0.0)
+    into = np.stack([powers[block - 1 - k] @ gain for k in range(block)], axis=1)  # what each sample leaves in the state
+    padded = np.r_[x, np.zeros(-len(x) % block)].reshape(-1, block)
+    out, state = padded @ own.T, np.zeros(2)
+    left = padded @ into.T
+    for k in range(len(padded)):
+        out[k] += seen @ state
+        state = powers[block] @ state + left[k]
+    return out.ravel()[: len(x)]
+
+
 def loudness(samples: DataFrame, piece: int = 1 << 18, warm: int = 1 << 14) -> DataFrame:
     """(clip_id, lufs): K-weighted mean square of the mono mix, -0.691 + 10 log10; no gating.
 
@@ -136,13 +165,7 @@ def loudness(samples: DataFrame, piece: int = 1 << 18, warm: int = 1 << 14) -> D
         pdf = pdf.sort_values("idx")
         x = pdf["v"].to_numpy(float)
         for b, a in _biquads(float(pdf["sample_rate"].iloc[0])):
-            y = np.empty_like(x)
-            z1 = z2 = 0.0
-            for i, v in enumerate(x):
-                o = b[0] * v + z1
-                z1, z2 = b[1] * v - a[0] * o + z2, b[2] * v - a[1] * o
-                y[i] = o
-            x = y
+            x = _filtered(x, b, a)
         own = (pdf["idx"] >= key[1] * piece).to_numpy()
         return pd.DataFrame({"clip_id": [key[0]], "n": [int(own.sum())], "ss": [float((x[own] ** 2).sum())]})
 

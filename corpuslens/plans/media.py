@@ -49,6 +49,13 @@ def _hashes(s, d):
     return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), similarity.sign_bits(F.col("embedding")).alias("hash"))
 
 
+def _fans(s, d):
+    """Triangles that share a corner within 50 groups of each mesh."""
+    g = F.col("l_orderkey") % 50
+    corners = {"ax": g, "ay": F.lit(0), "az": F.lit(0), "bx": g, "by": F.lit(1), "bz": F.lit(0), "cx": F.col("l_linenumber"), "cy": F.lit(7), "cz": g + 5}
+    return table(s, d, "lineitem").select(F.col("l_suppkey").alias("mesh_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tri"), *(c.cast("double").alias(k) for k, c in corners.items()))
+
+
 QUERIES = {
     "w1_track_distance": lambda s, d: _r(tracks.track_distance(_points(s, d)).groupBy("track_id").agg(F.max("distance_m").alias("distance_m"), F.count("*").alias("n")), "distance_m"),
     "w2_track_moving": lambda s, d: _r(tracks.track_moving(_points(s, d), 3600.0), "distance_m", "moving_m", "moving_s", "kmh", "min_per_km"),
@@ -71,6 +78,7 @@ QUERIES = {
     "g16_apply_lut": lambda s, d: _r(pixels.apply_lut(_pixels(s, d), _identity(s), 5), "lr", "lg", "lb"),
     "g17_mesh_stats": lambda s, d: _r(geometry.mesh_stats(_triangles(s, d)), "area", "volume").select("mesh_id", "triangles", "area", "volume", "min_x", "max_x", "min_z", "max_z"),
     "g18_graph_bodies": lambda s, d: geometry.graph_bodies(table(s, d, "lineitem"), "l_suppkey", "l_partkey"),
+    "g18_mesh_bodies": lambda s, d: geometry.mesh_bodies(_fans(s, d)),
     "a35_summarise_nets": lambda s, d: geometry.summarise_nets(table(s, d, "lineitem").select(F.col("l_returnflag").alias("board"), F.col("l_linenumber").cast("string").alias("net"), F.col("l_suppkey").cast("string").alias("ref"), F.col("l_linestatus").alias("pin"), F.col("l_suppkey").alias("x"), F.col("l_partkey").alias("y"))),
     "f10_rgb": lambda s, d: _pixels(s, d).select("image_id", "x", "y", scalars.rgb_hex("r", "g", "b").alias("hex"), scalars.rgb_hsl("r", "g", "b").alias("c")).select("image_id", "x", "y", "hex", "c.h", "c.s", "c.l"),
     "j7_near_duplicates": lambda s, d: similarity.near_duplicates(_hashes(s, d), 20),
@@ -120,9 +128,12 @@ ORACLE = {
     "g17_mesh_stats": """with t as (select l_returnflag as m, l_quantity as q, l_discount as d, l_tax as t from lineitem), n as (select *, t - q as ux, q - d as uy, d - t as uz, d - q as wx, t - d as wy, q - t as wz from t)
       select m as mesh_id, count(*) as triangles, round(sum(sqrt(pow(uy * wz - uz * wy, 2) + pow(uz * wx - ux * wz, 2) + pow(ux * wy - uy * wx, 2)) / 2), 6) as area,
         round(abs(sum((q * (q * q - d * t) + d * (d * d - t * q) + t * (t * t - q * d)) / 6)), 6) as volume, min(least(q, t, d)) as min_x, max(greatest(q, t, d)) as max_x, min(least(q, t, d)) as min_z, max(greatest(q, t, d)) as max_z from n group by 1""",
-    "g18_graph_bodies": """with recursive e as (select l_suppkey as a, -l_partkey - 1 as b from lineitem where l_orderkey % 97 = 0 group by all), u as (select a, b from e union select b, a from e), n as (select distinct a as node from u),
-      r as (select node, node as c from n union select u.b, r.c from r join u on u.a = r.node), m as (select node, min(c) as component from r group by 1)
-      select component, count(*) as nodes from m group by 1""",
+    "g18_graph_bodies": """with recursive e as (select distinct l_suppkey as s, l_partkey as p from lineitem), l as (select distinct x.s as a, y.s as b from e x join e y using (p)),
+      r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a), c as (select r.a as s, min(-p - 1) as component from r join e on e.s = r.b group by 1),
+      n as (select s as node, component from c union all select distinct -p - 1, component from e join c using (s))
+      select component, count(*) as nodes from n group by 1""",
+    "g18_mesh_bodies": """with b as (select l_suppkey as mesh_id, l_orderkey % 50 as g, count(*) as triangles, min(l_orderkey * 10 + l_linenumber) as first from lineitem group by all)
+      select mesh_id, cast(row_number() over (partition by mesh_id order by triangles desc, first) as int) as body, triangles from b""",
     "a35_summarise_nets": """select l_returnflag as board, count(*) as points, count(distinct l_linenumber) as nets, count(distinct l_suppkey) as components, count(distinct l_suppkey || '/' || l_linestatus) as pins, min(l_suppkey) as min_x, max(l_suppkey) as max_x, min(l_partkey) as min_y, max(l_partkey) as max_y from lineitem group by 1""",
     "f10_rgb": f"""with p as (select *, greatest(r, g, b) / 255e0 as hi, least(r, g, b) / 255e0 as lo from {_PIX}), q as (select *, hi - lo as d, (hi + lo) / 2 as lum from p),
       h as (select *, case when d = 0 then 0 when hi = r / 255e0 then (g / 255e0 - b / 255e0) / d + case when g < b then 6 else 0 end when hi = g / 255e0 then (b / 255e0 - r / 255e0) / d + 2 else (r / 255e0 - g / 255e0) / d + 4 end as hue, case when d = 0 then 0 when lum > 0.5 then d / (2 - hi - lo) else d / (hi + lo) end as sat from q)

@@ -12,6 +12,9 @@ from corpuslens.session import shared_dir, table
 from corpuslens.sources import readers
 
 
+_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
 def _dated(s, d):
     o = table(s, d, "orders")
     back = lambda c, n: F.timestamp_micros(F.unix_micros("o_orderdate") - F.pmod(F.col(c), F.lit(n)) * 86_400_000_000)
@@ -42,11 +45,10 @@ QUERIES = {
     "a42_revision_audit": lambda s, d: logs.revision_audit(_talks(s, d).select(F.col("conv_id").alias("doc"), F.col("role").alias("author"), F.when(F.col("turn") % 2 == 0, "ins").otherwise("del").alias("kind"))).withColumn("share", F.round("share", 6)),
     "a46_block_histogram": lambda s, d: logs.block_histogram(readers.split_lines(table(s, d, "documents").select(F.col("doc_id").alias("path"), "text")), "^[A-M]", "^([N-Z][a-z]*)"),
     "s3_read_delimited": _delimited,
-    "s8_catalog_tables": lambda s, d: readers.catalog_tables(s, d, ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages"])[0].select("table", "rows", "position", "column"),
+    "s8_catalog_tables": lambda s, d: readers.catalog_tables(s, d, _TABLES)[0].select("table", "rows", "position", "column"),
     "u3_sql_functions": _sql,
 }
 
-_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages"]
 ORACLE = {
     "p15_time_anomalies": """with d as (select o_orderkey, o_orderdate as c, o_orderdate - to_days(cast(o_custkey % 4 as int)) as m, o_orderdate - to_days(cast(o_orderkey % 3 as int)) as s from orders)
       select o_orderkey, concat_ws('; ', case when c > timestamp '1998-01-03' then 'captured is in the future' end, case when m > timestamp '1998-01-03' then 'modified is in the future' end,
