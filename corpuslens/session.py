@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 _paths: dict[int, tuple] = {}  # of materialized tables, by id(DataFrame)
 
 
@@ -59,7 +60,13 @@ def discard(*tables: DataFrame) -> None:
 
 
 def ensure_on_workers(spark: SparkSession) -> None:
-    """Ship this package to the Python workers when it is neither installed there nor on their path."""
+    """Ship this package to the Python workers when it is neither installed there nor on their path.
+
+    And let batches that go to them hold 8 MB instead of 64, unless the session has a size of its own: rows with whole texts
+    are large, and a worker holds a batch several times over.
+    """
+    if spark.conf.get(_BATCH_SETTING, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, "8m")
     app = spark.sparkContext.applicationId
     on_path = [os.path.realpath(p or ".") for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]]
     if app in _shipped or os.path.realpath(ROOT) in on_path:
