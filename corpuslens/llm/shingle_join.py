@@ -317,10 +317,10 @@ def _bit(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64) ^ _C) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among the one column of ids, and few others: a Bloom filter of fixed size (2**FILTER_BITS bits) goes to the tasks.
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size (2**FILTER_BITS bits) over the one column of ids, so that texts that aren't wanted needn't move to a join.
 
-    So texts that aren't wanted needn't move to a join. With far more ids than bits it lets more rows pass, never fewer.
+    With far more ids than bits it lets more rows pass, never fewer.
     """
 
     def run(batches):
@@ -336,14 +336,23 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     filled = np.zeros((1 << (FILTER_BITS - 19), 1 << 16), np.uint8)
     for cell, part in _merged(ids.mapInArrow(run, "cell long, counts binary"), "u1", np.bitwise_or).items():
         filled[cell] = part
-    sent = docs.sparkSession.sparkContext.broadcast(filled.reshape(-1))
+    return filled.reshape(-1)
+
+
+def _passes(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    x = _bit(ids)
+    return (bits[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1
+
+
+def only(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Rows of docs whose doc_id passes the filter."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
     def wanted(doc_id):
         import pandas as pd
 
-        x = _bit(doc_id.fillna(0).to_numpy())
-        return pd.Series((sent.value[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1)
+        return pd.Series(_passes(doc_id.to_numpy(), sent.value))
 
     return docs.where(F.col("doc_id").isNotNull()).where(wanted("doc_id"))
 
@@ -374,11 +383,12 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
     return np.frombuffer(blob, np.uint64, -1, 8 + k * _MEMBER.itemsize), *(np.repeat(heads[c], heads["n"]) for c in ("node", "lo", "hi", "met"))
 
 
-def short_list_meetings(docs: DataFrame, n: int, num: int, den: int, sketch, buckets: int, edges: bool) -> DataFrame:
+def short_list_meetings(docs: DataFrame, n: int, num: int, den: int, sketch, buckets: int, edges: bool, among=None) -> DataFrame:
     """(a, b): how many of its short lists class a meets another one on (b), to be summed; or, if asked for, edges between classes that meet and whose sizes allow a link, or stand between such (a, b).
 
     A task settles what meets within it and hands on one member for each part of a list, packed by bucket of tokens; so a
-    list that very many sets are on has a few entries a task in its bucket.
+    list that very many sets are on has a few entries a task in its bucket. among: a broadcast id_filter() of the documents
+    to take.
     """
 
     def told(a, b, who, times):
@@ -388,6 +398,8 @@ def short_list_meetings(docs: DataFrame, n: int, num: int, den: int, sketch, buc
                 yield _meets(kind, x, y, [None] * len(x))
 
     def post(batches):
+        import pyarrow as pa
+
         hashes, seen, held, size = WordHashes(), set(), [], 0
 
         def flush():
@@ -404,7 +416,11 @@ def short_list_meetings(docs: DataFrame, n: int, num: int, den: int, sketch, buc
             yield _meets(key[order][cut], zero, zero, [_packed(token[i], node[i], lo[i], hi[i], met[i]) for i in parts])
 
         for part in _texts(batches):
-            for t in part.column(1):
+            texts = part.column(1)
+            if among is not None:
+                ids = part.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+                texts = texts.filter(pa.array(_passes(ids, among.value)))
+            for t in texts:
                 s = shingles(t.as_py(), n, hashes)
                 if len(s):
                     node = _class_id(s)[0]
@@ -453,7 +469,8 @@ def candidates(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int,
 
     first = short_list_meetings(docs, n, num, den, sketch, buckets(classes), False)
     live = often(first)
-    second = short_list_meetings(only(docs, live.select("rep")), n, num, den, sketch, buckets(live), True)
+    among = docs.sparkSession.sparkContext.broadcast(id_filter(live.select("rep")))
+    second = short_list_meetings(docs, n, num, den, sketch, buckets(live), True, among)
     still = often(second)
     edges = materialize(second.where("bucket = -1").select("a", "b"), "candidate-edges")
     discard(first, second, live)
@@ -521,7 +538,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1), lambda o: F.struct(F.least("me", o).alias("bi"), F.greatest("me", o).alias("bj"), F.when(F.col("me") <= o, 0).otherwise(1).alias("side")))
     members = members.select(F.col("component").alias("comp"), "node", "rep", "copies", F.explode(pairs).alias("p")).select("comp", "node", "rep", "copies", "p.bi", "p.bj", "p.side")
     members = materialize(members, "candidate-blocks")
-    wanted = only(docs, members.select("rep").distinct())
+    wanted = only(docs, id_filter(members.select("rep").distinct()))
     found = materialize(_search_blocks(wanted.join(members, wanted["doc_id"] == members["rep"]), n, num, den), "links")
     joined = materialize(connected_components(found.where("node <> root"), "node", "root"), "joined")
     links = materialize(found.groupBy("node").agg(F.sum("links").alias("links")), "link-counts")
