@@ -8,13 +8,14 @@ import pytest
 from corpuslens.llm import language_model as lm
 
 
-@pytest.mark.parametrize("max_broadcast", [lm.MAX_BROADCAST, 0])
-def test_base_scores_are_exact(docs, texts, max_broadcast):
+@pytest.mark.parametrize("chunk", [lm.CHUNK_TOKENS, 50])
+def test_base_scores_are_exact(docs, texts, chunk, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", chunk)
     toks = {i * 3: [*(t or "").encode().lower().split(), b" "] for i, t in enumerate(texts)}
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     c = Counter(w for i, x in toks.items() if not held(i) for w in x)
     n, v = sum(c.values()), len(c)
-    rows = lm.score_texts(docs, max_broadcast=max_broadcast).collect()
+    rows = lm.score_texts(docs).collect()
     assert len(rows) == len(texts)
     for r in rows:
         x = toks[r.doc_id]
@@ -23,13 +24,29 @@ def test_base_scores_are_exact(docs, texts, max_broadcast):
         assert r.score < 0
 
 
-def test_both_ways_of_scoring_agree(docs):
-    """They differ by the filter's false positives only: few, and always towards a higher count."""
-    a = {r.doc_id: r for r in lm.score_texts(docs).collect()}
-    b = {r.doc_id: r for r in lm.score_texts(docs, max_broadcast=0).collect()}
-    n = sum(r.n_tokens for r in a.values())
-    assert abs(sum(a[i].score - b[i].score for i in a)) < 0.01 * n
-    assert all(abs(a[i].base_score - b[i].base_score) < 1e-6 for i in a)
+def test_scores_against_plain_counts(docs, texts):
+    """score is P(w | v) of exact counts brought to their levels, but for the filter's false positives: few, and always towards a higher count."""
+    toks = {i * 3: [*(t or "").encode().lower().split(), None] for i, t in enumerate(texts)}
+    one, two = Counter(), Counter()
+    for i, x in toks.items():
+        if not lm.held_out(i):
+            one.update(x)
+            two.update(zip([None, *x], x))
+    n, v = sum(one.values()), len(one)
+    about = lambda c: float(lm.level_counts()[lm.levels(np.array([c]))[0]]) if c else 0.0
+    same = 0
+    for r in lm.score_texts(docs).collect():
+        x = toks[r.doc_id]
+        want = sum(float(lm.smoothed(about(two[a, b]), about(one[a]), about(one[b]), n, v)) for a, b in zip([None, *x], x))
+        same += math.isclose(r.score, want, rel_tol=1e-9)
+        assert abs(r.score - want) < 3 + 0.02 * len(x)  # a false positive is worth about two
+    assert same > 0.6 * len(texts)
+
+
+def test_long_texts(spark):
+    long = "alpha beta gamma " * 120_000  # two megabytes
+    got = {r.doc_id: r for r in lm.op7(spark.createDataFrame([(1, long), (2, "x" * 1_500_000), (3, "alpha beta")], "doc_id long, text string")).collect()}
+    assert got[1].n_tokens == 360_001 and got[2].n_tokens == 2 and got[3].n_known == 3
 
 
 def test_filter_gives_counts_back():
@@ -74,11 +91,10 @@ def test_pairs_seen_once_are_in_the_model(spark):
     assert got[held[0]] > got[held[1]] + 0.1
 
 
-def test_scores_do_not_depend_on_the_size_switch(docs, monkeypatch):
-    """The same filter is probed on both sides, false positives included; chunks of few tokens as well."""
+def test_scores_do_not_depend_on_chunks(docs, monkeypatch):
+    """The same filter is probed, false positives included, whatever texts are read together."""
     want = sorted(map(tuple, lm.score_texts(docs).collect()))
-    for size in (lm.CHUNK_TOKENS, 50):
-        monkeypatch.setattr(lm, "CHUNK_TOKENS", size)
-        got = sorted(map(tuple, lm.score_texts(docs, max_broadcast=0).collect()))
-        assert [r[:5] for r in got] == [r[:5] for r in want]
-        assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-12, atol=0)
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 50)
+    got = sorted(map(tuple, lm.score_texts(docs.repartition(3)).collect()))
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-12, atol=0)
