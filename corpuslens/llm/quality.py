@@ -118,7 +118,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
 
     One narrow projection: no shuffle and no Python. The verdict is one expression that binds the metrics once, so a
     filter on kept doesn't compute them again for each rule. Rows are judged alone, so repeated rows get the same
-    verdict. Columns q, failed and kept of the input are replaced.
+    verdict, whatever their ids; a null text has no words. Columns q, failed and kept of the input are replaced.
     """
 
     def judged(q: Column) -> Column:
@@ -128,8 +128,11 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
             tests += [F.when(b, F.lit(r.name)) for b in bad]
         return F.struct(q.alias("q"), F.array_compact(F.array(*tests)).alias("failed"))
 
-    v = F.col("_v")
-    return docs.withColumn("_v", _let(metrics(text), judged)).withColumns({"q": v["q"], "failed": v["failed"], "kept": F.size(v["failed"]) == 0}).drop("_v")
+    name = "verdict_of_row"
+    while name in docs.columns:
+        name += "_"
+    v = F.col(name)
+    return docs.withColumn(name, _let(metrics(text), judged)).withColumns({"q": v["q"], "failed": v["failed"], "kept": F.size(v["failed"]) == 0}).drop(name)
 
 
 def op3(docs: DataFrame) -> DataFrame:

@@ -50,3 +50,12 @@ def test_no_user_function_in_the_plan(docs):
 def test_longest_stop_words_count(spark):
     df = spark.createDataFrame([(1, " ".join(quality.STOP_WORDS) + " Nicht nichts")], "doc_id long, text string")
     assert quality.quality_rules(df).first().q.n_stop_words == len(quality.STOP_WORDS) + 1
+
+
+def test_long_texts_and_clashing_names(spark):
+    long = "the word of " * 100_000 + "\n" + "x" * 1_200_000  # over two megabytes
+    rows = [(1, long, 1, "q"), (None, " \n\t", 2, None), (1, long, 1, "q")]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, verdict_of_row int, q string")).collect()
+    assert sorted(r.verdict_of_row for r in got) == [1, 1, 2] and [r.q.n_words for r in got if r.doc_id] == [300_001] * 2
+    base = {r.doc_id: r for r in quality.op3(spark.createDataFrame(rows[:2], "doc_id long, text string, v int, q string")).collect()}
+    assert (base[1].n_words, base[1].word_chars, base[1].n_repeat_words, base[1].base_failed) == (300_001, 2_100_000, 300_000, True) and base[None].n_words == 0
