@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.functions.scalars import human_step, whole_percent
+from corpuslens.session import materialize
 
 # What counts as a number (sign, decimals, exponent, prefixed integers, Infinity) and as a date.
 NUMBER = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|Infinity)$|^0[xX][0-9a-fA-F]+$|^0[oO][0-7]+$|^0[bB][01]+$"
@@ -33,7 +34,7 @@ def date_value(c: Column) -> Column:
 
 
 def cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Long form (column, cell) with trimmed cells, null when empty. Multiplies rows by columns: profile_wide() doesn't."""
+    """Long form (column, cell) with trimmed cells, null when empty. Multiplies rows by columns."""
     columns = columns or df.columns
     return df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), _cell(c).alias("cell")) for c in columns))).alias("x")).select("x.column", "x.cell")
 
@@ -63,20 +64,48 @@ def fill_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return one.select(F.explode(rows).alias("x")).select("x.*").withColumn("fill_percent", whole_percent(F.col("filled"), F.col("total")))
 
 
+def exact_quantiles(values: DataFrame, probs: tuple[float, ...]) -> DataFrame:
+    """(column, p, q) of values(column, x): quantiles with linear interpolation.
+
+    Equal values are counted first; counts are ranked within ranges of (column, value), which start at what was counted
+    before them, so no task holds a column's values.
+    """
+    counts = values.where(F.col("x").isNotNull()).groupBy("column", "x").agg(F.count("*").alias("n")).repartitionByRange("column", "x")
+    counts = materialize(counts.withColumn("part", F.spark_partition_id()), "value-counts")  # ranges are drawn from a sample: the sums must be of the same deal
+    parts = counts.groupBy("column", "part").agg(F.sum("n").alias("s"))
+    upto = W.partitionBy("column").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select("column", "part", F.coalesce(F.sum("s").over(upto), F.lit(0)).alias("base"), F.sum("s").over(W.partitionBy("column")).alias("total"))
+    inside = W.partitionBy("column", "part").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
+    ranked = counts.withColumn("upto", F.sum("n").over(inside)).join(parts, ["column", "part"])
+    place = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), (F.lit(p) * (F.col("total") - 1)).alias("at")) for p in probs)))
+    hits = ranked.select("column", "x", (F.col("base") + F.col("upto") - F.col("n")).alias("a"), (F.col("base") + F.col("upto")).alias("b"), place.alias("t")).select("column", "x", "a", "b", "t.p", "t.at")
+    low, high = F.floor("at"), F.ceil("at")
+    holds = lambda k: (F.col("a") <= k) & (k < F.col("b"))
+    two = hits.where(holds(low) | holds(high)).groupBy("column", "p").agg(F.max("at").alias("at"), F.max(F.when(holds(low), F.col("x"))).alias("u"), F.max(F.when(holds(high), F.col("x"))).alias("v"))
+    return two.select("column", "p", F.when(F.col("u") == F.col("v"), F.col("u")).otherwise((high - F.col("at")) * F.col("u") + (F.col("at") - low) * F.col("v")).alias("q"))
+
+
 def profile_numbers(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     """(column, n, min, max, mean, q1, median, q3, stddev) of numeric columns (or of numeric cells of text columns).
 
-    Population standard deviation; quantiles interpolate linearly. One aggregation for all columns, without an unpivot.
-    approximate uses approx_percentile, whose state is bounded.
+    Population standard deviation; quantiles interpolate linearly. One aggregation for all columns, and exact_quantiles();
+    approximate uses approx_percentile instead, whose state is bounded, in the same aggregation.
     """
-    aggs = []
+    aggs, xs = [], []
     types = dict(df.dtypes)
     for i, c in enumerate(columns):
         x = number_value(_cell(c)) if types[c] == "string" else F.col(f"`{c}`").cast("double")
-        q = F.percentile_approx(x, [0.25, 0.5, 0.75], 10000) if approximate else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        aggs += [F.struct(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.stddev_pop(x).alias("stddev")).alias(f"s{i}")]
+        xs.append(F.struct(F.lit(c).alias("column"), x.alias("x")))
+        some = F.percentile_approx(x, [0.25, 0.5, 0.75], 10000)
+        q = [some[j].alias(k) for j, k in enumerate(("q1", "median", "q3"))] if approximate else []
+        aggs += [F.struct(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), *q, F.stddev_pop(x).alias("stddev")).alias(f"s{i}")]
     rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"s{i}").alias("s")) for i, c in enumerate(columns)))
-    return df.agg(*aggs).select(F.explode(rows).alias("x")).select("x.column", "x.s.*")
+    one = df.agg(*aggs).select(F.explode(rows).alias("x")).select("x.column", "x.s.*")
+    if not approximate:
+        q = exact_quantiles(df.select(F.explode(F.array(*xs)).alias("v")).select("v.*"), (0.25, 0.5, 0.75))
+        q = q.groupBy("column").agg(*(F.max(F.when(F.col("p") == p, F.col("q"))).alias(k) for k, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
+        one = one.join(q, "column", "left")
+    return one.select("column", "n", "min", "max", "mean", "q1", "median", "q3", "stddev")
 
 
 def profile_texts(df: DataFrame, columns: list[str], top: int = 3) -> DataFrame:

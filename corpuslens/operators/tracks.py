@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuslens.operators.folds import fold_in_order
+
 RADIUS = 6_371_000.0  # metres
 
 
@@ -36,20 +38,22 @@ def track_moving(points: DataFrame, pause: float = 60, track: str = "track_id",
 def track_climb(points: DataFrame, threshold: float = 2.0, track: str = "track_id", seq: str = "seq") -> DataFrame:
     """(track, ascent, descent): a reference elevation moves only when the change reaches the threshold.
 
-    Each step depends on the last accepted reference, so this is a fold over the track's sorted elevations; one track
-    must fit in a task (16 bytes a point).
+    Each step depends on the last accepted reference, so this is a fold over the track's points in order.
     """
-    e = points.where(F.col("ele").isNotNull()).groupBy(track).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col("ele").cast("double").alias("e")))).alias("p"))
-    zero = F.struct(F.lit(None).cast("double").alias("ref"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"))
-
-    def step(a, x):
-        d = x["e"] - a["ref"]
-        up, down = F.when(d >= threshold, a["up"] + d).otherwise(a["up"]), F.when(d <= -threshold, a["down"] - d).otherwise(a["down"])
-        ref = F.when(a["ref"].isNull() | (F.abs(d) >= threshold), x["e"]).otherwise(a["ref"])
-        return F.struct(ref.alias("ref"), F.coalesce(up, a["up"]).alias("up"), F.coalesce(down, a["down"]).alias("down"))
 
-    r = F.aggregate("p", zero, step)
-    return e.select(track, r["up"].alias("ascent"), r["down"].alias("descent"))
+    def step(state, heights):
+        ref, up, down, begun = state
+        for x in heights.tolist():
+            if not begun:
+                ref, begun = x, True
+            elif x - ref >= threshold:
+                ref, up = x, up + (x - ref)
+            elif ref - x >= threshold:
+                ref, down = x, down + (ref - x)
+        return ref, up, down, begun
+
+    e = points.withColumn("_e", F.col("ele").cast("double"))
+    return fold_in_order(e, track, seq, "_e", (0.0, 0.0, 0.0, False), step, f"{track} {dict(points.dtypes)[track]}, ref double, ascent double, descent double, begun boolean").drop("ref", "begun")
 
 
 def track_sensors(points: DataFrame, track: str = "track_id", columns: tuple[str, ...] = ("hr", "cad", "temp")) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuslens.operators.folds import fold_in_order
+
 VISIT_WINDOW = 3 * 86400  # seconds after a counted visit within which others don't count
 
 
@@ -67,15 +69,21 @@ def recent_history(history: DataFrame, now: Column, days: int = 7, n: int = 20)
 def count_visits(visits: DataFrame, client: str = "client", ts: str = "ts", window: int = VISIT_WINDOW) -> DataFrame:
     """(client, visits): a visit counts if none counted before or the last counted one is `window` seconds old or more.
 
-    It depends on the last *counted* visit, so a gap test is not enough: one fold over each client's sorted times. Times
-    are reduced to distinct seconds first; what one client has must fit in a task (8 bytes a time). streaming.visits()
-    keeps one value per client instead.
+    It depends on the last *counted* visit, so a gap test is not enough: a fold over each client's times in order, which
+    goes from one counted visit to the next.
     """
-    times = visits.where(F.col(ts).isNotNull()).groupBy(F.col(client).alias("client")).agg(F.array_sort(F.collect_set(F.unix_micros(F.col(ts).cast("timestamp")))).alias("t"))
     w = window * 1_000_000
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
-    fold = F.aggregate("t", zero, lambda a, x: F.when(a["last"].isNull() | (x - a["last"] >= w), F.struct(x.alias("last"), (a["n"] + 1).alias("n"))).otherwise(a))
-    return times.select("client", fold["n"].alias("visits"))
+    times = visits.where(F.col(ts).isNotNull()).select(F.col(client).alias("client"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
+
+    def step(state, t):
+        last, n = state
+        i = 0 if n == 0 else int(t.searchsorted(last + w))
+        while i < len(t):
+            last, n = int(t[i]), n + 1
+            i = int(t.searchsorted(last + w))
+        return last, n
+
+    return fold_in_order(times, "client", "t", "t", (0, 0), step, f"client {dict(times.dtypes)['client']}, last long, visits long").drop("last")
 
 
 def throttle(events: DataFrame, limit: int = 15, period: str = "1 minute", client: str = "client", ts: str = "ts", order: tuple[str, ...] = ()) -> DataFrame:
