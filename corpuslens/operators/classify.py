@@ -12,13 +12,26 @@ from corpuslens.operators.inventory import extension
 from corpuslens.operators.textstats import is_readable_text
 
 SIGNATURES = "ext string, offset int, magic_hex string, kind string, label string, priority int"
-#: A small default set; register_signatures() adds a user's own.
+# What files of public formats begin with (or hold at an offset), most telling first.
 DEFAULT_SIGNATURES = [
     ("png", 0, "89504E470D0A1A0A", "image", "PNG image", 10), ("jpg", 0, "FFD8FF", "image", "JPEG image", 20), ("gif", 0, "47494638", "image", "GIF image", 30),
     ("pdf", 0, "25504446", "document", "PDF document", 40), ("zip", 0, "504B0304", "archive", "ZIP archive", 50), ("gz", 0, "1F8B", "archive", "gzip data", 60),
     ("7z", 0, "377ABCAF271C", "archive", "7-Zip archive", 70), ("flac", 0, "664C6143", "audio", "FLAC audio", 80), ("ogg", 0, "4F676753", "audio", "Ogg container", 90),
-    ("mp3", 0, "494433", "audio", "MP3 audio with tags", 100), ("mp4", 4, "66747970", "video", "ISO media container", 110), ("exe", 0, "4D5A", "program", "Windows program", 120),
+    ("mp3", 0, "494433", "audio", "MP3 audio with tags", 100),
+    # brands of the ISO media container, then the container itself
+    ("heic", 4, "6674797068656963", "image", "HEIC image", 101), ("avif", 4, "6674797061766966", "image", "AVIF image", 102), ("mov", 4, "6674797071742020", "video", "QuickTime movie", 103), ("m4a", 4, "667479704D344120", "audio", "M4A audio", 104),
+    ("mp4", 4, "66747970", "video", "ISO media container", 110), ("exe", 0, "4D5A", "program", "Windows program", 120),
     ("elf", 0, "7F454C46", "program", "ELF program", 130), ("sqlite", 0, "53514C69746520666F726D6174203300", "database", "SQLite database", 140), ("tar", 257, "7573746172", "archive", "tar archive", 150),
+    # forms of RIFF, told apart at offset 8
+    ("webp", 8, "57454250", "image", "WebP image", 160), ("wav", 8, "57415645666D7420", "audio", "Wave audio", 161), ("avi", 8, "415649204C495354", "video", "AVI video", 162),
+    ("tif", 0, "49492A00", "image", "TIFF image, little-endian", 170), ("tif", 0, "4D4D002A", "image", "TIFF image, big-endian", 171), ("psd", 0, "38425053", "image", "Photoshop image", 172), ("ico", 0, "00000100", "image", "Windows icon", 173),
+    ("rar", 0, "526172211A07", "archive", "RAR archive", 180), ("xz", 0, "FD377A585A00", "archive", "xz data", 181), ("bz2", 0, "425A68", "archive", "bzip2 data", 182), ("zst", 0, "28B52FFD", "archive", "Zstandard data", 183), ("lz4", 0, "04224D18", "archive", "LZ4 data", 184), ("cab", 0, "4D534346", "archive", "Cabinet archive", 185), ("ar", 0, "213C617263683E0A", "archive", "ar archive", 186),
+    ("mkv", 0, "1A45DFA3", "video", "Matroska container", 190), ("flv", 0, "464C5601", "video", "Flash video", 191), ("mid", 0, "4D546864", "audio", "MIDI file", 192), ("aiff", 8, "41494646", "audio", "AIFF audio", 193),
+    ("class", 0, "CAFEBABE", "program", "Java class", 200), ("wasm", 0, "0061736D", "program", "WebAssembly module", 201), ("ole", 0, "D0CF11E0A1B11AE1", "document", "OLE compound file", 202), ("rtf", 0, "7B5C727466", "document", "Rich text", 203),
+    ("woff", 0, "774F4646", "font", "WOFF font", 210), ("woff2", 0, "774F4632", "font", "WOFF2 font", 211), ("otf", 0, "4F54544F", "font", "OpenType font", 212),
+    ("parquet", 0, "50415231", "database", "Parquet file", 220), ("avro", 0, "4F626A01", "database", "Avro file", 221), ("pcap", 0, "D4C3B2A1", "capture", "Packet capture", 222), ("pcapng", 0, "0A0D0D0A", "capture", "Packet capture, new form", 223),
+    # text starts
+    ("xml", 0, "3C3F786D6C", "text", "XML document", 300), ("html", 0, "3C21444F43545950452068746D6C", "text", "HTML document", 301), ("html", 0, "3C21646F63747970652068746D6C", "text", "HTML document", 302), ("ps", 0, "25215053", "document", "PostScript", 303), ("pem", 0, "2D2D2D2D2D424547494E20", "text", "PEM block", 304), ("sh", 0, "2321", "text", "Script", 305), ("ics", 0, "424547494E3A5643414C454E444152", "text", "Calendar", 306), ("vcf", 0, "424547494E3A5643415244", "text", "Contact card", 307),
 ]
 _registered: list[DataFrame] = []
 

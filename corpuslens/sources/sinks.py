@@ -9,13 +9,13 @@ LONGEST = 5000
 
 
 def write_findings_csv(findings: DataFrame, path: str) -> None:
-    """Section, Group, Field, Value with every field quoted, "" for a quote and CRLF line ends; long texts are cut with a note."""
+    """Section, Group, Field, Value in UTF-8 with a byte order mark, every field quoted, "" for a quote and CRLF line ends; long texts are cut with a note."""
     v = F.when(F.length("value") > LONGEST, F.concat(F.substring("value", 1, LONGEST), F.format_string(" ... (%d characters in all)", F.length("value")))).otherwise(F.col("value"))
     out = findings.select(F.col("section").alias("Section"), F.col("grp").alias("Group"), F.col("field").alias("Field"), v.alias("Value"))
     # the CSV writer takes one-character line ends only, so the lines are built here
     q = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
     lines = out.select(F.concat_ws(",", *(q(c) for c in out.columns)).alias("value"))
-    head = findings.sparkSession.createDataFrame([(",".join(f'"{c}"' for c in out.columns),)], "value string")
+    head = findings.sparkSession.createDataFrame([("\ufeff" + ",".join(f'"{c}"' for c in out.columns),)], "value string")
     head.coalesce(1).union(lines).write.option("lineSep", "\r\n").text(path)
 
 

@@ -181,7 +181,7 @@ def test_sinks(spark, tmp_path):
     assert d == {"A": {'q"x': "1", "k": ["2", "3"]}}
     sinks.write_findings_csv(f, f"file://{tmp_path}/csv")
     text = "".join(p.read_bytes().decode() for p in sorted((tmp_path / "csv").glob("part-*")))
-    assert text.startswith('"Section","Group","Field","Value"\r\n') and '"q""x"' in text and "(6000 characters in all)" in text and len(text) < 5500
+    assert text.startswith('\ufeff"Section","Group","Field","Value"\r\n') and '"q""x"' in text and "(6000 characters in all)" in text and len(text) < 5500
     sinks.write_backup(spark.createDataFrame([("a,b", None), ('q"', "x")], "a string, b string").coalesce(1), f"file://{tmp_path}/bak")
     assert next((tmp_path / "bak").glob("part-*")).read_text() == 'a,b\n"a,b",\n"q""",x\n'
 
@@ -240,3 +240,32 @@ def test_listing_is_limited_before_it_meets_the_count(spark, sf):
     want = [(r.path, r.size) for r in files.orderBy(F.desc("size"), "path").limit(300).collect()]
     assert [tuple(r) for r in df.collect()] == [(*x, files.count()) for x in want]
     assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_loudness_filter_by_blocks():
+    import numpy as np
+
+    from corpuslens.operators import signal
+
+    x = np.random.default_rng(0).normal(size=1001)
+    for b, a in signal._biquads(8000.0):
+        y, z1, z2 = [], 0.0, 0.0
+        for v in x:
+            o = b[0] * v + z1
+            z1, z2 = b[1] * v - a[0] * o + z2, b[2] * v - a[1] * o
+            y.append(o)
+        assert np.allclose(signal._filtered(x, b, a), y, atol=1e-10)
+
+
+def test_spectrogram_by_stretches(spark):
+    import numpy as np
+
+    from corpuslens.operators import signal
+
+    rng = np.random.default_rng(1)
+    clips = {"a": rng.normal(size=203), "b": rng.normal(size=16), "c": rng.normal(size=15)}
+    df = spark.createDataFrame([(k, i, float(v), 8000) for k, x in clips.items() for i, v in enumerate(x)], "clip_id string, idx long, v double, sample_rate int").repartition(5)
+    got = {(r.clip_id, r.frame): r.db for r in signal.spectrogram(df, 16, 4, together=5).collect()}
+    w = signal._window("hann", 16)
+    want = {(k, f): 20 * np.log10(np.abs(np.fft.rfft(x[4 * f : 4 * f + 16] * w))[:8] / w.sum() * 2 + 1e-12) for k, x in clips.items() for f in range((len(x) - 16) // 4 + 1) if len(x) >= 16}
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)

@@ -54,3 +54,19 @@ def test_report(spark):
     assert got == {("Empty column", "c"), ("Constant column", "a"), ("Duplicate rows", "rows")}
     clean = spark.createDataFrame([("1", "x"), ("2", "x"), ("3", "y")], "a string, b string")
     assert [r.value for r in profile.quality_report(clean, "t").collect()] == ["no issues found"]
+
+
+def test_quantiles_by_ranges_equal_interpolation(spark):
+    import random
+
+    rng = random.Random(4)
+    cols = {"a": [rng.randrange(20) for _ in range(501)], "b": [rng.gauss(0, 1) for _ in range(400)], "c": [7.5], "d": [1.0, 2.0]}
+    df = spark.createDataFrame([(k, float(x)) for k, v in cols.items() for x in v] + [("a", None)], "column string, x double").repartition(7)
+    got = {(r.column, r.p): r.q for r in profile.exact_quantiles(df, (0.0, 0.25, 0.5, 0.9, 1.0)).collect()}
+    for k, v in cols.items():
+        v = sorted(v)
+        for p in (0.0, 0.25, 0.5, 0.9, 1.0):
+            at = p * (len(v) - 1)
+            low = int(at)
+            assert abs(got[k, p] - (v[low] + (at - low) * (v[min(low + 1, len(v) - 1)] - v[low]))) < 1e-9
+    assert profile.exact_quantiles(df.where("x is null"), (0.5,)).count() == 0

@@ -45,3 +45,26 @@ def test_stream_equals_batch(spark, sf):
     assert got == {r.ext: (r["count"], r.supported) for r in usage.ext_stats(e.select(F.col("event_type").alias("ext"), (F.col("event_type") != "error").alias("supported"))).collect()}
     got = {r.client: r.visits for r in streams.QUERIES["x2_stream_visits"](spark, sf).collect()}
     assert got == {r.client: r.visits for r in usage.count_visits(e.withColumn("ts", F.col("ts").cast("timestamp")).withColumnRenamed("user_id", "client")).collect()}
+
+
+def test_folds_carry_their_state_across_batches(spark):
+    from corpuslens.operators.folds import fold_in_order
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    rows = [(k, i, (i * 7 + (k or 0)) % 11) for k in (None, 1, 2, 3) for i in range(30 + 5 * (k or 0))] + [(4, 0, None)]
+    df = spark.createDataFrame(rows, "k long, o long, v long").repartition(6)
+    got = {r.k: (r.n, r.s) for r in fold_in_order(df, "k", "o", "v", (0, 0), lambda s, v: (s[0] + len(v), int(s[1] * 31 ** len(v) % 1009 + sum(int(x) for x in v)) % 1009), "k long, n long, s long").collect()}
+    assert {k: n for k, (n, _) in got.items()} == {None: 30, 1: 35, 2: 40, 3: 45}
+    order = {r.k: r.s for r in fold_in_order(df, "k", "o", "v", (-1, 0), lambda s, v: (int(v[-1]), s[1] + sum(1 for a, b in zip([s[0], *v], v) if b > a)), "k long, last long, s long").collect()}
+    for k in (None, 1, 2, 3):
+        v = [x for a, _, x in rows if a == k]
+        assert order[k] == sum(1 for a, b in zip([-1, *v], v) if b > a)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_daily_table_keeps_the_open_day(spark, sf):
+    from corpuslens.plans import streams
+
+    days = streams.QUERIES["x3_stream_daily"](spark, sf).collect()
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    assert {r.day: r.n for r in days} == {str(r.d): r["count"] for r in e.selectExpr("cast(ts as date) d").groupBy("d").count().collect()}
