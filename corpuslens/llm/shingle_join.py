@@ -383,19 +383,51 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
     return np.frombuffer(blob, np.uint64, -1, 8 + k * _MEMBER.itemsize), *(np.repeat(heads[c], heads["n"]) for c in ("node", "lo", "hi", "met"))
 
 
-def short_list_meetings(docs: DataFrame, n: int, num: int, den: int, sketch, buckets: int, edges: bool, among=None) -> DataFrame:
-    """(a, b): how many of its short lists class a meets another one on (b), to be summed; or, if asked for, edges between classes that meet and whose sizes allow a link, or stand between such (a, b).
+def _counts_packed(who: np.ndarray, times: np.ndarray, keys: int):
+    """MEETS rows (bucket -2) of how often classes meet others, packed by a hash of the class."""
+    key = (mix(who.view(np.uint64) ^ _A) % np.uint64(keys)).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    who, times, key = who[order], times[order], key[order]
+    cut = np.flatnonzero(np.r_[True, np.diff(key) != 0])
+    blobs = [who[i:j].tobytes() + times[i:j].astype("<u4").tobytes() for i, j in zip(cut, np.r_[cut[1:], len(key)])]
+    return _meets(np.full(len(cut), -2), key[cut], np.zeros(len(cut), np.int64), blobs)
+
+
+def _counts_summed(batches):
+    """(node, times) of packed counts, rows of a key side by side."""
+    import pyarrow as pa
+
+    def summed(blobs):
+        n = [len(x) // 12 for x in blobs]
+        who, at = np.unique(np.concatenate([np.frombuffer(x, np.int64, k) for x, k in zip(blobs, n)]), return_inverse=True)
+        times = np.bincount(at, weights=np.concatenate([np.frombuffer(x, "<u4", k, 8 * k) for x, k in zip(blobs, n)])).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(who), pa.array(times)], names=["node", "times"])
+
+    key, blobs = None, []
+    for batch in batches:
+        for k, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if k != key and blobs:
+                yield summed(blobs)
+                blobs = []
+            key = k
+            blobs.append(blob.as_py())
+    if blobs:
+        yield summed(blobs)
+
+
+def short_list_meetings(docs: DataFrame, n: int, num: int, den: int, sketch, buckets: int, edges: bool, among=None) -> tuple[DataFrame, DataFrame]:
+    """(edges, counts): edges (a, b) between classes that meet on a short list and whose sizes allow a link, or stand between such (none unless asked for); and (node, times), on how many of its short lists a class meets others.
 
     A task settles what meets within it and hands on one member for each part of a list, packed by bucket of tokens; so a
     list that very many sets are on has a few entries a task in its bucket. among: a broadcast id_filter() of the documents
     to take.
     """
 
-    def told(a, b, who, times):
-        both = ((np.full(len(a), -1), a, b), (np.full(len(who), -2), who, times)) if edges else ((np.full(len(who), -2), who, times),)
-        for kind, x, y in both:
-            if len(x):
-                yield _meets(kind, x, y, [None] * len(x))
+    keys = 1 + buckets // 8
+
+    def linked(a, b):
+        if edges and len(a):
+            yield _meets(np.full(len(a), -1), a, b, [None] * len(a))
 
     def post(batches):
         import pyarrow as pa
@@ -406,8 +438,10 @@ def short_list_meetings(docs: DataFrame, n: int, num: int, den: int, sketch, buc
             token = np.concatenate([x[0] for x in held])
             n = [len(x[0]) for x in held]
             node, level = (np.repeat(np.array([x[i] for x in held], np.int64), n) for i in (1, 2))
-            token, node, lo, hi, met, *rest = stars(token, node, level, level)
-            yield from told(*rest)
+            token, node, lo, hi, met, a, b, who, times = stars(token, node, level, level)
+            yield from linked(a, b)
+            if len(who):
+                yield _counts_packed(who, times, keys)
             key = (mix(token ^ _B) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(key, kind="stable")
             cut = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
@@ -435,22 +469,42 @@ def short_list_meetings(docs: DataFrame, n: int, num: int, den: int, sketch, buc
             yield from flush()
 
     def meet(batches):
+        counts, size = [], 0
+
+        def told(blobs):
+            nonlocal counts, size
+            *_, a, b, who, times = stars(*(np.concatenate(x) for x in zip(*map(_unpacked, blobs))))
+            yield from linked(a, b)
+            counts.append((who, times))
+            size += len(who)
+            if size > CHUNK:
+                yield from packed()
+
+        def packed():
+            nonlocal counts, size
+            who, at = np.unique(np.concatenate([x[0] for x in counts]), return_inverse=True) if size else (np.zeros(0, np.int64), None)
+            if size:
+                yield _counts_packed(who, np.bincount(at, weights=np.concatenate([x[1] for x in counts])), keys)
+            counts, size = [], 0
+
         key, blobs = None, []
         for batch in batches:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if k != key and blobs:
-                    yield from told(*stars(*(np.concatenate(x) for x in zip(*map(_unpacked, blobs))))[5:])
+                    yield from told(blobs)
                     blobs = []
                 key = k
                 blobs.append(blob.as_py())
         if blobs:
-            yield from told(*stars(*(np.concatenate(x) for x in zip(*map(_unpacked, blobs))))[5:])
+            yield from told(blobs)
+        yield from packed()
 
     posted = materialize(docs.mapInArrow(post, MEETS), "short-lists")
     lists = posted.where("bucket >= 0").select("bucket", "lists").repartition("bucket").sortWithinPartitions("bucket")
-    met = posted.where("bucket < 0").unionByName(lists.mapInArrow(meet, MEETS))
-    out = materialize(met.groupBy("bucket", "a", F.when(F.col("bucket") == -1, F.col("b")).alias("b")).agg(F.sum(F.when(F.col("bucket") == -2, F.col("b"))).alias("times")), "meetings")
-    discard(posted)
+    met = materialize(posted.where("bucket < 0").unionByName(lists.mapInArrow(meet, MEETS)), "meetings")
+    counts = met.where("bucket = -2").select("a", "lists").repartition("a").sortWithinPartitions("a").mapInArrow(_counts_summed, "node long, times long")
+    out = materialize(met.where("bucket = -1").select("a", "b").distinct(), "candidate-edges"), materialize(counts, "meeting-counts")
+    discard(posted, met)
     return out
 
 
@@ -459,21 +513,19 @@ def candidates(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int,
     sketch = docs.sparkSession.sparkContext.broadcast(cells)
     need = F.greatest(F.lit(1), F.expr(f"(({num} * n + {den} - 1) div {den}) div 10"))  # meetings() of the smallest partner
 
-    def often(met: DataFrame) -> DataFrame:
-        times = met.where("bucket = -2").groupBy(F.col("a").alias("node")).agg(F.sum("times").alias("times"))
+    def often(times: DataFrame) -> DataFrame:
         return materialize(classes.where("rep is not null").join(times, "node").where(F.col("times") >= need).drop("times"), "live")
 
     def buckets(of: DataFrame) -> int:
         posts = of.agg(F.sum(F.col("n") * ((den - num) / den + 0.1) + 1)).first()[0] or 0
         return max(8, int(posts) // BUCKET)
 
-    first = short_list_meetings(docs, n, num, den, sketch, buckets(classes), False)
+    none, first = short_list_meetings(docs, n, num, den, sketch, buckets(classes), False)
     live = often(first)
     among = docs.sparkSession.sparkContext.broadcast(id_filter(live.select("rep")))
-    second = short_list_meetings(docs, n, num, den, sketch, buckets(live), True, among)
+    edges, second = short_list_meetings(docs, n, num, den, sketch, buckets(live), True, among)
     still = often(second)
-    edges = materialize(second.where("bucket = -1").select("a", "b"), "candidate-edges")
-    discard(first, second, live)
+    discard(none, first, second, live)
     return edges, still
 
 
