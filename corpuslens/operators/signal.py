@@ -82,7 +82,7 @@ def spectrogram(samples: DataFrame, fft: int = 2048, hop: int | None = None, win
         w, start = _window(window, fft), int(key[1]) * together * hop
         frames = min(together, (int(pdf["n"].iloc[0]) - start - fft) // hop + 1)
         if frames < 1:
-            return pd.DataFrame({"clip_id": [], "frame": [], "rate": [], "db": []})
+            return pd.DataFrame({"clip_id": pd.Series([], dtype=object), "frame": pd.Series([], dtype="int64"), "rate": pd.Series([], dtype="int64"), "db": pd.Series([], dtype=object)})
         x = np.zeros((frames - 1) * hop + fft)
         at = (pdf["idx"] - start).to_numpy()
         inside = at < len(x)
