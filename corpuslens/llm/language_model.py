@@ -1,11 +1,10 @@
 """Bigram language model in a log-frequency Bloom filter, and the scoring of texts with it.
 
 Counts are quantised to levels q = 1 + floor(log_BASE(count)) and an n-gram is inserted once for each level up to its
-own; a count comes back by probing level after level until one is missing (Talbot and Osborne 2007). The filter grows with
-the corpus, so it is built and probed in segments: texts are read in chunks, each chunk sends its different n-grams with
-their training counts to the tasks that hold their buckets, a bucket's task builds the segment of its n-grams, probes it
-for what every chunk asked, and the answers go back to the chunks. No task, nor the driver, holds more than one segment or
-one chunk, and all sizes of corpus are scored alike.
+own; a count comes back by probing level after level until one is missing (Talbot and Osborne 2007). The filter is built
+in segments by the tasks that count, and its size follows the number of different n-grams. It is broadcast where it
+stays under a stated size, as is the table of exact word counts; beyond that size the n-grams to look up are sent to
+their bucket and probed in its segment there. Both give the same scores.
 """
 
 from __future__ import annotations
@@ -25,7 +24,10 @@ BASE, BITS, HASHES = 1.5, 12, 8
 #: Weight of the word distribution in P(w | v) = (c(v w) + MU P(w)) / (c(v) + MU).
 MU = 200.0
 MODULUS, HELD_OUT = 7, 2
-#: Tokens of a chunk; characters of text for each bucket of n-grams (about).
+MAX_BROADCAST = 256 << 20
+#: Bytes of text that are scored or counted at once (about).
+MOST_BYTES = 4 << 20
+#: Tokens that a map task counts before it hands them on; characters of text for each bucket of n-grams (about).
 CHUNK_TOKENS, BUCKET_CHARS = 1_500_000, 4_000_000
 _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text; no word's hash is looked up in its place
@@ -89,11 +91,7 @@ class Filter:
         self.at = np.r_[0, np.cumsum(self.size)[:-1]].astype(np.uint64)
 
     def probe(self, h: np.ndarray) -> np.ndarray:
-        """Quantised count of each n-gram."""
-        return level_counts()[self.levels(h)]
-
-    def levels(self, h: np.ndarray) -> np.ndarray:
-        """Level of each n-gram, by repeated membership probes."""
+        """Quantised count of each n-gram, by repeated membership probes."""
         level, alive = np.zeros(len(h), np.int64), np.arange(len(h))
         n = 0
         while len(alive):
@@ -110,7 +108,7 @@ class Filter:
                 if not len(alive):
                     break
             level[alive] = n
-        return level
+        return level_counts()[level]
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
@@ -123,118 +121,84 @@ def smoothed(pair: np.ndarray, context: np.ndarray, word: np.ndarray, n: int, v:
     return np.log10(np.minimum((np.minimum(pair, context) + mu * p1) / (context + mu), 1.0))
 
 
-CHUNKS = "chunk long, ids array<long>, texts binary"
-ASKS = "key long, chunk long, hashes binary, counts binary"
-ANSWERS = "chunk long, key long, total long, types long, levels binary, exact binary"
-
-
-def _held(ids: list, texts: list[bytes | None]) -> bytes:
-    """Texts end to end, with their lengths (null: empty) before them, compressed."""
-    import zstandard
-
-    parts = [t or b"" for t in texts]
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(t) for t in parts], "<i8").tobytes() + b"".join(parts))
-
-
-def _texts_of(blob: bytes, n: int) -> list[bytes]:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    ends = 8 * n + np.cumsum(np.frombuffer(raw, "<i8", n)) if n else np.zeros(0, np.int64)
-    return [raw[a:b] for a, b in zip(np.r_[8 * n, ends[:-1]] if n else [], ends)]
-
-
-def chunks(docs: DataFrame) -> DataFrame:
-    """CHUNKS of docs(doc_id, text as bytes): texts of about CHUNK_TOKENS words that stay together from here on; a longer text is a chunk of its own."""
-
-    def run(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        part, row, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
-        schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.binary())])
-
-        def flush():
-            return pa.RecordBatch.from_pylist([dict(chunk=part << 32 | row, ids=ids, texts=_held(ids, texts))], schema=schema)
-
-        for b in batches:
-            for i, t in zip(b.column(0), b.column(1)):
-                ids.append(i.as_py())
-                texts.append(t.as_py())
-                size += 8 + len(texts[-1] or b"")
-                if size >= 6 * CHUNK_TOKENS:
-                    yield flush()
-                    row, ids, texts, size = row + 1, [], [], 0
+def _batches(batches, most: int):
+    """(doc_ids, texts) of up to `most` rows from batches of (doc_id, text as bytes), and of few megabytes but for a longer text."""
+    for b in batches:
+        ids, texts, size = [], [], 0
+        for i, t in zip(b.column(0), b.column(1)):
+            ids.append(i.as_py())
+            texts.append(t.as_py())
+            size += len(texts[-1] or b"")
+            if len(ids) >= most or size >= MOST_BYTES:
+                yield ids, texts
+                ids, texts, size = [], [], 0
         if ids:
-            yield flush()
-
-    return docs.mapInArrow(run, CHUNKS)
-
-
-def _dealt(h: np.ndarray, start: np.ndarray, buckets: int):
-    """By kind (1: words, 2: pairs): the different n-grams in the order of their buckets, where each bucket starts, and each token's place."""
-    for kind, x in ((1, h), (2, pairs(h, start)[1])):
-        x, at = np.unique(x, return_inverse=True)
-        b = bucket_of(x, buckets)
-        order = np.argsort(b, kind="stable")
-        place = np.empty(len(x), np.int64)
-        place[order] = np.arange(len(x))
-        yield kind, x[order], np.searchsorted(b[order], np.arange(buckets + 1)), place[at]
+            yield ids, texts
 
 
-def probed(held: DataFrame, buckets: int) -> DataFrame:
-    """ANSWERS to the n-grams of each chunk: for each of its buckets the levels (and of words the exact counts) in the chunk's order.
+def count_ngrams(docs: DataFrame, buckets: int) -> DataFrame:
+    """(kind, bucket, total, types, hashes, counts, segment) over the training texts of docs(doc_id, text as bytes).
 
-    And for each bucket of words a row with no chunk: tokens and different words of training. All n-grams of training are in
-    the segments, those seen once too.
+    kind 1: words; kind 2: pairs; all of both are in the segments, those seen once too. Map tasks sum within chunks and hand on packed
+    arrays, one a bucket; no text or n-gram travels as a row of its own, and a frequent n-gram counts once a chunk.
     """
 
-    def ask(batches):
+    def count(batches):
         import pyarrow as pa
 
         hashes = WordHashes()
-        for batch in batches:
-            for chunk, ids, texts in zip(*(batch.column(i) for i in range(3))):
-                ids = ids.as_py()
-                h, start = tokens(_texts_of(texts.as_py(), len(ids)), hashes)
-                train = np.repeat(np.array([not held_out(i) for i in ids]), np.diff(np.r_[start, len(h)]))
-                for kind, x, cut, place in _dealt(h, start, buckets):
-                    c = np.bincount(place[train], minlength=len(x)).astype("<u4")
-                    some = np.flatnonzero(cut[1:] > cut[:-1])
-                    for k in range(0, len(some), 256):
-                        few = some[k : k + 256]
-                        yield pa.RecordBatch.from_arrays([pa.array(kind * buckets + few), pa.array([chunk.as_py()] * len(few), pa.int64()), *(pa.array([a[cut[i] : cut[i + 1]].tobytes() for i in few], pa.binary()) for a in (x, c))], names=["key", "chunk", "hashes", "counts"])
 
-    def answer(batches):
+        def flush(held):
+            for kind in (1, 2):
+                h, c = np.unique(np.concatenate([x[kind - 1] for x in held]), return_counts=True)
+                b = bucket_of(h, buckets)
+                order = np.argsort(b, kind="stable")
+                h, c, b = h[order], c[order].astype(np.uint32), b[order]
+                cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+                ends = np.r_[cut[1:], len(b)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([kind * buckets + int(b[i]) for i in cut], pa.int64()), pa.array([h[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()), pa.array([c[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())],
+                    names=["key", "hashes", "counts"],
+                )
+
+        held, n = [], 0
+        for ids, texts in _batches(batches, 1024):
+            h, start = tokens([t for i, t in zip(ids, texts) if not held_out(i)], hashes)
+            if len(h):
+                held.append((h, pairs(h, start)[1]))
+                n += len(h)
+            if n >= CHUNK_TOKENS:
+                yield from flush(held)
+                held, n = [], 0
+        if held:
+            yield from flush(held)
+
+    def merge(batches):
         import pyarrow as pa
 
-        def told(key, rows):
-            x = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
-            h, at = np.unique(x, return_inverse=True)
-            c = np.bincount(at, weights=np.concatenate([np.frombuffer(r[2], "<u4") for r in rows]), minlength=len(h)).astype(np.int64)
-            seen, words = c > 0, key < 2 * buckets
-            level = Filter([build_segment(h[seen], c[seen])]).levels(h).astype(np.uint8)
-            if words:
-                yield dict(chunk=None, key=key, total=int(c.sum()), types=int(seen.sum()), levels=None, exact=None)
-            ends = np.cumsum([len(r[1]) // 8 for r in rows])
-            for (chunk, *_), i, j in zip(rows, np.r_[0, ends[:-1]], ends):
-                yield dict(chunk=chunk, key=key, total=0, types=0, levels=level[at[i:j]].tobytes(), exact=c[at[i:j]].astype("<i8").tobytes() if words else None)
-
-        schema = pa.schema([("chunk", pa.int64()), ("key", pa.int64()), ("total", pa.int64()), ("types", pa.int64()), ("levels", pa.binary()), ("exact", pa.binary())])
-        key, rows = None, []
-        for batch in batches:
-            for r in zip(*(batch.column(i) for i in range(4))):
-                k, *r = (x.as_py() for x in r)
-                if k != key and rows:
-                    yield pa.RecordBatch.from_pylist(list(told(key, rows)), schema=schema)
-                    rows = []
-                key = k
-                rows.append(r)
-        if rows:
-            yield pa.RecordBatch.from_pylist(list(told(key, rows)), schema=schema)
+        def row(key, parts):
+            h = np.concatenate([np.frombuffer(x, np.uint64) for x, _ in parts])
+            c = np.concatenate([np.frombuffer(x, np.uint32) for _, x in parts])
+            h, at = np.unique(h, return_inverse=True)
+            c = np.bincount(at, weights=c, minlength=len(h)).astype(np.int64)
+            kind, bucket = divmod(key, buckets)
+            total, types = int(c.sum()), len(h)
+            return pa.RecordBatch.from_pylist([dict(kind=kind, bucket=bucket, total=total, types=types, hashes=h.tobytes(), counts=c.tobytes(), segment=build_segment(h, c))], schema=schema)
+
+        schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("total", pa.int64()), ("types", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()), ("segment", pa.binary())])
+        key, parts = None, []
+        for b in batches:
+            for k, h, c in zip(*(b.column(i) for i in range(3))):
+                if k.as_py() != key:
+                    if parts:
+                        yield row(key, parts)
+                    key, parts = k.as_py(), []
+                parts.append((h.as_py(), c.as_py()))
+        if parts:
+            yield row(key, parts)
 
-    asks = held.mapInArrow(ask, ASKS).repartition(2 * buckets, "key").sortWithinPartitions("key", "chunk")
-    return asks.mapInArrow(answer, ANSWERS)
+    dealt = docs.mapInArrow(count, "key long, hashes binary, counts binary").repartition(2 * buckets, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(merge, "kind int, bucket int, total long, types long, hashes binary, counts binary, segment binary")
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -255,53 +219,153 @@ def _scores(ids: list, h: np.ndarray, start: np.ndarray, c: np.ndarray, about: n
     )
 
 
-def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
-
-    The model learns from the rows whose crc32(doc_id) mod 7 isn't 2 (a null doc_id trains). A null text is empty: one
-    token, the end. base_score is the add-one word model with exact counts; score is P(w | v) smoothed towards words,
-    with counts probed from the filter: quantised counts make it a score that is near, not equal to, a normalised
-    probability. Words are compared by 64-bit hash. Repeated rows are rows like others; other columns are ignored; an empty
-    table gives an empty result.
+def _by_broadcast(docs: DataFrame, model: DataFrame, buckets: int, n: int, v: int) -> DataFrame:
+    """Scores with the filter and the word counts on every worker; both are under the checked size."""
+    sc = docs.sparkSession.sparkContext
+    empty = build_segment(np.zeros(0, np.uint64), np.zeros(0))
+    segments = {kind: [empty] * buckets for kind in (1, 2)}
+    for kind, bucket, segment in model.select("kind", "bucket", "segment").toLocalIterator():
+        segments[kind][bucket] = bytes(segment)
+    filters = sc.broadcast((Filter(segments.pop(1)), Filter(segments.pop(2))))
+    words = [(np.frombuffer(r[0], np.uint64), np.frombuffer(r[1], np.int64)) for r in model.where("kind = 1").select("hashes", "counts").toLocalIterator()]
+    h = np.concatenate([np.zeros(0, np.uint64), *(w[0] for w in words)])
+    order = np.argsort(h)
+    table = sc.broadcast((h[order], np.concatenate([np.zeros(0, np.int64), *(w[1] for w in words)])[order]))
 
-    Scale: texts move once, compressed, to meet their answers; a chunk's different n-grams move once, 8 bytes each.
+    def score(batches):
+        hashes, (one, two), (known, times) = WordHashes(), filters.value, table.value
+        for ids, texts in _batches(batches, 512):
+            h, start = tokens(texts, hashes)
+            kinds, at = np.unique(h, return_inverse=True)
+            place = np.searchsorted(known, kinds)
+            place[place == len(known)] = 0
+            c = np.where(known[place] == kinds, times[place], 0)[at] if len(known) else np.zeros(len(h), np.int64)
+            about = one.probe(kinds)[at]
+            pair, of = np.unique(pairs(h, start)[1], return_inverse=True)
+            yield _scores(ids, h, start, c, about, two.probe(pair)[of], one.probe(np.array([END]))[0], n, v)
+
+    return docs.mapInArrow(score, SCORES)
+
+
+def _by_buckets(docs: DataFrame, model: DataFrame, buckets: int, n: int, v: int) -> DataFrame:
+    """Scores for models over the broadcast size: the same probes, made where the segments are.
+
+    Chunks of texts are kept as token hashes. A chunk sends each of its different n-grams once to the n-gram's bucket, packed
+    as one array a bucket; the bucket's task probes its segment and sends the answers back to the chunk. A task holds one
+    segment with one array, or one chunk with its answers.
     """
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, -(-chars // BUCKET_CHARS))
-    held = materialize(chunks(docs), "chunks")
-    told = materialize(probed(held, buckets), "ngram-levels")
-    n, v = told.where("chunk is null").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    import pyarrow as pa
+
+    kept = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("h", pa.binary()), ("start", pa.binary())])
+    asked = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()), ("segment", pa.binary())])
+    told = pa.schema([("chunk", pa.int64()), ("key", pa.int64()), ("ids", pa.list_(pa.int64())), ("h", pa.binary()), ("start", pa.binary()), ("exact", pa.binary()), ("about", pa.binary())])
+
+    def ddl(schema) -> str:
+        kinds = {pa.int64(): "long", pa.binary(): "binary"}
+        return ", ".join(f"{f.name} {kinds.get(f.type, 'array<long>')}" for f in schema)
+
+    def chunks(batches):
+        from pyspark import TaskContext
+
+        hashes, part, row = WordHashes(), TaskContext.get().partitionId(), 0
+
+        def flush(held):
+            start = np.concatenate([s + a for s, a in zip((x[2] for x in held), np.cumsum([0, *(len(x[1]) for x in held)]))])
+            return pa.RecordBatch.from_pylist([dict(chunk=part << 32 | row, ids=[i for x in held for i in x[0]], h=np.concatenate([x[1] for x in held]).tobytes(), start=start.tobytes())], schema=kept)
+
+        held, size = [], 0
+        for ids, texts in _batches(batches, 512):
+            h, start = tokens(texts, hashes)
+            if len(h):
+                held.append((ids, h, start))
+                size += len(h)
+            if size >= CHUNK_TOKENS:
+                yield flush(held)
+                held, size, row = [], 0, row + 1
+        if held:
+            yield flush(held)
+
+    def dealt(h, start):
+        """By kind: the different n-grams in the order of their buckets, where each bucket starts, and each token's place."""
+        for kind, x in ((1, h), (2, pairs(h, start)[1])):
+            x, at = np.unique(x, return_inverse=True)
+            b = bucket_of(x, buckets)
+            order = np.argsort(b, kind="stable")
+            place = np.empty(len(x), np.int64)
+            place[order] = np.arange(len(x))
+            yield kind, x[order], np.searchsorted(b[order], np.arange(buckets + 1)), place[at]
+
+    def ask(batches):
+        for batch in batches:
+            for chunk, _, h, start in zip(*(batch.column(i) for i in range(4))):
+                for kind, x, cut, _ in dealt(np.frombuffer(h.as_py(), np.uint64), np.frombuffer(start.as_py(), np.int64)):
+                    some = np.flatnonzero(cut[1:] > cut[:-1])
+                    k = len(some)
+                    yield pa.RecordBatch.from_arrays([pa.array(kind * buckets + some), pa.array([chunk.as_py()] * k, pa.int64()), pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], schema=asked)
+
+    def answer(batches):
+        held = part = known = times = None
+        for batch in batches:
+            for key, chunk, x, c, segment in zip(*(batch.column(i) for i in range(5))):
+                if chunk.as_py() is None:  # the bucket's segment comes before its questions
+                    held, part = key.as_py(), Filter([segment.as_py()])
+                    known, times = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(c.as_py(), np.int64)
+                    continue
+                x = np.frombuffer(x.as_py(), np.uint64)
+                exact, about = np.zeros(len(x), np.int64), np.zeros(len(x))
+                if key.as_py() == held:
+                    about = part.probe(x)
+                    if key.as_py() < 2 * buckets and len(known):
+                        at = np.searchsorted(known, x)
+                        at[at == len(known)] = 0
+                        exact = np.where(known[at] == x, times[at], 0)
+                yield pa.RecordBatch.from_pylist([dict(chunk=chunk.as_py(), key=key.as_py(), exact=exact.tobytes(), about=about.tobytes())], schema=told)
 
     def score(batches):
-        hashes = WordHashes()
         ids = h = start = one = two = None
         left = 0
         for batch in batches:
             for r in range(batch.num_rows):
-                chunk, k, i, texts, levels, exact = (batch.column(c)[r].as_py() for c in range(6))
-                if k is None:  # the chunk comes before its answers
-                    ids = i
-                    h, start = tokens(_texts_of(texts, len(ids)), hashes)
-                    one, two = _dealt(h, start, buckets)
-                    c, a, p = np.zeros(len(one[1]), np.int64), np.zeros(len(one[1]), np.uint8), np.zeros(len(two[1]), np.uint8)
+                chunk, key, i, x, s, exact, about = (batch.column(c)[r].as_py() for c in range(7))
+                if i is not None:  # the chunk comes before its answers
+                    ids, h, start = i, np.frombuffer(x, np.uint64), np.frombuffer(s, np.int64)
+                    one, two = dealt(h, start)
+                    c, a, p = np.zeros(len(one[1]), np.int64), np.zeros(len(one[1])), np.zeros(len(two[1]))
                     left = len(one[1]) + len(two[1])
                     continue
-                kind, bucket = divmod(k, buckets)
+                kind, bucket = divmod(key, buckets)
                 cut = (one if kind == 1 else two)[2]
-                (a if kind == 1 else p)[cut[bucket] : cut[bucket + 1]] = np.frombuffer(levels, np.uint8)
+                (a if kind == 1 else p)[cut[bucket] : cut[bucket + 1]] = np.frombuffer(about)
                 if kind == 1:
-                    c[cut[bucket] : cut[bucket + 1]] = np.frombuffer(exact, "<i8")
+                    c[cut[bucket] : cut[bucket + 1]] = np.frombuffer(exact, np.int64)
                 left -= int(cut[bucket + 1] - cut[bucket])
                 if not left:
-                    about = level_counts()[a][one[3]]
-                    yield _scores(ids, h, start, c[one[3]], about, level_counts()[p][two[3]], about[start[1] - 1 if len(start) > 1 else -1], n, v)
+                    a_token = a[one[3]]
+                    yield _scores(ids, h, start, c[one[3]], a_token, p[two[3]], a_token[start[1] - 1 if len(start) > 1 else -1], n, v)
 
+    held = materialize(docs.mapInArrow(chunks, ddl(kept)), "chunks")
+    segments = model.select((F.col("kind").cast("long") * buckets + F.col("bucket")).alias("key"), F.lit(None).cast("long").alias("chunk"), "hashes", "counts", "segment")
+    asks = segments.unionByName(held.mapInArrow(ask, ddl(asked))).repartition(2 * buckets, "key").sortWithinPartitions("key", F.col("chunk").asc_nulls_first())
+    answers = asks.mapInArrow(answer, ddl(told))
     null = lambda t: F.lit(None).cast(t)
-    questions = held.select("chunk", null("long").alias("key"), "ids", "texts", null("binary").alias("levels"), null("binary").alias("exact"))
-    answers = told.where("chunk is not null").select("chunk", "key", null("array<long>").alias("ids"), null("binary").alias("texts"), "levels", "exact")
-    met = questions.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", F.col("key").asc_nulls_first())
-    return met.select("chunk", "key", "ids", "texts", "levels", "exact").mapInArrow(score, SCORES)
+    questions = held.select("chunk", null("long").alias("key"), "ids", "h", "start", null("binary").alias("exact"), null("binary").alias("about"))
+    return questions.unionByName(answers).repartition(2 * buckets, "chunk").sortWithinPartitions("chunk", F.col("key").asc_nulls_first()).mapInArrow(score, SCORES)
+
+
+def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
+
+    The model learns from the rows whose crc32(doc_id) mod 7 isn't 2 (a null doc_id trains). A null text is empty: one
+    token, the end. base_score is the add-one word model with exact counts; score is P(w | v) smoothed towards words,
+    with counts probed from the filter. Words are compared by 64-bit hash. Other columns are ignored.
+    """
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8, -(-chars // BUCKET_CHARS))
+    model = materialize(count_ngrams(docs, buckets), "ngram-counts")
+    n, v, size = model.agg(F.sum(F.when(F.col("kind") == 1, F.col("total"))), F.sum(F.when(F.col("kind") == 1, F.col("types"))), F.sum(F.length("segment") + F.when(F.col("kind") == 1, F.col("types") * 16).otherwise(0))).first()
+    n, v = n or 0, v or 0
+    return _by_broadcast(docs, model, buckets, n, v) if (size or 0) <= max_broadcast else _by_buckets(docs, model, buckets, n, v)
 
 
 def op7(docs: DataFrame) -> DataFrame:
