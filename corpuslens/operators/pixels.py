@@ -96,12 +96,12 @@ def lsb_share(pixels: DataFrame) -> DataFrame:
 
 
 def apply_lut(pixels: DataFrame, lut: DataFrame, size: int, low: float = 0.0, high: float = 255.0) -> DataFrame:
-    """pixels plus lr, lg, lb through a size**3 table of lut(i, r, g, b), red index fastest: trilinear, input clamped to the domain.
+    """pixels plus lr, lg, lb through a size**3 table of lut(i, r, g, b), red index fastest: trilinear, input clamped to the domain. Equal rows of pixels are one.
 
     The eight corners of a pixel's cell are exploded and met with the table in one join, then weighed and summed.
     """
     at = {c: F.least(F.greatest((F.col(c) - low) / (high - low), F.lit(0.0)), F.lit(1.0)) * (size - 1) for c in "rgb"}
-    p = pixels.withColumns({f"_{c}": at[c] for c in "rgb"}).withColumns({f"_{c}0": F.least(F.floor(f"_{c}"), F.lit(size - 2)).cast("long") for c in "rgb"})
+    p = pixels.dropDuplicates(["image_id", "x", "y", "r", "g", "b"]).withColumns({f"_{c}": at[c] for c in "rgb"}).withColumns({f"_{c}0": F.least(F.floor(f"_{c}"), F.lit(size - 2)).cast("long") for c in "rgb"})
     corner = lambda dr, dg, db: F.struct(((F.col("_r0") + dr) + (F.col("_g0") + dg) * size + (F.col("_b0") + db) * size * size).alias("i"), (F.abs(1 - dr - (F.col("_r") - F.col("_r0"))) * F.abs(1 - dg - (F.col("_g") - F.col("_g0"))) * F.abs(1 - db - (F.col("_b") - F.col("_b0")))).alias("w"))
     e = p.select("image_id", "x", "y", "r", "g", "b", F.explode(F.array(*(corner(i & 1, i >> 1 & 1, i >> 2) for i in range(8)))).alias("c")).select("image_id", "x", "y", "r", "g", "b", "c.i", "c.w").where("w > 0")
     t = lut.select("i", *(F.col(c).alias(f"t{c}") for c in "rgb"))
