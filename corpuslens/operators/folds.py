@@ -20,10 +20,11 @@ def fold_in_order(df: DataFrame, key: str, order: str, value: str, start: tuple,
         import pyarrow as pa
 
         names = [x.split()[0] for x in schema.split(", ")]
+        kinds = [{"long": pa.int64(), "double": pa.float64()}.get(x.split()[1]) for x in schema.split(", ")][1:]
         open_, done, state = None, [], start
 
         def flush(kind):
-            return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], kind), *(pa.array([d[1][i] for d in done]) for i in range(len(start)))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], kind), *(pa.array([d[1][i] for d in done], kinds[i]) for i in range(len(start)))], names=names)
 
         for b in batches:
             keys, values = b.column(0), b.column(1).to_numpy(zero_copy_only=False)

@@ -59,9 +59,9 @@ def character_entropy(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def entropy_profile(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
-    """(path, chunks, mean, min, max, verdict): entropy of each file's bytes in 64 to 512 chunks; files under 256 bytes are skipped.
+    """(path, chunks, mean, min, max, verdict): entropy of each file's bytes in 64 to 512 chunks; files under 256 bytes, or without content, are skipped.
 
-    The bytes are counted inside the task; only one small array a file leaves it.
+    path keeps its type, whatever that is. The bytes are counted inside the task; only one small array a file leaves it.
     """
 
     def run(batches):
@@ -80,9 +80,10 @@ def entropy_profile(files: DataFrame, content: str = "content", path: str = "pat
                     c = np.bincount(data[a : a + size])
                     p = c[c > 0] / c.sum()
                     bits.append(float(-(p * np.log2(p)).sum()))
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()]), pa.array([bits])], names=["path", "bits"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([bits], pa.list_(pa.float64()))], names=["path", "bits"])
 
-    per = files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInArrow(run, "path string, bits array<double>")
+    kept = files.select(F.col(path).alias("path"), F.col(content).alias("content"))
+    per = kept.mapInArrow(run, f"path {kept.schema['path'].dataType.simpleString()}, bits array<double>")
     mean = F.aggregate("bits", F.lit(0.0), lambda a, x: a + x) / F.size("bits")
     m = per.select("path", F.size("bits").alias("chunks"), mean.alias("mean"), F.array_min("bits").alias("min"), F.array_max("bits").alias("max"))
     verdict = F.when((F.col("max") > 7.5) & (F.col("max") - F.col("min") > 1.5), "embedded high-entropy region").when(F.col("mean") > 7.5, "uniformly high").when(F.col("mean") < 4.5, "low").otherwise("mixed")

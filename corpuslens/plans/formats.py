@@ -254,8 +254,8 @@ def _sidecars(s, d):
 
 
 def _entropy(s, d):
-    t = table(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
-    return textstats.entropy_profile(t)
+    t = table(s, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
+    return textstats.entropy_profile(t).withColumns({c: F.round(c, 6) for c in ("mean", "min", "max")})
 
 
 QUERIES = {
@@ -326,6 +326,15 @@ ORACLE = {
     "a44_crash_facts": "select o_orderkey as path, 'app' || o_custkey as process, '1.' || o_orderkey as version, 'EXC_BAD' as exception, cast(o_orderkey % 9 as varchar) as thread, case when o_orderkey % 2 = 0 then '' else '6F9619FF-8B86-D011-B42D-00C04FC964FF' end as uuids, cast(o_orderkey % 2 as int) as images from orders",
     "a45_contacts": "select cast(c_nationkey as varchar) as path, case when c_custkey % 2 = 0 then c_name else 'First Last' || c_custkey end as name, c_mktsegment || ', Unit' as organisation, c_custkey || '@example.com,b@example.com' as emails, '1' as phones, '1 Road, Town' as addresses from customer",
     "a26_web_archive": "select cast(o_custkey as varchar) as path, count(*) as records, count(distinct o_orderkey) as urls, count(distinct o_orderkey % 5) as hosts, strftime(min(o_orderdate), '%Y-%m-%d') as first, strftime(max(o_orderdate), '%Y-%m-%d') as last, count(*) filter (where o_orderkey % 2 = 0) as request, count(*) filter (where o_orderkey % 2 = 1) as response from orders group by 1",
+    "a10_entropy_profile": """with d as (select doc_id, hex(encode(text)) as h, octet_length(encode(text)) as n from documents),
+      s as (select doc_id, h, cast(ceil(n / cast(least(512, greatest(64, n // 256)) as double)) as bigint) as size from d where n >= 256),
+      b as (select doc_id, size, unnest(regexp_extract_all(h, '..')) as byte, generate_subscripts(regexp_extract_all(h, '..'), 1) - 1 as i from s),
+      c as (select doc_id, i // size as chunk, byte, count(*) as n from b group by all),
+      p as (select doc_id, chunk, n, sum(n) over (partition by doc_id, chunk) as total from c),
+      e as (select doc_id, chunk, -sum(n / cast(total as double) * log2(n / cast(total as double))) as bits from p group by all),
+      m as (select doc_id as path, cast(count(*) as int) as chunks, avg(bits) as mean, min(bits) as min, max(bits) as max from e group by 1)
+      select path, chunks, round(mean, 6) as mean, round(min, 6) as min, round(max, 6) as max,
+        case when max > 7.5 and max - min > 1.5 then 'embedded high-entropy region' when mean > 7.5 then 'uniformly high' when mean < 4.5 then 'low' else 'mixed' end as verdict from m""",
     "t6_ragged_rows": r"""with l as (select doc_id, list_transform(regexp_split_to_array(text, '\r?\n'), lambda x: len(string_split(x, ','))) as n from documents where text is not null), r as (select doc_id as path, cast(n[1] as int) as header_cells, cast(len(n) - 1 as bigint) as data_rows, cast(len(list_filter(n[2:], lambda x: x <> n[1])) as bigint) as ragged from l)
       select *, cast(case when data_rows = 0 then 100 else floor(100.0 * (data_rows - ragged) / data_rows + 0.5) end as bigint) as confidence from r""",
     "w17_midi_duration": f"""with t as (select l_orderkey as file, no * 480 as tick, cast(trunc(l_quantity * 10000) as bigint) as us from {_ITEMS} union all select distinct l_orderkey, 0, 500000 from lineitem), n as (select *, greatest(coalesce(lead(tick) over (partition by file order by tick), 4800) - tick, 0) as n from t)
