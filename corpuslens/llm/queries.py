@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import images, language_model, mixing, packing, pii, quality, repeats, shingle_join, token_files, urls
+from corpuslens.llm import images, language_model, lines, mixing, packing, pii, quality, repeats, shingle_join, token_files, urls
 from corpuslens.session import ensure_on_workers, table
 
 
@@ -26,8 +26,9 @@ def queries() -> dict:
         "op8_image_copies": _over("embeddings", images.op8),
         "op9_repeats": _over("documents", repeats.op9),
         "op10_packing": _over("documents", packing.op10),
+        "op12_line_dedup": _over("documents", lines.op12),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.OP3_SQL, "op5_mixing": mixing.OP5_SQL, "op6_url_filters": urls.OP6_SQL}
+    return {"op3_quality_rules": quality.OP3_SQL, "op5_mixing": mixing.OP5_SQL, "op6_url_filters": urls.OP6_SQL, "op12_line_dedup": lines.OP12_SQL}
