@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 HEAVY = 1 / 10_000
 
 
-def join_by_key(rows: DataFrame, counted: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
-    """rows joined (inner) with counted, which has one row a key, its values, and n: how many of rows have the key.
+def join_by_key(rows: DataFrame, counted: DataFrame, keys: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with counted, which has one row a key, its values, and n: how many of rows have the key.
 
     Heavy keys, of which there are at most 10,000 whatever the input's size, are broadcast, and their rows are dealt evenly
     over all tasks. All others are joined by shuffle, where no key then has more than a ten-thousandth of the rows. counted
@@ -23,4 +23,5 @@ def join_by_key(rows: DataFrame, counted: DataFrame, keys: list[str], n: str = "
     marked = rows.join(F.broadcast(heavy), keys, "left")
     marked = marked.withColumn("spread", F.when(F.col("of_heavy").isNotNull(), 1 + F.monotonically_increasing_id()).otherwise(0))
     met = marked.join(light, [*keys, "spread"], "left").withColumn("of_key", F.coalesce("of_heavy", "of_light"))
-    return met.where(F.col("of_key").isNotNull()).select(*rows.columns, *(F.col("of_key").getField(c).alias(c) for c in values))
+    met = met.where(F.col("of_key").isNotNull()) if how == "inner" else met
+    return met.select(*rows.columns, *(F.col("of_key").getField(c).alias(c) for c in values))
