@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import conversations, images, language_model, lines, mixing, packing, pii, quality, repeats, shingle_join, token_files, urls
+from corpuslens.llm import alignment, conversations, images, language_model, lines, mixing, packing, pii, quality, repeats, shingle_join, token_files, urls
 from corpuslens.session import ensure_on_workers, table
 
 
@@ -26,6 +26,7 @@ def queries() -> dict:
         "op8_image_copies": _over("embeddings", images.op8),
         "op9_repeats": _over("documents", repeats.op9),
         "op10_packing": _over("documents", packing.op10),
+        "op11_tokenizer_alignment": _over("documents", alignment.op11),
         "op12_line_dedup": _over("documents", lines.op12),
         "op13_conversation_repair": _over("conversations", conversations.op13),
     }

@@ -19,7 +19,7 @@ _REMEMBER, _LONGEST = 120_000, 48
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Up to here letters, digits, case and composition are the same in every Unicode version.
 _LATIN = "\u024f"
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -35,10 +35,11 @@ class Encoder:
     Words between cuts are remembered, up to a fixed number of short ones. A new word of Latin letters is split by the
     tokenizer's own pattern into pieces, whose ids its model gives and which are remembered too; any other word is
     encoded by itself. Where the text of an added token stands (such as an end-of-text mark) the token's id is given, and
-    what stands around it is encoded alone, as the library does. The result is the same as encoding each text whole.
+    what stands around it is encoded alone, as the library does; plain: such a text is a text like others. The result is
+    the same as encoding each text whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,7 +50,8 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         self.split, self.lower = self._rule()
         self.letters = _byte_letters()
-        self.added, self.marks = self._added()
+        self.added, self.marks = ({}, None) if plain else self._added()
+        self.tok.encode_special_tokens = plain
 
     def _added(self):
         """Ids of the tokens that the file adds to its model, by their text, and the pattern that finds them; other kinds of such tokens are refused."""
@@ -113,7 +115,7 @@ class Encoder:
                 between = iter(self.ids(parts[::2]))
                 out.append(b"".join([self.added[x] if i % 2 else next(between) for i, x in enumerate(parts)]))
                 continue
-            if "  " in t or " \n" in t or "\n " in t or t[0] == " " or t[-1] == " " or any(c in t for c in _RARE):
+            if "  " in t or " \n" in t or "\n " in t or t[-1] == " " or any(c in t for c in _RARE):
                 head, *rest = _CUT.split(t)
                 rest, plain = [x[1:] for x in rest], False
             else:
@@ -134,11 +136,11 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """One per worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, plain: bool = False) -> Encoder:
+    """One per worker process, file and way of reading added tokens."""
+    if (path, plain) not in _encoders:
+        _encoders[path, plain] = Encoder(path, plain)
+    return _encoders[path, plain]
 
 
 def small_batches(batches, columns: tuple[str, ...], most_chars: int = 4_000_000):
