@@ -7,6 +7,7 @@ import json
 import math
 import re
 import zlib
+from array import array
 from functools import reduce
 
 import numpy as np
@@ -16,47 +17,61 @@ from pyspark.sql import functions as F
 from corpuslens.llm.tokens import _byte_letters, encoder, small_batches
 from corpuslens.session import ensure_on_workers, materialize
 
-#: No piece holds a space after another character, so a text may be cut before such a space.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_STRETCH = 1 << 16
+#: No piece holds a space after another character, so a text may be cut before a space that follows one.
+_CUT = re.compile(r"(?<=[^ ▁]) (?!\Z)")
+_WIDE = "▁"
+_REMEMBER, _LONGEST = 120_000, 48
 #: Id pairs that are broadcast at once, 13 bytes each; the table's other slices get passes of their own.
 SLICE = 2_000_000
-_pieces: dict[str, tuple] = {}
+_pieces: dict[str, Pieces] = {}
 _bytes: dict[str, list] = {}
 
 
-def piece_model(path: str) -> tuple:
-    """(model, bytes of each id) of a sentencepiece file; one per worker process. Models that need other cuts are refused."""
-    if path not in _pieces:
+class Pieces:
+    """ids(texts) of a sentencepiece file: those of each whole text, or None where the pieces' bytes aren't a space and the text.
+
+    Between cuts a text is encoded alone: the model puts a space before it, which is the one that was cut. Short stretches
+    (words, as a rule) are remembered, up to a fixed number. Models that merge over spaces, or change them, are refused.
+    """
+
+    def __init__(self, path: str):
         import sentencepiece
 
-        m = sentencepiece.SentencePieceProcessor(model_file=path)
+        m = self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [m.id_to_piece(i) for i in range(m.get_piece_size())]
-        if any("▁" in p.lstrip("▁") for p in pieces) or m.encode("a  b", out_type=str)[0] != "▁a" or m.decode(m.encode("a  b")) != "a  b":
-            raise ValueError(f"{path} merges over spaces, or changes them")
-        _pieces[path] = m, [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        if any("▁" in p.lstrip("▁") for p in pieces) or m.encode("a  b", out_type=str)[0] != "▁a" or m.decode(m.encode("a  b")) != "a  b" or len(pieces) > 1 << 16:
+            raise ValueError(f"{path} merges over spaces, changes them or has too many pieces")
+        self.bytes = [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.words: dict[str, bytes] = {}
+
+    def _new(self, parts: list[str]) -> list[bytes | None]:
+        found = self.model.encode(parts, num_threads=1)
+        right = (b"".join(map(self.bytes.__getitem__, ids)) == (" " + p).encode() for ids, p in zip(found, parts))
+        return [array("H", ids).tobytes() if ok else None for ids, ok in zip(found, right)]
+
+    def ids(self, texts: list[str]) -> list[np.ndarray | None]:
+        if len(self.words) > _REMEMBER:
+            self.words.clear()
+        cut = [(t.split(" ") if "  " not in t and t[:1] != " " and t[-1:] != " " and not any(c in t for c in _WIDE) else _CUT.split(t)) if t else [] for t in texts]
+        new = list({w for parts in cut for w in parts if w not in self.words})
+        known = {}
+        for s in range(0, len(new), 4096):
+            known |= zip(new[s : s + 4096], self._new(new[s : s + 4096]))
+        words, out = self.words, []
+        for parts in cut:
+            found = [words.get(w) or known[w] for w in parts]
+            out.append(None if None in found else np.frombuffer(b"".join(found), "<u2").astype(np.int64))
+        words |= {w: x for w, x in known.items() if x is not None and len(w) <= _LONGEST}
+        return out
+
+
+def piece_model(path: str) -> Pieces:
+    """One per worker process and file."""
+    if path not in _pieces:
+        _pieces[path] = Pieces(path)
     return _pieces[path]
 
 
-def piece_ids(path: str, texts: list[str]) -> list[np.ndarray]:
-    """Ids of each text, which are those of its stretches: the model puts a space before each, which is the one that was cut."""
-    model, _ = piece_model(path)
-    parts, of = [], []
-    for i, t in enumerate(texts):
-        at = 0
-        while t:
-            m = _CUT.search(t, at + _STRETCH) if len(t) - at > _STRETCH else None
-            parts.append(t[at : m.start()] if m else t[at:])
-            of.append(i)
-            if not m:
-                break
-            at = m.end()
-    found: list[list] = [[] for _ in texts]
-    for i, ids in zip(of, model.encode(parts, num_threads=1)):
-        found[i].append(np.array(ids, np.int64))
-    return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in found]
-
-
 def byte_tokens(path: str) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary file."""
     if path not in _bytes:
@@ -118,21 +133,19 @@ class Aligned:
 
     def __init__(self, texts: list[str | None], a_path: str, b_path: str):
         enc, texts = encoder(a_path, plain=True), [t or "" for t in texts]
-        a_bytes, (_, b_bytes) = byte_tokens(a_path), piece_model(b_path)
+        a_bytes, pieces = byte_tokens(a_path), piece_model(b_path)
         a = [np.frombuffer(x, enc.dtype).astype(np.int64) for x in enc.ids([" " + t if t else "" for t in texts])]
-        b = piece_ids(b_path, texts)
+        b = pieces.ids(texts)
         for i, t in enumerate(texts):
-            if t:
-                want = (" " + t).encode()
-                if b"".join(map(a_bytes.__getitem__, a[i].tolist())) != want or b"".join(map(b_bytes.__getitem__, b[i].tolist())) != want:
-                    a[i] = b[i] = np.zeros(0, np.int64)
+            if t and (b[i] is None or b"".join(map(a_bytes.__getitem__, a[i].tolist())) != (" " + t).encode()):
+                a[i] = b[i] = np.zeros(0, np.int64)
         at = lambda x: np.r_[0, np.cumsum([len(y) for y in x], dtype=np.int64)]
         self.a_at, self.b_at = at(a), at(b)
         self.a, self.b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         ends = lambda ids, table: np.cumsum(np.array([len(x) for x in table], np.int64)[ids])
-        self.cut_a, self.cut_b = shared_cuts(ends(self.a, a_bytes), ends(self.b, b_bytes), self.a_at, self.b_at)
+        self.cut_a, self.cut_b = shared_cuts(ends(self.a, a_bytes), ends(self.b, pieces.bytes), self.a_at, self.b_at)
         self.cut_at = np.searchsorted(self.cut_a, self.a_at)
-        self.n_a, self.n_b = len(a_bytes), len(b_bytes)
+        self.n_a, self.n_b = len(a_bytes), len(pieces.bytes)
         if self.n_a * self.n_b > 1 << 32:
             raise ValueError("id pairs of these vocabularies don't fit in 32 bits")
 
@@ -307,5 +320,5 @@ def op11(docs: DataFrame) -> DataFrame:
 
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     links = link_tables(docs, a, b)
-    scores = score_links(links, len(piece_model(b)[1]))
+    scores = score_links(links, len(piece_model(b).bytes))
     return links.join(scores, "row").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

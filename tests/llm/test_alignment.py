@@ -66,7 +66,7 @@ def test_against_whole_texts(spark, texts, slice_):
     every = texts + ODD
     want, groups = brute(every)
     links = al.link_tables(frame(spark, every), A, B)
-    scores = {r["row"]: r for r in al.score_links(links, len(al.piece_model(B)[1]), slice_).collect()}
+    scores = {r["row"]: r for r in al.score_links(links, len(al.piece_model(B).bytes), slice_).collect()}
     got = {r["doc_id"]: (r["n_a"], r["n_b"], r["n_groups"], r["n_links"], scores[r["row"]]["n_best"], scores[r["row"]]["count_sum"], r["groups_sha256"]) for r in links.collect()}
     assert [got[i] for i in range(len(every))] == want
     for r in al.align_tokens(frame(spark, every), A, B).collect():
