@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuslens.functions.scalars import note_of
+from corpuslens.session import ensure_on_workers
+
 CLIPPED = 0.999
 
 
@@ -63,151 +65,365 @@ def _window(name: str, n: int):
     return {"hann": 0.5 - 0.5 * np.cos(t), "hamming": 0.54 - 0.46 * np.cos(t), "blackman": 0.42 - 0.5 * np.cos(t) + 0.08 * np.cos(2 * t), "rect": np.ones(n)}[name]
 
 
-def spectrogram(samples: DataFrame, fft: int = 2048, hop: int | None = None, window: str = "hann", together: int = 512) -> DataFrame:
-    """(clip_id, frame, rate, db array) of mono samples: magnitude over the window's sum, doubled, in dB.
+def _periodic_hann(n: int):
+    import numpy as np
+
+    return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+
+
+def clip_lengths(samples: DataFrame) -> DataFrame:
+    """(clip_id, n, rate): n counts up to the last index."""
+    return samples.groupBy("clip_id").agg((F.max("idx") + 1).alias("n"), F.max("sample_rate").alias("rate"))
+
 
-    A task transforms `together` consecutive frames at once; a sample goes to the stretches of frames that hold it, which
-    is one but near their ends. So a long clip spreads over all tasks.
+def _by_stretch(samples: DataFrame, fft: int, hop: int, together: Column, work, schema: str, before: int = 0, after: int = 0) -> DataFrame:
+    """Rows of work() for each stretch of `together` frames of each clip; a frame is fft samples, every hop samples.
+
+    work(clip_id, stretch, first, frames, n, rate): frames is a matrix of the stretch's frames with `before` frames ahead of
+    them and `after` behind, as far as the clip has them; first is the number of its first row. Channels are averaged, and
+    missing samples are 0. A sample goes to the stretches whose frames hold it, so a task has one stretch in memory and a
+    long clip is many tasks.
     """
-    hop = hop or fft // 4
+    ensure_on_workers(samples.sparkSession)
+    whole = samples.join(clip_lengths(samples).withColumn("together", together.cast("long")), "clip_id")
     first = F.greatest(F.lit(0), F.ceil((F.col("idx") - fft + 1) / hop)).cast("long")
-    stretch = F.sequence(F.floor(first / together), F.floor(F.floor(F.col("idx") / hop) / together))
-    n = samples.groupBy("clip_id").agg((F.max("idx") + 1).alias("n"))
-    e = samples.join(n, "clip_id").select("clip_id", "n", "sample_rate", F.explode(stretch).alias("stretch"), "idx", "v")
+    last = F.floor(F.col("idx") / hop)
+    reach = F.sequence(F.greatest(F.lit(0), F.floor((first - after) / F.col("together"))), F.floor((last + before) / F.col("together")))
+    dealt = whole.select("clip_id", "n", "rate", "together", F.explode(reach).alias("stretch"), "idx", F.col("v").cast("double").alias("v"))
 
     def run(key, pdf):
         import numpy as np
         import pandas as pd
 
-        w, start = _window(window, fft), int(key[1]) * together * hop
-        frames = min(together, (int(pdf["n"].iloc[0]) - start - fft) // hop + 1)
-        if frames < 1:
-            return pd.DataFrame({"clip_id": pd.Series([], dtype=object), "frame": pd.Series([], dtype="int64"), "rate": pd.Series([], dtype="int64"), "db": pd.Series([], dtype=object)})
-        x = np.zeros((frames - 1) * hop + fft)
-        at = (pdf["idx"] - start).to_numpy()
-        inside = at < len(x)
-        x[at[inside]] = pdf["v"].to_numpy(float)[inside]
-        m = np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(x, fft)[::hop] * w, axis=1))[:, : fft // 2] / w.sum() * 2
-        return pd.DataFrame({"clip_id": [key[0]] * frames, "frame": int(key[1]) * together + np.arange(frames), "rate": [int(pdf["sample_rate"].iloc[0])] * frames, "db": list(20 * np.log10(m + 1e-12))})
+        n, rate, together = (int(pdf[c].iloc[0]) for c in ("n", "rate", "together"))
+        own = int(key[1]) * together
+        low, high = max(0, own - before), min((n - fft) // hop + 1, own + together + after)
+        if high <= own:
+            return pd.DataFrame()
+        start, size = low * hop, (high - low - 1) * hop + fft
+        at = pdf["idx"].to_numpy() - start
+        inside = (at >= 0) & (at < size)
+        total = np.bincount(at[inside], pdf["v"].to_numpy()[inside], size)
+        x = total / np.maximum(np.bincount(at[inside], minlength=size), 1)
+        return work(key[0], int(key[1]), low, np.lib.stride_tricks.sliding_window_view(x, fft)[::hop], n, rate, together)
+
+    return dealt.groupBy("clip_id", "stretch").applyInPandas(run, schema)
+
+
+def _kind(samples: DataFrame) -> str:
+    return dict(samples.dtypes)["clip_id"]
+
+
+def spectrogram(samples: DataFrame, fft: int = 2048, hop: int | None = None, window: str = "hann", together: int = 512) -> DataFrame:
+    """(clip_id, frame, rate, db array) of the mean of the channels: magnitude over the window's sum, doubled, in dB.
+
+    A task transforms `together` consecutive frames at once, so a long clip spreads over all tasks.
+    """
+    hop = hop or fft // 4
+
+    def work(clip, stretch, first, frames, n, rate, together):
+        import numpy as np
+        import pandas as pd
+
+        w = _window(window, fft)
+        m = np.abs(np.fft.rfft(frames * w, axis=1))[:, : fft // 2] / w.sum() * 2
+        return pd.DataFrame({"clip_id": [clip] * len(m), "frame": first + np.arange(len(m)), "rate": [rate] * len(m), "db": list(20 * np.log10(m + 1e-12))})
 
-    kind = dict(samples.dtypes)["clip_id"]
-    return e.groupBy("clip_id", "stretch").applyInPandas(run, f"clip_id {kind}, frame long, rate long, db array<double>")
+    return _by_stretch(samples, fft, hop, F.lit(together), work, f"clip_id {_kind(samples)}, frame long, rate long, db array<double>")
 
 
 def spectrum_stats(spec: DataFrame) -> DataFrame:
-    """(clip_id, peak_hz, low_hz, high_hz, dynamic_range): loudest bin (DC left out), band within 60 dB of it, and its distance from the 10th-percentile bin above -120 dB."""
-    bins = spec.select("clip_id", "rate", F.size("db").alias("n"), F.posexplode("db").alias("bin", "db")).groupBy("clip_id", "bin").agg(F.max("db").alias("db"), F.max("rate").alias("rate"), F.max("n").alias("n")).where("bin > 0")
-    peak = bins.groupBy("clip_id").agg(F.max_by("bin", F.struct("db", -F.col("bin"))).alias("pb"), F.max("db").alias("pd"))
-    s = bins.join(peak, "clip_id").groupBy("clip_id", "pb", "pd").agg(F.max("rate").alias("rate"), F.max("n").alias("n"), F.min(F.when(F.col("db") >= F.col("pd") - 60, F.col("bin"))).alias("lo"), F.max(F.when(F.col("db") >= F.col("pd") - 60, F.col("bin"))).alias("hi"), F.sort_array(F.collect_list(F.when(F.col("db") > -120, F.col("db")))).alias("d"))
-    hz = lambda c: F.col(c) * F.col("rate") / (2 * F.col("n"))
-    return s.select("clip_id", hz("pb").alias("peak_hz"), hz("lo").alias("low_hz"), hz("hi").alias("high_hz"), (F.col("pd") - F.get("d", F.floor(F.size("d") * 0.1).cast("int"))).alias("dynamic_range"))
+    """(clip_id, peak_hz, low_hz, high_hz, dynamic_range) of a spectrogram.
+
+    The loudest bin of all frames (the earliest frame, then the lowest bin on a tie); the band within 60 dB of it, bin 0 left
+    out (null when only that is as loud); its distance from the 10th-percentile bin among those whose loudest moment is above
+    -120 dB, 0 when there is none.
+    """
+    each = spec.select("clip_id", "rate", "frame", F.size("db").alias("n"), F.posexplode("db").alias("bin", "db"))
+    bins = each.groupBy("clip_id", "bin").agg(F.max(F.struct("db", (-F.col("frame")).alias("early"))).alias("top"), F.max("rate").alias("rate"), F.max("n").alias("n"))
+    per = bins.groupBy("clip_id").agg(
+        F.max(F.struct("top.db", "top.early", (-F.col("bin")).alias("low"))).alias("peak"),
+        F.max("rate").alias("rate"),
+        F.max("n").alias("n"),
+        F.sort_array(F.collect_list(F.struct("bin", "top.db"))).alias("all"),  # a row of the transform's bins
+    )
+    hz = lambda bin_: bin_ / F.col("n") * (F.col("rate") / 2)
+    near = F.transform(F.filter("all", lambda x: (x["bin"] > 0) & (x["db"] >= F.col("peak.db") - 60)), lambda x: x["bin"])
+    loud = F.sort_array(F.transform(F.filter("all", lambda x: x["db"] > -120), lambda x: x["db"]))
+    floor = F.coalesce(F.get(loud, F.floor(F.size(loud) * 0.1).cast("int")), F.col("peak.db"))
+    return per.select("clip_id", hz(-F.col("peak.low")).alias("peak_hz"), hz(F.array_min(near)).alias("low_hz"), hz(F.array_max(near)).alias("high_hz"), (F.col("peak.db") - floor).alias("dynamic_range"))
+
+
+def spectral_centroid(samples: DataFrame, fft: int = 4096, together: int = 256) -> DataFrame:
+    """(clip_id, centroid_hz): magnitude-weighted mean frequency, mean over frames that don't overlap; silent frames count as 0.
+
+    Null for clips shorter than a frame. Periodic Hann window, true transform.
+    """
+
+    def work(clip, stretch, first, frames, n, rate, together):
+        import numpy as np
+        import pandas as pd
+
+        m = np.abs(np.fft.rfft(frames * _periodic_hann(fft), axis=1))[:, : fft // 2]
+        total = m.sum(axis=1)
+        weighted = (m * (np.arange(fft // 2) * rate / fft)).sum(axis=1)
+        centres = np.divide(weighted, total, out=np.zeros(len(m)), where=total > 1e-12)
+        return pd.DataFrame({"clip_id": [clip], "frames": [len(m)], "total": [float(centres.sum())]})
 
+    parts = _by_stretch(samples, fft, fft, F.lit(together), work, f"clip_id {_kind(samples)}, frames long, total double")
+    found = parts.groupBy("clip_id").agg((F.sum("total") / F.sum("frames")).alias("centroid_hz"))
+    return clip_lengths(samples).select("clip_id").join(found, "clip_id", "left")
 
-def spectral_centroid(samples: DataFrame, fft: int = 4096) -> DataFrame:
-    """(clip_id, centroid_hz): magnitude-weighted mean frequency, mean over frames that don't overlap. A true transform is used."""
-    s = spectrogram(samples, fft, fft, "rect").select("clip_id", "frame", "rate", F.posexplode("db").alias("bin", "db"))
-    m = F.pow(F.lit(10.0), F.col("db") / 20)
-    f = s.groupBy("clip_id", "frame").agg((F.sum(F.col("bin") * F.col("rate") / fft * m) / F.sum(m)).alias("c"))
-    return f.groupBy("clip_id").agg(F.avg("c").alias("centroid_hz"))
+
+# ---- loudness: two filters in a row as one affine map of four numbers ---------------------------------------------
 
 
 def _biquads(rate: float):
-    """The two K-weighting filters for a sample rate, as (b, a). Gains, qualities and frequencies are fixed values of the loudness standard."""
-    out = []
-    g, q, fc = 3.999843853973347, 0.7071752369554196, 1681.974450955533
-    k, vh = math.tan(math.pi * fc / rate), 10 ** (g / 20)
-    vb = vh**0.4996667741545416
-    a0 = 1 + k / q + k * k
-    out.append(([(vh + vb * k / q + k * k) / a0, 2 * (k * k - vh) / a0, (vh - vb * k / q + k * k) / a0], [2 * (k * k - 1) / a0, (1 - k / q + k * k) / a0]))
-    q, fc = 0.5003270373238773, 38.13547087602444
-    k = math.tan(math.pi * fc / rate)
-    a0 = 1 + k / q + k * k
-    out.append(([1.0, -2.0, 1.0], [2 * (k * k - 1) / a0, (1 - k / q + k * k) / a0]))
-    return out
-
-
-def _filtered(x, b, a, block: int = 256):
-    """A second-order filter over x, a block at a time: its response to the block's samples and to the state before it are matrix products."""
+    """The two K-weighting filters for a sample rate, as (b, a): a high shelf and a high pass in their textbook forms.
+
+    Frequencies, qualities and the gain in dB are fixed values of the loudness standard.
+    """
+    shelf_hz, shelf_db, shelf_q = 1681.974450955533, 3.999843853973347, 0.7071752369554196
+    pass_hz, pass_q = 38.13547087602444, 0.5003270373238773
+    gain = 10 ** (shelf_db / 40)
+    w = 2 * math.pi * shelf_hz / rate
+    up, down, c = gain + 1, gain - 1, math.cos(w)
+    edge = 2 * math.sqrt(gain) * math.sin(w) / (2 * shelf_q)
+    a0 = up - down * c + edge
+    shelf = [gain * (up + down * c + edge) / a0, -2 * gain * (down + up * c) / a0, gain * (up + down * c - edge) / a0], [2 * (down - up * c) / a0, (up - down * c - edge) / a0]
+    w = 2 * math.pi * pass_hz / rate
+    c, alpha = math.cos(w), math.sin(w) / (2 * pass_q)
+    high = [(1 + c) / 2 / (1 + alpha), -(1 + c) / (1 + alpha), (1 + c) / 2 / (1 + alpha)], [-2 * c / (1 + alpha), (1 - alpha) / (1 + alpha)]
+    return [shelf, high]
+
+
+class Cascade:
+    """Two second-order filters in a row: state' = step @ state + gain * x, output = look @ state + direct * x, for stretches of samples.
+
+    A stretch's output is what it gives from a state of zeros, plus its response to the state before it; both are matrix
+    products over blocks of samples.
+    """
+
+    def __init__(self, rate: float, block: int = 256):
+        import numpy as np
+
+        (b, a), (c, d) = _biquads(rate)
+        self.step = np.array([[-a[0], 1, 0, 0], [-a[1], 0, 0, 0], [c[1] - d[0] * c[0], 0, -d[0], 1], [c[2] - d[1] * c[0], 0, -d[1], 0]])
+        self.gain = np.array([b[1] - a[0] * b[0], b[2] - a[1] * b[0], b[0] * (c[1] - d[0] * c[0]), b[0] * (c[2] - d[1] * c[0])])
+        self.look, self.direct, self.block = np.array([c[0], 0.0, 1.0, 0.0]), b[0] * c[0], block
+        powers = [np.eye(4)]
+        for _ in range(block):
+            powers.append(self.step @ powers[-1])
+        self.powers = powers
+        self.seen = np.array([self.look @ p for p in powers[:block]])  # what the state before a block adds to each output
+        echo = np.r_[self.direct, [self.look @ p @ self.gain for p in powers[: block - 1]]]
+        i = np.arange(block)
+        self.own = np.where(i[:, None] >= i, echo[np.maximum(i[:, None] - i, 0)], 0.0)
+        self.into = np.stack([powers[block - 1 - k] @ self.gain for k in range(block)], axis=1)  # what each sample leaves in the state
+
+    def run(self, x):
+        """(output from a state of zeros, state after, response to the state before as a row a sample, its power over all samples)."""
+        import numpy as np
+
+        n, size = len(x), self.block
+        whole = n // size
+        body = x[: whole * size].reshape(-1, size)
+        out, left = body @ self.own.T, body @ self.into.T
+        state, passed, answers = np.zeros(4), np.eye(4), np.empty((n, 4))
+        for k in range(whole):
+            out[k] += self.seen @ state
+            answers[k * size : (k + 1) * size] = self.seen @ passed
+            state, passed = self.powers[size] @ state + left[k], self.powers[size] @ passed
+        rest = x[whole * size :]
+        m = len(rest)
+        tail = self.own[:m, :m] @ rest + self.seen[:m] @ state
+        answers[whole * size :] = self.seen[:m] @ passed
+        if m:
+            state, passed = self.powers[m] @ state + self.into[:, size - m :] @ rest, self.powers[m] @ passed
+        return np.r_[out.ravel(), tail], state, answers, passed
+
+
+def loudness(samples: DataFrame, piece: int = 1 << 18) -> DataFrame:
+    """(clip_id, lufs): K-weighted mean square of the mean of the channels, -0.691 + 10 log10; no gating. Silence gives -300.691.
+
+    Missing samples are 0. Clips are cut into pieces that are filtered alone, from a state of zeros. With y that output and R
+    the response to the four numbers s that the filters hold before the piece, its sum of squares is
+    yy + 2 s Ry + s RR s, and after it they hold M s + c. Each piece gives yy, Ry, RR, M and c, a few dozen numbers; these
+    are chained piece by piece, which is exact however the clip is cut, and no sample is read twice.
+    """
+    ensure_on_workers(samples.sparkSession)
+    at = F.floor(F.col("idx") / piece).cast("long")
+    clips = clip_lengths(samples)
+    heard = samples.join(clips, "clip_id").select("clip_id", "n", "rate", at.alias("piece"), (F.col("idx") - at * piece).alias("at"), F.col("v").cast("double").alias("v"))
+    every = clips.select("clip_id", "n", "rate", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / piece))).alias("piece"), F.lit(-1).cast("long").alias("at"), F.lit(0.0).alias("v"))
+    dealt = heard.unionByName(every)  # a piece without a sample is there too
+    kind = _kind(samples)
+
+    def filtered(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        size, rate = min(piece, int(pdf["n"].iloc[0]) - int(key[1]) * piece), float(pdf["rate"].iloc[0])
+        pdf = pdf[pdf["at"] >= 0]
+        total = np.bincount(pdf["at"], pdf["v"], size)
+        y, after, answers, passed = Cascade(rate).run(total / np.maximum(np.bincount(pdf["at"], minlength=size), 1))
+        facts = np.r_[float(y @ y), answers.T @ y, (answers.T @ answers).ravel(), passed.ravel(), after]
+        return pd.DataFrame({"clip_id": [key[0]], "piece": [key[1]], "n": [size], "facts": [facts]})
+
+    def chained(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        clip, state, sums, begun = None, np.zeros(4), [0, 0.0], False
+        for b in batches:
+            done = []
+            for k, p, n, f in zip(*(c.to_pylist() for c in b.columns)):
+                if not begun or k != clip:
+                    if begun:
+                        done.append((clip, *sums))
+                    clip, state, sums, begun = k, np.zeros(4), [0, 0.0], True
+                f = np.array(f)
+                sums[0] += n
+                sums[1] += f[0] + 2 * state @ f[1:5] + state @ f[5:21].reshape(4, 4) @ state
+                state = f[21:37].reshape(4, 4) @ state + f[37:]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], t) for i, t in enumerate((b.column(0).type, pa.int64(), pa.float64()))], names=["clip_id", "n", "ss"])
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([clip], b.column(0).type), pa.array([sums[0]]), pa.array([sums[1]])], names=["clip_id", "n", "ss"])
+
+    facts = dealt.groupBy("clip_id", "piece").applyInPandas(filtered, f"clip_id {kind}, piece long, n long, facts array<double>")
+    sums = facts.repartition("clip_id").sortWithinPartitions("clip_id", "piece").mapInArrow(chained, f"clip_id {kind}, n long, ss double")
+    return sums.select("clip_id", (-0.691 + 10 * F.log10(F.col("ss") / F.col("n") + 1e-30)).alias("lufs"))
+
+
+# ---- pitch and tempo ----------------------------------------------------------------------------------------------
+
+
+def differences(x, half: int):
+    """Sum over j < half of (x[j] - x[j + t])**2 for each t < half, from one correlation by transform. Rounding is cut off."""
     import numpy as np
 
-    step = np.array([[-a[0], 1.0], [-a[1], 0.0]])  # transposed direct form: state' = step @ state + gain * sample
-    gain = np.array([b[1] - a[0] * b[0], b[2] - a[1] * b[0]])
-    powers = [np.eye(2)]
-    for _ in range(block):
-        powers.append(step @ powers[-1])
-    seen = np.array([p[0] for p in powers[:block]])  # what the state before the block adds to each output
-    echo = np.r_[b[0], [p[0] @ gain for p in powers[: block - 1]]]
-    i = np.arange(block)
-    own = np.where(i[:, None] >= i, echo[np.maximum(i[:, None] - i, 0)], 0.0)
-    into = np.stack([powers[block - 1 - k] @ gain for k in range(block)], axis=1)  # what each sample leaves in the state
-    padded = np.r_[x, np.zeros(-len(x) % block)].reshape(-1, block)
-    out, state = padded @ own.T, np.zeros(2)
-    left = padded @ into.T
-    for k in range(len(padded)):
-        out[k] += seen @ state
-        state = powers[block] @ state + left[k]
-    return out.ravel()[: len(x)]
-
-
-def loudness(samples: DataFrame, piece: int = 1 << 18, warm: int = 1 << 14) -> DataFrame:
-    """(clip_id, lufs): K-weighted mean square of the mono mix, -0.691 + 10 log10; no gating.
-
-    Long clips are cut into pieces with a lead-in (the filters forget it), so no clip needs to fit in one task.
+    size = 1 << (3 * half - 1).bit_length()
+    head, both = np.zeros(size), np.zeros(size)
+    head[:half], both[: 2 * half - 1] = x[:half], x[: 2 * half - 1]
+    common = np.fft.irfft(np.conj(np.fft.rfft(head)) * np.fft.rfft(both), size)[:half]
+    upto = np.r_[0.0, np.cumsum(x[: 2 * half - 1] ** 2)]
+    energy = upto[half] + upto[half : 2 * half] - upto[:half]
+    d = energy - 2 * common
+    return np.where(d > 1e-12 * energy, d, 0.0)
+
+
+def pitch(samples: DataFrame, size: int = 4096, threshold: float = 0.15) -> DataFrame:
+    """(clip_id, hz, note, cents): fundamental of `size` samples in the middle of each clip, by cumulative mean normalised difference.
+
+    The first lag from 2,000 Hz down to 20 Hz whose normalised difference is under the threshold, followed down to the bottom
+    of its dip, then refined by a parabola. Null for silence, for clips of under size / 2 samples, when nothing repeats, and
+    beyond 20 to 5,000 Hz. Channels are averaged. Only the middle leaves the scan.
     """
-    m = mono(samples)
-    at = (F.col("idx") - F.col("idx") % piece) / piece
-    e = m.withColumn("piece", F.explode(F.when((F.col("idx") % piece) >= piece - warm, F.array(at, at + 1)).otherwise(F.array(at)))).withColumn("piece", F.col("piece").cast("long"))
+    mid = F.floor(F.col("n") / 2)
+    start = F.greatest(F.lit(0), mid - size // 2)
+    near = samples.join(clip_lengths(samples), "clip_id").where((F.col("idx") >= start) & (F.col("idx") < start + size))
+    near = near.select("clip_id", "rate", F.least(F.col("n") - start, F.lit(size)).alias("len"), (F.col("idx") - start).alias("at"), F.col("v").cast("double").alias("v"))
 
     def run(key, pdf):
         import numpy as np
         import pandas as pd
 
-        pdf = pdf.sort_values("idx")
-        x = pdf["v"].to_numpy(float)
-        for b, a in _biquads(float(pdf["sample_rate"].iloc[0])):
-            x = _filtered(x, b, a)
-        own = (pdf["idx"] >= key[1] * piece).to_numpy()
-        return pd.DataFrame({"clip_id": [key[0]], "n": [int(own.sum())], "ss": [float((x[own] ** 2).sum())]})
+        n, rate, hz = int(pdf["len"].iloc[0]), float(pdf["rate"].iloc[0]), None
+        if n >= size / 2:
+            x = np.bincount(pdf["at"], pdf["v"], n) / np.maximum(np.bincount(pdf["at"], minlength=n), 1)
+            half = n // 2
+            d = differences(x, half)
+            seen = np.cumsum(d[1:])
+            c = np.r_[1.0, np.divide(d[1:] * np.arange(1, half), seen, out=np.full(half - 1, np.inf), where=seen > 0)]
+            low, high = max(2, math.floor(rate / 2000)), min(half - 1, math.floor(rate / 20))
+            under = np.flatnonzero(c[low:high] < threshold)
+            if len(under):
+                t = low + int(under[0])
+                while t + 1 < high and c[t + 1] < c[t]:
+                    t += 1
+                shift = 0.0
+                if 0 < t < half - 1:
+                    bend = 2 * (c[t - 1] - 2 * c[t] + c[t + 1])
+                    shift = (c[t - 1] - c[t + 1]) / bend if bend else 0.0
+                hz = rate / (t + (shift if abs(shift) < 1 else 0.0))
+                hz = hz if 20 <= hz <= 5000 else None
+        return pd.DataFrame({"clip_id": [key[0]], "hz": pd.Series([hz], dtype="float64")})
+
+    found = near.groupBy("clip_id").applyInPandas(run, f"clip_id {_kind(samples)}, hz double")
+    found = found.withColumn("hz", F.nullif(F.col("hz"), F.lit(float("nan"))))
+    note = note_of("hz")
+    return found.select("clip_id", "hz", note["note"].alias("note"), note["cents"].alias("cents"))
+
+
+#: Frames on either side that a local mean of the flux takes.
+AROUND = 8
+
+
+def onsets(samples: DataFrame, fft: int = 1024, hop: int = 512, together: int = 2048) -> DataFrame:
+    """(clip_id, stretch, o array): onset strengths of consecutive frames, `together` a stretch (or a second and two frames, if that is more).
+
+    The flux of a frame is the sum of what its magnitudes have gained since the frame before; where it is over 1.5 times the
+    mean of 17 frames it is an onset, elsewhere 0, as in the first and last 8 frames. A stretch takes the frames it needs
+    around it along, so it is worked out by itself.
+    """
+
+    def work(clip, stretch, first, frames, n, rate, together):
+        import numpy as np
+        import pandas as pd
+
+        every = (n - fft) // hop  # the last whole frame isn't used
+        m = np.abs(np.fft.rfft(frames * _periodic_hann(fft), axis=1))[:, : fft // 2]
+        flux = np.zeros(len(m))
+        flux[1:] = np.maximum(m[1:] - m[:-1], 0).sum(axis=1)
+        upto = np.r_[0.0, np.cumsum(flux)]
+        own = np.arange(stretch * together, min((stretch + 1) * together, every))
+        o = np.zeros(len(own))
+        inner = (own >= AROUND) & (own < every - AROUND)
+        at = own[inner] - first
+        mean = np.array([flux[k - AROUND : k + AROUND + 1].sum() for k in at]) / (2 * AROUND + 1)
+        o[inner] = np.where((flux[at] > 1.5 * mean) & (flux[at] > 1e-9), flux[at], 0.0)
+        return pd.DataFrame({"clip_id": [clip], "stretch": [stretch], "o": [o]}) if len(own) else pd.DataFrame()
 
-    kind = dict(samples.dtypes)["clip_id"]
-    p = e.groupBy("clip_id", "piece").applyInPandas(run, f"clip_id {kind}, n long, ss double")
-    return p.groupBy("clip_id").agg((-0.691 + 10 * F.log10(F.sum("ss") / F.sum("n") + 1e-12)).alias("lufs"))
+    spread = F.greatest(F.lit(together), F.ceil(F.col("rate") / hop) + 2)
+    return _by_stretch(samples, fft, hop, spread, work, f"clip_id {_kind(samples)}, stretch long, o array<double>", AROUND + 1, AROUND)
 
 
-def pitch(samples: DataFrame, size: int = 8192, threshold: float = 0.15) -> DataFrame:
-    """(clip_id, hz): fundamental of a window in the middle of each clip by cumulative mean normalised difference; null when none is clear."""
-    n = samples.groupBy("clip_id").agg((F.max("idx") + 1).alias("n"))
-    mid = samples.join(n, "clip_id").where((F.col("idx") >= F.col("n") / 2 - size / 2) & (F.col("idx") < F.col("n") / 2 + size / 2))
+def tempo(samples: DataFrame, fft: int = 1024, hop: int = 512, together: int = 2048) -> DataFrame:
+    """(clip_id, bpm): whole beats a minute, 60 to 200; null for silence, for clips of under a second's frames, and beyond that range.
 
-    def run(key, pdf):
+    The lag with the highest autocorrelation of the onsets (the shortest on a tie), refined by a parabola. A stretch's
+    onsets meet those that follow it within a second; one transform gives all its lags, and lags are summed over stretches.
+    """
+    found = onsets(samples, fft, hop, together)
+    clips = clip_lengths(samples).withColumns({"frames": F.floor((F.col("n") - fft) / hop), "a_second": F.col("rate") / hop})
+    clips = clips.withColumns({"low": F.floor(F.col("a_second") * 60 / 200), "high": F.ceil("a_second")})
+    # the first onsets of a stretch go to the stretch before, which has them behind its own
+    reach = found.join(clips.select("clip_id", "high"), "clip_id")
+    mine = reach.select("clip_id", "stretch", "high", F.lit(0).alias("part"), "o")
+    behind = reach.where("stretch > 0").select("clip_id", (F.col("stretch") - 1).alias("stretch"), "high", F.lit(1).alias("part"), F.slice("o", 1, (F.col("high") + 1).cast("int")).alias("o"))
+
+    def correlate(key, pdf):
         import numpy as np
         import pandas as pd
 
-        x = pdf.sort_values("idx")["v"].to_numpy(float)
-        rate, half, hz = float(pdf["sample_rate"].iloc[0]), len(x) // 2, None
-        if half > 4:
-            d = np.array([((x[:half] - x[t : t + half]) ** 2).sum() for t in range(half)])
-            c = np.ones(half)
-            c[1:] = d[1:] * np.arange(1, half) / np.maximum(np.cumsum(d[1:]), 1e-12)
-            lo, hi = max(2, int(rate / 5000)), min(half - 1, int(rate / 20))
-            t = next((t for t in range(lo, hi) if c[t] < threshold and c[t] <= c[t + 1]), None)
-            if t:
-                a, b, e = c[t - 1], c[t], c[t + 1]
-                hz = rate / (t + (0.5 * (a - e) / (a - 2 * b + e) if a - 2 * b + e else 0))
-        return pd.DataFrame({"clip_id": [key[0]], "hz": [hz]})
-
-    return mid.groupBy("clip_id").applyInPandas(run, f"clip_id {dict(samples.dtypes)['clip_id']}, hz double")
-
-
-def tempo(samples: DataFrame, fft: int = 1024, hop: int = 512) -> DataFrame:
-    """(clip_id, bpm): spectral flux, onsets above 1.5 times the mean of 17 frames, autocorrelation between 60 and 200 a minute."""
-    s = spectrogram(samples, fft, hop).select("clip_id", "frame", "rate", F.transform("db", lambda x: F.pow(F.lit(10.0), x / 20)).alias("m"))
-    w = W.partitionBy("clip_id").orderBy("frame")
-    before = F.lag("m").over(w)
-    flux = s.select("clip_id", "frame", "rate", F.aggregate(F.zip_with("m", before, lambda a, b: F.greatest(a - b, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x).alias("f")).where("f is not null")
-    onset = flux.withColumn("o", F.when(F.col("f") > 1.5 * F.avg("f").over(w.rowsBetween(-8, 8)), F.col("f")).otherwise(0.0)).where("o > 0").select("clip_id", "frame", "rate", "o")
-    per = onset.groupBy("clip_id").agg(F.max("rate").alias("rate"))
-    lags = per.select("clip_id", "rate", F.explode(F.sequence(F.ceil(F.col("rate") / hop * 60 / 200), F.floor(F.col("rate") / hop))).alias("lag"))
-    a = onset.join(lags.select("clip_id", "lag"), "clip_id").withColumn("to", F.col("frame") + F.col("lag"))
-    c = a.join(onset.select("clip_id", F.col("frame").alias("to"), F.col("o").alias("o2")), ["clip_id", "to"]).groupBy("clip_id", "lag").agg(F.sum(F.col("o") * F.col("o2")).alias("c"), F.max("rate").alias("rate"))
-    return c.groupBy("clip_id").agg((60 * F.max("rate") / hop / F.max_by("lag", F.struct("c", -F.col("lag")))).alias("bpm"))
+        parts = {p: np.asarray(o, float) for p, o in zip(pdf["part"], pdf["o"])}
+        own, lags = parts.get(0, np.zeros(0)), int(pdf["high"].iloc[0]) + 2
+        both = np.r_[own, parts.get(1, np.zeros(0))]
+        if not own.any():
+            return pd.DataFrame()
+        size = 1 << (len(both) + lags).bit_length()
+        c = np.fft.irfft(np.conj(np.fft.rfft(own, size)) * np.fft.rfft(both, size), size)[:lags]
+        c[c < 1e-9 * c[0]] = 0.0
+        return pd.DataFrame({"clip_id": [key[0]] * lags, "lag": np.arange(lags), "c": c})
+
+    lags = mine.unionByName(behind).groupBy("clip_id", "stretch").applyInPandas(correlate, f"clip_id {_kind(samples)}, lag long, c double")
+    sums = lags.groupBy("clip_id", "lag").agg(F.sum("c").alias("c")).groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct("lag", "c"))).alias("c"))
+    in_range = F.filter("c", lambda x: (x["lag"] >= F.col("low")) & (x["lag"] <= F.col("high")))
+    best = sums.join(clips.where("frames >= 4 and high < frames"), "clip_id").withColumn("best", F.array_max(F.transform(in_range, lambda x: F.struct(x["c"].alias("c"), (-x["lag"]).alias("early")))))
+    lag = -F.col("best.early")
+    value = lambda k: F.get("c", (lag + k).cast("int"))["c"]
+    bend = value(-1) - 2 * value(0) + value(1)
+    shift = F.when((lag > F.col("low")) & (lag < F.col("high")) & (F.abs(bend) > 1e-12), 0.5 * (value(-1) - value(1)) / bend)
+    beats = 60 * F.col("a_second") / (lag + F.when(F.abs(shift) < 1, shift).otherwise(0.0))
+    bpm = best.select("clip_id", F.when((beats >= 60) & (beats <= 200), F.floor(beats + 0.5)).cast("long").alias("bpm"))
+    return clips.select("clip_id").join(bpm, "clip_id", "left")
