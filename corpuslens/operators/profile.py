@@ -204,6 +204,11 @@ def ragged_rows(rows: DataFrame, cells_col: str = "cells", by: str = "path", ord
     return body.withColumn("confidence", F.when(F.col("data_rows") == 0, 100).otherwise(whole_percent(F.col("data_rows") - F.col("ragged"), F.col("data_rows"))).cast("long"))
 
 
+def delimiter_confidence(rows: DataFrame, cells_col: str = "cells", by: str = "path", order: str = "row_no") -> DataFrame:
+    """(path, confidence): whole percent of a file's records after its first that have as many cells as that; 100 when there are none."""
+    return ragged_rows(rows, cells_col, by, order).select(by, "confidence")
+
+
 def quality_report(df: DataFrame, source: str) -> DataFrame:
     """Findings (source, section, grp, field, value): what is wrong with the table, or one row that says nothing is.
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpuslens.functions.scalars import register_sql
-from corpuslens.operators import classify, logs
+from corpuslens.operators import classify, logs, profile
 from corpuslens.session import shared_dir, table
 from corpuslens.sources import readers
 
@@ -32,6 +32,22 @@ def _delimited(s, d):
     return readers.read_delimited(s, path)
 
 
+def _mixed(s, d):
+    """Files of three separators in one folder."""
+    path = f"{shared_dir(s)}/corpuslens-mixed-{uuid.uuid4().hex}"
+    c = table(s, d, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit('a;b|c, "d"\n'), "c_name").alias("note"))
+    for k, sep in enumerate(";|,"):
+        c.where(F.col("c_custkey") % 3 == k).drop("c_custkey").write.option("sep", sep).option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{path}/{k}")
+    return readers.read_delimited(s, path)
+
+
+def _confidence(s, d):
+    """Lines of documents as records of cells between commas."""
+    t = table(s, d, "documents").select(F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    lines = readers.split_lines(t).select("path", F.col("line_no").alias("row_no"), F.split("line", ",").alias("cells"))
+    return profile.delimiter_confidence(lines)
+
+
 def _sql(s, d):
     register_sql(s)
     table(s, d, "documents").createOrReplaceTempView("corpuslens_documents")
@@ -45,6 +61,8 @@ QUERIES = {
     "a42_revision_audit": lambda s, d: logs.revision_audit(_talks(s, d).select(F.col("conv_id").alias("doc"), F.col("role").alias("author"), F.when(F.col("turn") % 2 == 0, "ins").otherwise("del").alias("kind"))).withColumn("share", F.round("share", 6)),
     "a46_block_histogram": lambda s, d: logs.block_histogram(readers.split_lines(table(s, d, "documents").select(F.col("doc_id").alias("path"), "text")), "^[A-M]", "^([N-Z][a-z]*)"),
     "s3_read_delimited": _delimited,
+    "s3_mixed_separators": _mixed,
+    "t2_delimiter_confidence": _confidence,
     "s8_catalog_tables": lambda s, d: readers.catalog_tables(s, d, _TABLES)[0].select("table", "rows", "position", "column"),
     "u3_sql_functions": _sql,
 }
@@ -64,6 +82,10 @@ ORACLE = {
       f as (select doc_id, block, arg_min(c, no) as class from b where block > 0 and not regexp_matches(line, '^[A-M]') and c <> '' group by all)
       select doc_id as path, class, count(*) as n from f group by all""",
     "s3_read_delimited": """select cast(c_custkey as varchar) as id, c_name || ' said "a;b"' || chr(10) || 'and left' as note, c_mktsegment as segment from customer""",
+    "s3_mixed_separators": """select cast(c_custkey as varchar) as id, 'a;b|c, "d"' || chr(10) || c_name as note from customer""",
+    "t2_delimiter_confidence": r"""with l as (
+  select doc_id, list_transform(regexp_split_to_array(coalesce(text, ''), '\r?\n'), lambda x: len(string_split(x, ','))) as n from documents)
+select doc_id as path, cast(case when len(n) = 1 then 100 else floor(100.0 * len(list_filter(n[2:], lambda x: x = n[1])) / (len(n) - 1) + 0.5) end as bigint) as confidence from l""",
     "s8_catalog_tables": " union all ".join(f"""select '{t}' as "table", (select count(*) from {t}) as rows, ordinal_position - 1 as position, column_name as "column" from information_schema.columns where table_name = '{t}'""" for t in _TABLES),
     "u3_sql_functions": r"""select doc_id, len(regexp_extract_all(text, '\S+')) as words, case when n_chars < 1024 then n_chars || ' B' else printf('%.1f KB', floor(n_chars / 1024.0 * 10 + 0.5) / 10) end as size, regexp_replace(lower(source), '[^a-z0-9]', '', 'g') as ext from documents""",
 }
