@@ -44,11 +44,9 @@ def _scores(s, d):
 
 
 def _visits(s, d):
-    ensure_on_workers(s)
     f = _folder(s)
-    v = stream.stream_visits(_events(s, d).select(F.col("user_id").alias("client"), "ts"))
-    _run(v.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{f}/out/b={i}")), f)
-    return s.read.option("basePath", f"{f}/out").parquet(f"{f}/out/b=*").groupBy("client").agg(F.max("visits").alias("visits"))
+    _run(stream.write_visits(_events(s, d).select(F.col("user_id").alias("client"), "ts"), f"{f}/out"), f)
+    return stream.KeyedTable(s, f"{f}/out").read()
 
 
 def _throttle(s, d):

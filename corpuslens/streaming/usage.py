@@ -1,66 +1,119 @@
 """Streaming forms of the usage operators: event time, watermarks, keyed state, and small keyed tables as sinks.
 
-Each equals its batch twin when events arrive in time order (late ones beyond the watermark are dropped).
+Each equals its batch twin when micro-batches arrive in time order (rows below the watermark are dropped); within a
+micro-batch rows may stand in any order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+import json
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from corpuslens.operators.classify import resolve_content
 from corpuslens.operators.inventory import extension
 from corpuslens.operators.usage import VISIT_WINDOW
+from corpuslens.session import ensure_on_workers
+
+STORE, STORE_CLASS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class KeyedTable:
-    """A small keyed table under a folder, rewritten by each micro-batch as a new version; a batch done before changes nothing."""
+    """A table by key under a folder, of which a micro-batch rewrites only the buckets that its keys fall into.
+
+    data/v=<batch>/bucket=<n> holds the rows of a bucket as a batch left them, commits/<batch> which version of each bucket
+    is the table's. A batch is done once its commit is there: doing it again changes nothing, and what an attempt without a
+    commit has written is overwritten by the next. A version that neither the last commit nor the one before it (which may
+    still be read) names is deleted.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: tuple[str, ...] = (), buckets: int = 64):
+        self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), keys, buckets
+
+    def _at(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    @property
+    def _fs(self):
+        return self._at().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _versions(self) -> list[int]:
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not fs.exists(root):
+    def commits(self) -> list[int]:
+        if not self._fs.exists(self._at("commits")):
             return []
-        return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+        return sorted(int(f.getPath().getName()) for f in self._fs.listStatus(self._at("commits")) if f.getPath().getName().isdigit())
+
+    def versions(self, commit: int | None = None) -> dict[int, int]:
+        """The version of each bucket that has rows, as of a commit (the last)."""
+        done = self.commits()
+        if not done:
+            return {}
+        stream = self._fs.open(self._at("commits", str(done[-1] if commit is None else commit)))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return {int(b): v for b, v in json.loads(text).items()}
+
+    def _read(self, versions: dict[int, int]) -> DataFrame | None:
+        paths = [f"{self.path}/data/v={v}/bucket={b}" for b, v in sorted(versions.items())]
+        return self.spark.read.parquet(*paths) if paths else None
 
     def read(self) -> DataFrame | None:
-        v = self._versions()
-        return self.spark.read.parquet(f"{self.path}/v={v[-1]}") if v else None
+        return self._read(self.versions())
 
-    def merge(self, batch_id: int, fold) -> None:
-        """fold(old or None) gives the new table."""
-        if batch_id in self._versions():
+    def merge(self, batch_id: int, new: DataFrame, fold: Callable[[DataFrame], DataFrame]) -> None:
+        """fold(old and new rows of the touched buckets) gives their rows. new must have the table's columns."""
+        done = self.commits()
+        if done and done[-1] >= batch_id:
             return
-        fold(self.read()).write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        new = new.persist()
+        try:
+            touched = [r[0] for r in new.select(bucket.alias("b")).distinct().collect()]  # as many numbers as buckets at most
+            now = self.versions()
+            old = self._read({b: now[b] for b in touched if b in now})
+            rows = fold(new if old is None else old.unionByName(new)).withColumn("bucket", bucket)
+            rows.repartition(max(1, len(touched)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._at("data", f"v={batch_id}").toString())
+        finally:
+            new.unpersist()
+        self._commit(batch_id, now | dict.fromkeys(touched, batch_id))
+
+    def _commit(self, batch_id: int, versions: dict[int, int]) -> None:
+        fs, before = self._fs, self.commits()
+        draft = self._at("commits", f"_{batch_id}")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps(versions).encode()))
+        out.close()
+        if not fs.rename(draft, self._at("commits", str(batch_id))):
+            raise OSError(f"batch {batch_id} couldn't be committed in {self.path}")
+        kept = set(versions.items()) | (set(self.versions(before[-1]).items()) if before else set())
+        for old in before[:-1]:
+            for b, v in set(self.versions(old).items()) - kept:
+                fs.delete(self._at("data", f"v={v}", f"bucket={b}"), True)
+            fs.delete(self._at("commits", str(old)), False)
 
 
 def stream_ext_stats(events: DataFrame, path: str):
     """Writer of running counters (ext, count, supported) of events(ext, supported); start() it with a checkpoint."""
-    sink = KeyedTable(events.sparkSession, path)
+    sink = KeyedTable(events.sparkSession, path, ("ext",))
+    fold = lambda df: df.groupBy("ext").agg(F.sum("count").alias("count"), F.max("supported").alias("supported"))
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        new = batch.groupBy("ext").agg(F.count("*").alias("count"), F.max(F.col("supported").cast("int")).alias("supported"))
-        fold = lambda old: (new if old is None else old.unionByName(new)).groupBy("ext").agg(F.sum("count").alias("count"), F.max("supported").alias("supported"))
-        sink.merge(batch_id, fold)
+        sink.merge(batch_id, batch.groupBy("ext").agg(F.count("*").alias("count"), F.max(F.col("supported").cast("int")).alias("supported")), fold)
 
     return events.writeStream.foreachBatch(upsert)
 
 
 def stream_scores(scores: DataFrame, path: str, identity: tuple[str, ...] = ("name",)):
     """Writer of each identity's best score, the earliest of equals."""
-    sink = KeyedTable(scores.sparkSession, path)
-    best = lambda df: df.groupBy(*identity).agg(F.max_by(F.struct("score", "ts"), F.struct(F.col("score"), -F.unix_micros("ts"))).alias("b")).select(*identity, "b.score", "b.ts")
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        new = batch.select(*identity, "score", "ts")
-        sink.merge(batch_id, lambda old: best(new if old is None else old.unionByName(new)))
-
-    return scores.writeStream.foreachBatch(upsert)
+    sink = KeyedTable(scores.sparkSession, path, identity)
+    first = F.max_by(F.struct("score", "ts"), F.struct(F.col("score"), -F.unix_micros("ts")))
+    best = lambda df: df.groupBy(*identity).agg(first.alias("b")).select(*identity, "b.score", "b.ts")
+    return scores.writeStream.foreachBatch(lambda batch, batch_id: sink.merge(batch_id, best(batch.select(*identity, "score", "ts")), best))
 
 
 def stream_daily(events: DataFrame, ts: str = "ts", late: str = "1 day") -> DataFrame:
@@ -71,57 +124,135 @@ def stream_daily(events: DataFrame, ts: str = "ts", late: str = "1 day") -> Data
 
 def write_daily(events: DataFrame, path: str, ts: str = "ts", late: str = "1 day"):
     """Writer of a keyed table (day, n) of all days, the open one included: each micro-batch puts a day's new count in place of its old one."""
-    sink = KeyedTable(events.sparkSession, path)
+    sink = KeyedTable(events.sparkSession, path, ("day",))
+    latest = lambda df: df.groupBy("day").agg(F.max("n").alias("n"))  # noqa: E731  a day's count only grows
+    return stream_daily(events, ts, late).writeStream.outputMode("update").foreachBatch(lambda batch, batch_id: sink.merge(batch_id, batch, latest))
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        sink.merge(batch_id, lambda old: batch if old is None else old.join(batch.select("day"), "day", "left_anti").unionByName(batch))
 
-    return stream_daily(events, ts, late).writeStream.outputMode("update").foreachBatch(upsert)
+def _stateful(df: DataFrame) -> None:
+    """Timed keyed state needs a store that can hold it; a session that names none gets it."""
+    ensure_on_workers(df.sparkSession)
+    conf = df.sparkSession.conf
+    if "HDFSBacked" in conf.get(STORE):
+        conf.set(STORE, STORE_CLASS)
 
 
-VISIT_STATE = "last long, n long"
+def _named(client: str) -> list:
+    """A client as two keys that are never null: whether it has a name, and the name as text."""
+    c = F.col(client)
+    return [c.isNotNull().alias("known"), F.coalesce(c.cast("string"), F.lit("")).alias("name")]
 
 
-def stream_visits(visits: DataFrame, client: str = "client", ts: str = "ts", late: str = "1 hour", window: int = VISIT_WINDOW) -> DataFrame:
-    """(client, visits): running number of counted visits per client (update mode); one value of state a client."""
-    w = window * 1_000_000
-    kind = dict(visits.dtypes)[client]
+def _client(kind: str):
+    return F.when(F.col("known"), F.col("name").cast(kind)).alias("client")
+
+
+class _Visits(StatefulProcessor):
+    """Counted visits of a client. State: the last one, until the watermark is a window past it."""
+
+    def __init__(self, window: int):
+        self.window = window
 
-    def count(key, batches: Iterator, state):
+    def init(self, handle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "t long")
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+        import numpy as np
         import pandas as pd
 
-        last, n = state.get if state.exists else (None, 0)
-        times = sorted(t for pdf in batches for t in pdf["t"])
-        for t in times:
-            if last is None or t - last >= w:
-                last, n = t, n + 1
-        state.update((last, n))
-        yield pd.DataFrame({"client": [key[0]], "visits": [n]})
+        w = self.window
+        before = self.last.get()[0] if self.last.exists() else None
+        kept = np.zeros(0, np.int64)
+        for pdf in rows:  # what can't count any more goes at once
+            kept = np.union1d(kept, pdf["t"].to_numpy(np.int64))
+            if before is not None:
+                kept = kept[np.searchsorted(kept, before + w) :]
+                if len(kept):  # within one window after that, only the first can count
+                    kept = np.r_[kept[:1], kept[max(1, np.searchsorted(kept, before + 2 * w)) :]]
+        counted, last = [], before
+        at = 0
+        while at < len(kept):
+            last = int(kept[at])
+            counted.append(last)
+            at = int(np.searchsorted(kept, last + w))
+        if counted:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.last.update((last,))
+            self.handle.registerTimer(max((last + w) // 1000, timerValues.getCurrentWatermarkInMs() + 1))
+            yield pd.DataFrame({"known": [key[0]] * len(counted), "name": [key[1]] * len(counted), "t": counted})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
-    v = visits.where(F.col(ts).isNotNull()).withWatermark(ts, late).select(F.col(client).alias("client"), F.unix_micros(ts).alias("t"))
-    return v.groupBy("client").applyInPandasWithState(count, f"client {kind}, visits long", VISIT_STATE, "update", "NoTimeout")
 
+def stream_visits(visits: DataFrame, client: str = "client", ts: str = "ts", late: str = "1 hour", window: int = VISIT_WINDOW) -> DataFrame:
+    """(client, at): the visits that count, each once (append mode); their number is the client's (write_visits()).
+
+    State is a client's last counted visit. An event-time timer drops it when its window has passed, after which any visit
+    counts. A client's rows of a micro-batch are folded chunk by chunk: of those within a window after the last counted one
+    none is kept, of those within the next only the first, of others their different times, 8 bytes each.
+    """
+    _stateful(visits)
+    v = visits.where(F.col(ts).isNotNull()).withWatermark(ts, late).select(*_named(client), F.unix_micros(ts).alias("t"), ts)
+    counted = v.groupBy("known", "name").transformWithStateInPandas(_Visits(window * 1_000_000), "known boolean, name string, t long", "Append", "eventTime")
+    return counted.select(_client(dict(visits.dtypes)[client]), F.timestamp_micros("t").alias("at"))
+
+
+def write_visits(visits: DataFrame, path: str, **options):
+    """Writer of a keyed table (client, visits): the running number of counted visits of each client."""
+    sink = KeyedTable(visits.sparkSession, path, ("client",))
+    fold = lambda df: df.groupBy("client").agg(F.sum("visits").alias("visits"))
+    counted = stream_visits(visits, **options)
+    return counted.writeStream.outputMode("append").foreachBatch(lambda batch, batch_id: sink.merge(batch_id, batch.groupBy("client").agg(F.count("*").alias("visits")), fold))
 
-def stream_throttle(events: DataFrame, limit: int = 15, period_s: int = 60, client: str = "client", ts: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """(client, id, t): events that a client may have recorded, `limit` per fixed period, the earliest first. State of a past period is dropped."""
-    p = period_s * 1_000_000
-    kind = dict(events.dtypes)[client]
 
-    def admit(key, batches: Iterator, state):
+class _Throttle(StatefulProcessor):
+    """How many events of a client's period were let through. State: that number, until the watermark has passed the period."""
+
+    def __init__(self, limit: int, period_s: int):
+        self.limit, self.period_s = limit, period_s
+
+    def init(self, handle) -> None:
+        self.handle, self.passed = handle, handle.getValueState("passed", "n long")
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         import pandas as pd
 
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n = state.get[0] if state.exists else 0
-        rows = sorted((t, i) for pdf in batches for t, i in zip(pdf["t"], pdf["id"]))
-        ok = rows[: max(0, limit - n)]
-        state.update((int(n) + len(ok),))
-        state.setTimeoutTimestamp(int(max((int(key[1]) + 1) * period_s * 1000, state.getCurrentWatermarkMs() + 1)))
-        yield pd.DataFrame({"client": [key[0]] * len(ok), "id": [i for _, i in ok], "t": [t for t, _ in ok]})
-
-    e = events.withWatermark(ts, late).withColumn("t", F.unix_micros(ts)).select(F.col(client).alias("client"), ((F.col("t") - F.pmod("t", F.lit(p))) / p).cast("long").alias("period"), "t", F.col("id").cast("long").alias("id"), ts)
-    return e.groupBy("client", "period").applyInPandasWithState(admit, f"client {kind}, id long, t long", "n long", "append", "EventTimeTimeout")
+        known = self.passed.exists()
+        n = self.passed.get()[0] if known else 0
+        first: list = []
+        for pdf in rows:  # never more than the limit are held
+            first = heapq.nsmallest(max(0, self.limit - n), [*first, *zip(pdf["t"].tolist(), pdf["id"].tolist())])
+        if not known:
+            self.handle.registerTimer(max((int(key[2]) + 1) * self.period_s * 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        self.passed.update((n + len(first),))
+        if first:
+            yield pd.DataFrame({"known": [key[0]] * len(first), "name": [key[1]] * len(first), "id": [i for _, i in first], "t": [t for t, _ in first]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        self.passed.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_throttle(events: DataFrame, limit: int = 15, period_s: int = 60, client: str = "client", ts: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """(client, id, t): events that a client may have recorded, `limit` per fixed period, the earliest first (ties by id; append mode).
+
+    State is a number for each client and period; an event-time timer drops it when the period has passed.
+    """
+    _stateful(events)
+    p = period_s * 1_000_000
+    t = events.where(F.col(ts).isNotNull()).withWatermark(ts, late).withColumn("t", F.unix_micros(ts))
+    e = t.select(*_named(client), ((F.col("t") - F.pmod("t", F.lit(p))) / p).cast("long").alias("period"), "t", F.col("id").cast("long").alias("id"), ts)
+    passed = e.groupBy("known", "name", "period").transformWithStateInPandas(_Throttle(limit, period_s), "known boolean, name string, id long, t long", "Append", "eventTime")
+    return passed.select(_client(dict(events.dtypes)[client]), "id", "t")
 
 
 def stream_corpus(spark: SparkSession, folder: str, head: int = 264) -> DataFrame:
