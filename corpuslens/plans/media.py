@@ -93,7 +93,7 @@ _STEPS = f"""(with p as (select *, lag(lat) over w as a, lag(lon) over w as o, (
   select *, case when a is null then 0.0 else (2 * 6371000.0 * asin(sqrt(least(pow(sin(radians(lat - a) / 2), 2) + cos(radians(a)) * cos(radians(lat)) * pow(sin(radians(lon - o) / 2), 2), 1.0)))) end as step_m from p)"""
 _SMP = "(select user_id as clip_id, row_number() over (partition by user_id order by ts, event_id) - 1 as idx, greatest(-1.0, least(1.0, value / 1000)) as v from events)"
 _PIX = "(select l_suppkey as image_id, l_partkey * 7 % 256 as r, l_orderkey * 5 % 256 as g, (l_linenumber * 31 + l_partkey) % 256 as b, l_orderkey as x, l_linenumber as y from lineitem)"
-_LUM = "2126e-4 * r + 7152e-4 * g + 722e-4 * b"
+_LUM = "299e-3 * r + 587e-3 * g + 114e-3 * b"
 ORACLE = {
     "w1_track_distance": f"select track_id, round(sum(step_m), 6) as distance_m, count(*) as n from {_STEPS} group by 1",
     "w2_track_moving": f"""with s as (select track_id, sum(step_m) as distance_m, coalesce(sum(step_m) filter (where dt > 0 and dt <= 3600), 0) as moving_m, coalesce(sum(dt) filter (where dt > 0 and dt <= 3600), 0) as moving_s from {_STEPS} group by 1)
@@ -124,7 +124,7 @@ ORACLE = {
       f as (select image_id, list_reduce(o, lambda a, x: case when len(a) >= 8 or len(list_filter(a, lambda y: abs(y[1] - x[1][1]) + abs(y[2] - x[1][2]) + abs(y[3] - x[1][3]) < 60)) > 0 then a else list_concat(a, x) end) as t from l)
       select image_id, array_to_string(list_transform(t, lambda c: printf('#%02x%02x%02x', c[1], c[2], c[3])), ' ') as colors from f""",
     "g15_lsb_share": f"select image_id, round(avg(r % 2), 6) as r, round(avg(g % 2), 6) as g, round(avg(b % 2), 6) as b from {_PIX} group by 1",
-    "g16_apply_lut": f"select distinct image_id, x, y, r, g, b, round(r * 1.0, 6) as lr, round(g * 1.0, 6) as lg, round(b * 1.0, 6) as lb from {_PIX}",
+    "g16_apply_lut": f"select image_id, x, y, r, g, b, round(r * 1.0, 6) as lr, round(g * 1.0, 6) as lg, round(b * 1.0, 6) as lb from {_PIX}",
     "g17_mesh_stats": """with t as (select l_returnflag as m, l_quantity as q, l_discount as d, l_tax as t from lineitem), n as (select *, t - q as ux, q - d as uy, d - t as uz, d - q as wx, t - d as wy, q - t as wz from t)
       select m as mesh_id, count(*) as triangles, round(sum(sqrt(pow(uy * wz - uz * wy, 2) + pow(uz * wx - ux * wz, 2) + pow(ux * wy - uy * wx, 2)) / 2), 6) as area,
         round(abs(sum((q * (q * q - d * t) + d * (d * d - t * q) + t * (t * t - q * d)) / 6)), 6) as volume, min(least(q, t, d)) as min_x, max(greatest(q, t, d)) as max_x, min(least(q, t, d)) as min_z, max(greatest(q, t, d)) as max_z from n group by 1""",

@@ -12,7 +12,7 @@ from corpuslens.operators import profile
 from corpuslens.session import table
 
 #: Modules of this package that hold QUERIES (name -> function) and ORACLE (name -> SQL).
-MODULES: list[str] = ["profiling", "usage", "corpus", "media", "audio", "streams", "records", "formats", "values"]
+MODULES: list[str] = ["profiling", "usage", "corpus", "media", "audio", "pictures", "streams", "records", "formats", "values"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

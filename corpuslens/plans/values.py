@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpuslens.functions import scalars as S
-from corpuslens.operators import classify, geometry, inventory, pixels, search, tracks
+from corpuslens.operators import classify, geometry, inventory, search, tracks
 from corpuslens.session import ensure_on_workers, shared_dir, table
 from corpuslens.sources import extend, readers, sinks
 
@@ -174,12 +174,6 @@ def _extracted(s, d):
     return extend.run_extractors(p.select(F.concat(F.col("p_partkey").cast("string"), F.lit(".x")).alias("path"), F.when(F.col("p_partkey") % 2 == 0, "prt").otherwise("other").alias("ext"), F.col("p_name").cast("binary").alias("content")))
 
 
-def _pixels(s, d):
-    i = table(s, d, "lineitem")
-    p = i.groupBy(F.col("l_suppkey").alias("image_id"), (F.col("l_partkey") % 12).cast("int").alias("x"), (F.col("l_orderkey") % 10).cast("int").alias("y")).agg((F.sum("l_linenumber") * 37 % 256).cast("int").alias("r"), (F.sum("l_partkey") % 256).cast("int").alias("g"), (F.count("*") * 53 % 256).cast("int").alias("b"))
-    return p
-
-
 QUERIES = {
     "f3_human_distance": lambda s, d: _part(s, d).select("p_partkey", S.human_distance(F.col("p_partkey") * 14).alias("distance")),
     "f4_dos_datetime": _dos,
@@ -201,7 +195,7 @@ QUERIES = {
     "p11_clean_names": _names, "w8_imu_clock": _clock, "j3_bom_crossref": _bom, "k3_natural_order": _natural, "g19_summarise_traces": _traces,
     "a37_catalog_counts": lambda s, d: inventory.catalog_counts(_catalog(s, d)), "q2_section_search": _search, "q3_search_catalog": _labelled, "p13_ai_markers": _markers, "p1_with_category": _category, "u1_signatures": _registered,
     "s1_scan_corpus": _scan, "s7_read_lines": _read_back, "s9_findings_csv": _csv_back, "s10_findings_json": _json_back, "s11_write_backup": _backup, "w9_write_imu": _imu_back, "s4_read_cells": _cells_back,
-    "u2_extractors": _extracted, "g12_sharpness": lambda s, d: pixels.sharpness(_pixels(s, d)).withColumn("score", F.round("score", 4)),
+    "u2_extractors": _extracted,
 }
 
 
@@ -210,7 +204,6 @@ def _list(values) -> str:
 
 
 _FIND = "(select c_mktsegment as section, 'c_name' as field, c_name as value from customer union all select c_mktsegment, 'nation', cast(c_nationkey as varchar) from customer)"
-_PIX = "(select l_suppkey as image_id, l_partkey % 12 as x, l_orderkey % 10 as y, 0.2126 * (sum(l_linenumber) * 37 % 256) + 0.7152 * (sum(l_partkey) % 256) + 0.0722 * (count(*) * 53 % 256) as lum from lineitem group by all)"
 ORACLE = {
     "f3_human_distance": "select p_partkey, case when p_partkey = 0 then '-' when p_partkey * 14 >= 1000 then printf('%.2f km', p_partkey * 14 / 1000.0) else p_partkey * 14 || ' m' end as distance from part",
     "f4_dos_datetime": "select o_orderkey, case when o_orderkey % 14 between 1 and 12 then printf('%04d-%02d-%02d %02d:%02d:%02d', year(o_orderdate), o_orderkey % 14, day(o_orderdate), o_orderkey % 24, o_orderkey % 60, o_orderkey % 30 * 2) end as at from orders where not (o_orderkey % 14 between 1 and 12 and day(o_orderdate) > 28) union all select o_orderkey, case when day(o_orderdate) <= day(last_day(make_date(year(o_orderdate), cast(o_orderkey % 14 as int), 1))) then printf('%04d-%02d-%02d %02d:%02d:%02d', year(o_orderdate), o_orderkey % 14, day(o_orderdate), o_orderkey % 24, o_orderkey % 60, o_orderkey % 30 * 2) end from orders where o_orderkey % 14 between 1 and 12 and day(o_orderdate) > 28",
@@ -248,8 +241,4 @@ ORACLE = {
     "w9_write_imu": "select cast(event_id as double) as t, cast(floor(value) as double) as gx, cast(floor(value) as double) as az from events where value is not null",
     "s4_read_cells": "select p_partkey as key, p_name || ', \"x\"' || chr(10) || 'y' as note, cast(2 + p_partkey % 3 as int) as n from part",
     "u2_extractors": "select p_partkey || '.x' as source, case when cast(p_partkey as varchar)[1] = '7' then 'Error' else 'Part' end as section, case when cast(p_partkey as varchar)[1] = '7' then 'Extractor' else 'name' end as grp, case when cast(p_partkey as varchar)[1] = '7' then 'ValueError' else 'upper' end as field, case when cast(p_partkey as varchar)[1] = '7' then 'a seven' else upper(p_name) end as value from part where p_partkey % 2 = 0",
-    "g12_sharpness": f"""with l as (select image_id, lum, lag(lum) over r + lead(lum) over r + lag(lum) over c + lead(lum) over c - 4 * lum as lap from {_PIX} window r as (partition by image_id, y order by x), c as (partition by image_id, x order by y)), s as (select image_id, 100 * (1 - exp(-0.35 * (avg(lap * lap) / (var_pop(lum) + 1)))) as score from l group by 1)
-      select image_id, round(score, 4) as score, LABELS as label from s""",
 }
-_LABELS = "case " + " ".join(f"when score < {top} then '{name}'" for top, name in pixels.LABELS) + " end"
-ORACLE["g12_sharpness"] = ORACLE["g12_sharpness"].replace("LABELS", _LABELS)
