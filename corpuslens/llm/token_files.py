@@ -20,32 +20,40 @@ from pyspark.sql import functions as F
 from corpuslens.llm.tokens import encoder, small_batches
 from corpuslens.session import shared_dir
 
-#: The dictionary is trained on about SAMPLE documents of at most SAMPLE_CHARS characters, spread by a hash of doc_id.
+#: The dictionary is trained on about SAMPLE documents, picked by a hash, of each SAMPLE_CHARS characters at most.
 SAMPLE, SAMPLE_CHARS, DICT_BYTES = 1000, 8192, 65536
 SHARD_DOCS, SHARD_BYTES, LEVEL = 2048, 4 << 20, 3
 SHARD_SCHEMA = "part int, shard int, n_docs int, n_ids long, first_id long, last_id long, dict_sha256 string, doc_ids array<long>, counts array<int>, ends array<long>, frames binary"
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int | None = 0) -> bytes:
-    """Dictionary from the ids of the bounded sample; empty where too few documents are there to train one."""
+    """Dictionary from the ids of a bounded sample: of documents picked by a hash a stretch each, whose place a hash picks too.
+
+    Where the sample is too small to train one, its ids themselves are the dictionary; only a table without rows has none.
+    """
     import zstandard
 
     step = max(1, docs.count() // SAMPLE)
-    texts = [r[0] for r in docs.where((F.length("text") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)).select("text").limit(2 * SAMPLE).collect()]
+    h = F.xxhash64("doc_id", "text")
+    at = F.pmod(F.xxhash64(h), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)) + 1
+    picked = docs.where(F.pmod(h, F.lit(step)) == 0).limit(2 * SAMPLE)
+    texts = [r[0] for r in picked.select(F.substring(F.coalesce("text", F.lit("")), F.coalesce(at, F.lit(1)).cast("int"), F.lit(SAMPLE_CHARS))).collect()]
     enc = encoder(tokenizer)
     end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
     samples = [x + end for x in enc.ids(texts)]
     try:
-        return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes() if len(samples) >= 50 else b""
+        return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        raw = b"".join(samples)[-DICT_BYTES:]
+        return raw if len(raw) >= 8 else raw.ljust(8, b"\0") if raw else b""
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0) -> None:
-    """Encode docs(doc_id, text) in ascending doc_id order (nulls first; equal ids by text) into a token folder.
+    """Encode docs(doc_id, text) in ascending doc_id order (nulls first; equal ids by a hash of the text) into a token folder.
 
-    A null text is written as an empty one. One range shuffle of the texts; each task encodes and compresses its stretch
-    of documents shard by shard. Other columns are ignored.
+    A null text is written as an empty one; an empty table gives a folder without shards. One range shuffle of the texts (rows
+    that share an id may be many tasks); each task encodes and compresses its stretch of documents shard by shard. A very long
+    text is a frame like others, in a shard that ends with it. Other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -86,7 +94,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
         if ids:
             yield flush()
 
-    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(shards, SHARD_SCHEMA).write.option("compression", "none").parquet(f"{path}/shards")
+    dealt = docs.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    dealt.select("doc_id", "text").mapInArrow(shards, SHARD_SCHEMA).write.option("compression", "none").parquet(f"{path}/shards")
 
 
 def _dictionary(spark: SparkSession, path: str) -> tuple[bytes, str, int]:

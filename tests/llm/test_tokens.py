@@ -45,6 +45,20 @@ def test_token_files_round_trip(spark, docs, texts, tmp_path):
     assert {r.dict_sha256 for r in spark.read.parquet(f"{path}/shards").select("dict_sha256").distinct().collect()} == {meta.dict_sha256}
 
 
+def test_every_corpus_has_a_dictionary(spark, tmp_path):
+    """Long texts only, few short ones, empty ones: all are compressed with a dictionary and come back."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    vocabulary = [word() for _ in range(300)]
+    kinds = {"long": [" ".join(rng.choice(vocabulary) for _ in range(2200)) for _ in range(80)], "few": ["one text", "two"], "empty": [""] * 60, "short": [rng.choice(vocabulary) for _ in range(55)]}
+    for k, some in kinds.items():
+        path = f"file://{tmp_path}/{k}"
+        token_files.write_token_files(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), path, P.path("byte_bpe_50k.json"))
+        made = bytes(spark.read.parquet(f"{path}/dictionary").first().dictionary)
+        assert len(made) > (10_000 if k == "long" else 7), k
+        assert {r.doc_id: list(r.ids) for r in token_files.read_token_files(spark, path).collect()} == dict(enumerate(plain("byte_bpe_50k.json", some)))
+
+
 def test_marks_by_the_library():
     """Ids that the library gives when it loads the file as it is."""
     assert Encoder(P.path("byte_bpe_50k.json")).ids(["a <|endoftext|> b"]) == [np.array([64, 220, 50256, 275], "<u2").tobytes()]
