@@ -14,7 +14,7 @@ import numpy as np
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: White space besides the space and the line feed; a text with none of it is cut by plain searches.
 _RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_REMEMBER, _LONGEST = 120_000, 48
+_REMEMBER, _LONGEST = 240_000, 48
 #: How the byte-level form splits a text when its file names no pattern of its own.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Up to here letters, digits, case and composition are the same in every Unicode version.
