@@ -238,11 +238,11 @@ def _texts(batches):
             yield b.slice(a, 512)
 
 
-SETS = "doc_id long, n_shingles long, node long, check long, cell long, counts binary"
+SETS = "row_key long, doc_id long, n_shingles long, node long, check long, cell long, counts binary"
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """Two kinds of rows from docs(doc_id, text as bytes). Each document's set: size and the two halves of its digest.
+    """Two kinds of rows from docs(row_key, text as bytes, doc_id). Each document's set: size and the two halves of its digest.
 
     And per task, by stretch of cells (`cell`, from 0), how many of its sets hold a shingle of the cell that another set
     of the task holds as well.
@@ -262,7 +262,7 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
             sets = [shingles(t.as_py(), n, hashes) for t in part.column(1)]
             ids = [_class_id(s) for s in sets]
             rows = [pa.array(c, pa.int64()) for c in ([len(s) for s in sets], [x[0] for x in ids], [x[1] for x in ids])]
-            yield pa.RecordBatch.from_arrays([part.column(0), *rows, pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *rows, pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.binary())], names=names)
             for s, x in zip(sets, ids):
                 if x not in seen:
                     seen.add(x)
@@ -275,7 +275,7 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
             count()
         parts = [(i, c.tobytes()) for i, c in enumerate(cells.reshape(-1, STRETCH)) if c.any()]
         none = pa.nulls(len(parts), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([x[0] for x in parts], pa.int64()), pa.array([x[1] for x in parts], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array([x[0] for x in parts], pa.int64()), pa.array([x[1] for x in parts], pa.binary())], names=names)
 
     names = [x.split()[0] for x in SETS.split(", ")]
     return docs.mapInArrow(run, SETS)
@@ -345,16 +345,18 @@ def _passes(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def only(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Rows of docs whose doc_id passes the filter."""
+    """Rows of docs whose row_key passes the filter; of those without a doc_id one for each row_key."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
-    def wanted(doc_id):
+    def wanted(row_key):
         import pandas as pd
 
-        return pd.Series(_passes(doc_id.to_numpy(), sent.value))
+        return pd.Series(_passes(row_key.to_numpy(), sent.value))
 
-    return docs.where(F.col("doc_id").isNotNull()).where(wanted("doc_id"))
+    found = docs.where(wanted("row_key"))
+    unnamed = found.where(F.col("doc_id").isNull()).groupBy("row_key").agg(F.first("text").alias("text"))
+    return found.where(F.col("doc_id").isNotNull()).select("row_key", "text").unionByName(unnamed)
 
 
 MEETS = "bucket long, a long, b long, lists binary"
@@ -514,7 +516,7 @@ def candidates(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int,
     need = F.greatest(F.lit(1), F.expr(f"(({num} * n + {den} - 1) div {den}) div 10"))  # meetings() of the smallest partner
 
     def often(times: DataFrame) -> DataFrame:
-        return materialize(classes.where("rep is not null").join(times, "node").where(F.col("times") >= need).drop("times"), "live")
+        return materialize(classes.join(times, "node").where(F.col("times") >= need).drop("times"), "live")
 
     def buckets(of: DataFrame) -> int:
         posts = of.agg(F.sum(F.col("n") * ((den - num) / den + 0.1) + 1)).first()[0] or 0
@@ -548,7 +550,8 @@ def _search_blocks(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
             sides = ({}, {})
             for r in group:
                 s = shingles(r[6], n, hashes)
-                sides[r[3]][r[4], s.tobytes() if len(s) < 4 else (len(s), int(s[0]), int(s[-1]), int(s.sum()))] = (r[4], r[5], s)
+                if len(s) and _class_id(s)[0] == r[4]:  # a key may be that of several texts
+                    sides[r[3]][r[4]] = (r[4], r[5], s)
             out += _links(list(sides[0].values()), None if bi == bj else list(sides[1].values()), num, den)
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["node", "root", "links"])
@@ -565,9 +568,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     Two rows link when den * |A & B| >= num * |A | B| for their sets of n-word shingles. component_id is the smallest
     doc_id reachable by links; n_links counts the rows linked directly, equal ones included. Rows without words have no
-    shingles and link with nothing; a row with a null doc_id is counted as a copy but names no component and
-    finds no near copy. Doc ids should be unique: rows that share one are searched as one. Classes go by 64 bits of their
-    digest. Other columns are ignored.
+    shingles, keep their own id and link with nothing. A row with a null doc_id is searched by its text like others but names
+    no component: it gets the least doc_id that its component has, null if none. Rows that share a doc_id are rows of their
+    own, each by its text. Classes go by 64 bits of their digest. Very long texts are sets like others, each in one task's
+    memory; an empty table gives an empty one. Other columns are ignored.
 
     Scale: two passes over the texts, one for the digests and one for the short lists (three in ten shingles at 80 %), packed
     and once for equal sets of a task. Only what is left by the counts has its texts read again. A candidate
@@ -575,11 +579,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     square of its different texts (the links to count do, too).
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    docs = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("row_key"), "text", "doc_id")
     sets = materialize(shingle_sets(docs, n), "shingles")
-    rows = sets.where("cell is null").select("doc_id", "n_shingles", "node", "check")
-    classes = rows.where("n_shingles > 0").groupBy("node", "check").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"))
+    rows = sets.where("cell is null").select("row_key", "doc_id", "n_shingles", "node", "check")
+    classes = rows.where("n_shingles > 0").groupBy("node", "check").agg(F.coalesce(F.min("doc_id"), F.min("row_key")).alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"))
     classes = materialize(classes, "classes")
-    near, live = candidates(docs, classes, n, num, den, shared_cells(sets))
+    near, live = candidates(docs.select("row_key", "text"), classes, n, num, den, shared_cells(sets))
     comps = materialize(connected_components(near, "a", "b"), "candidates")
     members = materialize(comps.join(live, "node"), "candidate-classes")
     alone = members.groupBy("component").agg(F.count("*").alias("k")).where("k > 1").select("component")
@@ -591,12 +596,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     members = members.select(F.col("component").alias("comp"), "node", "rep", "copies", F.explode(pairs).alias("p")).select("comp", "node", "rep", "copies", "p.bi", "p.bj", "p.side")
     members = materialize(members, "candidate-blocks")
     wanted = only(docs, id_filter(members.select("rep").distinct()))
-    found = materialize(_search_blocks(wanted.join(members, wanted["doc_id"] == members["rep"]), n, num, den), "links")
+    found = materialize(_search_blocks(wanted.join(members, wanted["row_key"] == members["rep"]), n, num, den), "links")
     joined = materialize(connected_components(found.where("node <> root"), "node", "root"), "joined")
     links = materialize(found.groupBy("node").agg(F.sum("links").alias("links")), "link-counts")
     named = classes.join(joined, "node", "left").join(links, "node", "left")
-    named = materialize(named.select("node", "check", "rep", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "named")
-    lowest = materialize(named.groupBy("component").agg(F.min("rep").alias("component_id")), "lowest")
+    named = materialize(named.select("node", "check", "least", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "named")
+    lowest = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "lowest")
     named_id = materialize(named.join(lowest, "component").select("node", "check", "component_id", "links"), "classes-named")
     discard(near, live, comps, sizes, members, found, joined, links, named, lowest, classes)
     out = rows.join(named_id, ["node", "check"], "left")

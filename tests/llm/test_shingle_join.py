@@ -107,6 +107,39 @@ def test_empty_table_and_null_ids(spark, no_docs):
     assert got == sorted([(None, 4, 2), (4, 4, 2), (4, 4, 2), (None, None, 0)], key=str)
 
 
+def test_null_and_shared_ids_find_near_copies(spark):
+    """Rows go by their texts: against all pairs of rows, whatever their ids."""
+    rng = random.Random(12)
+    bases = [[f"{p}{k}" for k in range(120)] for p in "abcdef"]
+
+    def near(words, changes):
+        out = list(words)
+        for i in rng.sample(range(len(out)), changes):
+            out[i] = f"new{rng.randrange(10**6)}"
+        return " ".join(out)
+
+    rows = [(3, " ".join(bases[0])), (None, near(bases[0], 1)), (None, near(bases[0], 1)), (None, near(bases[1], 1)), (None, near(bases[1], 1)), (None, near(bases[1], 1))]
+    rows += [(5, " ".join(bases[2])), (5, " ".join(bases[3])), (5, " ".join(bases[4])), (9, near(bases[2], 1)), (8, near(bases[3], 1)), (None, near(bases[4], 1)), (None, None), (None, ""), (7, "")]
+    rows += [rows[1], rows[6]]
+    sets = []
+    for _, t in rows:
+        w = (t or "").split()
+        sets.append({tuple(w[i : i + 3]) for i in range(max(len(w) - 2, 1))} if w else set())
+    linked = [[j for j in range(len(rows)) if j != i and sets[i] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])] for i in range(len(rows))]
+    want = []
+    for i, (doc, _) in enumerate(rows):
+        reach, todo = {i}, [i]
+        while todo:
+            new = [j for j in linked[todo.pop()] if j not in reach]
+            reach.update(new)
+            todo += new
+        ids = [rows[j][0] for j in reach if rows[j][0] is not None]
+        want.append((doc, len(sets[i]), (min(ids) if ids else None) if sets[i] else doc, len(linked[i])))
+    got = [tuple(r)[:4] for r in sj.op1(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "n_shingles", "component_id", "n_links").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(x > 0 for *_, x in want) >= 12
+
+
 def test_one_of_each_group_stays(docs, texts):
     kept = [r.doc_id for r in sj.near_duplicates_removed(docs).collect()]
     want = brute([(i * 3, t) for i, t in enumerate(texts)], 5, 80, 100)
