@@ -1,9 +1,10 @@
 """Local image descriptors: find copies of images that were cropped, scaled, turned or recoloured.
 
 Corners at several scales get an orientation (intensity centroid) and a 256-bit descriptor of binary tests turned by it.
-Descriptors meet in hash tables keyed by one of their 64-bit words; pairs of images that meet by two corners or more are
-verified by mutual nearest descriptors under one similarity transform, unless they are joined already. Verified pairs make
-components.
+Descriptors meet in hash tables keyed by one of their 64-bit words. Corners that meet others form pairs with those beside
+them in their picture, which meet in tables again: unlike pictures now and then share a corner, but hardly two that stand
+together. Pictures that share such a pair are verified by mutual nearest descriptors under one similarity transform, unless
+they are joined already. Verified pairs make components.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuslens.llm.keyed import join_by_key
 from corpuslens.llm.shingle_join import mix
 from corpuslens.operators.graph import connected_components
 from corpuslens.session import discard, materialize
@@ -24,6 +25,8 @@ SCALES, PATCH, TESTS = (1.0, 1.25, 1.5, 1.875, 2.25), 12, 256
 APART, STRENGTH = 5, 0.02
 #: Most differing bits of matched descriptors; what a match may be off (pixels, radians, log scale); matches that agree on one transform.
 MAX_BITS, MAX_OFF, MAX_TURN, MAX_GROWTH, MIN_AGREE = 48, 4.0, 0.3, 0.5, 6
+#: Pairs of corners that stand for a picture: at least so many pixels apart, one among so many nearest of the other.
+FAR, NEIGHBOURS = 8.0, 6
 #: Images of a bucket that one task holds against as many others.
 BLOCK = 256
 _rng = np.random.default_rng(7)
@@ -166,23 +169,61 @@ def features(images: DataFrame) -> DataFrame:
     return images.select(F.col("image_id").cast("long"), F.col("width").cast("int"), F.col("height").cast("int"), F.col("pixels").cast("binary")).mapInArrow(run, FEATURES)
 
 
+def _in_company(entries: DataFrame) -> DataFrame:
+    """entries(key, node, ...) whose bucket holds another picture too, with the bucket's first picture as lo; a bucket that very many pictures are in is many tasks."""
+    buckets = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"))
+    buckets = materialize(buckets.where("lo <> hi").select("key", "n", "lo"), "image-buckets")
+    return join_by_key(entries, buckets, ["key"])
+
+
+def pair_keys(table: np.ndarray, key: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Keys of pairs of a picture's corners: both keys of one table, of corners FAR apart or more, of which one is among the other's NEIGHBOURS nearest in it."""
+    out = [np.zeros(0, np.uint64)]
+    for w in np.unique(table):
+        at = np.flatnonzero(table == w)
+        z, k = (x[at] + 1j * y[at]).astype(np.complex64), key[at].view(np.uint64)
+        for s in range(0, len(at), 1024):
+            d = np.abs(z[s : s + 1024, None] - z[None])
+            d[d < FAR] = np.inf
+            near = np.argsort(d, axis=1, kind="stable")[:, :NEIGHBOURS]
+            p, q = np.repeat(k[s : s + 1024], near.shape[1]), k[near.ravel()]
+            ok = np.isfinite(np.take_along_axis(d, near, 1).ravel()) & (p != q)
+            p, q = p[ok], q[ok]
+            out.append(mix(mix(np.minimum(p, q)) + np.maximum(p, q) + np.uint64(int(w) * int(_PLACE) % (1 << 64))))
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
 def shared_entries(f: DataFrame) -> DataFrame:
-    """(key, node, corner, lo): table entries whose bucket holds another picture too, and the bucket's first picture."""
+    """(key, node, lo): keys of pairs of corners that another picture has too, and the first picture that has them.
 
-    def run(batches):
+    Single corners meet first, in one table for each word of their descriptors; only those in company form pairs.
+    """
+
+    def single(batches):
         import pyarrow as pa
 
         for b in batches:
             for r in range(0, b.num_rows, 256):
                 part = b.slice(r, 256)
-                keys = [table_keys(np.frombuffer(p.as_py(), KEYPOINT)) for p in part.column(1)]
-                node = np.repeat(np.array(part.column(0).to_pylist(), np.int64), [k.size for k in keys])
-                corner = np.concatenate([np.repeat(np.arange(len(k), dtype=np.int32), k.shape[1]) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k.ravel() for k in keys])), pa.array(node), pa.array(corner)], names=["key", "node", "corner"])
+                points = [np.frombuffer(p.as_py(), KEYPOINT) for p in part.column(1)]
+                keys = [table_keys(k) for k in points]
+                tables = keys[0].shape[1]
+                n = [len(k) for k in keys]
+                cols = [np.concatenate([k.ravel() for k in keys]), np.repeat(np.array(part.column(0).to_pylist(), np.int64), [k.size for k in keys]), np.tile(np.arange(tables, dtype=np.int32), sum(n))]
+                cols += [np.repeat(np.concatenate([k[c] for k in points]), tables) for c in "xy"]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "table", "x", "y"])
+
+    def double(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            keys = [pair_keys(*(np.array([e[c] for e in corners], t) for c, t in (("table", np.int64), ("key", np.int64), ("x", np.float64), ("y", np.float64)))) for corners in b.column(1).to_pylist()]
+            node = np.repeat(np.array(b.column(0).to_pylist(), np.int64), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(node, pa.int64())], names=["key", "node"])
 
-    whole = W.partitionBy("key")
-    e = f.where("points is not null").select("node", "points").mapInArrow(run, "key long, node long, corner int")
-    return e.withColumns({"lo": F.min("node").over(whole), "hi": F.max("node").over(whole)}).where("lo <> hi").select("key", "node", "corner", "lo")
+    e = f.where("points is not null").select("node", "points").mapInArrow(single, "key long, node long, table int, x float, y float")
+    per = _in_company(e).groupBy("node").agg(F.collect_list(F.struct("table", "key", "x", "y")).alias("corners"))  # a picture's corners
+    return _in_company(materialize(per.mapInArrow(double, "key long, node long"), "image-pairs-of-corners"))
 
 
 def _verified(pairs: DataFrame, f: DataFrame) -> DataFrame:
@@ -210,40 +251,36 @@ def _verified(pairs: DataFrame, f: DataFrame) -> DataFrame:
     return found
 
 
-def _met_twice(met: DataFrame) -> DataFrame:
-    """Pairs (a, b) of met(a, b, corner of b) that meet by two corners of b or more."""
-    return met.groupBy("a", "b").agg(F.min("corner").alias("one"), F.max("corner").alias("other")).where("one <> other").select("a", "b")
-
-
 def _to_first(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
     """Pairs of each bucket's first picture with the others; with one picture for each component found so far."""
     if comp is None:
-        return _met_twice(entries.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"), "corner"))
-    e = entries.join(comp, "node", "left").groupBy("key", F.coalesce("component", "node").alias("c")).agg(F.min("node").alias("node"), F.min("corner").alias("corner"), F.min("lo").alias("lo"))
-    return _met_twice(e.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"), "corner"))
+        return entries.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
+    e = entries.join(comp, "node", "left").groupBy("key", F.coalesce("component", "node").alias("c")).agg(F.min("node").alias("node"), F.min("lo").alias("lo"))
+    return e.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def _all_pairs(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
     """Pairs (a, b) that share buckets and aren't joined yet; large buckets are split into pairs of blocks."""
-    e = entries.select("key", "node", "corner")
-    e = e.withColumn("c", F.col("node")) if comp is None else e.join(comp, "node", "left").select("key", "node", "corner", F.coalesce("component", "node").alias("c"))
-    mixed = e.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.ceil(F.count("*") / BLOCK).alias("nb")).where("c1 <> c2").select("key", "nb")
-    e = materialize(e.join(mixed, "key").withColumn("me", F.pmod(F.xxhash64("node"), "nb")), "image-open")
+    e = entries.select("key", "node")
+    e = e.withColumn("c", F.col("node")) if comp is None else e.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    mixed = e.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).alias("nb")).where("c1 <> c2")
+    mixed = materialize(mixed.select("key", "n", "nb"), "image-mixed")
+    e = materialize(join_by_key(e, mixed, ["key"]).withColumn("me", F.pmod(F.xxhash64("node"), "nb")), "image-open")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
     x = e.select("key", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("me").alias("bi"), other.alias("bj"))
-    y = e.select("key", F.col("node").alias("b"), F.col("c").alias("cb"), "corner", other.alias("bi"), F.col("me").alias("bj"))
-    return _met_twice(x.join(y, ["key", "bi", "bj"]).where("a < b and ca <> cb").select("a", "b", "corner"))
+    y = e.select("key", F.col("node").alias("b"), F.col("c").alias("cb"), other.alias("bi"), F.col("me").alias("bj"))
+    return x.join(y, ["key", "bi", "bj"]).where("a < b and ca <> cb").select("a", "b").distinct()
 
 
 def image_copies(images: DataFrame) -> DataFrame:
     """(image_id, n_keypoints, component_id) per row of images(image_id, width, height, pixels in grey bytes).
 
-    component_id is the smallest image_id reachable over verified pairs of pictures that meet in the tables by two corners;
+    component_id is the smallest image_id reachable over verified pairs of pictures that share a pair of corners (pair_keys());
     identical pixels are one picture from the start, whatever their ids, and unlike pictures that share an id are pictures
     of their own. First every bucket pairs its first picture with the others, round by round with one picture for each
     component found so far, until no new pair agrees: large groups of copies are joined by few tests. Then all pairs that
     share buckets and aren't joined are tested, which grows with the square of the different pictures that share
-    a corner. Pictures without corners match their identical copies only; null or unreadable pixels match nothing and keep
+    one pair of corners. An empty table gives an empty one. Pictures without corners match their identical copies only; null or unreadable pixels match nothing and keep
     their own id; a row with a null id takes the least id of its component, if there is one. Other columns are ignored.
     """
     f = materialize(features(images), "image-features")
