@@ -2,8 +2,8 @@
 
 Each stage takes all that its predecessor kept; between stages the documents are written as Parquet and read again, so a
 lost executor costs one stage's tasks at most. Null ids, languages and sources are values like others, rows that share an
-id are rows of their own, columns besides those of COLUMNS are left out, and an empty table gives an empty result in every
-stage.
+id are rows of their own, columns besides those of COLUMNS are left out, very long texts are taken whole, and an empty table
+gives an empty result in every stage.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm import mixing, packing, pii, quality, shingle_join
-from corpuslens.session import ensure_on_workers, materialize, table
+from corpuslens.session import discard, ensure_on_workers, materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -64,5 +64,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)  # written anew: nothing reads it any more (the given table isn't ours and stays)
     return STAGES[-1][1](spark, docs, sf_dir)

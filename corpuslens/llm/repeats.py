@@ -5,8 +5,9 @@ equals), so equal strings have the same anchor at the same place, and consecutiv
 (anchor, run) fingerprints are dealt over the cluster. A run seen before repeats as a whole. Runs that share an anchor
 but differ (the edges of repeats) are fetched as text, and each bucket of them gets a run-length index: a run-compressed
 Burrows-Wheeler transform with the suffix array sampled at run ends. The longest common prefixes are compared at run
-heads only and streamed in text order to all other positions; stretches of the suffix array that share LENGTH bytes are
-the repeated strings, and all but their earliest are marked.
+heads only and streamed in text order to all other positions. Suffixes that share LENGTH bytes with the one sorted before
+them, which is known from run heads and tails alone, are chained to the first of their stretch, and all but the earliest of
+a stretch are marked. The index keeps run heads, tails and lengths; the sort that builds it holds a bucket's suffixes.
 """
 
 from __future__ import annotations
@@ -252,7 +253,6 @@ class RunLengthIndex:
             after = np.where(self.left > width, np.r_[rank[width:], np.zeros(min(width, m), np.int64)], 0)
             key = rank.astype(np.uint64) << np.uint64(32) | after.astype(np.uint64)
             width *= 2
-        self.sa = order
         first = self.left == np.repeat(n, n)
         bwt = np.where(first[order], -1, self.text[order - 1].astype(np.int64)) if m else order
         # a text's first byte follows no byte: such places are runs of their own
@@ -282,15 +282,35 @@ class RunLengthIndex:
         reach[p] = p + self._common(p, q)
         return np.maximum(np.maximum.accumulate(reach) - np.arange(m), 0)
 
+    def before(self, p: np.ndarray) -> np.ndarray:
+        """The suffix sorted right before each of p. That of a run's head is the tail of the run before; between heads both move on together."""
+        inner = self.at > 0
+        heads, tails = self.heads[inner], self.tails[:-1]
+        order = np.argsort(heads)
+        k = order[np.searchsorted(heads[order], p, "right") - 1]
+        return tails[k] + p - heads[k]
+
     def repeated(self, length: int) -> np.ndarray:
-        """Positions whose next `length` bytes also start at an earlier position."""
-        lcp = self.matching_lengths()[self.sa]
-        group = np.cumsum(lcp < length)
-        cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
-        earliest = np.minimum.reduceat(self.sa, cut) if len(cut) else cut
-        size = np.diff(np.r_[cut, len(group)])
-        again = (self.sa != np.repeat(earliest, size)) & np.repeat(size > 1, size)
-        return np.sort(self.sa[again])
+        """Positions whose next `length` bytes also start at an earlier position.
+
+        Suffixes that share these bytes are a stretch of the sorted order: a chain from each to the one before it. Chains are
+        followed by doubling to the first of the stretch, and the earliest of each stretch is let off.
+        """
+        p = np.flatnonzero(self.matching_lengths() >= length)
+        if not len(p):
+            return p
+        up = self.before(p)
+        members = np.union1d(p, up)
+        to = np.arange(len(members))
+        to[np.searchsorted(members, p)] = np.searchsorted(members, up)
+        while True:
+            further = to[to]
+            if (further == to).all():
+                break
+            to = further
+        earliest = np.full(len(members), members[-1])
+        np.minimum.at(earliest, to, members)
+        return members[members != earliest[to]]
 
 
 def settle_strings(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:

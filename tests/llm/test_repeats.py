@@ -61,3 +61,22 @@ def test_index_marks_all_but_the_earliest():
             at += len(t)
         assert index.repeated(12).tolist() == want
         assert index.lengths.sum() == at and len(index.heads) == len(index.symbols)
+
+
+def test_index_of_a_repetitive_text_is_as_small_as_its_runs():
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdefgh") for _ in range(400)).encode()
+    texts = [base * 60, base[100:] * 40, base[::-1]]
+    index = repeats.RunLengthIndex(texts)
+    m = sum(map(len, texts))
+    assert len(index.heads) == len(index.tails) == len(index.symbols) == len(index.lengths) < m / 20
+    assert not any(getattr(v, "size", 0) >= m and k not in ("text", "left") for k, v in vars(index).items())
+    again = set(index.repeated(50).tolist())
+    seen, want, at = set(), set(), 0
+    for t in texts:
+        for p in range(len(t) - 49):
+            if t[p : p + 50] in seen:
+                want.add(at + p)
+            seen.add(t[p : p + 50])
+        at += len(t)
+    assert again == want
