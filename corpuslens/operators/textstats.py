@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.scalars import shannon
+from corpuslens.session import ensure_on_workers
 
 # Last labels that make a dotted name a file name rather than a domain.
 FILE_WORDS = (
@@ -51,10 +52,24 @@ def extract_indicators(df: DataFrame, text: str = "text", most: int | None = Non
 
 
 def character_entropy(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, entropy): Shannon bits per character of each text (of all texts of a key). A text is one row for each different character, which its own length less that without the character counts."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    counts = F.transform(F.array_distinct(F.filter(F.split(t, ""), lambda c: c != "")), lambda c: F.struct(c.alias("c"), (F.length(t) - F.length(F.replace(t, c, F.lit("")))).alias("n")))
-    per = df.select(key, F.explode(counts).alias("x")).groupBy(key, "x.c").agg(F.sum("x.n").alias("n"))
+    """(key, entropy): Shannon bits per character of each text (of all texts of a key); keys without characters are left out.
+
+    A text's code points are counted in one pass inside the task; what leaves it is a row for each different one.
+    """
+    ensure_on_workers(df.sparkSession)
+
+    @F.pandas_udf("array<struct<c: int, n: bigint>>")
+    def counted(texts):
+        import numpy as np
+        import pandas as pd
+
+        def one(t):
+            c, n = np.unique(np.frombuffer((t or "").encode("utf-32-le"), "<u4"), return_counts=True)
+            return [{"c": int(x), "n": int(y)} for x, y in zip(c, n)]
+
+        return pd.Series([one(t) for t in texts])
+
+    per = df.select(key, F.explode(counted(F.col(text).cast("string"))).alias("x")).groupBy(key, "x.c").agg(F.sum("x.n").alias("n"))
     return per.groupBy(key).agg(F.collect_list(F.col("n").cast("double")).alias("n")).select(key, shannon("n").alias("entropy"))
 
 
