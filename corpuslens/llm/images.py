@@ -1,8 +1,8 @@
 """Local image descriptors: find copies of images that were cropped, scaled, turned or recoloured.
 
 Corners at several scales get an orientation (intensity centroid) and a 256-bit descriptor of binary tests turned by it.
-Descriptors meet in hash tables keyed by one of their 64-bit words. Corners that meet others form pairs with those beside
-them in their picture, which meet in tables again: unlike pictures now and then share a corner, but hardly two that stand
+Descriptors meet in hash tables keyed by one of their 64-bit words. Corners that may have met the same picture form pairs
+with those beside them, which meet in tables again: unlike pictures now and then share a corner, but hardly two that stand
 together. Pictures that share such a pair are verified by mutual nearest descriptors under one similarity transform, unless
 they are joined already. Verified pairs make components.
 """
@@ -140,18 +140,20 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
-FEATURES = "image_id long, node long, n_keypoints long, points binary"
+FEATURES = "image_id long, node long, n_keypoints long, points binary, part int"
 
 
 def features(images: DataFrame) -> DataFrame:
     """FEATURES of images(image_id, width, height, pixels); node is 64 bits of the picture's digest.
 
-    Unreadable or null pictures have neither node nor corners. A task gives the corners of equal pictures once.
+    Unreadable or null pictures have neither node nor corners. A task gives the corners of equal pictures once; part is its number.
     """
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        part = TaskContext.get().partitionId()
         seen: set[int] = set()
         for b in batches:
             for r in range(0, b.num_rows, 64):
@@ -163,21 +165,38 @@ def features(images: DataFrame) -> DataFrame:
                         node, n = int.from_bytes(hashlib.blake2b(b"%d:" % w + px, digest_size=8).digest(), "little", signed=True), len(k)
                         points = None if node in seen or not n else k.tobytes()
                         seen.add(node)
-                    out.append((i, node, n, points))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["image_id", "node", "n_keypoints", "points"])
+                    out.append((i, node, n, points, part))
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["image_id", "node", "n_keypoints", "points", "part"])
 
     return images.select(F.col("image_id").cast("long"), F.col("width").cast("int"), F.col("height").cast("int"), F.col("pixels").cast("binary")).mapInArrow(run, FEATURES)
 
 
-def _in_company(entries: DataFrame) -> DataFrame:
-    """entries(key, node, ...) whose bucket holds another picture too, with the bucket's first picture as lo; a bucket that very many pictures are in is many tasks."""
-    buckets = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"))
-    buckets = materialize(buckets.where("lo <> hi").select("key", "n", "lo"), "image-buckets")
+def _corners(f: DataFrame) -> DataFrame:
+    """(node, points) of features: one row a picture that has corners, however many tasks have met it."""
+    rows = f.where("points is not null").select("node", "points", "part")
+    again = rows.groupBy("node").agg(F.min("part").alias("first"), F.count("*").alias("n")).where("n > 1").select("node", "first")
+    return rows.join(again, "node", "left").where("first is null or part = first").select("node", "points")
+
+
+def _in_company(entries: DataFrame, **values) -> DataFrame:
+    """entries(key, node, ...) whose bucket holds another picture too, with values aggregated over the bucket; a bucket that very many pictures are in is many tasks."""
+    buckets = entries.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n"), *(c.alias(k) for k, c in values.items()))
+    buckets = materialize(buckets.where("least <> most").select("key", "n", *values), "image-buckets")
     return join_by_key(entries, buckets, ["key"])
 
 
-def pair_keys(table: np.ndarray, key: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Keys of pairs of a picture's corners: both keys of one table, of corners FAR apart or more, of which one is among the other's NEIGHBOURS nearest in it."""
+def others(seen: np.ndarray, node: int, shift: int) -> np.ndarray:
+    """Bit sets of the pictures of buckets (a picture's bit is told by six bits of its node) without this picture's own bit."""
+    return seen.view(np.uint64) & ~(np.uint64(1) << np.uint64((node >> shift) & 63))
+
+
+def pair_keys(table: np.ndarray, key: np.ndarray, x: np.ndarray, y: np.ndarray, met: tuple[np.ndarray, ...] = ()) -> np.ndarray:
+    """Keys of pairs of a picture's corners: both keys of one table, of corners FAR apart or more, of which one is among the other's NEIGHBOURS nearest in it.
+
+    met has bit sets of the other pictures that each corner meets. With it only corners pair that have a bit in common in one
+    of them: no other corners can both be in one picture, unless it has this picture's own bit in all sets (1 of 4,096 has in two).
+    """
     out = [np.zeros(0, np.uint64)]
     for w in np.unique(table):
         at = np.flatnonzero(table == w)
@@ -185,6 +204,8 @@ def pair_keys(table: np.ndarray, key: np.ndarray, x: np.ndarray, y: np.ndarray)
         for s in range(0, len(at), 1024):
             d = np.abs(z[s : s + 1024, None] - z[None])
             d[d < FAR] = np.inf
+            if met:
+                d[~np.logical_or.reduce([(m[at][s : s + 1024, None] & m[at][None]) != 0 for m in met])] = np.inf
             near = np.argsort(d, axis=1, kind="stable")[:, :NEIGHBOURS]
             p, q = np.repeat(k[s : s + 1024], near.shape[1]), k[near.ravel()]
             ok = np.isfinite(np.take_along_axis(d, near, 1).ravel()) & (p != q)
@@ -193,10 +214,11 @@ def pair_keys(table: np.ndarray, key: np.ndarray, x: np.ndarray, y: np.ndarray)
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
-def shared_entries(f: DataFrame) -> DataFrame:
-    """(key, node, lo): keys of pairs of corners that another picture has too, and the first picture that has them.
+def shared_entries(corners: DataFrame) -> DataFrame:
+    """(key, node, lo, size): keys of pairs of corners that another picture has too, the first picture that has them and how many have.
 
-    Single corners meet first, in one table for each word of their descriptors; only those in company form pairs.
+    Single corners meet first, in one table for each word of their descriptors, and a bucket tells its pictures by two sets
+    of 64 bits. Only corners in company form pairs, with such as may be in the same company.
     """
 
     def single(batches):
@@ -217,16 +239,23 @@ def shared_entries(f: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            keys = [pair_keys(*(np.array([e[c] for e in corners], t) for c, t in (("table", np.int64), ("key", np.int64), ("x", np.float64), ("y", np.float64)))) for corners in b.column(1).to_pylist()]
-            node = np.repeat(np.array(b.column(0).to_pylist(), np.int64), [len(k) for k in keys])
+            keys, nodes = [], b.column(0).to_pylist()
+            for node, corners in zip(nodes, b.column(1).to_pylist()):
+                table, key, low, high = (np.array([e[c] for e in corners], np.int64) for c in ("table", "key", "low", "high"))
+                x, y = (np.array([e[c] for e in corners], np.float64) for c in "xy")
+                keys.append(pair_keys(table, key, x, y, (others(low, node, 0), others(high, node, 6))))
+            node = np.repeat(np.array(nodes, np.int64), [len(k) for k in keys])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(node, pa.int64())], names=["key", "node"])
 
-    e = f.where("points is not null").select("node", "points").mapInArrow(single, "key long, node long, table int, x float, y float")
-    per = _in_company(e).groupBy("node").agg(F.collect_list(F.struct("table", "key", "x", "y")).alias("corners"))  # a picture's corners
-    return _in_company(materialize(per.mapInArrow(double, "key long, node long"), "image-pairs-of-corners"))
+    e = corners.mapInArrow(single, "key long, node long, table int, x float, y float")
+    bit = "bit_or(shiftleft(1L, cast(shiftright(node, {}) & 63 as int)))"
+    e = _in_company(e, low=F.expr(bit.format(0)), high=F.expr(bit.format(6)))
+    per = e.groupBy("node").agg(F.collect_list(F.struct("table", "key", "x", "y", "low", "high")).alias("corners"))  # a picture's corners
+    pairs = materialize(per.mapInArrow(double, "key long, node long"), "image-pairs-of-corners")
+    return _in_company(pairs, lo=F.min("node"), size=F.count("*"))
 
 
-def _verified(pairs: DataFrame, f: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, corners: DataFrame) -> DataFrame:
     """The pairs (a, b) whose corners agree. Corners are fetched for what is to be verified only, first those of b, then those of a."""
 
     def run(batches):
@@ -244,7 +273,7 @@ def _verified(pairs: DataFrame, f: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    points = materialize(f.where("points is not null").select("node", "points").join(wanted, "node").dropDuplicates(["node"]), "image-corners")
+    points = materialize(corners.join(wanted, "node"), "image-corners")
     both = pairs.join(points.select(F.col("node").alias("b"), F.col("points").alias("y")), "b").join(points.select(F.col("node").alias("a"), F.col("points").alias("x")), "a")
     found = materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), "image-links")
     discard(points)
@@ -259,6 +288,19 @@ def _to_first(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
     return e.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
 
 
+def _mixed(entries: DataFrame, firsts: DataFrame, found: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """The entries of buckets that hold pictures not joined yet: of those in which some picture isn't joined to the first."""
+    apart = firsts.join(found, ["a", "b"], "left_anti")
+    if comp is not None:
+        of = [comp.select(F.col("node").alias(c), F.col("component").alias("c" + c)) for c in "ab"]
+        apart = apart.join(of[0], "a", "left").join(of[1], "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
+    apart = materialize(apart.select(F.col("a").alias("lo"), F.col("b").alias("node")), "image-apart")
+    keys = entries.join(apart, ["lo", "node"], "left_semi").groupBy("key").agg(F.max("size").alias("n"))
+    found = materialize(join_by_key(entries, materialize(keys, "image-mixed-keys"), ["key"]), "image-mixed-tables")
+    discard(apart)
+    return found
+
+
 def _all_pairs(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
     """Pairs (a, b) that share buckets and aren't joined yet; large buckets are split into pairs of blocks."""
     e = entries.select("key", "node")
@@ -277,26 +319,31 @@ def image_copies(images: DataFrame) -> DataFrame:
 
     component_id is the smallest image_id reachable over verified pairs of pictures that share a pair of corners (pair_keys());
     identical pixels are one picture from the start, whatever their ids, and unlike pictures that share an id are pictures
-    of their own. First every bucket pairs its first picture with the others, round by round with one picture for each
-    component found so far, until no new pair agrees: large groups of copies are joined by few tests. Then all pairs that
-    share buckets and aren't joined are tested, which grows with the square of the different pictures that share
-    one pair of corners. An empty table gives an empty one. Pictures without corners match their identical copies only; null or unreadable pixels match nothing and keep
-    their own id; a row with a null id takes the least id of its component, if there is one. Other columns are ignored.
+    of their own. First every bucket pairs its first picture with the others; buckets whose pictures are all joined are done.
+    The others go on, round by round with one picture for each component found so far, until no new pair agrees: large groups
+    of copies are joined by few tests. Then all pairs that share buckets and aren't joined are tested, which grows with the
+    square of the different pictures that share one pair of corners. An empty table gives an empty one. Pictures without
+    corners match their identical copies only; null or unreadable pixels match nothing and keep their own id; a row with a
+    null id takes the least id of its component, if there is one. Other columns are ignored.
     """
     f = materialize(features(images), "image-features")
-    entries = materialize(shared_entries(f), "image-tables")
-    tested = found = comp = None
+    corners = _corners(f)
+    entries = materialize(shared_entries(corners), "image-tables")
+    tested = materialize(_to_first(entries, None), "image-pairs")
+    found = _verified(tested, corners)
+    comp = None if found.isEmpty() else materialize(connected_components(found, "a", "b"), "image-components")
+    used, entries = [entries, tested, found], _mixed(entries, tested, found, comp)
+    used.append(entries)
     rest = False
-    used = [entries]
     while True:
         pairs = (_all_pairs if rest else _to_first)(entries, comp)
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "image-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = _verified(pairs, f)
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "image-pairs")
+        tested = tested.unionByName(pairs)
+        new = _verified(pairs, corners)
         used += [pairs, new]
         more = not new.isEmpty()
         if more:
-            found = new if found is None else found.unionByName(new)
+            found = found.unionByName(new)
             comp = materialize(connected_components(found, "a", "b"), "image-components")
         if rest:
             break

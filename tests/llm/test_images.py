@@ -125,3 +125,29 @@ def common_pairs(x, y):
         return set(images.pair_keys(w, k[i, w], points["x"][i].astype(float), points["y"][i].astype(float)).tolist())
 
     return keys(a, x) & keys(b, y)
+
+
+def test_corners_that_met_different_pictures_form_no_pairs():
+    """Own bits don't count; a common bit in either set is enough."""
+    table, key, at = np.zeros(3, np.int64), np.array([11, 22, 33]), np.array([0.0, 20.0, 40.0])
+    low = images.others(np.array([0b0011, 0b0101, 0b0011]), 64, 0)  # bit 0 is the picture's own
+    assert low.tolist() == [2, 4, 2]
+    none = np.zeros(3, np.uint64)
+    whole, some = images.pair_keys(table, key, at, at * 0), images.pair_keys(table, key, at, at * 0, (low, none))
+    assert len(whole) == 3 and len(some) == 1
+    assert some.tolist() == images.pair_keys(table[:2], key[[0, 2]], at[[0, 2]], at[:2] * 0).tolist() == images.pair_keys(table, key, at, at * 0, (none, low)).tolist()
+
+
+def test_a_picture_met_by_several_tasks_is_one(spark):
+    f = spark.createDataFrame([(1, 5, 1, b"x", 3), (2, 5, 1, b"x", 0), (3, 6, 1, b"y", 3), (4, 5, 1, None, 0), (5, None, 0, None, 1)], images.FEATURES)
+    assert sorted(map(tuple, images._corners(f).collect())) == [(5, b"x"), (6, b"y")]
+
+
+def test_only_buckets_with_open_pairs_go_on(spark):
+    e = spark.createDataFrame([(1, 1, 1, 3), (1, 2, 1, 3), (1, 3, 1, 3), (2, 2, 2, 2), (2, 3, 2, 2), (3, 1, 1, 2), (3, 4, 1, 2)], "key long, node long, lo long, size long")
+    firsts = images._to_first(e, None)
+    assert {tuple(r) for r in firsts.collect()} == {(1, 2), (1, 3), (2, 3), (1, 4)}
+    found = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    comp = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "node long, component long")
+    assert {r.key for r in images._mixed(e, firsts, found, comp).collect()} == {3}
+    assert images._mixed(e, firsts, found.limit(0), None).count() == e.count()
