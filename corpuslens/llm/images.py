@@ -27,6 +27,8 @@ APART, STRENGTH = 5, 0.02
 MAX_BITS, MAX_OFF, MAX_TURN, MAX_GROWTH, MIN_AGREE = 48, 4.0, 0.3, 0.5, 6
 #: Pairs of corners that stand for a picture: at least so many pixels apart, one among so many nearest of the other.
 FAR, NEIGHBOURS = 8.0, 6
+#: Sets of 64 bits by which a bucket tells its pictures, and how many must have a picture in common before two corners pair.
+SETS, COMMON = 4, 3
 #: Images of a bucket that one task holds against as many others.
 BLOCK = 256
 _rng = np.random.default_rng(7)
@@ -186,16 +188,17 @@ def _in_company(entries: DataFrame, **values) -> DataFrame:
     return join_by_key(entries, buckets, ["key"])
 
 
-def others(seen: np.ndarray, node: int, shift: int) -> np.ndarray:
-    """Bit sets of the pictures of buckets (a picture's bit is told by six bits of its node) without this picture's own bit."""
-    return seen.view(np.uint64) & ~(np.uint64(1) << np.uint64((node >> shift) & 63))
+def others(seen: np.ndarray, node: int, of: int) -> np.ndarray:
+    """The of-th bit sets of the pictures of buckets (a picture's bit is told by six bits of its node) without this picture's own bit."""
+    return seen.view(np.uint64) & ~(np.uint64(1) << np.uint64((node >> 6 * of) & 63))
 
 
 def pair_keys(table: np.ndarray, key: np.ndarray, x: np.ndarray, y: np.ndarray, met: tuple[np.ndarray, ...] = ()) -> np.ndarray:
     """Keys of pairs of a picture's corners: both keys of one table, of corners FAR apart or more, of which one is among the other's NEIGHBOURS nearest in it.
 
-    met has bit sets of the other pictures that each corner meets. With it only corners pair that have a bit in common in one
-    of them: no other corners can both be in one picture, unless it has this picture's own bit in all sets (1 of 4,096 has in two).
+    met has SETS bit sets of the other pictures that each corner meets. With it only corners pair that have a bit in common in
+    COMMON of them. That leaves out corners that can't both be in another picture, and such as are in one that has this
+    picture's own bit in two sets of four (1 picture of 680).
     """
     out = [np.zeros(0, np.uint64)]
     for w in np.unique(table):
@@ -205,7 +208,7 @@ def pair_keys(table: np.ndarray, key: np.ndarray, x: np.ndarray, y: np.ndarray,
             d = np.abs(z[s : s + 1024, None] - z[None])
             d[d < FAR] = np.inf
             if met:
-                d[~np.logical_or.reduce([(m[at][s : s + 1024, None] & m[at][None]) != 0 for m in met])] = np.inf
+                d[sum(((m[at][s : s + 1024, None] & m[at][None]) != 0).astype(np.int8) for m in met) < COMMON] = np.inf
             near = np.argsort(d, axis=1, kind="stable")[:, :NEIGHBOURS]
             p, q = np.repeat(k[s : s + 1024], near.shape[1]), k[near.ravel()]
             ok = np.isfinite(np.take_along_axis(d, near, 1).ravel()) & (p != q)
@@ -217,8 +220,8 @@ def pair_keys(table: np.ndarray, key: np.ndarray, x: np.ndarray, y: np.ndarray,
 def shared_entries(corners: DataFrame) -> DataFrame:
     """(key, node, lo, size): keys of pairs of corners that another picture has too, the first picture that has them and how many have.
 
-    Single corners meet first, in one table for each word of their descriptors, and a bucket tells its pictures by two sets
-    of 64 bits. Only corners in company form pairs, with such as may be in the same company.
+    Single corners meet first, in one table for each word of their descriptors, and a bucket tells its pictures by sets of
+    64 bits. Only corners in company form pairs, with such as may be in the same company.
     """
 
     def single(batches):
@@ -241,16 +244,16 @@ def shared_entries(corners: DataFrame) -> DataFrame:
         for b in batches:
             keys, nodes = [], b.column(0).to_pylist()
             for node, corners in zip(nodes, b.column(1).to_pylist()):
-                table, key, low, high = (np.array([e[c] for e in corners], np.int64) for c in ("table", "key", "low", "high"))
+                table, key, *met = (np.array([e[c] for e in corners], np.int64) for c in ("table", "key", *names))
                 x, y = (np.array([e[c] for e in corners], np.float64) for c in "xy")
-                keys.append(pair_keys(table, key, x, y, (others(low, node, 0), others(high, node, 6))))
+                keys.append(pair_keys(table, key, x, y, tuple(others(m, node, of) for of, m in enumerate(met))))
             node = np.repeat(np.array(nodes, np.int64), [len(k) for k in keys])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(node, pa.int64())], names=["key", "node"])
 
     e = corners.mapInArrow(single, "key long, node long, table int, x float, y float")
-    bit = "bit_or(shiftleft(1L, cast(shiftright(node, {}) & 63 as int)))"
-    e = _in_company(e, low=F.expr(bit.format(0)), high=F.expr(bit.format(6)))
-    per = e.groupBy("node").agg(F.collect_list(F.struct("table", "key", "x", "y", "low", "high")).alias("corners"))  # a picture's corners
+    names = [f"met{of}" for of in range(SETS)]
+    e = _in_company(e, **{c: F.expr(f"bit_or(shiftleft(1L, cast(shiftright(node, {6 * of}) & 63 as int)))") for of, c in enumerate(names)})
+    per = e.groupBy("node").agg(F.collect_list(F.struct("table", "key", "x", "y", *names)).alias("corners"))  # a picture's corners
     pairs = materialize(per.mapInArrow(double, "key long, node long"), "image-pairs-of-corners")
     return _in_company(pairs, lo=F.min("node"), size=F.count("*"))
 

@@ -128,14 +128,14 @@ def common_pairs(x, y):
 
 
 def test_corners_that_met_different_pictures_form_no_pairs():
-    """Own bits don't count; a common bit in either set is enough."""
+    """Own bits don't count; a picture in common in three sets of four is enough, in two it isn't."""
     table, key, at = np.zeros(3, np.int64), np.array([11, 22, 33]), np.array([0.0, 20.0, 40.0])
     low = images.others(np.array([0b0011, 0b0101, 0b0011]), 64, 0)  # bit 0 is the picture's own
     assert low.tolist() == [2, 4, 2]
     none = np.zeros(3, np.uint64)
-    whole, some = images.pair_keys(table, key, at, at * 0), images.pair_keys(table, key, at, at * 0, (low, none))
-    assert len(whole) == 3 and len(some) == 1
-    assert some.tolist() == images.pair_keys(table[:2], key[[0, 2]], at[[0, 2]], at[:2] * 0).tolist() == images.pair_keys(table, key, at, at * 0, (none, low)).tolist()
+    whole, some = images.pair_keys(table, key, at, at * 0), images.pair_keys(table, key, at, at * 0, (low, none, low, low))
+    assert len(whole) == 3 and len(some) == 1 and not len(images.pair_keys(table, key, at, at * 0, (low, none, none, low)))
+    assert some.tolist() == images.pair_keys(table[:2], key[[0, 2]], at[[0, 2]], at[:2] * 0).tolist()
 
 
 def test_a_picture_met_by_several_tasks_is_one(spark):
