@@ -291,9 +291,9 @@ def _to_first(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
     return e.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _mixed(entries: DataFrame, firsts: DataFrame, found: DataFrame, comp: DataFrame | None) -> DataFrame:
+def _mixed(entries: DataFrame, found: DataFrame, comp: DataFrame | None) -> DataFrame:
     """The entries of buckets that hold pictures not joined yet: of those in which some picture isn't joined to the first."""
-    apart = firsts.join(found, ["a", "b"], "left_anti")
+    apart = _to_first(entries, None).join(found, ["a", "b"], "left_anti")
     if comp is not None:
         of = [comp.select(F.col("node").alias(c), F.col("component").alias("c" + c)) for c in "ab"]
         apart = apart.join(of[0], "a", "left").join(of[1], "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
@@ -322,8 +322,8 @@ def image_copies(images: DataFrame) -> DataFrame:
 
     component_id is the smallest image_id reachable over verified pairs of pictures that share a pair of corners (pair_keys());
     identical pixels are one picture from the start, whatever their ids, and unlike pictures that share an id are pictures
-    of their own. First every bucket pairs its first picture with the others; buckets whose pictures are all joined are done.
-    The others go on, round by round with one picture for each component found so far, until no new pair agrees: large groups
+    of their own. First every picture is held against the least of its buckets' first pictures; buckets whose pictures are all
+    joined by that are done. In the others the first picture is held against the rest, round by round with one picture for each component found so far, until no new pair agrees: large groups
     of copies are joined by few tests. Then all pairs that share buckets and aren't joined are tested, which grows with the
     square of the different pictures that share one pair of corners. An empty table gives an empty one. Pictures without
     corners match their identical copies only; null or unreadable pixels match nothing and keep their own id; a row with a
@@ -332,10 +332,11 @@ def image_copies(images: DataFrame) -> DataFrame:
     f = materialize(features(images), "image-features")
     corners = _corners(f)
     entries = materialize(shared_entries(corners), "image-tables")
-    tested = materialize(_to_first(entries, None), "image-pairs")
+    tested = entries.where("node <> lo").groupBy("node").agg(F.min("lo").alias("a")).select("a", F.col("node").alias("b"))
+    tested = materialize(tested, "image-pairs")
     found = _verified(tested, corners)
     comp = None if found.isEmpty() else materialize(connected_components(found, "a", "b"), "image-components")
-    used, entries = [entries, tested, found], _mixed(entries, tested, found, comp)
+    used, entries = [entries, tested, found], _mixed(entries, found, comp)
     used.append(entries)
     rest = False
     while True:

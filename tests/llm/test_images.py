@@ -145,9 +145,8 @@ def test_a_picture_met_by_several_tasks_is_one(spark):
 
 def test_only_buckets_with_open_pairs_go_on(spark):
     e = spark.createDataFrame([(1, 1, 1, 3), (1, 2, 1, 3), (1, 3, 1, 3), (2, 2, 2, 2), (2, 3, 2, 2), (3, 1, 1, 2), (3, 4, 1, 2)], "key long, node long, lo long, size long")
-    firsts = images._to_first(e, None)
-    assert {tuple(r) for r in firsts.collect()} == {(1, 2), (1, 3), (2, 3), (1, 4)}
+    assert {tuple(r) for r in images._to_first(e, None).collect()} == {(1, 2), (1, 3), (2, 3), (1, 4)}
     found = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
     comp = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "node long, component long")
-    assert {r.key for r in images._mixed(e, firsts, found, comp).collect()} == {3}
-    assert images._mixed(e, firsts, found.limit(0), None).count() == e.count()
+    assert {r.key for r in images._mixed(e, found, comp).collect()} == {3}
+    assert images._mixed(e, found.limit(0), None).count() == e.count()
