@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuslens.llm.tokens import forget
 from corpuslens.operators.graph import connected_components
 from corpuslens.session import discard, materialize
 
@@ -33,6 +34,8 @@ BLOCK_SHINGLES = 1 << 20
 #: Cells of the sketch and of a stretch of it; levels between the sizes of sets that can link (8, and 1 for rounding);
 #: shingles that a task gathers before it counts or hands them on; members of short lists in a bucket (about).
 CELLS, STRETCH, NEAR, CHUNK, BUCKET = 1 << 22, 1 << 16, 9, 400_000, 500_000
+#: Parts in which a task settles what it has gathered, one after the other: all members of a list are in one part.
+PARTS = 4
 _CELL = np.uint64(64 - 22)
 #: Bits of the filter that picks the texts to be read again, as a power of two.
 FILTER_BITS = 26
@@ -91,7 +94,7 @@ def short_lists(s: np.ndarray, cells: np.ndarray, num: int, den: int) -> np.ndar
         return s
     n = cells[s >> _CELL]
     cold = s[n == 0]
-    return cold[:k] if len(cold) >= k else s[np.argsort(n, kind="stable")[:k]]
+    return cold[:k].copy() if len(cold) >= k else s[np.argsort(n, kind="stable")[:k]]
 
 
 def size_level(n: int, num: int, den: int) -> int:
@@ -251,6 +254,7 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        forget()
         hashes, seen, held, size = WordHashes(), set(), [], 0
         cells = np.zeros(CELLS, np.uint32)
 
@@ -431,25 +435,37 @@ def short_list_meetings(docs: DataFrame, n: int, num: int, den: int, sketch, buc
         if edges and len(a):
             yield _meets(np.full(len(a), -1), a, b, [None] * len(a))
 
+    def summed(counts):
+        if any(len(who) for who, _ in counts):
+            who, at = np.unique(np.concatenate([x[0] for x in counts]), return_inverse=True)
+            yield _counts_packed(who, np.bincount(at, weights=np.concatenate([x[1] for x in counts])), keys)
+
     def post(batches):
         import pyarrow as pa
 
+        forget()
         hashes, seen, held, size = WordHashes(), set(), [], 0
 
         def flush():
-            token = np.concatenate([x[0] for x in held])
+            tokens = np.concatenate([x[0] for x in held])
             n = [len(x[0]) for x in held]
-            node, level = (np.repeat(np.array([x[i] for x in held], np.int64), n) for i in (1, 2))
-            token, node, lo, hi, met, a, b, who, times = stars(token, node, level, level)
-            yield from linked(a, b)
-            if len(who):
-                yield _counts_packed(who, times, keys)
-            key = (mix(token ^ _B) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(key, kind="stable")
-            cut = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
-            parts = [order[i:j] for i, j in zip(cut, np.r_[cut[1:], len(order)])]
-            zero = np.zeros(len(cut), np.int64)
-            yield _meets(key[order][cut], zero, zero, [_packed(token[i], node[i], lo[i], hi[i], met[i]) for i in parts])
+            nodes, levels = (np.repeat(np.array([x[i] for x in held], np.int64), n) for i in (1, 2))
+            held.clear()
+            part, counts = (mix(tokens ^ _B) % np.uint64(buckets) % np.uint64(PARTS)).astype(np.int8), []
+            for k in range(PARTS):
+                at = np.flatnonzero(part == k)
+                if not len(at):
+                    continue
+                token, node, lo, hi, met, a, b, *told = stars(tokens[at], nodes[at], levels[at], levels[at])
+                yield from linked(a, b)
+                counts.append(told)
+                key = (mix(token ^ _B) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(key, kind="stable")
+                cut = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+                parts = [order[i:j] for i, j in zip(cut, np.r_[cut[1:], len(order)])]
+                zero = np.zeros(len(cut), np.int64)
+                yield _meets(key[order][cut], zero, zero, [_packed(token[i], node[i], lo[i], hi[i], met[i]) for i in parts])
+            yield from summed(counts)
 
         for part in _texts(batches):
             texts = part.column(1)
@@ -484,9 +500,7 @@ def short_list_meetings(docs: DataFrame, n: int, num: int, den: int, sketch, buc
 
         def packed():
             nonlocal counts, size
-            who, at = np.unique(np.concatenate([x[0] for x in counts]), return_inverse=True) if size else (np.zeros(0, np.int64), None)
-            if size:
-                yield _counts_packed(who, np.bincount(at, weights=np.concatenate([x[1] for x in counts])), keys)
+            yield from summed(counts)
             counts, size = [], 0
 
         key, blobs = None, []

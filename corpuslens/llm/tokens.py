@@ -143,6 +143,11 @@ def encoder(path: str, plain: bool = False) -> Encoder:
     return _encoders[path, plain]
 
 
+def forget() -> None:
+    """Let go of the encoders of tasks that this worker process has run before, and of the words they remember; the next task makes its own."""
+    _encoders.clear()
+
+
 def small_batches(batches, columns: tuple[str, ...], most_chars: int = 4_000_000):
     """Lists of row tuples of an Arrow batch iterator, cut so that texts of few megabytes are held at once."""
     for b in batches:

@@ -152,3 +152,36 @@ def test_rows_without_or_with_shared_ids_stay(spark):
     kept = sj.near_duplicates_removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(None, t[1]), (4, t[2]), (4, t[3]), (7, t[0]), (8, None), (None, None)]
     assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
+def test_a_task_settles_its_lists_in_parts(monkeypatch):
+    """What a task has gathered is settled part by part, in a bounded memory, and tokenizers of earlier tasks go first."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from corpuslens.llm import tokens
+
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(500)]
+    texts = [" ".join(rng.choices(vocabulary, k=1000)).encode() for _ in range(1500)]
+    tasks = []
+
+    class Docs:
+        def mapInArrow(self, f, schema):
+            tasks.append(f)
+            raise LookupError
+
+    sketch = type("Sent", (), {"value": np.zeros(sj.CELLS, np.uint32)})
+    with pytest.raises(LookupError):
+        sj.short_list_meetings(Docs(), 5, 80, 100, sketch, 16, True)
+    monkeypatch.setitem(tokens._encoders, ("left", False), object())
+    batches = iter([pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t], pa.binary())], names=["row_key", "text"]) for i, t in enumerate(texts)])
+    tracemalloc.start()
+    posts = 0
+    for b in tasks[0](batches):
+        posts += sum(len(sj._unpacked(x.as_py())[0]) for k, x in zip(b.column(0).to_pylist(), b.column(3)) if k >= 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not tokens._encoders
+    assert posts > sj.CHUNK and peak < 60e6
