@@ -291,17 +291,13 @@ def _to_first(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
     return e.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _mixed(entries: DataFrame, found: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """The entries of buckets that hold pictures not joined yet: of those in which some picture isn't joined to the first."""
-    apart = _to_first(entries, None).join(found, ["a", "b"], "left_anti")
-    if comp is not None:
-        of = [comp.select(F.col("node").alias(c), F.col("component").alias("c" + c)) for c in "ab"]
-        apart = apart.join(of[0], "a", "left").join(of[1], "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
-    apart = materialize(apart.select(F.col("a").alias("lo"), F.col("b").alias("node")), "image-apart")
-    keys = entries.join(apart, ["lo", "node"], "left_semi").groupBy("key").agg(F.max("size").alias("n"))
-    found = materialize(join_by_key(entries, materialize(keys, "image-mixed-keys"), ["key"]), "image-mixed-tables")
-    discard(apart)
-    return found
+def _mixed(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """The entries of buckets whose pictures aren't all joined yet, told by the least and the greatest component of each bucket."""
+    if comp is None:
+        return entries
+    of = entries.join(comp, "node", "left").select("key", "size", F.coalesce("component", "node").alias("c"))
+    keys = of.groupBy("key").agg(F.max("size").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key", "n")
+    return materialize(join_by_key(entries, materialize(keys, "image-mixed-keys"), ["key"]), "image-mixed-tables")
 
 
 def _all_pairs(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -336,7 +332,7 @@ def image_copies(images: DataFrame) -> DataFrame:
     tested = materialize(tested, "image-pairs")
     found = _verified(tested, corners)
     comp = None if found.isEmpty() else materialize(connected_components(found, "a", "b"), "image-components")
-    used, entries = [entries, tested, found], _mixed(entries, found, comp)
+    used, entries = [entries, tested, found], _mixed(entries, comp)
     used.append(entries)
     rest = False
     while True:

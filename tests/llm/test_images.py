@@ -150,3 +150,15 @@ def test_only_buckets_with_open_pairs_go_on(spark):
     comp = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "node long, component long")
     assert {r.key for r in images._mixed(e, found, comp).collect()} == {3}
     assert images._mixed(e, found.limit(0), None).count() == e.count()
+
+
+def test_mixed_buckets(spark):
+    """Buckets go on when their pictures are of several components, told without a row for each pair of pictures."""
+    entries = [(k, n) for k, nodes in enumerate([(1, 2, 3), (1, 4), (2, 3), (5, 6), (3, 9, 8), (7, 8)]) for n in nodes]
+    low = {k: min(n for j, n in entries if j == k) for k, _ in entries}
+    size = {k: sum(j == k for j, _ in entries) for k, _ in entries}
+    comp = {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
+    table = spark.createDataFrame([(k, n, low[k], size[k]) for k, n in entries], "key long, node long, lo long, size long")
+    got = images._mixed(table, spark.createDataFrame(list(comp.items()), "node long, component long"))
+    assert sorted((r.key, r.node, r.lo, r.size) for r in got.collect()) == sorted((k, n, low[k], size[k]) for k, n in entries if k in (1, 3, 4))
+    assert images._mixed(table, None).count() == len(entries)
