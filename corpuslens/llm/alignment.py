@@ -20,7 +20,7 @@ from corpuslens.session import ensure_on_workers, materialize
 #: No piece holds a space after another character, so a text may be cut before a space that follows one.
 _CUT = re.compile(r"(?<=[^ ▁]) (?!\Z)")
 _WIDE = "▁"
-_REMEMBER, _LONGEST = 120_000, 48
+_REMEMBER, _LONGEST = 240_000, 48
 #: Id pairs that are broadcast at once, 13 bytes each; the table's other slices get passes of their own.
 SLICE = 2_000_000
 _pieces: dict[str, Pieces] = {}
@@ -31,7 +31,8 @@ class Pieces:
     """ids(texts) of a sentencepiece file: those of each whole text, or None where the pieces' bytes aren't a space and the text.
 
     Between cuts a text is encoded alone: the model puts a space before it, which is the one that was cut. Short stretches
-    (words, as a rule) are remembered, up to a fixed number. Models that merge over spaces, or change them, are refused.
+    (words, as a rule) are remembered, up to a fixed number in each of two generations: what is met again of the older one goes
+    on to the newer. Models that merge over spaces, or change them, are refused.
     """
 
     def __init__(self, path: str):
@@ -43,6 +44,7 @@ class Pieces:
             raise ValueError(f"{path} merges over spaces, changes them or has too many pieces")
         self.bytes = [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _new(self, parts: list[str]) -> list[bytes | None]:
         found = self.model.encode(parts, num_threads=1)
@@ -51,16 +53,20 @@ class Pieces:
 
     def ids(self, texts: list[str]) -> list[np.ndarray | None]:
         if len(self.words) > _REMEMBER:
-            self.words.clear()
+            self.older, self.words = self.words, {}
+        words = self.words
         cut = [(t.split(" ") if "  " not in t and t[:1] != " " and t[-1:] != " " and not any(c in t for c in _WIDE) else _CUT.split(t)) if t else [] for t in texts]
-        new = list({w for parts in cut for w in parts if w not in self.words})
-        known = {}
+        found = [list(map(words.get, parts)) for parts in cut]
+        missing = {w for parts, ids in zip(cut, found) if None in ids for w, x in zip(parts, ids) if x is None}
+        known = {w: self.older[w] for w in missing if w in self.older}
+        new = list(missing - known.keys())
         for s in range(0, len(new), 4096):
             known |= zip(new[s : s + 4096], self._new(new[s : s + 4096]))
-        words, out = self.words, []
-        for parts in cut:
-            found = [words.get(w) or known[w] for w in parts]
-            out.append(None if None in found else np.frombuffer(b"".join(found), "<u2").astype(np.int64))
+        out = []
+        for parts, ids in zip(cut, found):
+            if None in ids:
+                ids = [known[w] if x is None else x for w, x in zip(parts, ids)]
+            out.append(None if None in ids else np.frombuffer(b"".join(ids), "<u2").astype(np.int64))
         words |= {w: x for w, x in known.items() if x is not None and len(w) <= _LONGEST}
         return out
 

@@ -108,3 +108,16 @@ def test_long_stretches_without_cuts():
     b = np.r_[1, np.arange(3, n, 2), 2 * n]
     i, j = al.shared_cuts(a, b, np.array([0, len(a)]), np.array([0, len(b)]))
     assert a[i].tolist() == b[j].tolist() == [1, 2 * n]
+
+
+def test_frequent_words_outlive_the_memory(monkeypatch):
+    """A word that is met again and again is encoded once, however many others come between."""
+    pieces, fresh = al.Pieces(B), al.Pieces(B)
+    seen, new = [], pieces._new
+    monkeypatch.setattr(al, "_REMEMBER", 5)
+    monkeypatch.setattr(pieces, "_new", lambda parts: seen.extend(parts) or new(parts))
+    texts = [f"often w{4 * i}x w{4 * i + 1}x w{4 * i + 2}x w{4 * i + 3}x" for i in range(20)]
+    for t in texts:
+        (got,) = pieces.ids([t])
+        assert got.tolist() == fresh.model.encode(t)
+    assert seen.count("often") == 1 and len(pieces.words) + len(pieces.older) < 25
