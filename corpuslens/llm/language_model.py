@@ -244,7 +244,10 @@ def _by_broadcast(docs: DataFrame, model: DataFrame, buckets: int, n: int, v: in
             pair, of = np.unique(pairs(h, start)[1], return_inverse=True)
             yield _scores(ids, h, start, c, about, two.probe(pair)[of], one.probe(np.array([END]))[0], n, v)
 
-    return docs.mapInArrow(score, SCORES)
+    scores = materialize(docs.mapInArrow(score, SCORES), "scores")
+    for sent in (filters, table):
+        sent.destroy()  # else driver and executors hold them as long as anyone holds the result
+    return scores
 
 
 def _by_buckets(docs: DataFrame, model: DataFrame, buckets: int, n: int, v: int) -> DataFrame:

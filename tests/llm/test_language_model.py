@@ -107,3 +107,16 @@ def test_long_texts(spark):
     long = "alpha beta gamma " * 120_000  # two megabytes
     got = {r.doc_id: r for r in lm.op7(spark.createDataFrame([(1, long), (2, "x" * 1_500_000), (3, "alpha beta")], "doc_id long, text string")).collect()}
     assert got[1].n_tokens == 360_001 and got[2].n_tokens == 2 and got[3].n_known == 3
+
+
+def test_nothing_stays_broadcast(spark, docs, monkeypatch):
+    """The model is let go when the scores are written; they can be read as often as wanted."""
+    import os
+
+    from pyspark import SparkContext
+
+    sent, broadcast = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(broadcast(self, value)) or sent[-1])
+    scores = lm.score_texts(docs)
+    assert len(sent) == 2 and not any(os.path.exists(b._path) for b in sent)
+    assert scores.count() == len(scores.collect()) == docs.count()
