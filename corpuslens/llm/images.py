@@ -1,10 +1,11 @@
 """Local image descriptors: find copies of images that were cropped, scaled, turned or recoloured.
 
 Corners at several scales get an orientation (intensity centroid) and a 256-bit descriptor of binary tests turned by it.
-Descriptors meet in hash tables keyed by one of their 64-bit words. Corners that may have met the same picture form pairs
-with those beside them, which meet in tables again: unlike pictures now and then share a corner, but hardly two that stand
-together. Pictures that share such a pair are verified by mutual nearest descriptors under one similarity transform, unless
-they are joined already. Verified pairs make components.
+Descriptors meet in hash tables keyed by one of their 64-bit words. Pictures that share several corners are verified first
+(mutual nearest descriptors under one similarity transform), and verified pairs make components. Corners that may have met
+the same picture of another component then form pairs with those beside them, which meet in tables again: unlike pictures now
+and then share a corner, but hardly two that stand together. Pictures that share such a pair are verified likewise, unless
+they are joined already.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ APART, STRENGTH = 5, 0.02
 MAX_BITS, MAX_OFF, MAX_TURN, MAX_GROWTH, MIN_AGREE = 48, 4.0, 0.3, 0.5, 6
 #: Pairs of corners that stand for a picture: at least so many pixels apart, one among so many nearest of the other.
 FAR, NEIGHBOURS = 8.0, 6
-#: Sets of 64 bits by which a bucket tells its pictures, and how many must have a picture in common before two corners pair.
+#: Entries that a picture shares with a first picture to be held against it before corners pair. All others meet by pairs of corners.
+ALIKE = 3
+#: Sets of 64 bits by which a bucket tells its components, and how many must have one in common before two corners pair.
 SETS, COMMON = 4, 3
 #: Images of a bucket that one task holds against as many others.
 BLOCK = 256
@@ -181,24 +184,33 @@ def _corners(f: DataFrame) -> DataFrame:
     return rows.join(again, "node", "left").where("first is null or part = first").select("node", "points")
 
 
-def _in_company(entries: DataFrame, **values) -> DataFrame:
-    """entries(key, node, ...) whose bucket holds another picture too, with values aggregated over the bucket; a bucket that very many pictures are in is many tasks."""
-    buckets = entries.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n"), *(c.alias(k) for k, c in values.items()))
-    buckets = materialize(buckets.where("least <> most").select("key", "n", *values), "image-buckets")
+def _in_company(entries: DataFrame, by: str = "node", **values) -> DataFrame:
+    """entries(key, by, ...) whose bucket holds another picture (or component) too, with values aggregated over the bucket; a bucket that very many pictures are in is many tasks."""
+    buckets = entries.groupBy("key").agg(F.min(by).alias("c1"), F.max(by).alias("c2"), F.count("*").alias("n"), *(c.alias(k) for k, c in values.items()))
+    buckets = materialize(buckets.where("c1 <> c2").select("key", "n", *values), "image-buckets")
     return join_by_key(entries, buckets, ["key"])
 
 
 def others(seen: np.ndarray, node: int, of: int) -> np.ndarray:
-    """The of-th bit sets of the pictures of buckets (a picture's bit is told by six bits of its node) without this picture's own bit."""
+    """The of-th bit sets of the components of buckets (one's bit is told by six bits of its number) without this own one's bit."""
     return seen.view(np.uint64) & ~(np.uint64(1) << np.uint64((node >> 6 * of) & 63))
 
 
+def company(seen: np.ndarray, least: np.ndarray, most: np.ndarray, c: int, of: int) -> np.ndarray:
+    """others(), with the bits of the buckets' least and greatest components put back where those are others: a bucket of two components is told exactly."""
+    out = others(seen, c, of)
+    for ends in (least, most):
+        bit = np.uint64(1) << ((ends.view(np.uint64) >> np.uint64(6 * of)) & np.uint64(63))
+        out = out | np.where(ends != c, bit, np.uint64(0))
+    return out
+
+
 def pair_keys(table: np.ndarray, key: np.ndarray, x: np.ndarray, y: np.ndarray, met: tuple[np.ndarray, ...] = ()) -> np.ndarray:
     """Keys of pairs of a picture's corners: both keys of one table, of corners FAR apart or more, of which one is among the other's NEIGHBOURS nearest in it.
 
-    met has SETS bit sets of the other pictures that each corner meets. With it only corners pair that have a bit in common in
-    COMMON of them. That leaves out corners that can't both be in another picture, and such as are in one that has this
-    picture's own bit in two sets of four (1 picture of 680).
+    met has SETS bit sets of the other components that each corner meets. With it only corners pair that have a bit in common in
+    COMMON of them. That leaves out corners that can't both be in another component, and such as are in one that has the
+    own component's bit in two sets of four (1 of 680) and is neither the least nor the greatest of a bucket.
     """
     out = [np.zeros(0, np.uint64)]
     for w in np.unique(table):
@@ -217,12 +229,8 @@ def pair_keys(table: np.ndarray, key: np.ndarray, x: np.ndarray, y: np.ndarray,
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
-def shared_entries(corners: DataFrame) -> DataFrame:
-    """(key, node, lo, size): keys of pairs of corners that another picture has too, the first picture that has them and how many have.
-
-    Single corners meet first, in one table for each word of their descriptors, and a bucket tells its pictures by sets of
-    64 bits. Only corners in company form pairs, with such as may be in the same company.
-    """
+def single_entries(corners: DataFrame) -> DataFrame:
+    """(key, node, table, x, y, lo, size): entries of single corners that another picture has too, one table for each word of a descriptor, with the first picture that has them and how many entries there are."""
 
     def single(batches):
         import pyarrow as pa
@@ -238,24 +246,40 @@ def shared_entries(corners: DataFrame) -> DataFrame:
                 cols += [np.repeat(np.concatenate([k[c] for k in points]), tables) for c in "xy"]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "node", "table", "x", "y"])
 
+    e = corners.mapInArrow(single, "key long, node long, table int, x float, y float")
+    return _in_company(e, lo=F.min("node"), size=F.count("*"))
+
+
+def _of_component(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """rows(node, ...) with c, the node's component found so far."""
+    return rows.withColumn("c", F.col("node")) if comp is None else rows.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+
+
+def shared_entries(singles: DataFrame, comp: DataFrame | None = None) -> DataFrame:
+    """(key, node, lo, size): keys of pairs of corners that a picture of another component has too, the first picture that has them and how many have.
+
+    A bucket of single corners tells its components by sets of 64 bits. Only corners that meet another component form pairs,
+    with such as may meet the same one.
+    """
+
     def double(batches):
         import pyarrow as pa
 
         for b in batches:
-            keys, nodes = [], b.column(0).to_pylist()
-            for node, corners in zip(nodes, b.column(1).to_pylist()):
-                table, key, *met = (np.array([e[c] for e in corners], np.int64) for c in ("table", "key", *names))
+            keys, nodes, comps = [], b.column(0).to_pylist(), b.column(1).to_pylist()
+            for own, corners in zip(comps, b.column(2).to_pylist()):
+                table, key, least, most, *met = (np.array([e[c] for e in corners], np.int64) for c in ("table", "key", "least", "most", *names))
                 x, y = (np.array([e[c] for e in corners], np.float64) for c in "xy")
-                keys.append(pair_keys(table, key, x, y, tuple(others(m, node, of) for of, m in enumerate(met))))
-            node = np.repeat(np.array(nodes, np.int64), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(node, pa.int64())], names=["key", "node"])
+                keys.append(pair_keys(table, key, x, y, tuple(company(m, least, most, own, of) for of, m in enumerate(met))))
+            node, c = (np.repeat(np.array(v, np.int64), [len(k) for k in keys]) for v in (nodes, comps))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(node, pa.int64()), pa.array(c, pa.int64())], names=["key", "node", "c"])
 
-    e = corners.mapInArrow(single, "key long, node long, table int, x float, y float")
     names = [f"met{of}" for of in range(SETS)]
-    e = _in_company(e, **{c: F.expr(f"bit_or(shiftleft(1L, cast(shiftright(node, {6 * of}) & 63 as int)))") for of, c in enumerate(names)})
-    per = e.groupBy("node").agg(F.collect_list(F.struct("table", "key", "x", "y", *names)).alias("corners"))  # a picture's corners
-    pairs = materialize(per.mapInArrow(double, "key long, node long"), "image-pairs-of-corners")
-    return _in_company(pairs, lo=F.min("node"), size=F.count("*"))
+    bits = {m: F.expr(f"bit_or(shiftleft(1L, cast(shiftright(c, {6 * of}) & 63 as int)))") for of, m in enumerate(names)}
+    e = _in_company(_of_component(singles.select("key", "node", "table", "x", "y"), comp), by="c", least=F.min("c"), most=F.max("c"), **bits)
+    per = e.groupBy("node", "c").agg(F.collect_list(F.struct("table", "key", "x", "y", "least", "most", *names)).alias("corners"))  # a picture's corners
+    pairs = materialize(per.mapInArrow(double, "key long, node long, c long"), "image-pairs-of-corners")
+    return _in_company(pairs, by="c", lo=F.min("node"), size=F.count("*")).select("key", "node", "lo", "size")
 
 
 def _verified(pairs: DataFrame, corners: DataFrame) -> DataFrame:
@@ -283,6 +307,27 @@ def _verified(pairs: DataFrame, corners: DataFrame) -> DataFrame:
     return found
 
 
+def _alike(singles: DataFrame) -> DataFrame:
+    """(a, b, n): first pictures of buckets of single corners and others that share n of their entries, ALIKE or more."""
+    shared = singles.where("node <> lo").select("key", F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
+    return shared.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= ALIKE)
+
+
+def _apart(pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """pairs(a, b, ...) that aren't joined yet."""
+    if comp is None:
+        return pairs
+    of = [comp.select(F.col("node").alias(c), F.col("component").alias("c" + c)) for c in "ab"]
+    return pairs.join(of[0], "a", "left").join(of[1], "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select(*pairs.columns)
+
+
+def _most_alike(alike: DataFrame, tested: DataFrame | None, comp: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) of alike that are neither joined nor tested: for each b the a that it shares most entries with, the least of such."""
+    rest = _apart(alike, comp)
+    rest = rest if tested is None else rest.join(tested, ["a", "b"], "left_anti")
+    return rest.groupBy("b").agg(F.min(F.struct((-F.col("n")).alias("n"), "a")).alias("best")).select("best.a", "b")
+
+
 def _to_first(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
     """Pairs of each bucket's first picture with the others; with one picture for each component found so far."""
     if comp is None:
@@ -291,8 +336,9 @@ def _to_first(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
     return e.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _mixed(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """The entries of buckets whose pictures aren't all joined yet, told by the least and the greatest component of each bucket."""
+def _mixed(entries: DataFrame, *joined: DataFrame | None) -> DataFrame:
+    """The entries of buckets whose pictures aren't all joined yet, told by the least and the greatest component of each bucket. joined ends with the components; links may stand before them."""
+    comp = joined[-1]
     if comp is None:
         return entries
     of = entries.join(comp, "node", "left").select("key", "size", F.coalesce("component", "node").alias("c"))
@@ -318,36 +364,50 @@ def image_copies(images: DataFrame) -> DataFrame:
 
     component_id is the smallest image_id reachable over verified pairs of pictures that share a pair of corners (pair_keys());
     identical pixels are one picture from the start, whatever their ids, and unlike pictures that share an id are pictures
-    of their own. First every picture is held against the least of its buckets' first pictures; buckets whose pictures are all
-    joined by that are done. In the others the first picture is held against the rest, round by round with one picture for each component found so far, until no new pair agrees: large groups
-    of copies are joined by few tests. Then all pairs that share buckets and aren't joined are tested, which grows with the
+    of their own. First every picture is held against the one that it shares most single corners with, of the first pictures of
+    their entries, round by round until no new pair agrees: large groups of copies are joined by few tests, and only corners that
+    are in two components or more form pairs. Then every picture is held against the least of its buckets' first pictures, and
+    buckets whose pictures are all joined by that are done. In the others the first picture is held against the rest, round by
+    round with one picture for each component found so far, until no new pair agrees. Then all pairs that share buckets and aren't joined are tested, which grows with the
     square of the different pictures that share one pair of corners. An empty table gives an empty one. Pictures without
     corners match their identical copies only; null or unreadable pixels match nothing and keep their own id; a row with a
     null id takes the least id of its component, if there is one. Other columns are ignored.
     """
     f = materialize(features(images), "image-features")
     corners = _corners(f)
-    entries = materialize(shared_entries(corners), "image-tables")
-    tested = entries.where("node <> lo").groupBy("node").agg(F.min("lo").alias("a")).select("a", F.col("node").alias("b"))
-    tested = materialize(tested, "image-pairs")
-    found = _verified(tested, corners)
-    comp = None if found.isEmpty() else materialize(connected_components(found, "a", "b"), "image-components")
-    used, entries = [entries, tested, found], _mixed(entries, comp)
-    used.append(entries)
-    rest = False
-    while True:
-        pairs = (_all_pairs if rest else _to_first)(entries, comp)
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "image-pairs")
-        tested = tested.unionByName(pairs)
+    used: list[DataFrame] = []
+    tested = found = comp = None
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        used.append(materialize(df, name))
+        return used[-1]
+
+    def agree(pairs: DataFrame) -> bool:
+        """Verify the pairs that weren't tested yet; whether any agree, which are then joined."""
+        nonlocal tested, found, comp
+        pairs = kept(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "image-pairs")
+        if pairs.isEmpty():
+            return False
+        tested = pairs if tested is None else tested.unionByName(pairs)
         new = _verified(pairs, corners)
-        used += [pairs, new]
-        more = not new.isEmpty()
-        if more:
-            found = found.unionByName(new)
-            comp = materialize(connected_components(found, "a", "b"), "image-components")
-        if rest:
-            break
-        rest = not more
+        used.append(new)
+        if new.isEmpty():
+            return False
+        found = new if found is None else found.unionByName(new)
+        comp = kept(connected_components(found, "a", "b"), "image-components")
+        return True
+
+    singles = kept(single_entries(corners), "image-single")
+    alike = kept(_alike(singles), "image-alike")
+    while agree(_most_alike(alike, tested, comp)):
+        pass
+    entries = kept(shared_entries(singles, comp), "image-tables")
+    agree(_apart(entries.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")), comp).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    entries = _mixed(entries, comp)
+    used.append(entries)
+    while agree(_to_first(entries, comp)):
+        pass
+    agree(_all_pairs(entries, comp))
     ids = f.where("node is not null").groupBy("node").agg(F.min("image_id").alias("least"))
     if comp is not None:
         ids = ids.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))

@@ -162,3 +162,52 @@ def test_mixed_buckets(spark):
     got = images._mixed(table, spark.createDataFrame(list(comp.items()), "node long, component long"))
     assert sorted((r.key, r.node, r.lo, r.size) for r in got.collect()) == sorted((k, n, low[k], size[k]) for k, n in entries if k in (1, 3, 4))
     assert images._mixed(table, None).count() == len(entries)
+
+
+def test_a_group_of_near_copies_makes_few_pairs_of_corners(spark, monkeypatch):
+    """Near copies are joined by the single corners they share; they don't form all their pairs of corners as well."""
+    made, real = {}, images.materialize
+
+    def counted(df, name, *more):
+        out = real(df, name, *more)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(images, "materialize", counted)
+    rows, want, rng = [], {}, np.random.default_rng(4)
+    for i in range(44):  # 40 near copies of one picture, and others
+        a = np.clip(picture(1) + rng.normal(0, 2, (128, 128)), 0, 255) if i < 40 else picture(i)
+        rows.append((i, 128, 128, a.astype(np.uint8).tobytes(), 0))
+        want[i] = 0 if i < 40 else i
+    got = {r.image_id: r.component_id for r in images.image_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want and made["image-single"] > 1000 and made["image-pairs-of-corners"] < 200
+
+
+def test_corners_pair_for_other_components_only(spark):
+    at = {11: 0.0, 22: 30.0}
+    singles = spark.createDataFrame([(k, n, 0, x, 0.0, 64, 3) for k, x in at.items() for n in (64, 128, 192)], "key long, node long, table int, x float, y float, lo long, size long")
+
+    def nodes(*joined):
+        comp = spark.createDataFrame([(n, min(joined)) for n in joined], "node long, component long") if joined else None
+        return sorted((r.node, r.lo, r.size) for r in images.shared_entries(singles, comp).collect())
+
+    assert nodes() == nodes(64, 128) == nodes(128, 192) == [(64, 64, 3), (128, 64, 3), (192, 64, 3)]
+    assert nodes(64, 128, 192) == []
+
+
+def test_a_bucket_of_two_components_is_told_exactly():
+    """Components 64 and 128 have one bit in set 0; as the bucket's ends they are told apart all the same."""
+    seen, least, most = (np.array([v]) for v in (1, 64, 128))
+    assert images.others(seen, 64, 0).tolist() == [0]
+    assert images.company(seen, least, most, 64, 0).tolist() == images.company(seen, least, most, 128, 0).tolist() == [1]
+    assert images.company(seen, least, least, 64, 0).tolist() == [0]
+
+
+def test_most_alike_of_what_is_neither_tested_nor_joined(spark):
+    alike = spark.createDataFrame([(1, 5, 9), (2, 5, 4), (3, 5, 4), (1, 6, 3), (2, 7, 8)], "a long, b long, n long")
+    tested = spark.createDataFrame([(1, 5)], "a long, b long")
+    comp = spark.createDataFrame([(2, 2), (7, 2)], "node long, component long")
+    pairs = lambda *of: {tuple(r) for r in images._most_alike(alike, *of).collect()}
+    assert pairs(None, None) == {(1, 5), (1, 6), (2, 7)} and pairs(tested, comp) == {(2, 5), (1, 6)}
+    singles = spark.createDataFrame([(k, n, 1, 3) for k in range(images.ALIKE) for n in (1, 2, 2)] + [(9, 1, 1, 2), (9, 3, 1, 2)], "key long, node long, lo long, size long")
+    assert [tuple(r) for r in images._alike(singles).collect()] == [(1, 2, images.ALIKE)]
