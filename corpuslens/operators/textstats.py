@@ -111,9 +111,14 @@ def readable_share(head: Column) -> Column:
     return F.when(F.length(head) > 0, F.length(F.regexp_replace(latin, r"[^\t\r\n -~]", "")) / F.length(head)).otherwise(1.0)
 
 
-def is_readable_text(head: Column) -> Column:
-    """Empty, byte-order-marked or over 85 % printable bytes; or UTF-16 without mark (zeros on one side only)."""
+def is_readable_text(head: Column, decoded: bool = False) -> Column:
+    """Empty, byte-order-marked or over 85 % printable bytes; or UTF-16 without mark (zeros on one side only).
+
+    decoded: the bytes are those of a string, which has no byte order left; then only the share counts.
+    """
     latin, n = F.decode(head, "ISO-8859-1"), F.length(head)
+    if decoded:
+        return (n == 0) | (readable_share(head) > 0.85)
     bom = F.hex(F.substring(head, 1, 2)).isin("FFFE", "FEFF")
     zeros = lambda kept: F.regexp_count(F.regexp_replace(latin, r"(?s)(.)(.?)", kept), F.lit("\x00")) / F.greatest(n / 2, F.lit(1.0))
     even, odd = zeros("$1"), zeros("$2")

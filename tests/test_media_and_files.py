@@ -253,3 +253,17 @@ def test_spectrogram_by_stretches(spark):
     w = signal._window("hann", 16)
     want = {(k, f): 20 * np.log10(np.abs(np.fft.rfft(x[4 * f : 4 * f + 16] * w))[:8] / w.sum() * 2 + 1e-12) for k, x in clips.items() for f in range((len(x) - 16) // 4 + 1) if len(x) >= 16}
     assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_readable_share_of_odd_texts_is_its_sqls(spark, tmp_path):
+    """No text, an empty one, zeros between letters, a mark, and a share that lies between two roundings (323 of 640 bytes)."""
+    import duckdb
+
+    from corpuslens.plans import corpus
+
+    texts = [None, "", "a\0" * 40, "\ufeffab", "a" * 323 + "\u20ac" + "\u00e9" * 157, "plain", "\u00e9", "a\nb\tc\r\n" * 9 + "\x01"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(corpus.ORACLE["p6_readable_share"] + " order by doc_id").fetchall()
+    assert list(map(str, want)) == [str(tuple(r)) for r in corpus.QUERIES["p6_readable_share"](spark, str(tmp_path)).orderBy("doc_id").collect()]
