@@ -267,3 +267,25 @@ def test_readable_share_of_odd_texts_is_its_sqls(spark, tmp_path):
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     want = con.execute(corpus.ORACLE["p6_readable_share"] + " order by doc_id").fetchall()
     assert list(map(str, want)) == [str(tuple(r)) for r in corpus.QUERIES["p6_readable_share"](spark, str(tmp_path)).orderBy("doc_id").collect()]
+
+
+def test_bodies_of_small_and_large_meshes(spark, monkeypatch):
+    """Small meshes never reach the iterated job; meshes over the size do, and have the same bodies. Parts of a few triangles are drawn together, too."""
+    rng = random.Random(6)
+    names = ["small", None, *("m" * 40 + str(i) for i in range(5))]
+    tri = [(m, 1000 * j + i, *(float(v) for _ in range(3) for v in (rng.randrange(6), rng.randrange(6), rng.randrange(2)))) for j, m in enumerate(names) for i in range(8 * (j + 1))]
+    tri = [(*r[:2], *(r[2:5] * 3 if r[1] % 10 == 0 else r[2:])) for r in tri]  # some are a point
+    rng.shuffle(tri)
+    df = spark.createDataFrame(tri, "mesh_id string, tri long, " + ", ".join(f"{p}{q} double" for p in "abc" for q in "xyz")).repartition(3)
+    want = []
+    for m in names:
+        bodies = [[t[1] for t in b if t[0] == "t"] for b in _bodies([("t", r[1]), *(r[k : k + 3] for k in (2, 5, 8))] for r in tri if r[0] == m)]
+        want += [(m, k + 1, len(b)) for k, b in enumerate(sorted(bodies, key=lambda b: (-len(b), min(b))))]
+    found = lambda: sorted(map(str, map(tuple, geometry.mesh_bodies(df).collect())))
+    for rows in (30, 1):
+        with monkeypatch.context() as m:
+            m.setattr(geometry, "MESH_ROWS", rows)
+            m.setattr(geometry, "MESH_TASK", 20)
+            assert found() == sorted(map(str, want))
+    monkeypatch.setattr(geometry, "connected_components", None)
+    assert found() == sorted(map(str, want))
