@@ -9,16 +9,18 @@ their bucket and probed in its segment there. Both give the same scores.
 
 from __future__ import annotations
 
+import gc
 import math
+import time
 import zlib
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm.shingle_join import WordHashes, mix
-from corpuslens.session import materialize
+from corpuslens.session import discard, materialize
 
 BASE, BITS, HASHES = 1.5, 12, 8
 #: Weight of the word distribution in P(w | v) = (c(v w) + MU P(w)) / (c(v) + MU).
@@ -29,6 +31,10 @@ MAX_BROADCAST = 256 << 20
 MOST_BYTES = 4 << 20
 #: Tokens that a map task counts before it hands them on; characters of text for each bucket of n-grams (about).
 CHUNK_TOKENS, BUCKET_CHARS = 1_500_000, 4_000_000
+#: Beyond the broadcast size: tokens that are scored at once (about), and buckets that are probed together.
+SCORED_TOKENS, GROUP = 750_000, 8
+#: Parquet's writer looks at its memory after each row, not after a hundred: rows are megabytes.
+_LARGE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.block.size": str(16 << 20)}
 _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text; no word's hash is looked up in its place
 
@@ -83,21 +89,26 @@ def build_segment(h: np.ndarray, counts: np.ndarray) -> bytes:
 
 
 class Filter:
-    """The segments of one kind of n-gram end to end."""
+    """The segments of one kind of n-gram end to end; of all its buckets, or of some that begin at `first`."""
 
-    def __init__(self, segments: list[bytes]):
+    def __init__(self, segments: list[bytes], first: int = 0, buckets: int | None = None):
+        self.first, self.buckets = first, buckets or len(segments)
         self.bits = np.frombuffer(b"".join(segments), np.uint8)
         self.size = np.array([8 * len(s) for s in segments], np.uint64)
         self.at = np.r_[0, np.cumsum(self.size)[:-1]].astype(np.uint64)
 
     def probe(self, h: np.ndarray) -> np.ndarray:
-        """Quantised count of each n-gram, by repeated membership probes."""
+        """Quantised count of each n-gram."""
+        return level_counts()[self.levels(h)]
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """Level of each n-gram, by repeated membership probes."""
         level, alive = np.zeros(len(h), np.int64), np.arange(len(h))
         n = 0
         while len(alive):
             n += 1
             x = h[alive]
-            b = bucket_of(x, len(self.size))
+            b = bucket_of(x, self.buckets) - self.first
             g, step = _level_hash(x, n)
             m, at = self.size[b], self.at[b]
             for i in range(HASHES):
@@ -108,7 +119,7 @@ class Filter:
                 if not len(alive):
                     break
             level[alive] = n
-        return level_counts()[level]
+        return level
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
@@ -139,7 +150,7 @@ def _batches(batches, most: int):
 def count_ngrams(docs: DataFrame, buckets: int) -> DataFrame:
     """(kind, bucket, total, types, hashes, counts, segment) over the training texts of docs(doc_id, text as bytes).
 
-    kind 1: words; kind 2: pairs; all of both are in the segments, those seen once too. Map tasks sum within chunks and hand on packed
+    kind 1: words; kind 2: pairs, of which only the segments are given; all of both are in the segments, those seen once too. Map tasks sum within chunks and hand on packed
     arrays, one a bucket; no text or n-gram travels as a row of its own, and a frequent n-gram counts once a chunk.
     """
 
@@ -183,7 +194,7 @@ def count_ngrams(docs: DataFrame, buckets: int) -> DataFrame:
             c = np.bincount(at, weights=c, minlength=len(h)).astype(np.int64)
             kind, bucket = divmod(key, buckets)
             total, types = int(c.sum()), len(h)
-            return pa.RecordBatch.from_pylist([dict(kind=kind, bucket=bucket, total=total, types=types, hashes=h.tobytes(), counts=c.tobytes(), segment=build_segment(h, c))], schema=schema)
+            return pa.RecordBatch.from_pylist([dict(kind=kind, bucket=bucket, total=total, types=types, hashes=h.tobytes() if kind == 1 else b"", counts=c.tobytes() if kind == 1 else b"", segment=build_segment(h, c))], schema=schema)
 
         schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("total", pa.int64()), ("types", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()), ("segment", pa.binary())])
         key, parts = None, []
@@ -250,18 +261,38 @@ def _by_broadcast(docs: DataFrame, model: DataFrame, buckets: int, n: int, v: in
     return scores
 
 
+def _let_shuffles_go(spark: SparkSession) -> None:
+    """Files of shuffles whose results are written stay until the driver collects what refers to them; have it do so (the last one takes two rounds)."""
+    for pause in (0.5, 0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Bytes of an array, all first ones before all second ones: those that are alike (of sorted hashes, of small numbers) shrink when written."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+
+
+def _unpack(packed: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _by_buckets(docs: DataFrame, model: DataFrame, buckets: int, n: int, v: int) -> DataFrame:
     """Scores for models over the broadcast size: the same probes, made where the segments are.
 
-    Chunks of texts are kept as token hashes. A chunk sends each of its different n-grams once to the n-gram's bucket, packed
-    as one array a bucket; the bucket's task probes its segment and sends the answers back to the chunk. A task holds one
-    segment with one array, or one chunk with its answers.
+    Chunks of texts are kept as their different words' hashes and each token's place among them. A chunk sends each of its
+    different n-grams once to the group of buckets that holds it, packed as one array a group; the group's task probes its
+    segments and sends levels (and words' exact counts) back to the chunk. A task holds the segments of one group with one
+    array, or one chunk with its answers.
     """
     import pyarrow as pa
 
-    kept = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("h", pa.binary()), ("start", pa.binary())])
-    asked = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()), ("segment", pa.binary())])
-    told = pa.schema([("chunk", pa.int64()), ("key", pa.int64()), ("ids", pa.list_(pa.int64())), ("h", pa.binary()), ("start", pa.binary()), ("exact", pa.binary()), ("about", pa.binary())])
+    groups = -(-buckets // GROUP)
+    kept = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("words", pa.binary()), ("at", pa.binary()), ("start", pa.binary())])
+    asked = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()), ("segment", pa.binary())])
+    told = pa.schema([("chunk", pa.int64()), ("key", pa.int64()), ("ids", pa.list_(pa.int64())), ("words", pa.binary()), ("at", pa.binary()), ("start", pa.binary()), ("exact", pa.binary()), ("level", pa.binary())])
 
     def ddl(schema) -> str:
         kinds = {pa.int64(): "long", pa.binary(): "binary"}
@@ -274,7 +305,8 @@ def _by_buckets(docs: DataFrame, model: DataFrame, buckets: int, n: int, v: int)
 
         def flush(held):
             start = np.concatenate([s + a for s, a in zip((x[2] for x in held), np.cumsum([0, *(len(x[1]) for x in held)]))])
-            return pa.RecordBatch.from_pylist([dict(chunk=part << 32 | row, ids=[i for x in held for i in x[0]], h=np.concatenate([x[1] for x in held]).tobytes(), start=start.tobytes())], schema=kept)
+            words, at = np.unique(np.concatenate([x[1] for x in held]), return_inverse=True)
+            return pa.RecordBatch.from_pylist([dict(chunk=part << 32 | row, ids=[i for x in held for i in x[0]], words=_pack(words), at=_pack(at.astype(np.uint32)), start=_pack(start))], schema=kept)
 
         held, size = [], 0
         for ids, texts in _batches(batches, 512):
@@ -282,77 +314,95 @@ def _by_buckets(docs: DataFrame, model: DataFrame, buckets: int, n: int, v: int)
             if len(h):
                 held.append((ids, h, start))
                 size += len(h)
-            if size >= CHUNK_TOKENS:
+            if size >= min(CHUNK_TOKENS, SCORED_TOKENS):
                 yield flush(held)
                 held, size, row = [], 0, row + 1
         if held:
             yield flush(held)
 
-    def dealt(h, start):
-        """By kind: the different n-grams in the order of their buckets, where each bucket starts, and each token's place."""
-        for kind, x in ((1, h), (2, pairs(h, start)[1])):
-            x, at = np.unique(x, return_inverse=True)
-            b = bucket_of(x, buckets)
-            order = np.argsort(b, kind="stable")
-            place = np.empty(len(x), np.int64)
-            place[order] = np.arange(len(x))
-            yield kind, x[order], np.searchsorted(b[order], np.arange(buckets + 1)), place[at]
+    def dealt(words, at, start):
+        """By kind: the different n-grams in the order of their groups, where each group starts, and each token's place."""
+        for kind in (1, 2):
+            x, of = (words, at) if kind == 1 else np.unique(pairs(words[at], start)[1], return_inverse=True)
+            g = bucket_of(x, buckets) // GROUP
+            order = np.argsort(g, kind="stable")
+            place = np.empty(len(x), np.uint32)
+            place[order] = np.arange(len(x), dtype=np.uint32)
+            yield kind, x[order], np.searchsorted(g[order], np.arange(groups + 1)), place[of]
+
+    def read(words, at, start):
+        return _unpack(words, np.uint64), _unpack(at, np.uint32), _unpack(start, np.int64)
 
     def ask(batches):
         for batch in batches:
-            for chunk, _, h, start in zip(*(batch.column(i) for i in range(4))):
-                for kind, x, cut, _ in dealt(np.frombuffer(h.as_py(), np.uint64), np.frombuffer(start.as_py(), np.int64)):
+            for chunk, *packed in zip(*(batch.column(i) for i in (0, 2, 3, 4))):
+                for kind, x, cut, _ in dealt(*read(*(p.as_py() for p in packed))):
                     some = np.flatnonzero(cut[1:] > cut[:-1])
                     k = len(some)
-                    yield pa.RecordBatch.from_arrays([pa.array(kind * buckets + some), pa.array([chunk.as_py()] * k, pa.int64()), pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], schema=asked)
+                    yield pa.RecordBatch.from_arrays([pa.array(kind * groups + some), pa.array([chunk.as_py()] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([_pack(x[cut[i] : cut[i + 1]]) for i in some], pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], schema=asked)
 
     def answer(batches):
-        held = part = known = times = None
+        held, segments, words, part = None, {}, [], None
+        empty = build_segment(np.zeros(0, np.uint64), np.zeros(0))
         for batch in batches:
-            for key, chunk, x, c, segment in zip(*(batch.column(i) for i in range(5))):
-                if chunk.as_py() is None:  # the bucket's segment comes before its questions
-                    held, part = key.as_py(), Filter([segment.as_py()])
-                    known, times = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(c.as_py(), np.int64)
+            out = []
+            for key, chunk, bucket, x, c, segment in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if key != held:
+                    held, segments, words, part = key, {}, [], None
+                kind, group = divmod(key, groups)
+                if chunk is None:  # the group's segments come before its questions
+                    segments[bucket] = segment
+                    words.append((np.frombuffer(x, np.uint64), np.frombuffer(c, np.int64)))
                     continue
-                x = np.frombuffer(x.as_py(), np.uint64)
-                exact, about = np.zeros(len(x), np.int64), np.zeros(len(x))
-                if key.as_py() == held:
-                    about = part.probe(x)
-                    if key.as_py() < 2 * buckets and len(known):
-                        at = np.searchsorted(known, x)
-                        at[at == len(known)] = 0
-                        exact = np.where(known[at] == x, times[at], 0)
-                yield pa.RecordBatch.from_pylist([dict(chunk=chunk.as_py(), key=key.as_py(), exact=exact.tobytes(), about=about.tobytes())], schema=told)
+                if part is None:
+                    first = group * GROUP
+                    part = Filter([segments.get(b, empty) for b in range(first, min(first + GROUP, buckets))], first, buckets)
+                    known, times = (np.concatenate([np.zeros(0, y), *(w[i] for w in words)]) for i, y in enumerate((np.uint64, np.int64)))
+                    order = np.argsort(known)
+                    known, times, segments, words = known[order], times[order], {}, []
+                x, exact = _unpack(x, np.uint64), None
+                if kind == 1:
+                    at = np.searchsorted(known, x)
+                    at[at == len(known)] = 0
+                    exact = _pack(np.where(known[at] == x, times[at], 0) if len(known) else np.zeros(len(x), np.int64))
+                out.append(dict(chunk=chunk, key=key, exact=exact, level=part.levels(x).astype(np.uint8).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=told)
 
     def score(batches):
-        ids = h = start = one = two = None
+        ids = start = one = two = None
         left = 0
         for batch in batches:
             for r in range(batch.num_rows):
-                chunk, key, i, x, s, exact, about = (batch.column(c)[r].as_py() for c in range(7))
+                chunk, key, i, words, at, s, exact, level = (batch.column(c)[r].as_py() for c in range(8))
                 if i is not None:  # the chunk comes before its answers
-                    ids, h, start = i, np.frombuffer(x, np.uint64), np.frombuffer(s, np.int64)
-                    one, two = dealt(h, start)
-                    c, a, p = np.zeros(len(one[1]), np.int64), np.zeros(len(one[1])), np.zeros(len(two[1]))
-                    left = len(one[1]) + len(two[1])
+                    ids, (words, at, start) = i, read(words, at, s)
+                    one, two = dealt(words, at, start)
+                    h, place = words[at], two[3]
+                    c, a, p = np.zeros(len(one[1]), np.int64), np.zeros(len(one[1]), np.uint8), np.zeros(len(two[1]), np.uint8)
+                    left = len(c) + len(p)
+                    one, two = one[2:], two[2]
                     continue
-                kind, bucket = divmod(key, buckets)
-                cut = (one if kind == 1 else two)[2]
-                (a if kind == 1 else p)[cut[bucket] : cut[bucket + 1]] = np.frombuffer(about)
+                kind, group = divmod(key, groups)
+                cut = one[0] if kind == 1 else two
+                (a if kind == 1 else p)[cut[group] : cut[group + 1]] = np.frombuffer(level, np.uint8)
                 if kind == 1:
-                    c[cut[bucket] : cut[bucket + 1]] = np.frombuffer(exact, np.int64)
-                left -= int(cut[bucket + 1] - cut[bucket])
+                    c[cut[group] : cut[group + 1]] = _unpack(exact, np.int64)
+                left -= int(cut[group + 1] - cut[group])
                 if not left:
-                    a_token = a[one[3]]
-                    yield _scores(ids, h, start, c[one[3]], a_token, p[two[3]], a_token[start[1] - 1 if len(start) > 1 else -1], n, v)
+                    a_token = level_counts()[a[one[1]]]
+                    yield _scores(ids, h, start, c[one[1]], a_token, level_counts()[p[place]], a_token[start[1] - 1 if len(start) > 1 else -1], n, v)
 
-    held = materialize(docs.mapInArrow(chunks, ddl(kept)), "chunks")
-    segments = model.select((F.col("kind").cast("long") * buckets + F.col("bucket")).alias("key"), F.lit(None).cast("long").alias("chunk"), "hashes", "counts", "segment")
-    asks = segments.unionByName(held.mapInArrow(ask, ddl(asked))).repartition(2 * buckets, "key").sortWithinPartitions("key", F.col("chunk").asc_nulls_first())
-    answers = asks.mapInArrow(answer, ddl(told))
+    held = materialize(docs.mapInArrow(chunks, ddl(kept)), "chunks", **_LARGE_ROWS)
     null = lambda t: F.lit(None).cast(t)
-    questions = held.select("chunk", null("long").alias("key"), "ids", "h", "start", null("binary").alias("exact"), null("binary").alias("about"))
-    return questions.unionByName(answers).repartition(2 * buckets, "chunk").sortWithinPartitions("chunk", F.col("key").asc_nulls_first()).mapInArrow(score, SCORES)
+    segments = model.select((F.col("kind").cast("long") * groups + F.floor(F.col("bucket") / GROUP)).alias("key"), null("long").alias("chunk"), F.col("bucket").cast("long").alias("bucket"), "hashes", "counts", "segment")
+    asks = segments.unionByName(held.mapInArrow(ask, ddl(asked))).repartition(4 * groups, "key").sortWithinPartitions("key", F.col("chunk").asc_nulls_first())
+    answers = materialize(asks.mapInArrow(answer, ddl(told)), "answers", **_LARGE_ROWS)
+    discard(model)
+    del segments, asks
+    _let_shuffles_go(docs.sparkSession)
+    questions = held.select("chunk", null("long").alias("key"), "ids", "words", "at", "start", null("binary").alias("exact"), null("binary").alias("level"))
+    return questions.unionByName(answers).repartition(buckets, "chunk").sortWithinPartitions("chunk", F.col("key").asc_nulls_first()).mapInArrow(score, SCORES)
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -368,7 +418,10 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", max_br
     model = materialize(count_ngrams(docs, buckets), "ngram-counts")
     n, v, size = model.agg(F.sum(F.when(F.col("kind") == 1, F.col("total"))), F.sum(F.when(F.col("kind") == 1, F.col("types"))), F.sum(F.length("segment") + F.when(F.col("kind") == 1, F.col("types") * 16).otherwise(0))).first()
     n, v = n or 0, v or 0
-    return _by_broadcast(docs, model, buckets, n, v) if (size or 0) <= max_broadcast else _by_buckets(docs, model, buckets, n, v)
+    if (size or 0) <= max_broadcast:
+        return _by_broadcast(docs, model, buckets, n, v)
+    _let_shuffles_go(docs.sparkSession)
+    return _by_buckets(docs, model, buckets, n, v)
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -120,3 +120,24 @@ def test_nothing_stays_broadcast(spark, docs, monkeypatch):
     scores = lm.score_texts(docs)
     assert len(sent) == 2 and not any(os.path.exists(b._path) for b in sent)
     assert scores.count() == len(scores.collect()) == docs.count()
+
+
+def test_little_is_written_beyond_the_broadcast_size(spark, monkeypatch):
+    """Pairs are kept in the filter alone, a token of a chunk is a place among its words, an answer a level of one byte for each n-gram."""
+    from pyspark.sql import functions as F
+
+    tables, write = {}, lm.materialize
+    monkeypatch.setattr(lm, "materialize", lambda df, name, *a, **o: tables.setdefault(name, write(df, name, *a, **o)))
+    monkeypatch.setattr(lm, "discard", lambda *_: None, raising=False)
+    df = spark.createDataFrame([(i, " ".join(f"w{i * k * k % 499}" for k in range(300))) for i in range(400)], "doc_id long, text string").coalesce(1)
+    n = sum(r.n_tokens for r in lm.score_texts(df, max_broadcast=0).collect())
+    size = lambda name, *columns: tables[name].agg(F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in columns), F.lit(0)))).first()[0]
+    tables["pairs"] = tables["ngram-counts"].where("kind = 2")
+    assert size("pairs", "hashes", "counts") == 0 < size("pairs", "segment")
+    assert size("chunks", *(c for c, kind in tables["chunks"].dtypes if kind == "binary")) < 5 * n
+    assert size("answers", "exact", "level") < 2 * n
+
+
+def test_packed_arrays_come_back():
+    for x in (np.arange(7, dtype=np.uint64) * 2**40, np.array([5, 70_000], np.uint32), np.zeros(0, np.int64)):
+        assert (lm._unpack(lm._pack(x), x.dtype) == x).all() and len(lm._pack(x)) == x.nbytes
